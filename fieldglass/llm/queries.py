@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldglass.llm.common import table
+from fieldglass.llm.compression import op9
 from fieldglass.llm.rules import op8
 
 
@@ -14,7 +15,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_compression_quality": op9_compression_quality,
 }
 ORACLE: dict[str, str] = {}
