@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldglass.llm.common import table
 from fieldglass.llm.compression import op9
+from fieldglass.llm.packing import op6
 from fieldglass.llm.rules import op8
 
 
@@ -19,7 +20,12 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_compression_quality": op9_compression_quality,
 }
