@@ -10,6 +10,7 @@ from fieldglass.llm.common import table
 from fieldglass.llm.compression import op9
 from fieldglass.llm.packing import op6
 from fieldglass.llm.rules import op8
+from fieldglass.llm.warc import op5
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(table(spark, sf_dir, "documents"))
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_arc_to_warc": op5_arc_to_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_compression_quality": op9_compression_quality,
