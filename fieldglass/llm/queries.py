@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldglass.llm.common import table
 from fieldglass.llm.compression import op9
+from fieldglass.llm.media import op1
 from fieldglass.llm.packing import op6
 from fieldglass.llm.rules import op8
 from fieldglass.llm.warc import op5
@@ -29,7 +30,12 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "pages"))
 
 
+def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_interleaved_media": op1_interleaved_media,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
