@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldglass.llm.common import table
 from fieldglass.llm.compression import op9
 from fieldglass.llm.media import op1
+from fieldglass.llm.mixing import op3
 from fieldglass.llm.packing import op6
 from fieldglass.llm.rules import op8
 from fieldglass.llm.warc import op5
@@ -34,8 +35,13 @@ def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
+    "op3_mix_sources": op3_mix_sources,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
