@@ -12,6 +12,7 @@ from fieldglass.llm.media import op1
 from fieldglass.llm.mixing import op3
 from fieldglass.llm.packing import op6
 from fieldglass.llm.rules import op8
+from fieldglass.llm.secrets import op2
 from fieldglass.llm.warc import op5
 
 
@@ -39,8 +40,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
+    "op2_secret_scan": op2_secret_scan,
     "op3_mix_sources": op3_mix_sources,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
