@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldglass.llm.common import table
 from fieldglass.llm.compression import op9
+from fieldglass.llm.lines import op10
 from fieldglass.llm.media import op1
 from fieldglass.llm.mixing import op3
 from fieldglass.llm.packing import op6
@@ -44,6 +45,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2(table(spark, sf_dir, "documents"))
 
 
+def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
     "op2_secret_scan": op2_secret_scan,
@@ -52,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_compression_quality": op9_compression_quality,
+    "op10_line_alignment": op10_line_alignment,
 }
 ORACLE: dict[str, str] = {}
