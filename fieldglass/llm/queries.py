@@ -11,6 +11,7 @@ from fieldglass.llm.compression import op9
 from fieldglass.llm.lines import op10
 from fieldglass.llm.media import op1
 from fieldglass.llm.mixing import op3
+from fieldglass.llm.near import op4
 from fieldglass.llm.packing import op6
 from fieldglass.llm.rules import op8
 from fieldglass.llm.secrets import op2
@@ -49,10 +50,15 @@ def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
     "op2_secret_scan": op2_secret_scan,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
