@@ -13,6 +13,7 @@ from fieldglass.llm.media import op1
 from fieldglass.llm.mixing import op3
 from fieldglass.llm.near import op4
 from fieldglass.llm.packing import op6
+from fieldglass.llm.repeats import op7
 from fieldglass.llm.rules import op8
 from fieldglass.llm.secrets import op2
 from fieldglass.llm.warc import op5
@@ -54,6 +55,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(table(spark, sf_dir, "documents"))
 
 
+def op7_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
     "op2_secret_scan": op2_secret_scan,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_recompression_dedup": op7_recompression_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_compression_quality": op9_compression_quality,
     "op10_line_alignment": op10_line_alignment,
