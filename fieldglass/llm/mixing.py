@@ -57,11 +57,14 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: floa
     usable = tree
     for k in range(len(levels)):
         usable = usable.withColumn("capacity", F.when(weight_of(levels[k], weights.get(levels[k], {}), default) > 0, F.col("capacity")).otherwise(F.lit(0.0)))
-    above = usable.agg(F.least(F.lit(float(total)), F.coalesce(F.sum("capacity"), F.lit(0.0))).alias("budget"))
+    above = None
     for k in range(1, len(levels) + 1):
         own = list(levels[:k])
         nodes = usable.groupBy(*own).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight_of(levels[k - 1], weights.get(levels[k - 1], {}), default))
-        nodes = nodes.crossJoin(F.broadcast(above)) if k == 1 else nodes.join(above, own[:-1])  # the root is one row
+        if above is None:  # the root's budget: the total, or all that its children can use
+            nodes = nodes.withColumn("budget", F.least(F.lit(float(total)), F.sum("capacity").over(Window.partitionBy())))
+        else:
+            nodes = nodes.join(above, own[:-1])
         above = split_budget(nodes, own[:-1]).select(*own, F.col("share").alias("budget"))
     return above.withColumn("budget", F.floor(F.col("budget") + 1e-6).cast("long"))
 
