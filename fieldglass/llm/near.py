@@ -7,9 +7,10 @@ of its columns as packed numbers, so what Spark shuffles is a few rows for each
    with fewer such entries are linked with nothing and go. Equal sets are one row from here on.
 2. Of the rows left, keep the rarest columns: two linked sets that are ordered alike, rare columns first, share a column
    among the first quarter of the larger and the first seventh of the smaller.
-3. Rows that share such a column are candidates. Crowds first meet one of their number; what that links is one component,
+3. Rows that share such a column are candidates. Crowds first meet the one of their number that has the fewest
+   entries of its own, so is likest to the others; what that links is one component,
    and only pairs of rows from different components go on, so a crowd of near copies never becomes all its pairs.
-4. Candidates that their sizes and shared entries allow are intersected whole. Components of the links follow.
+4. Candidates that their sizes and the columns' places allow are intersected whole. Components of the links follow.
 
 No link between different texts is lost: a pair that isn't intersected has fewer common shingles than a link needs, or is in
 one component already.
@@ -37,8 +38,8 @@ _DEALT = pa.schema([("block", pa.int32()), ("chunk", pa.string()), ("kind", pa.i
 _DEALT_DDL = "block int, chunk string, kind int, counts binary, data binary, more binary"
 _STATE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shared", pa.int32())])
 _STATE_DDL = "doc_id long, text_key long, n int, set_a long, set_b long, shared int"
-_PREFIX = pa.schema([("column", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("near", pa.bool_())])
-_PREFIX_DDL = "column long, cid long, n int, shared int, near boolean"
+_PREFIX = pa.schema([("column", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("place", pa.int32()), ("near", pa.bool_())])
+_PREFIX_DDL = "column long, cid long, n int, own int, place int, near boolean"
 #: A block's index takes the upper half of a column's name.
 _HALF = np.uint64(32)
 
@@ -220,12 +221,12 @@ def _prefixes(table: pa.Table) -> pa.Table:
     keep = place <= n - least_overlap(n)
     owner, column, place, n = owner[keep], column[keep], place[keep], n[keep]
     near = place <= n - (6 * n + 6) // 7
-    arrays = (column.view(np.int64), ids[owner], n.astype(np.int32), shared[owner].astype(np.int32), near)
+    arrays = (column.view(np.int64), ids[owner], n.astype(np.int32), alone[owner].astype(np.int32), place.astype(np.int32), near)
     return pa.Table.from_arrays([pa.array(a, t) for a, t in zip(arrays, _PREFIX.types, strict=True)], schema=_PREFIX)
 
 
 def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
-    """column, cid, n, shared (entries in shared columns) and near (in the shorter prefix), rare columns first."""
+    """column, cid, n, own (entries in columns that no other row has), place among the row's columns, rare ones first, and near (in the shorter prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _task()
@@ -262,28 +263,33 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _possible(n_a: str, shared_a: str, n_b: str, shared_b: str):
-    """What sizes and shared entries leave open: the overlap is at most the lesser count of shared entries."""
-    return 7 * F.least(shared_a, shared_b) >= 3 * (F.col(n_a) + F.col(n_b))
+def _possible(n_a: str, place_a: str, n_b: str, place_b: str):
+    """What sizes and places leave open: from their first common column on, two rows have at most the lesser rest in common.
 
+    A later common column leaves less open than the first, so a pair goes on if any of its columns lets it.
+    """
+    return 7 * F.least(F.col(n_a) - F.col(place_a), F.col(n_b) - F.col(place_b)) >= 3 * (F.col(n_a) + F.col(n_b))
 
-def links(sets: DataFrame, prefix: DataFrame, rounds: int = 2) -> DataFrame:
+
+def links(sets: DataFrame, prefix: DataFrame, rounds: int = 1) -> DataFrame:
     """Components of the rows in prefix, as `node` and `component`."""
     found, label = None, None
     for k in range(rounds + 1):
         rows = prefix if label is None else prefix.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
         rows = rows.withColumn("component", F.col("cid") if label is None else F.coalesce("component", "cid"))
-        open_ = rows.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("near").alias("any"), F.min_by(F.struct("cid", "n", "shared", "component"), F.struct(F.col("component"), F.col("cid"))).alias("first"))
+        open_ = rows.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("near").alias("any"), F.min_by(F.struct("cid", "n", "place", "component"), F.struct("own", "cid")).alias("first"))
         open_ = open_.where((F.col("low") != F.col("high")) & F.col("any"))
-        if k < rounds:  # every row with the first of its column, of those the one that most columns name
-            met = rows.join(open_.select("column", F.col("first.cid").alias("a"), F.col("first.n").alias("n_a"), F.col("first.shared").alias("shared_a"), F.col("first.component").alias("component_a")), "column")
-            met = met.where((F.col("component") != F.col("component_a")) & _possible("n", "shared", "n_a", "shared_a"))
+        if k < rounds:  # every row with the row of its column that has the fewest entries of its own; of several that which most columns name
+            met = rows.join(open_.select("column", F.col("first.cid").alias("a"), F.col("first.n").alias("n_a"), F.col("first.place").alias("place_a"), F.col("first.component").alias("component_a")), "column")
+            met = met.where((F.col("component") != F.col("component_a")) & _possible("n", "place", "n_a", "place_a"))
             pairs = met.groupBy("cid", "a").count().groupBy("cid").agg(F.max_by("a", F.struct(F.col("count"), -F.col("a"))).alias("a")).select("a", F.col("cid").alias("b"))
-        else:
-            left = materialize(rows.join(open_.select("column"), "column"), "open-columns")
-            one = left.where("near").select("column", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"), F.col("component").alias("component_a"))
-            met = one.join(left.select("column", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"), F.col("component").alias("component_b")), "column")
-            met = met.where((F.col("component_a") != F.col("component_b")) & (F.col("n_a") <= F.col("n_b")) & _possible("n_a", "shared_a", "n_b", "shared_b"))
+        else:  # rows outside the component of their column's first row, with all rows of the column
+            left = materialize(rows.join(open_.select("column", F.col("first.component").alias("main")), "column"), "open-columns")
+            side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "component", "near")]
+            odd = left.where(F.col("component") != F.col("main")).select("column", F.col("cid").alias("a"), *side("a"))
+            met = odd.join(left.select("column", F.col("cid").alias("b"), *side("b")), "column")
+            sizes = (F.col("near_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("near_b") & (F.col("n_b") <= F.col("n_a")))
+            met = met.where((F.col("component_a") != F.col("component_b")) & sizes & _possible("n_a", "place_a", "n_b", "place_b"))
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = materialize(linked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         found = new if found is None else found.unionByName(new)
