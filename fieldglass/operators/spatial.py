@@ -45,7 +45,7 @@ def ring_sums(sites: DataFrame, areas: DataFrame, metrics: list[str], radii: tup
 
     A missing metric is left out of its sum; a sum of nothing is missing.
     """
-    most = max(radii) + float(F_LARGEST_RADIUS)
+    most = max(radii) + LARGEST_RIM
     met = within(sites, areas, most, size)
     rings = met.withColumn("radius", F.explode(F.array(*(F.lit(float(r)) for r in radii))))
     rings = rings.withColumn("weight", disc_weight("miles", "radius", "sqmi")).where("weight > 0")
@@ -53,7 +53,7 @@ def ring_sums(sites: DataFrame, areas: DataFrame, metrics: list[str], radii: tup
 
 
 #: Miles from the centre to the rim of the largest area that rings take.
-F_LARGEST_RADIUS = 40
+LARGEST_RIM = 40.0
 
 
 def in_polygon(rings: Column, lat: Column, lon: Column) -> Column:

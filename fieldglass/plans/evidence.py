@@ -1,0 +1,164 @@
+"""Queries on texts, pages and publishers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldglass.functions import text as T
+from fieldglass.operators import evidence as E
+from fieldglass.plans.adapters import table
+from fieldglass.plans.registry import query
+
+SPACES = "[\\x20\\x09-\\x0D]+"
+#: Keyword rules over frequent words of the test corpus.
+RULES = {"r_the": ["the", "of"], "r_der": ["der", "und", "nicht"], "r_les": ["les ", " en "], "r_key": ["token"], "r_mail": ["@mail"], "r_loud": ["!!"], "r_mark": ["***", "$$$"]}
+HIT_SQL = "hit AS (" + " UNION ALL ".join("SELECT doc_id, source, lang, text, '{}' AS rule FROM documents WHERE {}".format(r, " AND ".join(f"contains(lower(text), '{k}')" for k in ks)) for r, ks in RULES.items()) + ")"
+HOST_SQL = "nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', ''), '\\.$', ''), '')"
+PUBLISHER_SQL = f"array_to_string(list_slice(string_split({HOST_SQL}, '.'), -2, -1), '.')"
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages")
+
+
+@query(f"SELECT page_id, {HOST_SQL} AS host, {PUBLISHER_SQL} AS publisher FROM pages")
+def publisher_id(spark: SparkSession, d: str) -> DataFrame:
+    h = T.host(F.col("url"))
+    return pages(spark, d).select("page_id", h.alias("host"), T.publisher(h).alias("publisher"))
+
+
+@query(
+    "WITH a AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages), b AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) AS head FROM a), c AS (SELECT *, substr(bare, length(head) + 1) AS rest FROM b), "
+    "e AS (SELECT *, regexp_replace(string_split(rest, '?')[1], '/+$', '') AS path, CASE WHEN contains(rest, '?') THEN list_filter(string_split(regexp_replace(rest, '^[^?]*\\?', ''), '&'), lambda x : x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|msclkid|mc_cid|mc_eid)(=|$)')) ELSE [] END AS kept FROM c) "
+    "SELECT page_id, CASE WHEN head <> '' THEN head || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url FROM e"
+)
+def url_normalise(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", T.clean_url(F.col("url")).alias("url"))
+
+
+@query(
+    "SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?is)<template\\b.*?</template\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '"
+    + SPACES + "', ' ', 'g')) AS t FROM pages)"
+)
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    t = T.html_text(F.col("html"))
+    return pages(spark, d).select("page_id", t.alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+MAIL_SQL = "list_filter(list_distinct(list_transform(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1), lambda x : lower(x))), lambda x : NOT regexp_matches(x, '\\.(png|jpe?g|gif|svg|webp|css|js)$') AND NOT regexp_matches(x, '^(no-?reply|example|test)@'))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({MAIL_SQL}), ',') AS emails FROM documents WHERE contains(text, '@')")
+def email_extract(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit("@")))
+    return docs.select("doc_id", F.array_join(F.array_sort(T.emails(F.col("text"))), ",").alias("emails"))
+
+
+PHONE_SQL = "list_filter(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^0-9])(?:\\+?1[ .-]?)?(\\(?[2-9][0-9]{2}\\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4})(?:$|[^0-9])', 1), lambda x : regexp_replace(x, '[^0-9]', '', 'g'))), lambda x : NOT regexp_matches(x, '^[0-9]{3}55501'))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_transform({PHONE_SQL}, lambda x : '(' || substr(x, 1, 3) || ') ' || substr(x, 4, 3) || '-' || substr(x, 7, 4))), ',') AS phones FROM documents WHERE contains(text, '(')")
+def phone_extract(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit("(")))
+    return docs.select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))
+
+
+@query(f"WITH {HIT_SQL} SELECT doc_id, rule FROM hit")
+def keyword_rules(spark: SparkSession, d: str) -> DataFrame:
+    return E.match_rules(table(spark, d, "documents").select("doc_id", "text"), RULES).select("doc_id", "rule")
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.col("source").alias("publisher"))
+    return E.match_rules(docs, RULES)
+
+
+FIRST_SQL = f"{HIT_SQL}, first AS (SELECT * FROM hit QUALIFY ROW_NUMBER() OVER (PARTITION BY rule, source ORDER BY doc_id) = 1)"
+
+
+@query(f"WITH {FIRST_SQL} SELECT rule, source AS publisher, doc_id FROM first")
+def publisher_counts(spark: SparkSession, d: str) -> DataFrame:
+    return E.first_publishers(hits(spark, d), ["rule"]).select("rule", "publisher", "doc_id")
+
+
+STORY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\\x20\\x09-\\x0D]+', ' ', 'g'), '\\b(copyright|all rights reserved|read more|click here)\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+ALONE_SQL = f"{FIRST_SQL}, alone AS (SELECT *, {STORY_SQL} AS story FROM first QUALIFY ROW_NUMBER() OVER (PARTITION BY rule, {STORY_SQL} ORDER BY source) = 1)"
+
+
+@query(f"WITH {ALONE_SQL}, c AS (SELECT rule, COUNT(DISTINCT source) AS publishers, bool_or(lang = 'de') AS institutional FROM alone GROUP BY 1) SELECT rule, publishers, institutional, publishers >= 2 AND institutional AS verified, CASE WHEN publishers >= 2 AND institutional THEN least(95, 55 + publishers * 8) END AS value FROM c")
+def corroboration(spark: SparkSession, d: str) -> DataFrame:
+    alone = E.independent(E.first_publishers(hits(spark, d), ["rule"]), ["rule"], "text")
+    return E.corroborate(alone.withColumn("institutional", F.col("lang") == "de"), ["rule"], "institutional")
+
+
+@query(
+    f"WITH {FIRST_SQL}, p AS (SELECT * FROM (VALUES ('x1', 'r_the', 'r_key'), ('x2', 'r_key', 'r_the'), ('x3', 'r_mark', 'r_none')) v(name, a, b)), g AS (SELECT rule, list(DISTINCT source) AS s FROM first GROUP BY 1) "
+    "SELECT name, a, b, len(list_distinct(list_concat(x.s, y.s))) AS together, coalesce(len(list_distinct(list_concat(x.s, y.s))) >= 3 AND len(list_filter(x.s, lambda v : NOT list_contains(y.s, v))) >= 1, false) AS confirmed FROM p LEFT JOIN g x ON a = x.rule LEFT JOIN g y ON b = y.rule".replace("len(list_distinct(list_concat(x.s, y.s))) AS together", "CASE WHEN x.s IS NOT NULL AND y.s IS NOT NULL THEN len(list_distinct(list_concat(x.s, y.s))) END AS together").replace("coalesce(len(list_distinct(list_concat(x.s, y.s))) >= 3", "coalesce(x.s IS NOT NULL AND y.s IS NOT NULL AND len(list_distinct(list_concat(x.s, y.s))) >= 3")
+)
+def cross_checks(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([("x1", "r_the", "r_key"), ("x2", "r_key", "r_the"), ("x3", "r_mark", "r_none")], "name string, a string, b string")
+    return E.cross_checks(E.first_publishers(hits(spark, d), ["rule"]), pairs)
+
+
+SIGNALS = {"s_the": ("en", 6, ["the", "that"]), "s_with": ("en", 5, ["with"]), "s_from": ("en", 3, ["from"]), "s_der": ("de", 6, ["der"]), "s_les": ("fr", 4, ["les", "des"]), "s_los": ("es", 4, ["los"]), "s_token": ("secret", 8, ["token", "password"])}
+WORD_SQL = "regexp_matches(lower(text), '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
+SIGNAL_SQL = "sig AS (" + " UNION ALL ".join("SELECT doc_id, '{}' AS signal, '{}' AS dimension, {} AS weight FROM documents WHERE {}".format(n, dim, w, " OR ".join(WORD_SQL.format(t) for t in ts)) for n, (dim, w, ts) in SIGNALS.items()) + ")"
+
+
+@query(f"WITH {SIGNAL_SQL}, b AS (SELECT doc_id, dimension, MAX(weight) AS best, SUM(weight) - MAX(weight) AS rest, COUNT(*) AS n FROM sig GROUP BY 1, 2) SELECT doc_id, least(100.0E0, floor(SUM(best + least(2.0E0, rest / 3.0E0)) * 5 + 0.5E0)) AS fit, CAST(SUM(n) AS BIGINT) AS signals, COUNT(*) AS dimensions FROM b GROUP BY 1")
+def narrowing_score(spark: SparkSession, d: str) -> DataFrame:
+    return E.narrowing_score(E.narrowing_signals(table(spark, d, "documents").select("doc_id", "text"), SIGNALS), "doc_id")
+
+
+@query(f"WITH {SIGNAL_SQL} SELECT signal, dimension, COUNT(*) AS documents, CAST(SUM(weight) AS BIGINT) AS weight FROM sig GROUP BY 1, 2 ORDER BY documents DESC, signal LIMIT 8")
+def narrowing_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = E.narrowing_signals(table(spark, d, "documents").select("doc_id", "text"), SIGNALS)
+    return s.groupBy("signal", "dimension").agg(F.count(F.lit(1)).alias("documents"), F.sum("weight").alias("weight")).orderBy(F.col("documents").desc(), "signal").limit(8)
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, '!!') THEN 'loud' WHEN contains(text, '***') THEN 'marked' WHEN contains(text, ' | ') THEN 'table' WHEN length(text) < 200 THEN 'short' ELSE 'prose' END AS class FROM documents")
+def first_match_classify(spark: SparkSession, d: str) -> DataFrame:
+    has = lambda x: F.contains("text", F.lit(x))
+    return table(spark, d, "documents").select("doc_id", F.when(has("!!"), "loud").when(has("***"), "marked").when(has(" | "), "table").when(F.length("text") < 200, "short").otherwise("prose").alias("class"))
+
+
+@query(
+    f"WITH n AS (SELECT doc_id AS id, {STORY_SQL} AS story FROM documents), s AS (SELECT id, story, list_distinct(list_filter(string_split(story, ' '), lambda w : length(w) > 2)) AS ws FROM (SELECT MIN(id) AS id, story FROM n WHERE story <> '' GROUP BY story)) "
+    "SELECT x.id AS a, n.id AS b FROM s x JOIN n ON x.id < n.id AND x.story = n.story UNION SELECT x.id, y.id FROM s x JOIN s y ON x.id < y.id AND len(x.ws) >= 9 AND len(y.ws) >= 9 AND len(x.ws) >= 0.91 * len(y.ws) AND len(y.ws) >= 0.91 * len(x.ws) AND len(list_intersect(x.ws, y.ws)) >= 0.91 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))"
+)
+def same_narrative_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return E.same_narrative_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(
+    f"WITH v AS (SELECT {PUBLISHER_SQL} AS entity, {HOST_SQL} AS domain, 'q' || CAST(page_id % 4 AS VARCHAR) AS query, CASE WHEN page_id % 3 = 0 THEN 'a@b.cd' END AS email, page_id % 9 AS rank FROM pages), e AS (SELECT entity, COUNT(*) AS evidence, COUNT(DISTINCT query) AS queries, COUNT(DISTINCT domain) AS domains, COUNT(email) AS contacts, MIN(rank) AS best_rank FROM v GROUP BY 1) "
+    "SELECT *, CAST(least(100, least(30, evidence * 6) + least(24, queries * 8) + least(16, domains * 8) + CASE WHEN contacts > 0 THEN 15 ELSE 0 END + CASE WHEN best_rank <= 3 THEN 10 ELSE 0 END) AS BIGINT) AS score FROM e"
+)
+def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
+    h = T.host(F.col("url"))
+    e = pages(spark, d).select(T.publisher(h).alias("entity"), h.alias("domain"), F.concat(F.lit("q"), F.col("page_id") % 4).alias("query"), F.when(F.col("page_id") % 3 == 0, "a@b.cd").alias("email"), (F.col("page_id") % 9).alias("rank"))
+    return E.roll_up(e, "entity")
+
+
+@query(f"WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages), c AS (SELECT unnest(['example.com', 'm.example.com', 'com', 'example.org']) AS suffix), t AS (SELECT page_id, host, suffix FROM h LEFT JOIN c ON host = suffix OR ends_with(host, '.' || suffix) QUALIFY ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC NULLS LAST) = 1) SELECT * FROM t")
+def longest_suffix_match(spark: SparkSession, d: str) -> DataFrame:
+    catalog = spark.createDataFrame([("example.com",), ("m.example.com",), ("com",), ("example.org",)], "suffix string")
+    return E.longest_suffix(pages(spark, d).select("page_id", T.host(F.col("url")).alias("host")), catalog).select("page_id", "host", "suffix")
+
+
+RULE_ROWS = [("/", True), ("/en", False), ("/en/1", True), ("/fr/2", False), ("/fr/2", True), ("/de/", False)]
+
+
+@query(
+    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(a).lower()})" for p, a in RULE_ROWS) + ") v(pattern, allow)), u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM pages), m AS (SELECT page_id, allow FROM u LEFT JOIN r ON starts_with(path, pattern) QUALIFY ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC NULLS LAST, allow DESC) = 1) SELECT page_id AS url, coalesce(allow, true) AS allow FROM m"
+)
+def robots_longest_match(spark: SparkSession, d: str) -> DataFrame:
+    urls = pages(spark, d).select(F.col("page_id").alias("url"), F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1).alias("path"), T.publisher(T.host(F.col("url"))).alias("origin"))
+    rules = urls.select("origin").distinct().withColumn("x", F.explode(F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("allow")) for p, a in RULE_ROWS)))).select("origin", "x.*")
+    return E.allowed(urls, rules)
+
+
+@query("WITH s AS (SELECT source, COUNT(*) AS size FROM documents GROUP BY 1), r AS (SELECT source, doc_id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT source, doc_id, turn FROM r JOIN s USING (source) ORDER BY turn, size DESC, source LIMIT 50")
+def round_robin_sample(spark: SparkSession, d: str) -> DataFrame:
+    return E.pick_in_turn(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 50)

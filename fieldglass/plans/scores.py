@@ -1,0 +1,98 @@
+"""Queries that score: observations, engines, reliability, territories and rules that gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldglass.functions.exprs import weighted_mean
+from fieldglass.functions.text import age_years
+from fieldglass.operators import scoring
+from fieldglass.plans.adapters import table
+from fieldglass.plans.registry import query
+
+OBS_SQL = "obs AS (SELECT 'i' || CAST(p_size AS VARCHAR) AS indicator, p_partkey % 101 AS value, p_partkey % 90 AS confidence, p_brand AS source FROM part)"
+DIM_SQL = "dim AS (SELECT DISTINCT 'i' || CAST(p_size AS VARCHAR) AS indicator, 'p' || CAST(p_size % 6 AS VARCHAR) AS pillar, CASE WHEN p_size % 6 = 5 THEN 'gate' WHEN p_size % 3 = 0 THEN 'lower' ELSE 'higher' END AS direction FROM part)"
+WEIGHT_ROWS = [("p0", "client", 13), ("p1", "client", 8), ("p2", "client", 5), ("p3", "client", 0), ("p0", "staff", 2), ("p3", "staff", 24), ("p4", "staff", 7), ("p5", "staff", 9)]
+WEIGHT_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{e}', {w})" for p, e, w in WEIGHT_ROWS) + ") v(pillar, engine, weight))"
+ENGINE_SQL = (
+    f"{OBS_SQL}, {DIM_SQL}, {WEIGHT_SQL}, seen AS (SELECT pillar, CASE WHEN direction = 'lower' THEN 100 - value ELSE value END AS v, confidence AS c FROM obs JOIN dim USING (indicator) WHERE direction IN ('higher', 'lower')), "
+    "pil AS (SELECT pillar, CASE WHEN SUM(c) > 0 THEN SUM(v * c) * 1.0E0 / SUM(c) ELSE AVG(v) END AS v, AVG(c) AS c, COUNT(*) AS n FROM seen GROUP BY 1), "
+    "eng AS (SELECT engine, SUM(v * weight) / SUM(weight) AS s, AVG(c) AS c, CAST(SUM(n) AS BIGINT) AS observed, COUNT(*) AS pillars FROM pil JOIN w USING (pillar) WHERE weight > 0 GROUP BY 1), "
+    "score AS (SELECT engine, floor(s + 0.5E0) AS score, round(observed * 100.0E0 / 5000, 4) AS coverage, greatest(0.0E0, least(100.0E0, floor(0.55E0 * c + 0.25E0 * observed * 100.0E0 / 5000 + 0.2E0 * least(100.0E0, pillars * 20.0E0) + 0.5E0))) AS confidence, observed, pillars FROM eng)"
+)
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.concat(F.lit("i"), "p_size").alias("indicator"), (F.col("p_partkey") % 101).alias("value"), (F.col("p_partkey") % 90).alias("confidence"), F.col("p_brand").alias("source"))
+
+
+def engines(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    dims = table(spark, d, "part").select(F.concat(F.lit("i"), size).alias("indicator"), F.concat(F.lit("p"), size % 6).alias("pillar"), F.when(size % 6 == 5, "gate").when(size % 3 == 0, "lower").otherwise("higher").alias("direction")).distinct()
+    weights = spark.createDataFrame(WEIGHT_ROWS, "pillar string, engine string, weight int")
+    return scoring.engine_scores(observations(spark, d), dims, weights, 5000)
+
+
+@query(f"WITH {OBS_SQL} SELECT indicator, floor(AVG(value) + 0.5E0) AS value, floor(AVG(confidence) + 0.5E0) AS confidence, COUNT(DISTINCT source) AS sources FROM obs GROUP BY 1")
+def grouped_observations(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.group_observations(observations(spark, d), "indicator")
+
+
+@query(f"WITH {OBS_SQL} SELECT source, round(CASE WHEN SUM(confidence) > 0 THEN SUM(value * confidence) * 1.0E0 / SUM(confidence) ELSE AVG(value) END, 6) AS mean FROM obs GROUP BY 1")
+def confidence_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    return observations(spark, d).groupBy("source").agg(F.round(weighted_mean("value", "confidence"), 6).alias("mean"))
+
+
+@query(f"WITH {ENGINE_SQL} SELECT * FROM score")
+def engine_score(spark: SparkSession, d: str) -> DataFrame:
+    return engines(spark, d)
+
+
+LACK_SQL = "(CASE WHEN coverage < 40 THEN 1 ELSE 0 END + CASE WHEN observed < 24 THEN 1 ELSE 0 END + CASE WHEN pillars < 5 THEN 1 ELSE 0 END + CASE WHEN publishers < 3 THEN 1 ELSE 0 END)"
+
+
+@query(
+    f"WITH {ENGINE_SQL}, s AS (SELECT engine, coverage, observed, pillars, CAST(pillars - 1 AS BIGINT) AS publishers FROM score) SELECT engine, CASE WHEN {LACK_SQL} = 0 THEN 'strong' WHEN {LACK_SQL} <= 2 AND coverage >= 12 AND observed >= 12 THEN 'usable' ELSE 'insufficient' END AS grade, "
+    "concat_ws(',', CASE WHEN coverage < 40 THEN 'coverage' END, CASE WHEN observed < 24 THEN 'indicators' END, CASE WHEN pillars < 5 THEN 'pillars' END, CASE WHEN publishers < 3 THEN 'publishers' END) AS lacking FROM s"
+)
+def reliability_grade(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.reliability(engines(spark, d).withColumn("publishers", F.col("pillars") - 1)).select("engine", "grade", "lacking")
+
+
+@query(
+    "WITH t AS (SELECT user_id % 40 AS territory, COUNT(*) FILTER (WHERE event_type = 'view') AS demand, COUNT(*) FILTER (WHERE event_type = 'signup') % 12 AS referral, COUNT(*) FILTER (WHERE event_type = 'error') % 14 AS supply FROM events GROUP BY 1), "
+    "s AS (SELECT territory, floor(0.45E0 * least(100.0E0, ln(1 + demand) / ln(41.0E0) * 100) + 0.3E0 * least(100.0E0, referral * 10.0E0) + 0.25E0 * greatest(0.0E0, 100 - supply * 8.0E0) + 0.5E0) AS score FROM t) SELECT *, CASE WHEN score >= 70 THEN 'priority' WHEN score >= 45 THEN 'watch' ELSE 'early' END AS label FROM s"
+)
+def territory_score(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    t = table(spark, d, "events").groupBy((F.col("user_id") % 40).alias("territory")).agg(n("view").alias("demand"), (n("signup") % 12).alias("referral"), (n("error") % 14).alias("supply"))
+    return scoring.territory(t).select("territory", "score", "label")
+
+
+@query(
+    "WITH r AS (SELECT * FROM (VALUES ('r1', 'F', ['1-URGENT', '2-HIGH'], ['any'], DATE '1990-01-01', 90), ('r2', 'O', ['1-URGENT'], ['p1', 'p2'], DATE '1990-01-01', 30), ('r3', 'O', ['5-LOW'], ['any'], DATE '2050-01-01', 30)) v(rule, state, roles, payers, effective, grace_days)), "
+    "c AS (SELECT o_orderkey AS context, o_orderstatus AS state, o_orderpriority AS role, 'p' || CAST(o_custkey % 4 AS VARCHAR) AS payer, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS held, CAST(o_orderdate AS DATE) AS since FROM orders) "
+    "SELECT context, rule, CASE WHEN held THEN 'PASS' WHEN held IS NULL THEN 'REVIEW' WHEN DATE '1996-06-01' - since <= grace_days THEN 'REVIEW' ELSE 'BLOCK' END AS decision FROM c JOIN r USING (state) WHERE list_contains(roles, role) AND (list_contains(payers, payer) OR list_contains(payers, 'any')) AND effective <= DATE '1996-06-01'"
+)
+def regulatory_eval(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import date
+
+    rules = spark.createDataFrame([("r1", "F", ["1-URGENT", "2-HIGH"], ["any"], date(1990, 1, 1), 90), ("r2", "O", ["1-URGENT"], ["p1", "p2"], date(1990, 1, 1), 30), ("r3", "O", ["5-LOW"], ["any"], date(2050, 1, 1), 30)], "rule string, state string, roles array<string>, payers array<string>, effective date, grace_days int")
+    k = F.col("o_orderkey")
+    contexts = table(spark, d, "orders").select(k.alias("context"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("role"), F.concat(F.lit("p"), F.col("o_custkey") % 4).alias("payer"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("held"), F.to_date("o_orderdate").alias("since"))
+    return scoring.regulatory(contexts, rules, F.lit(date(1996, 6, 1)))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE (CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size END) <= 12 AND (p_size + p_size % 5) >= 2 END AS overlaps FROM part")
+def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    p = table(spark, d, "part").select("p_partkey", F.when((s % 9 != 0) & (s % 7 != 0), s).alias("low"), F.when(s % 9 != 0, s + s % 5).alias("high"))
+    return p.select("p_partkey", scoring.serves("low", "high", 2, 12).alias("overlaps"))
+
+
+@query("SELECT p_partkey, round(CASE p_size % 4 WHEN 0 THEN p_size + (p_size % 12) / 12.0E0 WHEN 1 THEN p_size / 52.0E0 WHEN 2 THEN p_size * 1.0E0 END, 6) AS years FROM part")
+def age_text_years(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    t = F.when(s % 4 == 0, F.concat(s, F.lit(" YRS "), s % 12, F.lit(" MOS"))).when(s % 4 == 1, F.concat(s, F.lit(" WKS"))).when(s % 4 == 2, s.cast("string")).otherwise(F.lit("unknown"))
+    return table(spark, d, "part").select("p_partkey", F.round(age_years(t), 6).alias("years"))

@@ -1,0 +1,150 @@
+"""Queries on places: distances, rings, polygons, hotspots, tiers and convergence."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldglass.functions.exprs import disc_weight, miles, ratio
+from fieldglass.operators import sites as S
+from fieldglass.operators import spatial
+from fieldglass.plans.adapters import places, table
+from fieldglass.plans.areas import miles_sql
+from fieldglass.plans.registry import query
+
+
+def site_points(spark: SparkSession, d: str) -> DataFrame:
+    return places(spark, d).select(F.col("nation").alias("site"), "lat", "lon")
+
+
+def tracts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a nation on a 7 by 7 grid of small areas around its point."""
+    c, p = table(spark, d, "customer"), places(spark, d)
+    k = F.col("c_custkey") % 49
+    rows = c.join(F.broadcast(p), c.c_nationkey == p.nation).select("state", "nation", "c_acctbal", k.alias("k"), (F.col("lat") + (F.floor(k / 7) - 3) * 0.03).alias("lat"), (F.col("lon") + (k % 7 - 3) * 0.038).alias("lon"))
+    return rows.groupBy("state", "nation", "k", "lat", "lon").agg((F.count(F.lit(1)) * 10).alias("kids"), (F.count(F.lit(1)) * 44).alias("population"), (F.count_if(F.col("c_acctbal") < 0) * 9).alias("poor"), F.lit(3.2).cast("double").alias("sqmi"))
+
+
+def facilities(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as facilities near their nation's point."""
+    s, p = table(spark, d, "supplier"), places(spark, d)
+    k = F.col("s_suppkey")
+    kind = F.when(k % 4 == 0, "clinic").when(k % 4 == 1, "school").otherwise("daycare")
+    return s.join(F.broadcast(p), s.s_nationkey == p.nation).select(k.alias("facility"), kind.alias("kind"), (k % 60).alias("capacity"), (F.col("lat") + (k % 5 - 2) * 0.03).alias("lat"), (F.col("lon") + (k % 3 - 1) * 0.05).alias("lon"))
+
+
+SITE_SQL = """
+site AS (SELECT n_nationkey AS site, CAST(25 + (n_nationkey * 7) % 25 AS DOUBLE) AS lat, CAST(-120 + (n_nationkey * 13) % 50 AS DOUBLE) AS lon, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey),
+tract AS (SELECT state, site AS nation, c_custkey % 49 AS k, lat + (floor((c_custkey % 49) / 7) - 3) * 0.03E0 AS lat, lon + ((c_custkey % 49) % 7 - 3) * 0.038E0 AS lon, COUNT(*) * 10 AS kids, COUNT(*) * 44 AS population, COUNT(*) FILTER (WHERE c_acctbal < 0) * 9 AS poor, 3.2E0 AS sqmi
+  FROM customer JOIN site ON c_nationkey = site GROUP BY 1, 2, 3, 4, 5),
+facility AS (SELECT s_suppkey AS facility, CASE WHEN s_suppkey % 4 = 0 THEN 'clinic' WHEN s_suppkey % 4 = 1 THEN 'school' ELSE 'daycare' END AS kind, s_suppkey % 60 AS capacity, lat + (s_suppkey % 5 - 2) * 0.03E0 AS lat, lon + (s_suppkey % 3 - 1) * 0.05E0 AS lon
+  FROM supplier JOIN site ON s_nationkey = site)
+"""
+FAR = miles_sql("s.lat", "s.lon", "x.lat", "x.lon")
+DISC = "least(1.0E0, pow(radius / sqrt(greatest({a}, 0.05E0) / 3.141592653589793E0), 2)) * greatest(0.0E0, least(1.0E0, (sqrt(greatest({a}, 0.05E0) / 3.141592653589793E0) + radius - {d}) / (2 * least(sqrt(greatest({a}, 0.05E0) / 3.141592653589793E0), radius))))"
+RING_SQL = f"ring AS (SELECT s.site, radius, x.*, {DISC.format(a='x.sqmi', d=FAR)} AS w FROM site s, tract x, (SELECT unnest([2.0E0, 5.0E0, 10.0E0]) AS radius)), sums AS (SELECT site, radius, round(SUM(kids * w), 6) AS kids, round(SUM(population * w), 6) AS population, round(SUM(poor * w), 6) AS poor, round(SUM(sqmi * w), 6) AS ring_sqmi FROM ring WHERE w > 0 GROUP BY 1, 2)"
+COUNT_SQL = f"counts AS (SELECT site, radius, COUNT(*) FILTER (WHERE kind = 'clinic') AS clinics, COUNT(*) FILTER (WHERE kind = 'school') AS schools, COUNT(*) FILTER (WHERE kind = 'daycare') AS daycares, CAST(SUM(capacity) FILTER (WHERE kind = 'daycare') AS BIGINT) AS capacity FROM (SELECT s.site, radius, x.* FROM site s, facility x, (SELECT unnest([2.0E0, 5.0E0, 10.0E0]) AS radius) WHERE {FAR} <= radius) GROUP BY 1, 2)"
+
+
+@query(f"WITH {SITE_SQL} SELECT s.site, x.facility, round({FAR}, 6) AS miles FROM site s, facility x WHERE {FAR} <= 10")
+def radius_join(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.within(site_points(spark, d), facilities(spark, d), 10).select("site", "facility", F.round("miles", 6).alias("miles"))
+
+
+@query(f"WITH {SITE_SQL}, {RING_SQL} SELECT site, radius, round(kids, 4) AS kids, round(population, 4) AS population, round(poor, 4) AS poor, round(ring_sqmi, 4) AS ring_sqmi FROM sums")
+def area_weighted_rings(spark: SparkSession, d: str) -> DataFrame:
+    rings = rings_of(spark, d)
+    return rings.select("site", "radius", *(F.round(c, 4).alias(c) for c in ("kids", "population", "poor", "ring_sqmi")))
+
+
+def rings_of(spark: SparkSession, d: str) -> DataFrame:
+    t = tracts(spark, d).withColumn("ring_sqmi", F.col("sqmi"))
+    sums = ["kids", "population", "poor", "ring_sqmi"]
+    return spatial.ring_sums(site_points(spark, d), t, sums).select("site", "radius", *(F.round(c, 6).alias(c) for c in sums))
+
+
+def counts_of(spark: SparkSession, d: str) -> DataFrame:
+    met = spatial.within(site_points(spark, d), facilities(spark, d), 10).withColumn("radius", F.explode(F.array(F.lit(2.0), F.lit(5.0), F.lit(10.0)))).where("miles <= radius")
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return met.groupBy("site", "radius").agg(n("clinic").alias("clinics"), n("school").alias("schools"), n("daycare").alias("daycares"), F.sum(F.when(F.col("kind") == "daycare", F.col("capacity"))).alias("capacity"))
+
+
+@query(f"WITH {SITE_SQL}, {COUNT_SQL} SELECT * FROM counts")
+def ring_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts_of(spark, d)
+
+
+SHOWN = "CASE WHEN abs({x}) >= 100 THEN floor({x} + 0.5E0) ELSE floor({x} * 100 + 0.5E0) / 100 END"
+SUMS = ["kids", "population", "poor", "clinics", "schools", "daycares"]
+RATIO_SQL = {k: (f"CASE WHEN {b} > 0 THEN {a} * 1.0E0 / {b} * {m} END" if how == "per" else f"{a} * 1.0E0 / ({b} + 1)") for k, (how, a, b, m) in S.RATIOS.items()}
+
+
+@query(
+    f"WITH {SITE_SQL}, {RING_SQL}, {COUNT_SQL}, j AS (SELECT * FROM sums LEFT JOIN counts USING (site, radius)) "
+    + " UNION ALL ".join(f"SELECT site, '{k}.' || CAST(CAST(radius AS INT) AS VARCHAR) || 'mi' AS indicator, {SHOWN.format(x=f'({sql})')} AS value FROM j" for k, sql in [*((c, f"CAST({c} AS DOUBLE)") for c in SUMS), *RATIO_SQL.items()])
+)
+def site_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return S.ring_indicators(rings_of(spark, d).join(counts_of(spark, d), ["site", "radius"], "left"), SUMS)
+
+
+@query(f"WITH {SITE_SQL}, {RING_SQL} SELECT site, CASE WHEN MAX(kids) FILTER (WHERE radius = 10) > 0 THEN round(MAX(kids) FILTER (WHERE radius = 2) / MAX(kids) FILTER (WHERE radius = 10) * 100, 4) END AS concentration FROM sums GROUP BY 1")
+def concentration_share(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda r: F.max(F.when(F.col("radius") == r, F.col("kids")))
+    return rings_of(spark, d).groupBy("site").agg(F.round(ratio(at(2), at(10), 100), 4).alias("concentration"))
+
+
+@query(f"WITH {SITE_SQL}, near AS (SELECT s.site, facility, {FAR} AS m FROM site s, facility x WHERE kind = 'clinic' AND {FAR} <= 10), best AS (SELECT * FROM near QUALIFY ROW_NUMBER() OVER (PARTITION BY site ORDER BY m, facility) = 1) SELECT site, facility, round(coalesce(m, 10.01E0), 6) AS miles FROM site LEFT JOIN best USING (site)")
+def nearest_facility(spark: SparkSession, d: str) -> DataFrame:
+    out = spatial.nearest(site_points(spark, d), facilities(spark, d).where("kind = 'clinic'"), 10, "facility")
+    return out.select("site", "facility", F.round(F.coalesce("miles", F.lit(10.01)), 6).alias("miles"))
+
+
+@query(
+    f"WITH {SITE_SQL}, box AS (SELECT site AS shape, lat, lon FROM site) "
+    "SELECT f.facility, (SELECT MIN(shape) FROM box WHERE f.lat > box.lat - 0.05E0 AND f.lat <= box.lat + 0.05E0 AND f.lon > box.lon - 0.06E0 AND f.lon <= box.lon + 0.06E0 AND NOT (f.lat > box.lat - 0.01E0 AND f.lat <= box.lat + 0.01E0 AND f.lon > box.lon - 0.01E0 AND f.lon <= box.lon + 0.01E0)) AS shape FROM facility f"
+)
+def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    """Facilities in rectangles with a hole around each site's point."""
+
+    def ring(a: float, b: float):
+        corner = lambda y, x: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
+        return F.array(corner(-a, -b), corner(-a, b), corner(a, b), corner(a, -b))
+
+    shapes = site_points(spark, d).select(F.col("site").alias("shape"), F.col("site").alias("order"), F.array(ring(0.05, 0.06), ring(0.01, 0.01)).alias("rings"))
+    return spatial.locate(facilities(spark, d), shapes, "facility")
+
+
+HOT = {"density": "kids / sqmi", "need": "CASE WHEN kids > 60 THEN poor * 1.0E0 / kids END", "size": "population", "poverty": "poor"}
+
+
+@query(
+    f"WITH {SITE_SQL}, v AS (SELECT nation, k, state, kids, {', '.join(f'CAST({sql} AS DOUBLE) AS {n}' for n, sql in HOT.items())} FROM tract), p AS (SELECT *, {', '.join(f'CASE WHEN {n} IS NOT NULL THEN (RANK() OVER (PARTITION BY state ORDER BY {n} ASC NULLS LAST) - 1) * 1.0E0 / COUNT({n}) OVER (PARTITION BY state) * 100 END AS p_{n}' for n in HOT)} FROM v) "
+    f"SELECT nation, k, {' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)} AS known, CASE WHEN {' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)} >= 3 THEN floor(({' + '.join(f'coalesce(p_{n}, 0)' for n in HOT)}) / ({' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)}) + 0.5E0) END AS hotspot, kids < 20 AS small_sample FROM p"
+)
+def hotspot_score(spark: SparkSession, d: str) -> DataFrame:
+    return S.hotspots(tracts(spark, d), HOT, "state", "kids", 20).select("nation", "k", "known", "hotspot", "small_sample")
+
+
+@query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS confirmed_by, CASE WHEN s_acctbal > 3000 AND s_suppkey % 2 = 0 AND s_suppkey % 60 >= 20 THEN 'priority' WHEN s_acctbal > 3000 THEN 'licensed' WHEN s_suppkey % 3 = 0 THEN 'confirmed' ELSE 'unconfirmed' END AS tier FROM supplier")
+def tier_assessment(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    p = table(spark, d, "supplier").select("s_suppkey", F.when(k % 3 == 0, F.array(F.lit("map"), F.lit("registry"), F.lit("map"))).otherwise(F.array(F.lit("map"))).alias("sources"), (F.col("s_acctbal") > 3000).alias("licensed"), F.when(k % 2 == 0, F.lit(True)).alias("serves_2_5"), (k % 60).alias("capacity"))
+    return S.tiers(p).select("s_suppkey", "confirmed_by", "tier")
+
+
+TESTS = {"c1": "kids > 100 AND daycares >= 1", "c2": "poor * 1.0E0 / kids > 0.1", "c3": "clinics < schools", "c4": "clinics >= 1", "c5": "population / 44.0E0 > kids / 10.0E0 - 1", "c6": "capacity > 30", "c7": "schools >= 1", "c8": "daycares >= 2"}
+
+
+@query(
+    f"WITH {SITE_SQL}, {RING_SQL}, {COUNT_SQL}, j AS (SELECT * FROM sums LEFT JOIN counts USING (site, radius) WHERE radius = 10), t AS (SELECT site, {', '.join(f"CASE WHEN ({s}) THEN 'pass' WHEN NOT ({s}) THEN 'fail' ELSE 'insufficient' END AS {k}" for k, s in TESTS.items())} FROM j), "
+    f"n AS (SELECT *, CAST({' + '.join(f"CAST({k} = 'pass' AS INT)" for k in TESTS)} AS BIGINT) AS passed, CAST({' + '.join(f"CAST({k} <> 'insufficient' AS INT)" for k in TESTS)} AS BIGINT) AS evaluated FROM t) SELECT *, CASE WHEN evaluated < 4 THEN 'insufficient' WHEN passed >= 6 THEN 'strong' WHEN passed >= 4 THEN 'moderate' ELSE 'weak' END AS strength FROM n"
+)
+def convergence_tests(spark: SparkSession, d: str) -> DataFrame:
+    rows = rings_of(spark, d).join(counts_of(spark, d), ["site", "radius"], "left").where("radius = 10")
+    return S.convergence(rows, TESTS).select("site", *TESTS, "passed", "evaluated", "strength")
+
+
+@query(f"WITH {SITE_SQL} SELECT x.facility, round({miles_sql('25.0E0', '-120.0E0', 'x.lat', 'x.lon')}, 4) AS miles, round({DISC.format(a='x.capacity', d='(x.facility % 12)').replace('radius', '5.0E0')}, 6) AS weight FROM facility x")
+def distances_and_weights(spark: SparkSession, d: str) -> DataFrame:
+    f = facilities(spark, d)
+    return f.select("facility", F.round(miles(F.lit(25.0), F.lit(-120.0), "lat", "lon"), 4).alias("miles"), F.round(disc_weight(F.col("facility") % 12, F.lit(5.0), "capacity"), 6).alias("weight"))
