@@ -12,6 +12,7 @@ from fieldglass.llm.lines import op10
 from fieldglass.llm.media import op1
 from fieldglass.llm.mixing import op3
 from fieldglass.llm.near import op4
+from fieldglass.llm.oracle import ORACLE
 from fieldglass.llm.packing import op6
 from fieldglass.llm.repeats import op7
 from fieldglass.llm.rules import op8
@@ -71,4 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_compression_quality": op9_compression_quality,
     "op10_line_alignment": op10_line_alignment,
 }
-ORACLE: dict[str, str] = {}

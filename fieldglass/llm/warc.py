@@ -264,4 +264,4 @@ def op5(pages: DataFrame) -> DataFrame:
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
