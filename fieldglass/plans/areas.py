@@ -41,12 +41,15 @@ def metric_frame(spark: SparkSession, d: str) -> DataFrame:
     """All metrics of the indicators, with the nearest-supply distances and the percentiles that agreements compare."""
     base = area_frame(spark, d)
     wide = base.select("state", "area", "lat", "lon", *(F.expr(sql).alias(k) for k, sql in METRICS.items()))
-    for name in ("bh", "aba"):
-        near = nearest_adequate(wide.withColumn("__rate", ratio(name, "kids")), "__rate")
-        wide = wide.join(near.withColumnRenamed("miles", f"miles_{name}"), ["state", "area"])
-    for name, (a, b) in SHARES.items():
-        wide = wide.withColumn(f"__{name}", F.expr(f"CASE WHEN {b} > 0 THEN ({a}) / {b} END"))
-    return wide.withColumns({name: mid_rank(f"__{name}", "state", least=3) for name in SHARES}).drop(*(f"__{name}" for name in SHARES))
+    keys = ["state", "area"]
+    # All rates in one long table, so that each kind of comparison is one shuffle and one sort.
+    rates = wide.select(*keys, "lat", "lon", ratio("bh", "kids").alias("miles_bh"), ratio("aba", "kids").alias("miles_aba")).unpivot([*keys, "lat", "lon"], ["miles_bh", "miles_aba"], "name", "rate")
+    near = nearest_adequate(rates.withColumns({"group": F.concat_ws("|", "state", "name"), "key": F.concat_ws("|", "area", "name")}), "rate", "group", "key")
+    near = near.select(F.substring_index("group", "|", 1).alias("state"), F.substring_index("key", "|", 1).alias("area"), F.substring_index("key", "|", -1).alias("name"), "miles")
+    near = near.groupBy(*keys).pivot("name", ["miles_bh", "miles_aba"]).agg(F.first("miles"))
+    shares = wide.select(*keys, *(F.expr(f"CASE WHEN {b} > 0 THEN ({a}) / {b} END").alias(name) for name, (a, b) in SHARES.items())).unpivot(keys, list(SHARES), "name", "share")
+    shares = shares.withColumn("pct", mid_rank("share", "state", "name", least=3)).groupBy(*keys).pivot("name", list(SHARES)).agg(F.first("pct"))
+    return wide.join(near, keys).join(shares, keys)
 
 
 def _near_sql(name: str) -> str:
