@@ -10,7 +10,7 @@ of its columns as packed numbers, so what Spark shuffles is a few rows for each
 3. Rows that share such a column are candidates. Crowds first meet the one of their number that has the fewest
    entries of its own, so is likest to the others; what that links is one component,
    and only pairs of rows from different components go on, so a crowd of near copies never becomes all its pairs.
-4. Candidates that their sizes and the columns' places allow are intersected whole. Components of the links follow.
+4. Candidates that their sizes, the columns' places and a parity sketch allow are intersected whole. Components of the links follow.
 
 No link between different texts is lost: a pair that isn't intersected has fewer common shingles than a link needs, or is in
 one component already.
@@ -23,10 +23,11 @@ one document, linked with what any of its texts is; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import bounded_batches, id_and_text, materialize, mix, partitions, window_hash
@@ -53,6 +54,12 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(window_hash(hashes, min(WIDTH, len(words)))) if words else hashes
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """512 bits, each the parity of how many shingles fall on it. Two sets' differing bits are at most the shingles that one alone has."""
+    bits = np.bincount((mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def least_overlap(n: np.ndarray) -> np.ndarray:
     """The least overlap of a set of n with any linked set."""
     return (3 * n + 3) // 4
@@ -157,7 +164,7 @@ def states(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """cid, n and the sorted set of the documents in wanted (cid, text_key). Few ids are broadcast, many are joined by shuffle."""
+    """cid, n, the sorted set and its parities of the documents in wanted (cid, text_key). Few ids are broadcast, many are joined by shuffle."""
     n = wanted.count()
     wanted = wanted.withColumnRenamed("cid", "doc_id")
     found = id_and_text(docs).join(F.broadcast(wanted) if n <= most_broadcast else wanted, "doc_id")
@@ -170,11 +177,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, most_broadcast: int = 1_000_000)
             for doc_id, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if np.uint64(xxh3_64_intdigest(text)).view(np.int64) == key:
                     found = shingles(text)
-                    rows.append((doc_id, len(found), found.tobytes()))
+                    rows.append((doc_id, len(found), found.tobytes(), parities(found)))
             if rows:
-                yield _emit(rows, pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("set", pa.binary())]))
+                yield _emit(rows, pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("set", pa.binary()), ("parities", pa.list_(pa.int64()))]))
 
-    return found.select("doc_id", "text", "text_key").mapInArrow(run, "cid long, n int, set binary")
+    return found.select("doc_id", "text", "text_key").mapInArrow(run, "cid long, n int, set binary, parities array<long>")
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
@@ -271,6 +278,12 @@ def _possible(n_a: str, place_a: str, n_b: str, place_b: str):
     return 7 * F.least(F.col(n_a) - F.col(place_a), F.col(n_b) - F.col(place_b)) >= 3 * (F.col(n_a) + F.col(n_b))
 
 
+def _alike(a: str, b: str, n_a: str, n_b: str):
+    """Linked sets differ in a seventh of their sizes' sum at most, so no more of their parities may."""
+    differ = reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(8)))
+    return 7 * differ <= F.col(n_a) + F.col(n_b)
+
+
 def links(sets: DataFrame, prefix: DataFrame, rounds: int = 1) -> DataFrame:
     """Components of the rows in prefix, as `node` and `component`."""
     found, label = None, None
@@ -284,12 +297,12 @@ def links(sets: DataFrame, prefix: DataFrame, rounds: int = 1) -> DataFrame:
             met = met.where((F.col("component") != F.col("component_a")) & _possible("n", "place", "n_a", "place_a"))
             pairs = met.groupBy("cid", "a").count().groupBy("cid").agg(F.max_by("a", F.struct(F.col("count"), -F.col("a"))).alias("a")).select("a", F.col("cid").alias("b"))
         else:  # rows outside the component of their column's first row, with all rows of the column
-            left = materialize(rows.join(open_.select("column", F.col("first.component").alias("main")), "column"), "open-columns")
-            side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "component", "near")]
+            left = materialize(rows.join(open_.select("column", F.col("first.component").alias("main")), "column").join(sets.select("cid", "parities"), "cid"), "open-columns")
+            side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "component", "near", "parities")]
             odd = left.where(F.col("component") != F.col("main")).select("column", F.col("cid").alias("a"), *side("a"))
             met = odd.join(left.select("column", F.col("cid").alias("b"), *side("b")), "column")
             sizes = (F.col("near_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("near_b") & (F.col("n_b") <= F.col("n_a")))
-            met = met.where((F.col("component_a") != F.col("component_b")) & sizes & _possible("n_a", "place_a", "n_b", "place_b"))
+            met = met.where((F.col("component_a") != F.col("component_b")) & sizes & _possible("n_a", "place_a", "n_b", "place_b") & _alike("parities_a", "parities_b", "n_a", "n_b"))
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = materialize(linked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         found = new if found is None else found.unionByName(new)
