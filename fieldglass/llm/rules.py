@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import SPACE, materialize
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "distinct_rate", "symbol_word_rate")
+FEATURES = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "echo_rate", "symbol_word_rate")
 
 
 def let(value: Column, body) -> Column:
@@ -51,6 +51,11 @@ def repeat_words(hashes: Column, width: int = 5) -> Column:
     return F.when(n <= width, F.lit(0)).otherwise(let(keys, counted)).cast("long")
 
 
+def echoes(hashes: Column) -> Column:
+    """Words that repeat the word before."""
+    return let(hashes, lambda h: F.size(F.filter(h, lambda x, i: F.coalesce(x == F.get(h, i - 1), F.lit(False)))))
+
+
 def with_stats(docs: DataFrame, text_col: str = "text", into: str = "stats") -> DataFrame:
     """Adds a struct of the base counts and the features of each whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -77,7 +82,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", into: str = "stats") ->
             lambda r: F.struct(
                 n.alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["lines"]["dup"].alias("n_dup_lines"), r.alias("n_repeat_words"),
                 rate(s["word_chars"], n).alias("mean_word"), rate(s["n_symbols"], s["word_chars"]).alias("symbol_rate"), rate(s["lines"]["dup"], s["lines"]["n"]).alias("dup_line_rate"), rate(r, n).alias("repeat_rate"),
-                rate(s["upper"], s["word_chars"]).alias("upper_rate"), rate(s["bang"], n).alias("bang_rate"), rate(F.size(F.array_distinct(s["h"])), n).alias("distinct_rate"), rate(s["symbol_words"], n).alias("symbol_word_rate"),
+                rate(s["upper"], s["word_chars"]).alias("upper_rate"), rate(s["bang"], n).alias("bang_rate"), rate(echoes(s["h"]), n).alias("echo_rate"), rate(s["symbol_words"], n).alias("symbol_word_rate"),
             ),
         )
 
@@ -126,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_rules: i
     rows = rows.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(3)) == 0).alias("prune"), "stats")
     train = materialize(rows, "rule-sample")
     cuts_row = train.agg(*(F.percentile_approx(F.col("stats")[f], [k / bins for k in range(1, bins)], 10000).alias(f) for f in FEATURES), *(F.percentile_approx(F.when(F.col("bad"), F.col("stats")[f]), [k / bins for k in range(1, bins)], 10000).alias(f"{f}_bad") for f in FEATURES)).first()
-    cuts = {f: sorted({*(cuts_row[f] or []), *(cuts_row[f"{f}_bad"] or [])}) for f in FEATURES}
+    seen = {f: sorted({*(cuts_row[f] or []), *(cuts_row[f"{f}_bad"] or [])}) for f in FEATURES}
+    cuts = {f: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for f, x in seen.items()}  # halfway between values that occur
 
     def binned(f: str) -> Column:
         return F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts[f])), lambda c: c < F.col("stats")[f])) if cuts[f] else F.lit(0)
