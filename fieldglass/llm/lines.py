@@ -5,6 +5,12 @@ them; a more frequent one pairs each of its documents with the first that has it
 left out. What is aligned is hashes of lines; texts meet only the numbers of their own removed lines. Decisions are made
 on the input, not on what earlier removals leave.
 
+With `whole`, which the registered query and the pipeline use, the result is that of aligning each document with every
+earlier one. A block that goes holds a run of consecutive lines that just reaches min_words, so only documents that share
+such a run meet. Equal documents are aligned once. A run that few documents have pairs all of them; of a more frequent one,
+each document meets the first holder and then ever larger shares of the others, until its lines in that run are gone or
+all earlier holders are tried.
+
 Defined cases: null texts stay null and empty texts empty; lines without a word are never compared and stay; documents
 with a null id stay as they are; rows of one id are not compared with each other, and each of them loses its own lines;
 blocks of fewer words than min_words stay; an empty table gives no rows; extra columns are left alone; texts are read whole.
@@ -16,11 +22,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import WORD, bounded_batches, materialize
+from fieldglass.llm.common import WORD, bounded_batches, materialize, mix, starts_of
 
 PAIRED = pa.schema([("d", pa.int64()), ("d_text", pa.int64()), ("removed", pa.list_(pa.int32()))])
 
@@ -124,24 +131,113 @@ def removed_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFra
     return one.groupBy(F.col("d").alias("__id"), F.col("d_text").alias("__text")).agg(F.sort_array(F.collect_list("i")).alias("__removed"))
 
 
-def without_common_lines(docs: DataFrame, min_words: int = 8, rare: int = 6, into: str = "text") -> DataFrame:
+def _runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """u, doc_id and the runs of lines that reach min_words from their first or from their last line: key, from `s` to before `t`."""
+    least = max(1, min_words)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(int(factor), -1, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            same = mix(batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            words = np.concatenate([[0], np.cumsum(batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+            row = np.repeat(np.arange(len(size)), size)
+            first, n = starts_of(size)[row], len(row)
+            here = np.arange(n)
+            ends = np.searchsorted(words, words[:-1] + least)
+            starts = np.searchsorted(words, words[1:] - least, "right") - 1
+            ok, back = ends <= first + size[row], starts >= first
+            s, t, r = np.concatenate([here[ok], starts[back]]), np.concatenate([ends[ok], here[back] + 1]), np.concatenate([row[ok], row[back]])
+            powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, factor, np.uint64)]))
+            down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(same * powers[:-1])])
+            key = mix((sums[t] - sums[s]) * down[s] + (t - s).astype(np.uint64)).view(np.int64)
+            at = starts_of(size)[r]
+            once = np.unique(s * (n + 1) + t, return_index=True)[1]
+            ids = [pa.array(batch.column(k).to_numpy(zero_copy_only=False)[r[once]], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(key[once]), *(pa.array((x - at)[once].astype(np.int32)) for x in (s, t))], names=["u", "doc_id", "key", "s", "t"])
+
+    return lines.select("u", "doc_id", "same", "words").mapInArrow(run, "u long, doc_id long, key long, s int, t int")
+
+
+def _aligned(pairs: DataFrame, lists: DataFrame, min_words: int) -> DataFrame:
+    """u and the places `k` in its list that alignment of d_u with e_u removes."""
+    a = lists.select(F.col("u").alias("d_u"), F.col("same").alias("d_same"), F.col("words").alias("d_words"))
+    b = lists.select(F.col("u").alias("e_u"), F.col("same").alias("e_same"))
+    both = pairs.join(b, "e_u").join(a, "d_u").select("d_u", "d_same", "d_words", "e_same")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, ks = [], []
+            for u, d_same, d_words, e_same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = common_blocks(d_same, e_same, d_words, min_words)
+                us += [u] * len(found)
+                ks += found
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(ks, pa.int32())], names=["u", "k"])
+
+    return both.mapInArrow(run, "u long, k int").distinct()
+
+
+def removed_by_any(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
+    """What removed_lines gives, after alignment with every earlier document; `rare` only decides what is tried first."""
+    bounded_batches(docs.sparkSession)
+    part = lambda name: F.transform("lines", lambda x: x[name])
+    lines = line_table(docs).select("doc_id", "text_key", part("same").alias("same"), part("i").alias("i"), part("words").alias("words"), F.xxhash64(part("same"), part("find")).alias("u"))
+    lines = materialize(lines, "lines")
+    lists = lines.select("u", "same", "words").distinct()
+    runs = materialize(_runs(lines, min_words), "runs")
+
+    has = runs.groupBy("key", "u").agg(F.min("doc_id").alias("d"))
+    known = has.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "u")).alias("first")).where(F.col("n") > 1)
+    shared = materialize(has.join(known, "key").select("key", "u", "d", "n", F.col("first.d").alias("f_d"), F.col("first.u").alias("f_u")), "shared-runs")
+    few = shared.where(F.col("n") <= rare)
+    side = lambda df, x: df.select("key", F.col("u").alias(f"{x}_u"), F.col("d").alias(x))
+    every = side(few, "d").join(side(few, "e"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u")
+    star = shared.where((F.col("n") > rare) & (F.col("f_d") < F.col("d"))).select(F.col("u").alias("d_u"), F.col("f_u").alias("e_u"))
+    gone = materialize(_aligned(star.unionByName(every).distinct(), lists, min_words), "removed")
+
+    many = shared.where(F.col("n") > rare)
+    left = runs.join(many.where(F.col("f_d") < F.col("d")).select("key", "u", "d"), ["key", "u"]).select("key", "u", "d", "s", "t").distinct()
+    share = F.pmod(F.xxhash64("key", "u"), F.lit(1 << 30)) / float(1 << 30)
+    holders = many.withColumn("turn", F.greatest(F.lit(1), F.ceil(F.log(8.0, share * F.col("n")))))
+    last = many.agg(F.ceil(F.log(8.0, F.max("n").cast("double")))).first()[0] or 0
+    for turn in range(1, int(last) + 1):
+        lost = gone.groupBy("u").agg(F.collect_set("k").alias("ks"))
+        left = left.join(lost, "u", "left").where(F.col("ks").isNull() | (F.size(F.array_except(F.sequence("s", F.col("t") - 1), "ks")) > 0)).drop("ks")
+        left = materialize(left, "open-runs")
+        if left.isEmpty():
+            break
+        tried = side(left.select("key", "u", "d").distinct(), "d").join(side(holders.where(F.col("turn") == turn), "e"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u").distinct()
+        gone = materialize(gone.unionByName(_aligned(tried, lists, min_words)).distinct(), "removed")
+
+    first = lines.groupBy("u").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("last"))
+    lost = gone.groupBy("u").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    wanted = first.join(lost, "u", "left").where(F.col("ks").isNotNull() | (F.col("last") > F.col("d")))
+    total = F.aggregate("words", F.lit(0), lambda x, y: x + y)
+    removed = F.when(F.col("doc_id") == F.col("d"), F.transform("ks", lambda k: F.get("i", k))).when(total >= min_words, F.col("i"))
+    rows = lines.select("doc_id", "text_key", "u", "i", "words").join(wanted, "u").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), removed.alias("__removed"))
+    return rows.where(F.col("__removed").isNotNull()).groupBy("__id", "__text").agg(F.any_value("__removed").alias("__removed"))
+
+
+def without_common_lines(docs: DataFrame, min_words: int = 8, rare: int = 6, into: str = "text", whole: bool = False) -> DataFrame:
     """docs with the text after removal, and `__removed`, the positions of the removed lines (null if none)."""
-    found = removed_lines(docs.select("doc_id", "text"), min_words, rare)
+    found = (removed_by_any if whole else removed_lines)(docs.select("doc_id", "text"), min_words, rare)
     out = docs.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left").drop("__id", "__text")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     return out.withColumn(into, F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 6, whole: bool = False) -> DataFrame:
     """The documents with what is left of their texts and n_chars to match; those that lose every word go."""
-    out = without_common_lines(docs, min_words, rare).where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = without_common_lines(docs, min_words, rare, whole=whole).where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
-def op10(docs: DataFrame) -> DataFrame:
-    out = without_common_lines(docs.select("doc_id", "text"), into="kept")
+def op10(docs: DataFrame, whole: bool = False) -> DataFrame:
+    out = without_common_lines(docs.select("doc_id", "text"), into="kept", whole=whole)
     return out.select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),

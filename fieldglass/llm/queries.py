@@ -49,7 +49,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10(table(spark, sf_dir, "documents"))
+    return op10(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
