@@ -28,6 +28,8 @@ PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, id
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 #: Words that a worker remembers the ids of, and the longest word remembered.
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: The added token of the tokenizer file and its id; it is taken out of any text before the rest is split.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 _tokenizers: dict[str, Tokenizer] = {}
 
@@ -69,6 +71,8 @@ class Tokenizer:
         self.first = whole
 
     def ids(self, text: str) -> bytes:
+        if SPECIAL in text:
+            return struct.pack("<I", SPECIAL_ID).join(self.ids(part) if part else b"" for part in text.split(SPECIAL))
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return self.whole(text)
