@@ -64,6 +64,13 @@ def phone_extract(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_sort(list_transform({PHONE_SQL}, lambda x : '(' || substr(x, 1, 3) || ') ' || substr(x, 4, 3) || '-' || substr(x, 7, 4))), ',') AS phones FROM documents WHERE text IS NOT NULL")
+def phone_extract_all(spark: SparkSession, d: str) -> DataFrame:
+    """phone_extract on every text, with or without a parenthesis."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))
+
+
 @query(f"WITH {HIT_SQL} SELECT doc_id, rule FROM hit")
 def keyword_rules(spark: SparkSession, d: str) -> DataFrame:
     return E.match_rules(table(spark, d, "documents").select("doc_id", "text"), RULES).select("doc_id", "rule")
