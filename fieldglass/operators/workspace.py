@@ -51,6 +51,23 @@ def funnel(leads: DataFrame, stages: Sequence[str], by: str) -> DataFrame:
     return leads.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(place == 1).alias("ready"), F.count_if((place > 1) & (place < len(stages))).alias("active"), F.count_if(place == len(stages)).alias("won"), F.round(F.avg((place - 1) / (len(stages) - 1) * 100), 4).alias("percent"))
 
 
+def places(rows: DataFrame, lead: Sequence[str], band: Column, order: Sequence[Column]) -> DataFrame:
+    """rows with the place of each in the order by lead, then order; band must not fall along order.
+
+    Rows are numbered within lead and band, on top of what comes before by counts, so no task sees the whole table. The
+    columns of lead and band must not be null.
+    """
+    before = lambda w: F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__band", band)
+    bands = rows.groupBy(*lead, "__band").agg(F.count(F.lit(1)).alias("__c"))
+    leads = bands.groupBy(*lead).agg(F.sum("__c").alias("__c"))
+    leads = leads.select(*lead, before(Window.orderBy(*lead)).alias("__outer"))
+    bands = bands.select(*lead, "__band", before(Window.partitionBy(*lead).orderBy("__band")).alias("__inner")).join(leads, [*lead])
+    n = F.row_number().over(Window.partitionBy(*lead, "__band").orderBy(*order))
+    out = rows.withColumn("__n", n).join(bands, [*lead, "__band"])
+    return out.withColumn("place", F.col("__outer") + F.col("__inner") + F.col("__n")).drop("__band", "__n", "__outer", "__inner")
+
+
 def queue(parts: Sequence[DataFrame], n: int) -> DataFrame:
     """The most urgent actions of several tables (kind, title, priority), ties by title."""
     rows = parts[0]

@@ -66,6 +66,15 @@ def task_order(spark: SparkSession, d: str) -> DataFrame:
     return first.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
+@query("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT), CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS place FROM orders")
+def task_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every order; task_order has the first 200."""
+    due = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.coalesce(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(1 << 30)).alias("priority"), due.isNull().alias("undated"), F.coalesce(due, F.to_date(F.lit("9999-12-31"))).alias("due"))
+    band = F.coalesce(F.floor(-F.col("o_totalprice") / 1000), F.lit(1 << 62))
+    return W.places(o, ["priority", "undated", "due"], band, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", "place")
+
+
 @query("SELECT kind, title, priority FROM (SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS title, 90 - CAST(substr(o_orderpriority, 1, 1) AS INT) * 10 AS priority FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'customer', c_name, 60 + CAST(c_custkey % 25 AS INT) FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'supplier', s_name, 75 FROM supplier WHERE s_acctbal < 0) ORDER BY priority DESC, title, kind LIMIT 12")
 def work_queue(spark: SparkSession, d: str) -> DataFrame:
     o, c, s = (table(spark, d, x) for x in ("orders", "customer", "supplier"))

@@ -8,3 +8,12 @@ def test_phones_of_texts_without_parentheses(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.phones for r in registry.QUERIES["phone_extract_all"](spark, str(tmp_path)).collect()}
     assert got == {**dict.fromkeys((1, 2, 3, 4), "(816) 555-2345"), 5: ""}
+
+
+def test_every_order_has_a_place(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.QUERIES["task_order_all"](spark, sf)
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert n > 200 and sorted(r.place for r in got.collect()) == list(range(1, n + 1))
+    first = {(r.o_orderkey, r.place) for r in got.where("place <= 200").collect()}
+    assert first == {(r.o_orderkey, r.place) for r in registry.QUERIES["task_order"](spark, sf).collect()}
