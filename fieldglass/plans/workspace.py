@@ -37,6 +37,26 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return W.upsert(_replica(spark, d, "= 0"), _replica(spark, d, "= 2"), "user_id", keep=["stage"])
 
 
+HALF = ONE.replace("event_id % 3 {}", "(event_id % 2 = 0) = {}")
+
+
+def _half(spark: SparkSession, d: str, even: bool) -> DataFrame:
+    rows = table(spark, d, "events").where((F.col("event_id") % 2 == 0) == F.lit(even))
+    return W.latest(rows.select("user_id", F.col("event_type").alias("stage"), "ts", "value"), ["user_id"], "ts")
+
+
+@query(f"WITH l AS ({HALF.format('true')}), r AS ({HALF.format('false')}) SELECT coalesce(l.user_id, r.user_id) AS user_id, CASE WHEN b THEN l.stage ELSE r.stage END AS stage, CASE WHEN b THEN l.ts ELSE r.ts END AS ts, CASE WHEN b THEN l.value ELSE r.value END AS value, b AS backfill FROM (SELECT l, r, l.user_id IS NOT NULL AND (r.user_id IS NULL OR l.ts > r.ts) AS b FROM l FULL JOIN r ON l.user_id = r.user_id)")
+def reconcile_lww_all(spark: SparkSession, d: str) -> DataFrame:
+    """reconcile_lww on replicas that together hold every event."""
+    return W.reconcile(_half(spark, d, True), _half(spark, d, False), "user_id", "ts")
+
+
+@query(f"WITH o AS ({HALF.format('true')}), n AS ({HALF.format('false')}) SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.stage, n.stage) AS stage, coalesce(n.ts, o.ts) AS ts, coalesce(n.value, o.value) AS value FROM o FULL JOIN n ON o.user_id = n.user_id")
+def upsert_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """upsert_merge on sides that together hold every event."""
+    return W.upsert(_half(spark, d, True), _half(spark, d, False), "user_id", keep=["stage"])
+
+
 @query("WITH l AS (SELECT c_custkey, unnest([(1, 'c' || CAST(c_custkey AS VARCHAR) || '@a.com'), (2, 'shared' || CAST(c_custkey % 50 AS VARCHAR) || '@b.org')], recursive := false) AS x FROM customer), f AS (SELECT c_custkey, x[1] AS pos, x[2] AS email FROM l), s AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) || '@a.com' AS email FROM customer WHERE c_acctbal < 0 UNION SELECT 'shared7@b.org') SELECT c_custkey, min_by(email, pos) AS email FROM f WHERE email NOT IN (SELECT email FROM s) GROUP BY 1")
 def suppression_anti(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
