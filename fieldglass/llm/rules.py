@@ -86,7 +86,8 @@ def with_stats(docs: DataFrame, text_col: str = "text", into: str = "stats") ->
             ),
         )
 
-    return docs.withColumn(hidden, first).withColumn(into, let(F.col(hidden), second)).drop(hidden)
+    # A generator, so that no filter on the statistics moves below them and computes them again.
+    return docs.withColumn(hidden, first).withColumn(into, F.explode(F.array(let(F.col(hidden), second)))).drop(hidden)
 
 
 def base_failed(stats: Column) -> Column:
@@ -126,10 +127,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_rules: i
     """
     picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "rule-texts")  # else statistics would run before the join, on all texts
     rows = with_stats(rows).where(~base_failed(F.col("stats")))
     rows = rows.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(3)) == 0).alias("prune"), "stats")
-    train = materialize(rows, "rule-sample")
+    train = materialize(rows, "rule-sample").coalesce(2)
     cuts_row = train.agg(*(F.percentile_approx(F.col("stats")[f], [k / bins for k in range(1, bins)], 10000).alias(f) for f in FEATURES), *(F.percentile_approx(F.when(F.col("bad"), F.col("stats")[f]), [k / bins for k in range(1, bins)], 10000).alias(f"{f}_bad") for f in FEATURES)).first()
     seen = {f: sorted({*(cuts_row[f] or []), *(cuts_row[f"{f}_bad"] or [])}) for f in FEATURES}
     cuts = {f: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for f, x in seen.items()}  # halfway between values that occur

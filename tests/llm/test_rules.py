@@ -57,3 +57,15 @@ def test_learned_list_is_ordered_and_pruned(spark):
     assert len(found.rules) == 1 and len(found.rules[0]) == 1
     kept = {r.doc_id for r in rules.keep_good(docs, labels).collect()}
     assert kept == {i for i in range(300) if i % 2 == 0}
+
+
+def test_verdict_on_labels_that_learning_never_saw(spark):
+    from fieldglass.llm.common import fold_remainder
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = fold_remainder(F.col("doc_id")) == 0
+    found = rules.judge(docs, rules.learn(docs, labels.where(~held))).select("doc_id", "stats_kept").join(labels.where(held), "doc_id").toPandas()
+    assert len(found) > 20
+    assert found[found.quality == 1].stats_kept.mean() > 0.9
+    assert found[found.quality == 0].stats_kept.mean() < 0.3
