@@ -1,15 +1,13 @@
 """Line dedup by alignment: documents that share rare lines are aligned by patience diff, and the later loses common blocks.
 
-Lines are compared by two hashes: one finds pairs, the other aligns them. A line that few documents have pairs all of
-them; a more frequent one pairs each of its documents with the first that has it, so pairs grow with lines and no line is
-left out. What is aligned is hashes of lines; texts meet only the numbers of their own removed lines. Decisions are made
-on the input, not on what earlier removals leave.
+Lines are compared by two hashes: one finds pairs, the other aligns them. What is aligned is hashes of lines; texts meet
+only the numbers of their own removed lines. Decisions are made on the input, not on what earlier removals leave.
 
-With `whole`, which the registered query and the pipeline use, the result is that of aligning each document with every
-earlier one. A block that goes holds a run of consecutive lines that just reaches min_words, so only documents that share
-such a run meet. Equal documents are aligned once. A run that few documents have pairs all of them; of a more frequent one,
-each document meets the first holder and then ever larger shares of the others, until its lines in that run are gone or
-all earlier holders are tried.
+The result is that of aligning each document with every earlier one, for lines of any frequency. A block that goes holds a
+run of consecutive lines that just reaches min_words, so only documents that share such a run meet. Equal documents are
+aligned once. A run that `rare` documents or fewer have pairs all of them; of a more frequent one, each document meets the
+first holder and then ever larger shares of the others, until its lines in that run are gone or all earlier holders are
+tried. `rare` decides what is tried first and never the result.
 
 Defined cases: null texts stay null and empty texts empty; lines without a word are never compared and stay; documents
 with a null id stay as they are; rows of one id are not compared with each other, and each of them loses its own lines;
@@ -28,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import WORD, bounded_batches, materialize, mix, starts_of
-
-PAIRED = pa.schema([("d", pa.int64()), ("d_text", pa.int64()), ("removed", pa.list_(pa.int32()))])
+from fieldglass.llm.rules import let
 
 
 def _anchors(a: Sequence, a0: int, a1: int, b: Sequence, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -97,40 +94,6 @@ def line_table(docs: DataFrame) -> DataFrame:
     return out.where(F.size("lines") > 0)
 
 
-def pairs_of(lines: DataFrame, rare: int = 6) -> DataFrame:
-    """Pairs of ids, the earlier `e` and the later `d`: all pairs of a line in `rare` documents or fewer, else pairs with its first."""
-    has = lines.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["find"]))).alias("find")).distinct()
-    known = has.groupBy("find").agg(F.min("doc_id").alias("e"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = has.join(known, "find")
-    star = shared.where(F.col("doc_id") > F.col("e")).select("e", F.col("doc_id").alias("d"))
-    few = materialize(shared.where(F.col("n") <= rare).select("find", "doc_id"), "rare-lines")
-    every = few.select("find", F.col("doc_id").alias("e")).join(few.select("find", F.col("doc_id").alias("d")), "find").where(F.col("e") < F.col("d")).select("e", "d")
-    return star.unionByName(every).distinct()
-
-
-def removed_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
-    """doc_id, text_key and the sorted positions of the lines that the text loses; only texts that lose some."""
-    bounded_batches(docs.sparkSession)
-    lines = materialize(line_table(docs), "lines")
-    part = lambda name: F.transform("lines", lambda x: x[name])
-    later = lines.select(F.col("doc_id").alias("d"), F.col("text_key").alias("d_text"), part("same").alias("d_same"), part("i").alias("d_i"), part("words").alias("d_words")).distinct()
-    earlier = lines.select(F.col("doc_id").alias("e"), part("same").alias("e_same")).distinct()
-    both = pairs_of(lines, rare).join(earlier, "e").join(later, "d").select("d", "d_text", "d_same", "d_i", "d_words", "e_same")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for d, d_text, d_same, d_i, d_words, e_same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if found := common_blocks(d_same, e_same, d_words, min_words):
-                    rows.append((d, d_text, [d_i[k] for k in found]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PAIRED.types, strict=True)], schema=PAIRED)
-
-    found = both.mapInArrow(run, "d long, d_text long, removed array<int>")
-    one = found.select("d", "d_text", F.explode("removed").alias("i")).distinct()  # as many rows as lines at most
-    return one.groupBy(F.col("d").alias("__id"), F.col("d_text").alias("__text")).agg(F.sort_array(F.collect_list("i")).alias("__removed"))
-
-
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     """u, doc_id and the runs of lines that reach min_words from their first or from their last line: key, from `s` to before `t`."""
     least = max(1, min_words)
@@ -161,11 +124,18 @@ def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.select("u", "doc_id", "same", "words").mapInArrow(run, "u long, doc_id long, key long, s int, t int")
 
 
-def _aligned(pairs: DataFrame, lists: DataFrame, min_words: int) -> DataFrame:
-    """u and the places `k` in its list that alignment of d_u with e_u removes."""
+def _aligned(pairs: DataFrame, lists: DataFrame, min_words: int, crowd: int = 1000) -> DataFrame:
+    """u and the places `k` in its list that alignment of d_u with e_u removes.
+
+    pairs: d_u, e_u and n, at least how many pairs the e_u may have. A list that many others meet is dealt to a power of two of
+    parts, about `crowd` pairs each, so no task gets all of them.
+    """
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / crowd, F.lit(1.0))))).cast("long")
+    dealt = pairs.groupBy("d_u", "e_u").agg(F.max("n").alias("n")).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("d_u"), F.col("parts")))
+    dealt = materialize(dealt.select("d_u", "e_u", "parts", "part"), "line-pairs")
     a = lists.select(F.col("u").alias("d_u"), F.col("same").alias("d_same"), F.col("words").alias("d_words"))
-    b = lists.select(F.col("u").alias("e_u"), F.col("same").alias("e_same"))
-    both = pairs.join(b, "e_u").join(a, "d_u").select("d_u", "d_same", "d_words", "e_same")
+    b = lists.select(F.col("u").alias("e_u"), F.col("same").alias("e_same")).join(dealt.select("e_u", "parts", "part").distinct(), "e_u")
+    both = dealt.join(b, ["e_u", "parts", "part"]).join(a, "d_u").select("d_u", "d_same", "d_words", "e_same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +149,15 @@ def _aligned(pairs: DataFrame, lists: DataFrame, min_words: int) -> DataFrame:
     return both.mapInArrow(run, "u long, k int").distinct()
 
 
-def removed_by_any(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
-    """What removed_lines gives, after alignment with every earlier document; `rare` only decides what is tried first."""
+def _tied(has: DataFrame, known: DataFrame, share: int = 1000) -> DataFrame:
+    """has with its key's row of known. Keys that hold more than one row in `share` are so many at most, whatever the size: those are broadcast, the rest is shuffled."""
+    least = max(10_000, (has.count()) // share)
+    hot, rest = F.broadcast(known.where(F.col("n") > least)), known.where(F.col("n") <= least)
+    return has.join(hot, "key").unionByName(has.join(rest, "key"))
+
+
+def removed_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
+    """doc_id, text_key and the sorted positions of the lines that the text loses; only texts that lose some."""
     bounded_batches(docs.sparkSession)
     part = lambda name: F.transform("lines", lambda x: x[name])
     lines = line_table(docs).select("doc_id", "text_key", part("same").alias("same"), part("i").alias("i"), part("words").alias("words"), F.xxhash64(part("same"), part("find")).alias("u"))
@@ -188,14 +165,14 @@ def removed_by_any(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFr
     lists = lines.select("u", "same", "words").distinct()
     runs = materialize(_runs(lines, min_words), "runs")
 
-    has = runs.groupBy("key", "u").agg(F.min("doc_id").alias("d"))
+    has = materialize(runs.groupBy("key", "u").agg(F.min("doc_id").alias("d")), "run-holders")
     known = has.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "u")).alias("first")).where(F.col("n") > 1)
-    shared = materialize(has.join(known, "key").select("key", "u", "d", "n", F.col("first.d").alias("f_d"), F.col("first.u").alias("f_u")), "shared-runs")
+    shared = materialize(_tied(has, known).select("key", "u", "d", "n", F.col("first.d").alias("f_d"), F.col("first.u").alias("f_u")), "shared-runs")
     few = shared.where(F.col("n") <= rare)
     side = lambda df, x: df.select("key", F.col("u").alias(f"{x}_u"), F.col("d").alias(x))
-    every = side(few, "d").join(side(few, "e"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u")
-    star = shared.where((F.col("n") > rare) & (F.col("f_d") < F.col("d"))).select(F.col("u").alias("d_u"), F.col("f_u").alias("e_u"))
-    gone = materialize(_aligned(star.unionByName(every).distinct(), lists, min_words), "removed")
+    every = side(few, "d").join(side(few, "e"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u", F.lit(rare).cast("long").alias("n"))
+    star = shared.where((F.col("n") > rare) & (F.col("f_d") < F.col("d"))).select(F.col("u").alias("d_u"), F.col("f_u").alias("e_u"), "n")
+    gone = materialize(_aligned(star.unionByName(every), lists, min_words), "removed")
 
     many = shared.where(F.col("n") > rare)
     left = runs.join(many.where(F.col("f_d") < F.col("d")).select("key", "u", "d"), ["key", "u"]).select("key", "u", "d", "s", "t").distinct()
@@ -208,7 +185,8 @@ def removed_by_any(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFr
         left = materialize(left, "open-runs")
         if left.isEmpty():
             break
-        tried = side(left.select("key", "u", "d").distinct(), "d").join(side(holders.where(F.col("turn") == turn), "e"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u").distinct()
+        open_now = left.groupBy("key").agg(F.count_distinct("u").alias("n"))
+        tried = side(left.select("key", "u", "d").distinct(), "d").join(side(holders.where(F.col("turn") == turn), "e").join(open_now, "key"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u", "n")
         gone = materialize(gone.unionByName(_aligned(tried, lists, min_words)).distinct(), "removed")
 
     first = lines.groupBy("u").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("last"))
@@ -220,24 +198,24 @@ def removed_by_any(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFr
     return rows.where(F.col("__removed").isNotNull()).groupBy("__id", "__text").agg(F.any_value("__removed").alias("__removed"))
 
 
-def without_common_lines(docs: DataFrame, min_words: int = 8, rare: int = 6, into: str = "text", whole: bool = False) -> DataFrame:
+def without_common_lines(docs: DataFrame, min_words: int = 8, rare: int = 6, into: str = "text") -> DataFrame:
     """docs with the text after removal, and `__removed`, the positions of the removed lines (null if none)."""
-    found = (removed_by_any if whole else removed_lines)(docs.select("doc_id", "text"), min_words, rare)
+    found = removed_lines(docs.select("doc_id", "text"), min_words, rare)
     out = docs.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left").drop("__id", "__text")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    kept = F.array_join(let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__removed"), lambda i: F.get(x, i))), "\n")
     return out.withColumn(into, F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 6, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
     """The documents with what is left of their texts and n_chars to match; those that lose every word go."""
-    out = without_common_lines(docs, min_words, rare, whole=whole).where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = without_common_lines(docs, min_words, rare).where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
-def op10(docs: DataFrame, whole: bool = False) -> DataFrame:
-    out = without_common_lines(docs.select("doc_id", "text"), into="kept", whole=whole)
+def op10(docs: DataFrame) -> DataFrame:
+    out = without_common_lines(docs.select("doc_id", "text"), into="kept")
     return out.select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
