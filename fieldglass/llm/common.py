@@ -67,6 +67,29 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
+def row_name(df: DataFrame) -> Column:
+    """A hash of all columns of a row but maps, nulls told apart; rows of one name are the same row."""
+    own = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+    return F.xxhash64(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{c}`").isNull() for c in own))
+
+
+def blocks_for(docs: DataFrame, text_col: str = "text", block_bytes: int = 16 << 20) -> int:
+    """How many blocks keep what one holds near block_bytes of text, however large the table."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(8, int(size // block_bytes) + 1)
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: list[str], rows: int, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left joined with right, which has a row for each key and in `n` how many rows of left have it, of `rows` in all.
+
+    Keys that hold more than one row in `share` are `share` at most, whatever the size: those are broadcast, the rest is
+    shuffled, so no key has a task of its own. how: inner, or left where right covers all keys of left.
+    """
+    least = max(10_000, rows // share)
+    hot = right.where(F.col("n") > least)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right.where(F.col("n") <= least), key, how))
+
+
 def fold_remainder(doc_id: Column, k: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 

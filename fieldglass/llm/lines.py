@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import WORD, bounded_batches, materialize, mix, starts_of
+from fieldglass.llm.common import WORD, bounded_batches, join_counted, materialize, mix, starts_of
 from fieldglass.llm.rules import let
 
 
@@ -149,13 +149,6 @@ def _aligned(pairs: DataFrame, lists: DataFrame, min_words: int, crowd: int = 10
     return both.mapInArrow(run, "u long, k int").distinct()
 
 
-def _tied(has: DataFrame, known: DataFrame, share: int = 1000) -> DataFrame:
-    """has with its key's row of known. Keys that hold more than one row in `share` are so many at most, whatever the size: those are broadcast, the rest is shuffled."""
-    least = max(10_000, (has.count()) // share)
-    hot, rest = F.broadcast(known.where(F.col("n") > least)), known.where(F.col("n") <= least)
-    return has.join(hot, "key").unionByName(has.join(rest, "key"))
-
-
 def removed_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame:
     """doc_id, text_key and the sorted positions of the lines that the text loses; only texts that lose some."""
     bounded_batches(docs.sparkSession)
@@ -167,7 +160,7 @@ def removed_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFra
 
     has = materialize(runs.groupBy("key", "u").agg(F.min("doc_id").alias("d")), "run-holders")
     known = has.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "u")).alias("first")).where(F.col("n") > 1)
-    shared = materialize(_tied(has, known).select("key", "u", "d", "n", F.col("first.d").alias("f_d"), F.col("first.u").alias("f_u")), "shared-runs")
+    shared = materialize(join_counted(has, known, ["key"], has.count()).select("key", "u", "d", "n", F.col("first.d").alias("f_d"), F.col("first.u").alias("f_u")), "shared-runs")
     few = shared.where(F.col("n") <= rare)
     side = lambda df, x: df.select("key", F.col("u").alias(f"{x}_u"), F.col("d").alias(x))
     every = side(few, "d").join(side(few, "e"), "key").where(F.col("e") < F.col("d")).select("d_u", "e_u", F.lit(rare).cast("long").alias("n"))

@@ -10,8 +10,9 @@ source with a third of all rows is no hot group.
 
 Defined cases: null group values are a group of their own, named by the empty string; groups without a weight get the
 default weight; weights of 0 take nothing; null and empty texts have no tokens and are taken with the prefix that they fall
-in; repeated rows (same id) are counted and ordered as rows of their own, ties in order broken by tokens; null ids hash
-like any value; an empty table gives no rows; extra columns are left alone.
+in; repeated rows (same id) are counted and ordered as rows of their own, each by all its
+columns, so a budget holds for null and repeated ids too and of rows that are equal in all columns it takes as many as it
+covers; null ids hash like any value; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import materialize, word_count
+from fieldglass.llm.common import join_counted, materialize, row_name, word_count
 
 LEVELS = ("domain", "lang", "source")
 #: Rows of a leaf in one bucket, about.
@@ -70,11 +71,13 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: floa
 
 
 def mix(light: DataFrame, weights: dict[str, dict[str, float]], total: float, seed: int = 0, max_epochs: int = 4, levels: tuple[str, ...] = LEVELS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """light: doc_id, tokens and the levels, a row for each document. Returns a row for each document and epoch that is taken.
+    """light: doc_id, tokens, the levels and, if ids repeat, row_key, a row for each document. Returns a row for each document and epoch that is taken.
 
     `taken` is the part of the document's tokens that the leaf's budget covers: all of them but for the last document.
     total is a number of tokens, or a share of all tokens where it is 1 or less.
     """
+    light = light.withColumns({x: F.coalesce(F.col(x).cast("string"), F.lit("")) for x in levels})
+    extra = ["row_key"] if "row_key" in light.columns else []
     leaves = light.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     if total <= 1:
         total = total * (light.agg(F.sum("tokens").alias("n")).first()["n"] or 0)
@@ -85,7 +88,7 @@ def mix(light: DataFrame, weights: dict[str, dict[str, float]], total: float, se
     rows = light.join(planned, list(levels))
     whole = rows.where(F.col("full") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).withColumn("taken", F.col("tokens"))
     keyed = rows.where(F.col("rest") > 0).withColumn("epoch", F.col("full"))
-    keyed = keyed.withColumn("order_key", F.xxhash64(F.lit(seed), "epoch", "doc_id"))
+    keyed = keyed.withColumn("order_key", F.xxhash64(F.lit(seed), "epoch", "doc_id", *extra))
     keyed = keyed.withColumn("bucket", F.floor((F.shiftrightunsigned("order_key", 12).cast("double") / float(1 << 52)) * F.col("buckets")).cast("long"))
     sums = keyed.groupBy(*levels, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.max("rest").alias("rest"))
     run = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,7 +98,7 @@ def mix(light: DataFrame, weights: dict[str, dict[str, float]], total: float, se
     unsigned = F.shiftrightunsigned("order_key", 1)
     at = Window.partitionBy(*levels, "bucket").orderBy(unsigned, "order_key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     last = placed.where(~inside).withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(at), F.lit(0))).where(F.col("start") < F.col("rest"))
-    columns = ["doc_id", *levels, "tokens", "epoch", "taken"]
+    columns = ["doc_id", *levels, "tokens", "epoch", "taken", *extra]
     prefix = placed.where(inside).withColumn("taken", F.col("tokens")).select(*columns).unionByName(last.withColumn("taken", F.least(F.col("tokens"), F.col("rest") - F.col("start"))).select(*columns))
     return whole.select(*columns).unionByName(prefix)
 
@@ -111,17 +114,27 @@ WEIGHTS = {"domain": {"web": 5.0, "books": 3.0, "forums": 2.0, "other": 1.0}, "l
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """doc_id, levels and tokens (words of the whole text), written to the shared folder."""
-    light = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), word_count(F.col("text")).alias("tokens"))
+    """doc_id, levels, tokens (words of the whole text) and row_key, written to the shared folder."""
+    light = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), word_count(F.col("text")).alias("tokens"), row_name(docs).alias("row_key"))
     return materialize(light.withColumn("domain", domain_of(F.col("source"))), "tokens")
 
 
 def op3(docs: DataFrame, total: float = 0.8, seed: int = 7, max_epochs: int = 4) -> DataFrame:
-    return mix(tokens_of(docs), WEIGHTS, total, seed, max_epochs)
+    return mix(tokens_of(docs), WEIGHTS, total, seed, max_epochs).drop("row_key")
 
 
 def mixed_documents(docs: DataFrame, total: float = 0.8, seed: int = 7, max_epochs: int = 4) -> DataFrame:
-    """The documents that the mix takes, whole, once for each epoch, with their own columns."""
-    taken = op3(docs, total, seed, max_epochs).groupBy("doc_id").agg(F.countDistinct("epoch").cast("int").alias("__times"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return out.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """The documents that the mix takes, whole, once for each epoch, with their own columns.
+
+    Rows that are equal in all columns are one another's copies: together they come as often as the mix takes them.
+    """
+    light = tokens_of(docs)
+    taken = mix(light, WEIGHTS, total, seed, max_epochs).groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
+    plan = light.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).join(taken, "row_key")
+    plan = materialize(plan.withColumnRenamed("row_key", "__row"), "taken-rows")
+    named = docs.withColumn("__row", row_name(docs))
+    each = F.col("times") / F.col("n")
+    even = join_counted(named, plan.where(F.col("times") % F.col("n") == 0), ["__row"], light.count()).withColumn("__time", F.explode(F.sequence(F.lit(1), each.cast("int"))))
+    # A budget ends among equal rows in one place of a leaf at most: those come together as one row and its number.
+    cut = named.join(plan.where(F.col("times") % F.col("n") != 0), "__row").groupBy("__row").agg(F.any_value(F.struct(*docs.columns)).alias("row"), F.max("times").alias("times"))
+    return even.select(*docs.columns).unionByName(cut.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*"))

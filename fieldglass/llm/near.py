@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import bounded_batches, id_and_text, materialize, mix, partitions, window_hash
+from fieldglass.llm.common import blocks_for, bounded_batches, id_and_text, join_counted, materialize, mix, row_name, window_hash
 from fieldglass.llm.components import components
 
 WIDTH = 5
@@ -87,6 +87,13 @@ def _task() -> int:
     return TaskContext.get().partitionId()
 
 
+def _chunk(task: int, batch: int, facts: np.ndarray) -> str:
+    """A chunk's name: where it came from and what is in it, so a task that runs again over rows in another order mixes with nothing."""
+    from xxhash import xxh3_64_hexdigest
+
+    return f"{task}-{batch}-{xxh3_64_hexdigest(np.ascontiguousarray(facts).tobytes())}"
+
+
 def _blocks(table: pa.Table) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
     """Chunk names, entries by row and names of the rows of kind 0."""
     return (table.column("chunk").to_pylist(), [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")], [np.frombuffer(x.as_py(), np.uint32) for x in table.column("data")])
@@ -135,8 +142,6 @@ def states(docs: DataFrame, blocks: int) -> DataFrame:
     """For each row of docs: its id, a hash of its text, the set's size and digest, and its entries in shared columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         task = _task()
         for k, batch in enumerate(batches):
             if not batch.num_rows:
@@ -147,41 +152,39 @@ def states(docs: DataFrame, blocks: int) -> DataFrame:
             every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             facts = np.empty((len(sets), 5), np.uint64)
             facts[:, 0] = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-            facts[:, 1] = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, len(texts))
+            facts[:, 1] = batch.column(2).to_numpy().view(np.uint64)
             facts[:, 2] = sizes
             for j, salt in ((3, 1), (4, 2)):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(every + np.uint64(salt * 0x5851F42D4C957F2D % (1 << 64))), dtype=np.uint64)])
                 ends = np.cumsum(sizes)
                 facts[:, j] = sums[ends] - sums[ends - sizes]
-            chunk = f"{task}-{k}"
+            chunk = _chunk(task, k, facts)
             known = batch.column(0).is_valid().cast(pa.uint8()).to_numpy(zero_copy_only=False)
             rows = [(k % blocks, chunk, 1, known.tobytes(), facts.tobytes(), None)]
             rows += [(b, chunk, 0, counts.tobytes(), names.tobytes(), None) for b, counts, names in _by_block(every, owner, blocks, len(sets))]
             yield _emit(rows, _DEALT)
 
-    dealt = id_and_text(docs).mapInArrow(run, _DEALT_DDL)
-    return dealt.groupBy("block").applyInArrow(_shared_counts, _DEALT_DDL).groupBy("chunk").applyInArrow(_summed, _STATE_DDL)
+    dealt = id_and_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, _DEALT_DDL)
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_shared_counts, _DEALT_DDL).groupBy("chunk").applyInArrow(_summed, _STATE_DDL)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
     """cid, n, the sorted set and its parities of the documents in wanted (cid, text_key). Few ids are broadcast, many are joined by shuffle."""
     n = wanted.count()
     wanted = wanted.withColumnRenamed("cid", "doc_id")
-    found = id_and_text(docs).join(F.broadcast(wanted) if n <= most_broadcast else wanted, "doc_id")
+    rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    found = rows.join(F.broadcast(wanted) if n <= most_broadcast else wanted, ["doc_id", "text_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         for batch in batches:
             rows = []
-            for doc_id, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if np.uint64(xxh3_64_intdigest(text)).view(np.int64) == key:
-                    found = shingles(text)
-                    rows.append((doc_id, len(found), found.tobytes(), parities(found)))
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = shingles(text)
+                rows.append((doc_id, len(found), found.tobytes(), parities(found)))
             if rows:
                 yield _emit(rows, pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("set", pa.binary()), ("parities", pa.list_(pa.int64()))]))
 
-    return found.select("doc_id", "text", "text_key").mapInArrow(run, "cid long, n int, set binary, parities array<long>")
+    return found.select("doc_id", "text").mapInArrow(run, "cid long, n int, set binary, parities array<long>")
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
@@ -240,7 +243,7 @@ def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
         for k, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            chunk = f"{task}-{k}"
+            chunk = _chunk(task, k, batch.column(0).to_numpy())
             rows = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             sizes = np.array([len(x) for x in rows], np.int64)
             out = [(k % blocks, chunk, 1, sizes.tobytes(), batch.column(0).to_numpy().tobytes(), None)]
@@ -248,7 +251,7 @@ def prefixes(sets: DataFrame, blocks: int) -> DataFrame:
             yield _emit(out, _DEALT)
 
     dealt = sets.select("cid", "n", "set").mapInArrow(run, _DEALT_DDL)
-    return dealt.groupBy("block").applyInArrow(_frequencies, _DEALT_DDL).groupBy("chunk").applyInArrow(_prefixes, _PREFIX_DDL)
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_frequencies, _DEALT_DDL).groupBy("chunk").applyInArrow(_prefixes, _PREFIX_DDL)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,26 +317,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and set_id (the least id with the same set), a row for each row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = 2 * partitions(spark)
+    blocks = blocks_for(docs)
     state = materialize(states(docs, blocks), "near-states")
     keys = ["n", "set_a", "set_b"]
-    classes = state.where(F.col("n") > 0).groupBy(*keys).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first"), F.max("shared").alias("shared"))
-    classes = materialize(classes.select(*keys, F.col("first.doc_id").alias("cid"), F.col("first.text_key").alias("text_key"), "shared"), "near-sets")
+    classes = state.where(F.col("n") > 0).groupBy(*keys).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(classes.select(*keys, F.col("first.doc_id").alias("cid"), F.col("first.text_key").alias("text_key"), "shared", "rows"), "near-sets")
     wanted = classes.where(F.col("cid").isNotNull() & (4 * F.col("shared") >= 3 * F.col("n"))).select("cid", "text_key").distinct()
     sets = materialize(sets_of(docs, wanted).distinct(), "near-rows")
     prefix = materialize(prefixes(sets, blocks), "near-prefixes")
     label = links(sets, prefix)
-    ids = classes.select(*keys, "cid").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    out = state.join(ids, keys, "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("cid", "doc_id").alias("set_id"))
+    ids = classes.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    ids = ids.select(F.col("n").alias("size"), "set_a", "set_b", "cid", F.coalesce("component", "cid").alias("component"), F.col("rows").alias("n"))
+    some = join_counted(state.where(F.col("n") > 0).withColumnRenamed("n", "size"), ids, ["size", "set_a", "set_b"], state.count())
+    none = state.where(F.col("n") == 0).select("doc_id", F.col("n").alias("size"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("component"))  # linked with nothing, and no key to meet by
+    out = some.select(*none.columns).unionByName(none)
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("cid", "doc_id").alias("set_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, that with the least id; documents with a null id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti")
-    known = first.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(first.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near copies, that with the least id, of equal ids that with the least hash.
+
+    Rows are documents by their id and text: null ids take part like others (and go last), two texts under one id are two
+    documents, and rows that repeat both are one, of which the row with the least hash of all columns stays.
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumn("__own", F.xxhash64(F.col("doc_id").isNull(), "doc_id", text))
+    group = near_duplicates(named.select(F.col("__own").alias("doc_id"), text.alias("text"))).select(F.col("doc_id").alias("__own"), "component_id").groupBy("__own").agg(F.min("component_id").alias("group"), F.count(F.lit(1)).alias("rows"))
+    light = named.select("__own", F.col("doc_id").alias("id")).distinct().join(group, "__own")
+    least = light.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__own", "rows")).alias("least"))
+    kept = materialize(least.select("least.__own", F.col("least.rows").alias("__rows")), "kept")
+    single = named.join(kept.where(F.col("__rows") == 1).select("__own"), "__own", "left_semi").select(*docs.columns)
+    again = named.withColumn("__row", row_name(docs)).join(kept.where(F.col("__rows") > 1).select("__own"), "__own", "left_semi")
+    return single.unionByName(again.groupBy("__own").agg(F.min_by(F.struct(*docs.columns), "__row").alias("row")).select("row.*"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import bounded_batches, materialize, partitions, window_hash
+from fieldglass.llm.common import blocks_for, bounded_batches, join_counted, materialize, window_hash
 from fieldglass.llm.recompress import symbols
 
 ROUNDS = 5
@@ -166,7 +166,7 @@ def states(docs: DataFrame, blocks: int, width: int) -> DataFrame:
             yield _emit(rows, _DEALT)
 
     dealt = _rows(docs).select("doc_id", "text", "key").mapInArrow(run, _DEALT_DDL)
-    return dealt.groupBy("block").applyInArrow(_alone, _DEALT_DDL).groupBy("chunk").applyInArrow(_open_windows(width), _STATE_DDL)
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_alone, _DEALT_DDL).groupBy("chunk").applyInArrow(_open_windows(width), _STATE_DDL)
 
 
 def _once(table: pa.Table) -> pa.Table:
@@ -272,7 +272,7 @@ def windows(docs: DataFrame, wanted: DataFrame, blocks: int, width: int) -> Data
 
     found = _with_texts(docs, wanted, "spans").select("text", "text_a", "text_b", "twice", "spans")
     dealt = found.mapInArrow(run, _DEALT_DDL)
-    return dealt.groupBy("block").applyInArrow(_once, _DEALT_DDL).groupBy("chunk").applyInArrow(_covered(width), _FOUND_DDL)
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_once, _DEALT_DDL).groupBy("chunk").applyInArrow(_covered(width), _FOUND_DDL)
 
 
 def kept_of(docs: DataFrame, partial: DataFrame, texts: bool) -> DataFrame:
@@ -300,7 +300,7 @@ def without_repeats(docs: DataFrame, width: int = 35, texts: bool = False) -> Da
         raise ValueError("a window has 255 words at most")
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = 2 * partitions(spark)
+    blocks = blocks_for(docs)
     name = ["text_a", "text_b"]
     state = materialize(states(docs, blocks, width), "repeat-states")
     times = state.where(F.col("n_words") >= width).groupBy(*name).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "key", "n_words")).alias("first"))

@@ -89,3 +89,19 @@ def test_edge_cases(spark):
     whole = mixing.mixed_documents(docs, total=1.0)
     assert whole.columns == docs.columns and {r.doc_id for r in whole.collect()} >= {2, None, 4}
     assert mixing.op3(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_budget_holds_for_null_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200).select(F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id") % 4).alias("doc_id"), F.concat(F.lit("w " * 49), F.when(F.col("id") < 100, F.lit("same")).otherwise(F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"))
+    docs = rows.withColumn("n_chars", F.length("text").cast("long"))
+    got = mixing.mixed_documents(docs, total=1000, max_epochs=1).collect()
+    assert len(got) == 20 and all(r.text.startswith("w ") for r in got)
+    assert len(mixing.mixed_documents(docs, total=1.0, max_epochs=1).collect()) == 200
+    assert sorted(map(str, mixing.mixed_documents(docs, total=25_000, max_epochs=4).collect())) == sorted(map(str, mixing.mixed_documents(docs.repartition(5), total=25_000, max_epochs=4).collect()))
+
+
+def test_null_levels_are_a_group(spark):
+    light = spark.createDataFrame([(1, None, "en", "a", 5), (2, "d", None, "b", 5), (3, "d", "en", None, 5)], "doc_id long, domain string, lang string, source string, tokens long")
+    assert {r.doc_id for r in mixing.mix(light, {}, 15).collect()} == {1, 2, 3}

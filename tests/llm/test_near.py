@@ -130,3 +130,17 @@ def test_window_hash_is_of_the_words_in_order():
         assert len(h) == 51 - k and len(set(h)) == len(h)
         assert (near.window_hash(x[7:], k) == h[7:]).all()
     assert near.window_hash(np.array([1, 2], np.uint64), 2) != near.window_hash(np.array([2, 1], np.uint64), 2)
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near_a, b, c = " ".join(words), " ".join(words[:-1]), " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    rows = [(3, a), (5, near_a), (5, b), (None, a), (None, c), (None, c), (7, b), (9, None), (10, ""), (11, "z"), (11, "z")]
+    docs = spark.createDataFrame([(*r, "en", k) for k, r in enumerate(rows)], "doc_id long, text string, component_id string, n long")
+    got = near.keep_one(docs)
+    assert got.columns == docs.columns
+    want = {(3, a), (5, b), (None, c), (9, None), (10, ""), (11, "z")}
+    kept = got.collect()
+    assert {(r.doc_id, r.text) for r in kept} == want and len(kept) == len(want)
+    assert sorted(map(str, near.keep_one(docs.repartition(5)).collect())) == sorted(map(str, kept))
+    assert near.keep_one(docs.limit(0)).count() == 0

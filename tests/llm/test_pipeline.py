@@ -32,3 +32,21 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_run_is_its_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_edge_cases(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table and columns with clashing names."""
+    good = [" ".join(f"word{i}x{k}" for k in range(40)) + "." for i in range(6)]
+    rows = [(1, good[0], "en", "src1", 9), (1, good[0], "en", "src1", 9), (2, good[1], None, None, None), (None, good[2], "en", None, 1), (None, good[2], "en", None, 1), (None, None, None, None, None), (3, "", "de", "src2", 0), (4, good[3] + "\n" + good[4], "en", "src1", 5), (5, good[4], "fr", "src9", 5), (6, " ".join(f"t{k}" for k in range(30000)), "en", "src1", 5)]
+    docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, tokens string, stats double")
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    for now in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            got = sorted(map(str, out.collect()))
+            if k in (1, 2):
+                assert got == sorted(map(str, stage(spark, now.repartition(3), str(tmp_path)).collect()))
+            assert got or k in (3, 4) or not now.take(1)
