@@ -83,11 +83,11 @@ def join_counted(left: DataFrame, right: DataFrame, key: list[str], rows: int, h
     """left joined with right, which has a row for each key and in `n` how many rows of left have it, of `rows` in all.
 
     Keys that hold more than one row in `share` are `share` at most, whatever the size: those are broadcast, the rest is
-    shuffled, so no key has a task of its own. how: inner, or left where right covers all keys of left.
+    shuffled at any size, so no key has a task of its own. how: inner, or left where right covers all keys of left.
     """
     least = max(10_000, rows // share)
     hot = right.where(F.col("n") > least)
-    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right.where(F.col("n") <= least), key, how))
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right.where(F.col("n") <= least).hint("merge"), key, how))
 
 
 def fold_remainder(doc_id: Column, k: int = 5) -> Column:

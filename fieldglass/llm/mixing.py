@@ -133,8 +133,11 @@ def mixed_documents(docs: DataFrame, total: float = 0.8, seed: int = 7, max_epoc
     plan = light.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).join(taken, "row_key")
     plan = materialize(plan.withColumnRenamed("row_key", "__row"), "taken-rows")
     named = docs.withColumn("__row", row_name(docs))
-    each = F.col("times") / F.col("n")
-    even = join_counted(named, plan.where(F.col("times") % F.col("n") == 0), ["__row"], light.count()).withColumn("__time", F.explode(F.sequence(F.lit(1), each.cast("int"))))
-    # A budget ends among equal rows in one place of a leaf at most: those come together as one row and its number.
-    cut = named.join(plan.where(F.col("times") % F.col("n") != 0), "__row").groupBy("__row").agg(F.any_value(F.struct(*docs.columns)).alias("row"), F.max("times").alias("times"))
-    return even.select(*docs.columns).unionByName(cut.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*"))
+    each = F.floor(F.col("times") / F.col("n")).cast("int")
+    out = join_counted(named, plan, ["__row"], light.count()).withColumn("__time", F.explode(F.array_repeat(F.lit(1), each))).select(*docs.columns)
+    # A budget ends among equal rows in one place of a leaf at most: the odd ones come as one row and its number.
+    cut = plan.where(F.col("times") % F.col("n") != 0)
+    if not cut.isEmpty():
+        odd = named.join(cut, "__row").groupBy("__row").agg(F.any_value(F.struct(*docs.columns)).alias("row"), F.max(F.col("times") % F.col("n")).cast("int").alias("odd"))
+        out = out.unionByName(odd.withColumn("__time", F.explode(F.array_repeat(F.lit(1), F.col("odd")))).select("row.*"))
+    return out

@@ -8,8 +8,9 @@ of its columns as packed numbers, so what Spark shuffles is a few rows for each
 2. Of the rows left, keep the rarest columns: two linked sets that are ordered alike, rare columns first, share a column
    among the first quarter of the larger and the first seventh of the smaller.
 3. Rows that share such a column are candidates. Crowds first meet the one of their number that has the fewest
-   entries of its own, so is likest to the others; what that links is one component,
-   and only pairs of rows from different components go on, so a crowd of near copies never becomes all its pairs.
+   entries of its own, so is likest to the others; what that links is one component, and those still outside meet another row
+   of their column's largest one. Only rows outside it then meet all rows of the column that are in other components than
+   they, so a crowd of near copies never becomes all its pairs.
 4. Candidates that their sizes, the columns' places and a parity sketch allow are intersected whole. Components of the links follow.
 
 No link between different texts is lost: a pair that isn't intersected has fewer common shingles than a link needs, or is in
@@ -287,19 +288,22 @@ def _alike(a: str, b: str, n_a: str, n_b: str):
     return 7 * differ <= F.col(n_a) + F.col(n_b)
 
 
-def links(sets: DataFrame, prefix: DataFrame, rounds: int = 1) -> DataFrame:
+def links(sets: DataFrame, prefix: DataFrame, rounds: int = 2) -> DataFrame:
     """Components of the rows in prefix, as `node` and `component`."""
     found, label = None, None
     for k in range(rounds + 1):
         rows = prefix if label is None else prefix.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
         rows = rows.withColumn("component", F.col("cid") if label is None else F.coalesce("component", "cid"))
-        open_ = rows.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("near").alias("any"), F.min_by(F.struct("cid", "n", "place", "component"), F.struct("own", "cid")).alias("first"))
+        # A row of each column for the others to meet: at first that likest to them, later another one by hash.
+        order = F.struct("own", "cid") if k == 0 else F.struct(F.xxhash64("cid", F.lit(k)), "cid")
+        open_ = rows.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("near").alias("any"), F.min_by(F.struct("cid", "n", "place", "component"), order).alias("first"))
         open_ = open_.where((F.col("low") != F.col("high")) & F.col("any"))
-        if k < rounds:  # every row with the row of its column that has the fewest entries of its own; of several that which most columns name
-            met = rows.join(open_.select("column", F.col("first.cid").alias("a"), F.col("first.n").alias("n_a"), F.col("first.place").alias("place_a"), F.col("first.component").alias("component_a")), "column")
+        if k < rounds:  # every row with one such row: at first that which most of its columns name, later that of its rarest column
+            met = rows.join(open_.select("column", "size", F.col("first.cid").alias("a"), F.col("first.n").alias("n_a"), F.col("first.place").alias("place_a"), F.col("first.component").alias("component_a")), "column")
             met = met.where((F.col("component") != F.col("component_a")) & _possible("n", "place", "n_a", "place_a"))
-            pairs = met.groupBy("cid", "a").count().groupBy("cid").agg(F.max_by("a", F.struct(F.col("count"), -F.col("a"))).alias("a")).select("a", F.col("cid").alias("b"))
-        else:  # rows outside the component of their column's first row, with all rows of the column
+            best = F.struct(F.col("count"), -F.col("a")) if k == 0 else F.struct(-F.col("size"), F.xxhash64("a", F.lit(k)))
+            pairs = met.groupBy("cid", "a").agg(F.count(F.lit(1)).alias("count"), F.min("size").alias("size")).groupBy("cid").agg(F.max_by("a", best).alias("a")).select("a", F.col("cid").alias("b"))
+        else:  # rows outside their column's largest component, with all rows of the column
             left = materialize(rows.join(open_.select("column", F.col("first.component").alias("main")), "column").join(sets.select("cid", "parities"), "cid"), "open-columns")
             side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "component", "near", "parities")]
             odd = left.where(F.col("component") != F.col("main")).select("column", F.col("cid").alias("a"), *side("a"))
@@ -346,9 +350,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     light = named.select("__own", F.col("doc_id").alias("id")).distinct().join(group, "__own")
     least = light.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__own", "rows")).alias("least"))
     kept = materialize(least.select("least.__own", F.col("least.rows").alias("__rows")), "kept")
-    single = named.join(kept.where(F.col("__rows") == 1).select("__own"), "__own", "left_semi").select(*docs.columns)
-    again = named.withColumn("__row", row_name(docs)).join(kept.where(F.col("__rows") > 1).select("__own"), "__own", "left_semi")
-    return single.unionByName(again.groupBy("__own").agg(F.min_by(F.struct(*docs.columns), "__row").alias("row")).select("row.*"))
+    out = named.join(kept.where(F.col("__rows") == 1).select("__own").hint("merge"), "__own", "left_semi").select(*docs.columns)
+    repeated = kept.where(F.col("__rows") > 1).select("__own")
+    if not repeated.isEmpty():
+        again = named.withColumn("__row", row_name(docs)).join(repeated, "__own", "left_semi")
+        out = out.unionByName(again.groupBy("__own").agg(F.min_by(F.struct(*docs.columns), "__row").alias("row")).select("row.*"))
+    return out
 
 
 def op4(docs: DataFrame) -> DataFrame:
