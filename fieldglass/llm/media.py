@@ -20,10 +20,10 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import bounded_batches, id_and_text, new_path
+from fieldglass.llm.common import bounded_batches, id_and_text, join_counted, materialize, new_path
 
 #: Samples in a row of the stored image.
 WIDTH = 576
@@ -112,14 +112,16 @@ def parse_html(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame, key: str, scheme: str = "urn:sha256:") -> DataFrame:
     """Adds `media`, the media row of each reference of the scheme, to every item. media: `digest`, unique, and what to carry.
 
-    Items are joined one by one, so a digest that many pages refer to is split like any skewed join key; what comes
-    together again is one page.
+    Items are joined one by one, and a digest that many pages refer to is broadcast with its media (join_counted), so it has
+    no task of its own; what comes together again is one page.
     """
     found = F.struct(*(F.col(c) for c in media.columns)).alias("media")
     flat = sequences.select(key, F.posexplode_outer("items").alias("__at", "item"))
-    flat = flat.withColumn("digest", F.when(F.col("item.ref").startswith(scheme), F.substring_index("item.ref", ":", -1)))
-    held = media.select("digest", found)
-    joined = flat.join(held, "digest", "left")
+    flat = materialize(flat.withColumn("digest", F.when(F.col("item.ref").startswith(scheme), F.substring_index("item.ref", ":", -1))), "items")
+    refers = flat.where(F.col("digest").isNotNull())
+    held = media.select("digest", found).join(refers.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest")
+    joined = join_counted(refers, held, ["digest"], refers.count(), "left").drop("n")
+    joined = joined.unionByName(flat.where(F.col("digest").isNull()).withColumn("media", F.lit(None).cast(joined.schema["media"].dataType)))
     whole = F.struct(F.col("__at").alias("pos"), F.col("item.kind").alias("kind"), F.col("item.text").alias("text"), F.col("item.ref").alias("ref"), F.col("item.caption").alias("caption"), F.col("media"))
     return joined.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("item").isNotNull(), whole))).alias("items"))
 
@@ -236,5 +238,11 @@ def op1(docs: DataFrame) -> DataFrame:
     resolved = resolve(sequences, read_features(spark, path), "page")
     image = F.filter("items", lambda x: x["kind"] == "image")[0]
     own = F.from_json("page", "row_key string, doc_id long")
-    out = resolved.select(own["doc_id"].alias("doc_id"), image.alias("item"))
-    return out.select("doc_id", *(F.col("item.media")[c].alias(c) for c in FEATURES.names if c != "digest"), F.col("item.pos").alias("position"), F.col("item.caption").alias("caption"))
+    out = resolved.select(own["doc_id"].alias("doc_id"), image.alias("item"), sequence_of(F.col("items")).alias("sequence"))
+    return out.select("doc_id", *(F.col("item.media")[c].alias(c) for c in FEATURES.names if c != "digest"), F.col("item.pos").alias("position"), F.col("item.caption").alias("caption"), "sequence")
+
+
+def sequence_of(items: Column) -> Column:
+    """The ordered items as one line: position, kind, and the text or the caption and the digest of the media."""
+    one = lambda x: F.concat_ws(" ", x["pos"].cast("string"), x["kind"], x["text"], x["caption"], x["media"]["media_sha256"])
+    return F.array_join(F.transform(items, one), " | ")

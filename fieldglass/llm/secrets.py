@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import fold_remainder, materialize
+from fieldglass.llm.common import fold_remainder, join_counted, materialize
 from fieldglass.llm.rules import let
 
 #: Sixteen or more characters of a key's alphabet, with a digit or a change from lower to upper case.
@@ -57,12 +57,12 @@ def runs_of_four(words: list[str], at_least: int = 3) -> list[str]:
     return sorted(k for k, n in seen.items() if n >= at_least)
 
 
-def dictionary(spark: SparkSession, vocabulary_path: str, most: int = 100_000) -> DataFrame:
+def dictionary(spark: SparkSession, vocabulary_path: str) -> DataFrame:
     """Four-letter runs of a tokenizer's lower-case words; its size is bounded by the vocabulary's."""
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     words = [w for w in (t.lstrip("Ġ") for t in vocabulary) if w.isascii() and w.isalpha() and w.islower() and len(w) >= 4]
-    return spark.createDataFrame([(r,) for r in runs_of_four(words)[:most]], "run string")
+    return spark.createDataFrame([(r,) for r in runs_of_four(words)], "run string")
 
 
 def with_features(found: DataFrame, runs: DataFrame) -> DataFrame:
@@ -73,6 +73,7 @@ def with_features(found: DataFrame, runs: DataFrame) -> DataFrame:
     fours = strings.select("candidate", F.explode_outer(F.regexp_extract_all(F.lower("candidate"), F.lit("(?=([a-z]{4}))"), F.lit(1))).alias("run"))
     known = F.broadcast(runs.withColumn("known", F.lit(1)))
     covered = fours.join(known, "run", "left").groupBy("candidate").agg((F.count("known") / F.length("candidate")).alias("covered"))
+    covered = covered.join(found.groupBy("candidate").agg(F.count(F.lit(1)).alias("n")), "candidate")
     length = F.length(c).cast("double")
     share = lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))) / F.length(c)
     chars = F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
@@ -97,15 +98,56 @@ def with_features(found: DataFrame, runs: DataFrame) -> DataFrame:
         "quoted": flag(before, "[\"'`]$"),
         "equals_before": flag(F.concat_ws(" ", "before", before), r"[=:]\s*[\"'`]?$"),
     }
-    return found.withColumns(numbers).join(covered, "candidate")
-
-
-def known_kinds(found: DataFrame) -> DataFrame:
-    """Labelled findings of the test corpus, which has no reviewed ones: key ids and assigned strings of known kinds are secrets (1), bare numbers aren't (0), the rest is not labelled."""
-    c, word = F.col("candidate"), F.col("word")
-    issued = c.rlike("^AKIA[A-Z0-9]{16}$")
-    assigned = (word.rlike(r"^(password|secret|token|api_key)=") | F.col("before").rlike(r"(token|secret|password|api_key) =$")) & c.rlike("[0-9a-f]{16,}$")
-    return found.withColumn("label", F.when(issued | assigned, 1).when(c.rlike("^[0-9]+$"), 0).cast("int"))
+    return join_counted(found.withColumns(numbers), covered, ["candidate"], found.count()).drop("n")
+
+
+#: Kinds of planted findings, secrets (1) and what only looks like one (0), as SQL over h, 64 hexadecimal digits, b, 43 letters
+#: and digits, and w, words of the text.
+KINDS = {
+    "issued": (1, "concat('AKIA', upper(substr(b, 1, 16)))"),
+    "hex": (1, "substr(h, 1, 32)"),
+    "mixed": (1, "substr(b, 1, 40)"),
+    "prefixed": (1, "concat('ghp_', substr(b, 1, 36))"),
+    "short": (1, "substr(b, 1, 20)"),
+    "checksum": (0, "substr(h, 1, 40)"),
+    "uuid": (0, "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"),
+    "number": (0, "substr(translate(h, 'abcdef', '123456'), 1, 16)"),
+    "identifier": (0, "concat(array_join(transform(w, x -> initcap(x)), ''), 'Handler2')"),
+    "slug": (0, "concat(array_join(w, '-'), '-2024')"),
+}
+#: What stands before and after a planted finding: contexts of secrets, of harmless strings, and of either.
+SECRET_CONTEXTS = (("token =", ""), ("password=", ""), ("api_key:", ""), ("secret:", "for login"), ("export ACCESS_KEY=", ""), ("credential", "expires"))
+HARMLESS_CONTEXTS = (("checksum", "matches"), ("commit", "by"), ("order", "shipped"), ("see", "below"), ("id", "of the record"), ("sha256", ""))
+EITHER_CONTEXTS = (("key =", ""), ("value", "here"), ("", ""), ("config", "= set"))
+
+
+def planted_findings(docs: DataFrame, most: int = 4000) -> DataFrame:
+    """Texts with one planted string each, its kind and label: where a corpus has no reviewed findings, these train the forest.
+
+    The words around and the path are the corpus's own; most bounds the sample, the smallest hashes of the ids. A label
+    depends on the kind alone, a context on the label in three of four cases, so neither gives the other away.
+    """
+    picked = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "source").orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id", "text").limit(most)
+    names = sorted(KINDS)
+    of = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
+    h = F.sha2(F.concat(F.lit("planted "), F.col("doc_id").cast("string")), 256)
+    b = F.translate(F.base64(F.unhex(F.sha2(F.reverse(h), 256))), "+/=", "Kx7")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x.rlike("^[A-Za-z]{4,12}$"))
+    rows = picked.withColumns({"h": h, "b": b, "w": F.slice(F.concat(words, F.array(F.lit("plain"), F.lit("words"), F.lit("only"))), 1, 3), "kind": F.get(F.array(*map(F.lit, names)), of(22, len(names)))})
+    by_kind = lambda f: reduce(lambda out, k: F.when(F.col("kind") == k, f(k)).otherwise(out), names, F.lit(None))
+    rows = rows.withColumns({"label": by_kind(lambda k: F.lit(KINDS[k][0])).cast("int"), "planted": by_kind(lambda k: F.expr(KINDS[k][1]))})
+    pick = lambda group, salt: F.get(F.array(*(F.struct(F.lit(x).alias("before"), F.lit(y).alias("after")) for x, y in group)), of(salt, len(group)))
+    context = F.when(of(23, 4) == 0, pick(EITHER_CONTEXTS, 24)).when(F.col("label") == 1, pick(SECRET_CONTEXTS, 25)).otherwise(pick(HARMLESS_CONTEXTS, 26))
+    glue = F.when(F.col("context.before").endswith("="), "").otherwise(" ")
+    text = F.concat(F.array_join(F.slice(words, 4, 6), " "), F.lit(" "), F.col("context.before"), glue, "planted", F.lit(" "), F.col("context.after"), F.lit(" "), F.array_join(F.slice(words, 10, 6), " "))
+    return rows.withColumn("context", context).withColumn("text", text).select("doc_id", "text", "source", "kind", "label", "planted")
+
+
+def labelled(planted: DataFrame, runs: DataFrame) -> DataFrame:
+    """The planted strings as candidates with features, kind and label. planted: doc_id (unique), text, source, kind, label, planted."""
+    planted = materialize(planted, "planted")
+    found = materialize(candidates(planted).join(planted.select("doc_id", "kind", "label", "planted"), "doc_id").where(F.col("candidate").endswith(F.col("planted"))), "planted-candidates")
+    return with_features(found, runs)
 
 
 def fit(labelled: DataFrame, max_rows: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 5):
@@ -128,12 +170,13 @@ def score(found: DataFrame, model) -> DataFrame:
     return model.transform(ready).withColumn("probability", F.round(vector_to_array("__probability")[1], 9)).drop("__features", "__probability")
 
 
-def op2(docs: DataFrame, vocabulary_path: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """The findings of all documents. The forest learns from labelled findings with crc32(doc_id) mod 5 other than 0."""
+def op2(docs: DataFrame, vocabulary_path: str | None = None, threshold: float = 0.5, findings: DataFrame | None = None) -> DataFrame:
+    """The findings of all documents. findings: reviewed ones, as `labelled` takes them; without, planted ones train the forest, in documents with crc32(doc_id) mod 5 other than 0."""
     import public_tokenizers
 
     runs = dictionary(docs.sparkSession, vocabulary_path or public_tokenizers.path("byte_bpe_50k.json"))
     found = materialize(with_features(materialize(candidates(docs), "candidates"), runs), "candidate-features")
-    model = fit(known_kinds(found).where(F.coalesce(fold_remainder(F.col("doc_id")), F.lit(1)) != 0))
-    out = score(found, model)
+    if findings is None:
+        findings = planted_findings(docs.where(F.coalesce(fold_remainder(F.col("doc_id")), F.lit(1)) != 0))
+    out = score(found, fit(labelled(findings.dropDuplicates(["doc_id"]), runs)))
     return out.select("doc_id", "position", F.col("k").cast("int").alias("k"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), F.col("length").cast("int").alias("length"), "probability", (F.col("probability") >= threshold).alias("is_secret"))

@@ -1,7 +1,7 @@
 """Legacy archives: ARC files to WARC files, and both from and to tables.
 
-Spark's text writer makes the files, so any storage that Spark writes will do; each file holds a bounded number of
-records. ARC records are cut by their declared lengths, with the fields that the file's version block names. WARC records
+Spark's text writer makes the files, so any storage that Spark writes will do; each file is one gzip stream of a bounded
+number of records and bytes. ARC records are cut by their declared lengths, with the fields that the file's version block names. WARC records
 get identifiers, timestamps, types and digests from what the ARC record says: of equal payloads the one with the largest
 page id is the response, the others revisit it. Two archives are never joined by address, only by digest and length.
 
@@ -17,12 +17,13 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from uuid import NAMESPACE_URL, uuid5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import bounded_batches, new_path
+from fieldglass.llm.common import bounded_batches, join_counted, materialize, new_path
 
 #: Field names in the version blocks of the two ARC versions. Fixed values of the format.
 ARC_FIELDS = {
@@ -30,14 +31,15 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one archive file, its version block included.
+#: Records in one archive file, its version block included, and about its bytes before compression at most. Pages up to
+#: `SMALL` bytes share files of RECORDS; larger ones have files of fewer records.
 RECORDS = 4096
+FILE_BYTES = 64 << 20
+SMALL = FILE_BYTES // RECORDS
 EPOCH = datetime(2001, 1, 1, tzinfo=UTC)
 
-LIGHT = pa.schema([("page_id", pa.int64()), ("digest", pa.string()), ("size", pa.int64())])
-ARC = pa.schema([*LIGHT, ("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("block", pa.binary())])
-LIGHT_DDL = "page_id long, digest string, size long"
-ARC_DDL = f"{LIGHT_DDL}, url string, date string, mime string, block binary"
+LIGHT = pa.schema([("page_id", pa.int64()), ("digest", pa.string()), ("size", pa.int64()), ("file", pa.string()), ("at", pa.int32())])
+LIGHT_DDL = "page_id long, digest string, size long, file string, at int"
 WARC = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("warc_date", pa.string()), ("target_uri", pa.string())])
 WARC_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string"
 
@@ -98,35 +100,46 @@ def http_fields(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _lines(rows: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string())], names=["value"])
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).view(pa.string())], names=["value"])  # any bytes: Spark writes them as they are
 
 
 def write_arc(pages: DataFrame, path: str, records: int = RECORDS) -> None:
-    """pages: page_id, url, html. Versions 1 and 2 alternate between tasks."""
+    """pages: page_id, url, html. Folders `small` and `large` by the page's size; versions 1 and 2 alternate between files."""
     bounded_batches(pages.sparkSession)
     space = {c: f"%{ord(c):02X}" for c in " \t\n\r\x0b\x0c"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        version, n = 1 + task % 2, 0
-        for batch in batches:
-            out = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n % records == 0:
-                    name = f"pages-{task:05d}-{n // records:05d}.arc"
-                    out.append(arc_version_block(version, name))
+    def archives(count: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            n = 0
+            for batch in batches:
+                out = []
+                for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if n % count == 0:
+                        version, name = 1 + (task + n // count) % 2, f"pages-{task:05d}-{n // count:05d}.arc"
+                        out.append(arc_version_block(version, name))
+                        n += 1
+                    target = (url or f"urn:page:{page_id}").translate(str.maketrans(space)) or "urn:page:"
+                    date = (EPOCH + timedelta(seconds=(page_id or 0) % (1 << 29))).strftime("%Y%m%d%H%M%S")
+                    out.append(arc_record(version, name, target, date, http_block(page_id, html)))
                     n += 1
-                target = (url or f"urn:page:{page_id}").translate(str.maketrans(space)) or "urn:page:"
-                date = (EPOCH + timedelta(seconds=(page_id or 0) % (1 << 29))).strftime("%Y%m%d%H%M%S")
-                out.append(arc_record(version, name, target, date, http_block(page_id, html)))
-                n += 1
-            if out:
-                yield _lines(out)
+                if out:
+                    yield _lines(out)
+
+        return run
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).mapInArrow(run, "value string")
-    _write(rows, path, "\n", records)
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
+    size = F.octet_length("html")
+    for kind, count in records_by_size(rows, records).items():
+        _write(rows.where(size <= SMALL if kind == "small" else size > SMALL).mapInArrow(archives(count), "value string"), f"{path}/{kind}", "\n", count)
+
+
+def records_by_size(rows: DataFrame, records: int) -> dict[str, int]:
+    """How many records a file of small and one of large pages holds, so that neither exceeds FILE_BYTES by more than one record."""
+    longest = rows.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    return {"small": records} | ({"large": max(2, min(records, FILE_BYTES // longest))} if longest > SMALL else {})
 
 
 def _write(rows: DataFrame, path: str, separator: str, records: int) -> None:
@@ -134,7 +147,7 @@ def _write(rows: DataFrame, path: str, separator: str, records: int) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content", "path")
 
 
 def _unzipped(content: bytes) -> bytes:
@@ -146,25 +159,24 @@ def _unzipped(content: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """page_id, digest and size of each record's payload; with blocks, also its url, date, type and block."""
-    schema = ARC if blocks else LIGHT
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, digest and size of each record's payload, and its file and place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows: list[tuple] = []
-                for fields, block in parse_arc(_unzipped(content.as_py())):
+            for content, file in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                for at, (_, block) in enumerate(parse_arc(_unzipped(content.as_py()))):
                     http, payload = http_fields(block)
-                    own = (int(http["x-page-id"]) if "x-page-id" in http else None, digest_of(payload), len(payload))
-                    rows.append((*own, fields["URL"], fields["Archive-date"], fields["Content-type"], block) if blocks else own)
-                    if len(rows) >= 500:
-                        yield _batch(rows, schema)
-                        rows = []
+                    rows.append((_page(http), digest_of(payload), len(payload), file, at))
                 if rows:
-                    yield _batch(rows, schema)
+                    yield _batch(rows, LIGHT)
+
+    return _files(spark, path).mapInArrow(run, LIGHT_DDL)
 
-    return _files(spark, path).mapInArrow(run, ARC_DDL if blocks else LIGHT_DDL)
+
+def _page(http: dict[str, str]) -> int | None:
+    return int(http["x-page-id"]) if "x-page-id" in http else None
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -220,16 +232,37 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def write_warc(records: DataFrame, path: str, count: int = RECORDS) -> None:
-    """records: as read_arc gives them, with `target`."""
-    bounded_batches(records.sparkSession)
+def warc_info(name: str) -> bytes:
+    body = b"software: fieldglass\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid5(NAMESPACE_URL, name)}>\r\nWARC-Date: {EPOCH:%Y-%m-%dT%H:%M:%SZ}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body
+
+
+def write_warc(files: DataFrame, path: str, count: int = RECORDS) -> None:
+    """files: content of an ARC file and `targets`, by place in it the page whose response a record revisits."""
+    bounded_batches(files.sparkSession, rows=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n, out = TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            if batch.num_rows:
-                yield _lines([warc_record(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+            for content, targets in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                of = {x["at"]: x["target"] for x in targets or ()}
+                for at, (fields, block) in enumerate(parse_arc(_unzipped(content.as_py()))):
+                    if n % count == 0:
+                        out.append(warc_info(f"{path}-{task:05d}-{n // count:05d}"))
+                        n += 1
+                    http, payload = http_fields(block)
+                    out.append(warc_record(_page(http), digest_of(payload), fields["URL"], fields["Archive-date"], block, of.get(at)))
+                    n += 1
+                    if len(out) >= 500:
+                        yield _lines(out)
+                        out = []
+        if out:
+            yield _lines(out)
 
-    _write(records.select("page_id", "digest", "url", "date", "block", "target").mapInArrow(run, "value string"), path, "\r\n\r\n", count)
+    _write(files.select("content", "targets").mapInArrow(run, "value string"), path, "\r\n\r\n", count)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -238,6 +271,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows: list[tuple] = []
                 for fields, block in parse_warc(_unzipped(content.as_py())):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     http, payload = http_fields(block)
                     kind, own = fields["WARC-Type"], fields["WARC-Record-ID"].strip("<>")
                     digest = digest_of(payload) if kind == "response" else fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -252,11 +287,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, WARC_DDL)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """ARC files to WARC files. The first pass learns each payload's response, the second writes the records."""
-    first = read_arc(spark, arc_path, blocks=False).groupBy("digest", "size").agg(F.max("page_id").alias("response"))
-    records = read_arc(spark, arc_path).join(first, ["digest", "size"])
-    write_warc(records.withColumn("target", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("response")), F.col("response"))), warc_path)
+def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = RECORDS) -> None:
+    """ARC files to WARC files. The first pass learns each payload's response from digests alone, the second writes the records.
+
+    Only records whose payload occurs twice or more meet; what a file needs to know is its list of revisits, so no block of
+    a payload is shuffled by its digest.
+    """
+    light = materialize(read_arc(spark, arc_path), "arc-records")
+    first = light.groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    met = join_counted(light, first, ["digest", "size"], light.count())
+    target = met.where(F.col("response").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("response"))))
+    targets = materialize(target.groupBy("file").agg(F.collect_list(F.struct("at", F.col("response").alias("target"))).alias("targets")), "arc-targets")
+    sizes = light.groupBy(_kind("file").alias("kind"), "file").count().groupBy("kind").agg(F.max("count").alias("most"))
+    most = {"small": 1} | {r["kind"]: r["most"] for r in sizes.collect()}  # two rows at most
+    for kind, n in most.items():
+        own = targets.where(_kind("file") == kind)
+        write_warc(_files(spark, f"{arc_path}/{kind}").join(own, F.col("path") == F.col("file"), "left"), f"{warc_path}/{kind}", max(2, min(records, n + 1)))
+
+
+def _kind(file: str):
+    """The folder that a file is in."""
+    return F.element_at(F.split(file, "/"), -2)
 
 
 def op5(pages: DataFrame) -> DataFrame:

@@ -60,3 +60,22 @@ def test_declared_lengths_are_checked():
 @given(st.one_of(st.none(), st.integers(-(1 << 63), (1 << 63) - 1)))
 def test_identifiers_hold_the_page(page):
     assert warc.page_of(warc.record_id(page, warc.digest_of(b"x"))) == page
+
+
+def test_large_pages_have_files_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(i, None, ("x" * 200_000 + str(i % 4)) if i % 3 == 0 else f"small {i % 5}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    arc, out = warc.new_path(spark, "arc"), warc.new_path(spark, "warc")
+    warc.write_arc(pages, arc)
+    assert max(len(warc._unzipped(bytes(r.content))) for r in warc._files(spark, arc).collect()) <= (1 << 20) + 210_000
+    warc.convert(spark, arc, out)
+    assert rows_of(warc.read_warc(spark, out)) == brute([(i, h) for i, _, h in rows])
+
+
+def test_bytes_that_are_not_text(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "u"), (2, "u")], "page_id long, url string").withColumn("html", F.unhex(F.lit("FFFE0D0AC328")))
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.op5(pages).collect()}
+    assert got == {1: (6, "revisit"), 2: (6, "response")}
