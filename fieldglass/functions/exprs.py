@@ -69,10 +69,9 @@ def lower_rank(value: ColumnOrName, *groups: ColumnOrName) -> Column:
     return F.when(col(value).isNotNull(), (F.rank().over(by.orderBy(col(value).asc_nulls_last())) - 1) / F.count(col(value)).over(by) * 100)
 
 
-def upper_median(value: ColumnOrName) -> Column:
-    """Aggregate: the middle value, of two the greater."""
-    ordered = F.sort_array(F.collect_list(col(value)))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_median(value: str) -> Column:
+    """Aggregate: the middle value, of two the greater. Values are counted, not gathered in a list."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def whole_sum(value: ColumnOrName) -> Column:
@@ -81,9 +80,10 @@ def whole_sum(value: ColumnOrName) -> Column:
 
 
 def weighted_mean(value: ColumnOrName, weight: ColumnOrName) -> Column:
-    """Aggregate: the mean by weight; the plain mean where all weights are 0."""
-    total = F.sum(F.when(col(value).isNotNull(), col(weight)))
-    return F.when(total > 0, F.sum(col(value) * col(weight)) / total).otherwise(F.avg(col(value)))
+    """Aggregate: the mean by weight, rounded, weights below 0 as 0; the plain mean, rounded, where all weights are 0."""
+    own = F.when(col(value).isNotNull(), F.greatest(col(weight), F.lit(0)))
+    total = F.sum(own)
+    return half_up(F.when(total > 0, F.sum(col(value) * own) / total).otherwise(F.avg(col(value)))).cast("double")
 
 
 def miles(lat1: ColumnOrName, lon1: ColumnOrName, lat2: ColumnOrName, lon2: ColumnOrName) -> Column:

@@ -85,9 +85,12 @@ def has_word(text: Column, term: str) -> Column:
 
 
 def age_years(text: Column) -> Column:
-    """Years from text such as '2 YRS 6 MOS', '6 WKS' or '12'; null where there is no number."""
+    """Years from text such as '2 YRS 6 MOS', '6 WKS' or '12', to two decimals; null where there is none, or a bare number over 21."""
     low = F.lower(F.trim(text))
-    part = lambda unit, per: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(low, rf"([0-9]{{1,3}})\s*{unit}", 1), F.lit("")), F.lit("999")).cast("double") / per, F.lit(0.0))
-    bare = F.when(low.rlike(r"^[0-9]{1,3}$"), F.try_to_number(low, F.lit("999")).cast("double"))
-    some = low.rlike(r"[0-9]{1,3}\s*(y|m|w|d)")
-    return F.coalesce(bare, F.when(some, part("y", 1) + part("m", 12) + part("w", 52) + part("d", 365)))
+    pattern = F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*(y(?:ea)?rs?|y|mo(?:nth)?s?|m|w(?:ee)?ks?|w)\b")
+    numbers, units = F.regexp_extract_all(low, pattern, F.lit(1)), F.regexp_extract_all(low, pattern, F.lit(2))
+    per = lambda u: F.when(u.startswith("y"), 1.0).when(u.startswith("m"), 12.0).otherwise(52.0)
+    parts = F.zip_with(numbers, units, lambda n, u: n.cast("double") / per(u))
+    years = F.floor(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) * 100 + 0.5) / 100
+    bare = F.when(low.rlike(r"^[0-9]{1,9}(\.[0-9]{1,9})?$"), low.try_cast("double"))
+    return F.when(F.size(numbers) > 0, years).otherwise(F.when(bare <= 21, bare))

@@ -43,13 +43,13 @@ J30 access higher per(minutes, commuters, 1) * each(kids, bh) / 100
 J31 access higher per(internet, households, 1) * each(sqmi, bh)
 J32 access higher per(lep, households, 1) * each(kids, bh)
 J33 access higher shortage * per(sqmi, kids, 1000)
-J34 need_intensity higher per(dis, kids, 100) * pov_model / 100
+J34 need_intensity higher per(dis, dis_base, 100) * pov_model / 100
 J35 need_intensity higher each(dis_u5, therapy)
 J36 need_intensity lower per(disability_orgs + dd_homes, cog, 1000)
-J37 validation agreement plus(100 - 5 * abs(per(poor_kids, pov_base, 100) - pov_model))
-J38 validation agreement plus(100 - 8 * abs(per(uninsured, under19, 100) - unins_model))
-J39 validation agreement plus(100 - 200 * abs(per(under19, model_base, 1) - 1))
-J40 validation agreement 100 - abs(pct_daycare - pct_sites)
+J37 validation agreement plus(floor(100.5 - 5 * abs(per(poor_kids, pov_base, 100) - pov_model)))
+J38 validation agreement plus(floor(100.5 - 8 * abs(per(uninsured, under19, 100) - unins_model)))
+J39 validation agreement plus(floor(100.5 - 200 * abs(per(under19, model_base, 1) - 1)))
+J40 validation agreement floor(100.5 - abs(pct_daycare - pct_sites))
 J41 service_gap lower per(aba, kids, 10000)
 J42 service_gap lower per(aba, kids_0_5, 10000)
 J43 service_gap higher each(dis, aba)
@@ -94,12 +94,12 @@ J81 need_intensity higher each(dis, dev_peds + psychologists)
 J82 need_intensity higher each(dis_u5, pediatrics)
 J83 need_intensity higher each(cog, psychologists)
 J84 need_intensity higher each(kids_3_17 * 0.0322, dev_peds + psychologists)
-J85 validation agreement 100 - abs(pct_map_childcare - pct_sites)
-J86 validation agreement 100 - abs(pct_aba - pct_map_aba)
-J87 validation agreement 100 - abs(pct_pediatrics - pct_map_clinics)
-J88 validation agreement 100 - abs(pct_aba - pct_bh)
-J89 validation agreement 100 - abs(pct_map_hospitals - pct_hospitals)
-J90 validation agreement 100 - abs(pct_slp_ot - pct_map_therapy)
+J85 validation agreement floor(100.5 - abs(pct_map_childcare - pct_sites))
+J86 validation agreement floor(100.5 - abs(pct_aba - pct_map_aba))
+J87 validation agreement floor(100.5 - abs(pct_pediatrics - pct_map_clinics))
+J88 validation agreement floor(100.5 - abs(pct_aba - pct_bh))
+J89 validation agreement floor(100.5 - abs(pct_map_hospitals - pct_hospitals))
+J90 validation agreement floor(100.5 - abs(pct_slp_ot - pct_map_therapy))
 """
 
 #: Supply for each child whose percentiles the agreements compare: name, numerator, denominator.
@@ -142,7 +142,7 @@ def expand(text: str) -> str:
     return text
 
 
-_WORDS = {"per", "each", "plus", "abs", "CASE", "WHEN", "THEN", "END", "IS", "NOT", "NULL"}
+_WORDS = {"per", "each", "plus", "abs", "floor", "CASE", "WHEN", "THEN", "END", "IS", "NOT", "NULL"}
 INDICATORS: list[Indicator] = []
 for _line in SPEC.strip().splitlines():
     _id, _family, _direction, _formula = _line.split(" ", 3)

@@ -13,6 +13,9 @@ from fieldglass.functions.exprs import clamp, half_up, mid_rank
 #: Weights of the families in the composite. Fixed values.
 FAMILY_WEIGHTS = {"service_gap": 1.4, "referral_network": 1.0, "payer_fit": 1.1, "access": 0.8, "need_intensity": 1.0, "validation": 0.0}
 
+#: Areas with fewer children have wide survey margins. A fixed value.
+LOW_SAMPLE = 2500
+
 
 @dataclass(frozen=True)
 class Indicator:
@@ -44,20 +47,22 @@ def family_scores(scored: DataFrame, keys: Sequence[str] = ("state", "area")) ->
     return scored.where("direction <> 'agreement'").groupBy(*keys, "family").agg(half_up(F.avg("score")).cast("double").alias("mean_score"), F.count("score").alias("computed"), F.count(F.lit(1)).alias("total"))
 
 
-def composite(scored: DataFrame, programs: DataFrame | None = None, keys: Sequence[str] = ("state", "area"), least_coverage: float = 50) -> DataFrame:
-    """composite, coverage, agreement and confidence for each area. programs: keys and `program_share` (0 to 100)."""
+def composite(scored: DataFrame, programs: DataFrame | None = None, keys: Sequence[str] = ("state", "area"), least_coverage: float = 50, samples: DataFrame | None = None, low_sample: int = LOW_SAMPLE) -> DataFrame:
+    """composite, coverage, agreement and confidence for each area, coverage and agreement whole numbers before they decide.
+
+    programs: keys and `program_share` (0 to 100). samples: keys and `children`; fewer than low_sample of them cost 15 points of confidence.
+    """
     weight = F.coalesce(*(F.when(F.col("family") == k, F.lit(float(v))) for k, v in FAMILY_WEIGHTS.items()), F.lit(0.0))
     counted = (F.col("direction") != "agreement") & F.col("score").isNotNull()
     out = scored.groupBy(*keys).agg(
         F.sum(F.when(counted, F.col("score") * weight)).alias("__sum"),
         F.sum(F.when(counted, weight)).alias("__weight"),
-        (F.count_if(counted) / F.count_if(F.col("direction") != "agreement") * 100).alias("coverage"),
-        F.avg(F.when(F.col("direction") == "agreement", F.col("score"))).alias("agreement"),
+        half_up(F.count_if(counted) / F.count_if(F.col("direction") != "agreement") * 100).cast("double").alias("coverage"),
+        half_up(F.avg(F.when(F.col("direction") == "agreement", F.col("score")))).cast("double").alias("agreement"),
     )
-    if programs is None:
-        out = out.withColumn("program_share", F.lit(100.0))
-    else:
-        out = out.join(programs, list(keys), "left")
+    out = out.withColumn("program_share", F.lit(100.0)) if programs is None else out.join(programs, list(keys), "left")
+    if samples is not None:
+        out = out.join(samples.select(*keys, (F.col("children") < low_sample).alias("low_sample")), list(keys), "left")
     out = out.withColumn("composite", F.when((F.col("coverage") >= least_coverage) & (F.col("__weight") > 0), half_up(F.col("__sum") / F.col("__weight")).cast("double")))
     low = F.coalesce(F.col("low_sample").cast("int"), F.lit(0)) if "low_sample" in out.columns else F.lit(0)
     confidence = clamp(half_up(0.45 * F.col("coverage") + 0.35 * F.coalesce("agreement", F.lit(50.0)) + 0.2 * F.coalesce("program_share", F.lit(0.0))) - 15 * low)
@@ -81,6 +86,6 @@ def drivers(scored: DataFrame, keys: Sequence[str] = ("state", "area"), top: int
     return rows.groupBy(*keys).agg(pick(top, "up", F.col("score") >= high).alias("drivers"), pick(bottom, "down", F.col("score") <= low).alias("cautions"))
 
 
-def rank_areas(frame: DataFrame, indicators: Sequence[Indicator], programs: DataFrame | None = None) -> DataFrame:
+def rank_areas(frame: DataFrame, indicators: Sequence[Indicator], programs: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """From metrics to ranked areas."""
-    return ordinal(composite(percentiles(compute(frame, indicators)), programs))
+    return ordinal(composite(percentiles(compute(frame, indicators)), programs, samples=samples))

@@ -45,17 +45,18 @@ def ring_sums(sites: DataFrame, areas: DataFrame, metrics: list[str], radii: tup
 
     A missing metric is left out of its sum; a sum of nothing is missing.
     """
-    most = max(radii) + LARGEST_RIM
-    met = within(sites, areas, most, size)
+    rim = F.sqrt(F.greatest(F.col("sqmi"), F.lit(0.05)) / F.lit(3.141592653589793))
+    usual = max(radii)
+    small, large = areas.where((rim <= usual) | F.col("sqmi").isNull()), areas.where(rim > usual)
+    met = within(sites, small, 2 * usual, size)
+    longest = large.agg(F.max(rim)).first()[0]  # areas reach as far as their own rims, so large ones are met by themselves
+    if longest is not None:
+        met = met.unionByName(within(sites, large, usual + longest, max(size, (usual + longest) / 69)))
     rings = met.withColumn("radius", F.explode(F.array(*(F.lit(float(r)) for r in radii))))
     rings = rings.withColumn("weight", disc_weight("miles", "radius", "sqmi")).where("weight > 0")
     return rings.groupBy("site", "radius").agg(*(F.sum(F.col(m) * F.col("weight")).alias(m) for m in metrics))
 
 
-#: Miles from the centre to the rim of the largest area that rings take.
-LARGEST_RIM = 40.0
-
-
 def in_polygon(rings: Column, lat: Column, lon: Column) -> Column:
     """Even-odd over all rings, so holes count as outside. rings: arrays of (lon, lat)."""
 

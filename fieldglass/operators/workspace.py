@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions.exprs import half_up
+
 
 def latest(rows: DataFrame, key: Sequence[str], at: str) -> DataFrame:
     """The newest row of each key."""
@@ -45,10 +47,12 @@ def unsuppressed(leads: DataFrame, suppressed: DataFrame, key: str) -> DataFrame
     return left.groupBy(key).agg(F.min_by("email", "at").alias("email"))
 
 
-def funnel(leads: DataFrame, stages: Sequence[str], by: str) -> DataFrame:
-    """Totals by how far leads have come. The first stage is new, the last won, those between active."""
+def funnel(leads: DataFrame, stages: Sequence[str], by: str, ready: str, active: str, won: str) -> DataFrame:
+    """Totals by how far leads have come: those at or past the ready and the active stage, and those at the won one. A stage that is not known counts as before the first."""
     place = F.array_position(F.array(*(F.lit(s) for s in stages)), F.col("stage"))
-    return leads.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(place == 1).alias("ready"), F.count_if((place > 1) & (place < len(stages))).alias("active"), F.count_if(place == len(stages)).alias("won"), F.round(F.avg((place - 1) / (len(stages) - 1) * 100), 4).alias("percent"))
+    at = {s: k for k, s in enumerate(stages, 1)}
+    percent = half_up((F.greatest(place, F.lit(1)) - 1) * 100.0 / (len(stages) - 1)) if len(stages) > 1 else F.lit(100)
+    return leads.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(place >= at[ready]).alias("ready"), F.count_if(place >= at[active]).alias("active"), F.count_if(F.col("stage") == won).alias("won"), F.round(F.avg(percent), 4).alias("percent"))
 
 
 def places(rows: DataFrame, lead: Sequence[str], band: Column, order: Sequence[Column]) -> DataFrame:

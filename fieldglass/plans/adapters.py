@@ -57,7 +57,7 @@ frame AS (SELECT base.*, practices, orders, urgent, early, done FROM base LEFT J
 #: Metric columns of the indicators from the columns of the area frame: the same text for both engines.
 METRICS = {
     "kids": "people * 100.0E0", "kids_0_5": "young * 100.0E0", "kids_3_17": "people * 80.0E0", "kids_6_17": "(people - young) * 100.0E0", "under19": "people * 104.0E0", "growth": "CASE WHEN early > 0 THEN (orders - 2 * early) * 0.1E0 / early END",
-    "dis": "cared * 10.0E0", "dis_u5": "cared * 3.0E0", "cog": "cared * 4.0E0", "medicaid": "poor * 90.0E0", "employer": "rich * 90.0E0", "uninsured": "poor * 10.0E0", "poor_kids": "poor * 60.0E0", "pov_base": "people * 99.0E0",
+    "dis": "cared * 10.0E0", "dis_base": "people * 95.0E0", "dis_u5": "cared * 3.0E0", "cog": "cared * 4.0E0", "medicaid": "poor * 90.0E0", "employer": "rich * 90.0E0", "uninsured": "poor * 10.0E0", "poor_kids": "poor * 60.0E0", "pov_base": "people * 99.0E0",
     "pov_model": "CASE WHEN people > 0 THEN poor * 55.0E0 / people END", "unins_model": "CASE WHEN people > 0 THEN poor * 11.0E0 / people END", "model_base": "people * 100.0E0 + done", "family_income": "40000.0E0 + rich * 900", "income": "42000.0E0 + rich * 700", "income_model": "41000.0E0 + rich * 800",
     "households": "people * 220.0E0", "family_households": "people * 70.0E0", "no_car": "poor * 11.0E0", "internet": "people * 200.0E0 - poor * 20", "lep": "cared * 4.0E0", "minutes": "people * 2300.0E0 + orders", "commuters": "people * 100.0E0", "working_0_5": "young * 60.0E0",
     "sqmi": "300.0E0 + nation * 17", "shortage": "(nation * 3) % 26 * 1.0E0", "bh": "practices * 1.0E0", "therapy": "urgent * 1.0E0", "psychiatry": "practices * 0.5E0", "centers": "practices * 0.25E0", "physicians": "orders * 0.5E0", "daycare": "early * 0.3E0", "hospitals": "practices * 0.2E0",

@@ -30,7 +30,7 @@ def nearest_adequate(frame: DataFrame, rate: str, group: str = "state", area: st
     Areas meet only the distinct places of adequate areas in their group.
     """
     level = frame.where(F.col(rate).isNotNull()).groupBy(group).agg(F.median(rate).alias("__level"))
-    rows = frame.join(F.broadcast(level), group, "left")  # a row for each group
+    rows = frame.join(level, group, "left")
     good = rows.where(F.col(rate) >= F.col("__level")).select(F.col(group).alias("__group"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).distinct()
     met = rows.join(good, F.col(group) == F.col("__group"), "left")
     far = F.min(miles("lat", "lon", "__lat", "__lon"))
@@ -67,15 +67,17 @@ METRIC_SQL = (
     f"raws AS ({' UNION ALL '.join(f"SELECT state, area, '{x.id}' AS indicator, '{x.family}' AS family, '{x.direction}' AS direction, CAST({x.sql} AS DOUBLE) AS raw FROM wide" for x in INDICATORS)}), "
     f"pcts AS (SELECT *, {mid_sql('raw', 'state, indicator', 5)} AS pct FROM raws), "
     "scored AS (SELECT state, area, indicator, family, direction, raw, CASE WHEN direction = 'agreement' THEN raw WHEN direction = 'lower' THEN floor(100 - pct + 0.5E0) ELSE floor(pct + 0.5E0) END AS score FROM pcts), "
-    f"composed AS (SELECT state, area, 100.0E0 * COUNT(*) FILTER (WHERE direction <> 'agreement' AND score IS NOT NULL) / COUNT(*) FILTER (WHERE direction <> 'agreement') AS coverage, AVG(score) FILTER (WHERE direction = 'agreement') AS agreement, SUM(score * w) FILTER (WHERE direction <> 'agreement') AS total, SUM(w) FILTER (WHERE direction <> 'agreement' AND score IS NOT NULL) AS weight "
+    f"composed AS (SELECT state, area, floor(100.0E0 * COUNT(*) FILTER (WHERE direction <> 'agreement' AND score IS NOT NULL) / COUNT(*) FILTER (WHERE direction <> 'agreement') + 0.5E0) AS coverage, floor(AVG(score) FILTER (WHERE direction = 'agreement') + 0.5E0) AS agreement, SUM(score * w) FILTER (WHERE direction <> 'agreement') AS total, SUM(w) FILTER (WHERE direction <> 'agreement' AND score IS NOT NULL) AS weight "
     f"FROM (SELECT *, CASE {' '.join(f"WHEN family = '{k}' THEN CAST({v} AS DOUBLE)" for k, v in FAMILY_WEIGHTS.items())} ELSE 0 END AS w FROM scored) GROUP BY 1, 2), "
-    "rated AS (SELECT state, area, coverage, agreement, CASE WHEN coverage >= 50 AND weight > 0 THEN floor(total / weight + 0.5E0) END AS composite, least(85.0E0, greatest(0.0E0, least(100.0E0, floor(0.45E0 * coverage + 0.35E0 * coalesce(agreement, 50.0E0) + 20.0E0 + 0.5E0)))) AS confidence FROM composed) "
+    f"rated AS (SELECT state, area, coverage, agreement, CASE WHEN coverage >= 50 AND weight > 0 THEN floor(total / weight + 0.5E0) END AS composite, least(85.0E0, greatest(0.0E0, least(100.0E0, floor(0.45E0 * coverage + 0.35E0 * coalesce(agreement, 50.0E0) + 0.2E0 * share + 0.5E0) - CASE WHEN kids < 2500 THEN 15 ELSE 0 END))) AS confidence FROM composed JOIN (SELECT state, area, kids, 40.0E0 + 60 * CAST(area LIKE '%U%' AS INT) AS share FROM metric) USING (state, area)) "
 )
 
 
 @query(METRIC_SQL + "SELECT state, area, composite, round(coverage, 4) AS coverage, round(agreement, 4) AS agreement, confidence, CASE WHEN composite IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY state ORDER BY composite DESC NULLS LAST, confidence DESC, area) END AS rank, COUNT(composite) OVER (PARTITION BY state) AS ranked_of FROM rated")
 def area_ranking(spark: SparkSession, d: str) -> DataFrame:
-    out = ranking.rank_areas(metric_frame(spark, d), INDICATORS)
+    frame = metric_frame(spark, d).persist()  # a row for each area, used three times
+    programs = frame.select("state", "area", (40.0 + 60 * F.contains("area", F.lit("U")).cast("int")).alias("program_share"))
+    out = ranking.rank_areas(frame, INDICATORS, programs, frame.select("state", "area", F.col("kids").alias("children")))
     return out.select("state", "area", "composite", F.round("coverage", 4).alias("coverage"), F.round("agreement", 4).alias("agreement"), "confidence", "rank", "ranked_of")
 
 

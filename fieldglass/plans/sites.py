@@ -119,29 +119,67 @@ HOT = {"density": "kids / sqmi", "need": "CASE WHEN kids > 60 THEN poor * 1.0E0
 
 @query(
     f"WITH {SITE_SQL}, v AS (SELECT nation, k, state, kids, {', '.join(f'CAST({sql} AS DOUBLE) AS {n}' for n, sql in HOT.items())} FROM tract), p AS (SELECT *, {', '.join(f'CASE WHEN {n} IS NOT NULL THEN (RANK() OVER (PARTITION BY state ORDER BY {n} ASC NULLS LAST) - 1) * 1.0E0 / COUNT({n}) OVER (PARTITION BY state) * 100 END AS p_{n}' for n in HOT)} FROM v) "
-    f"SELECT nation, k, {' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)} AS known, CASE WHEN {' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)} >= 3 THEN floor(({' + '.join(f'coalesce(p_{n}, 0)' for n in HOT)}) / ({' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)}) + 0.5E0) END AS hotspot, kids < 20 AS small_sample FROM p"
+    f"SELECT nation, k, {' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)} AS known, floor(({' + '.join(f'coalesce(p_{n}, 0)' for n in HOT)}) / ({' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)}) + 0.5E0) AS hotspot, kids < 150 AS small_sample FROM p WHERE {' + '.join(f'CAST(p_{n} IS NOT NULL AS INT)' for n in HOT)} >= 3"
 )
 def hotspot_score(spark: SparkSession, d: str) -> DataFrame:
-    return S.hotspots(tracts(spark, d), HOT, "state", "kids", 20).select("nation", "k", "known", "hotspot", "small_sample")
+    return S.hotspots(tracts(spark, d), HOT, "state", "kids", 150).select("nation", "k", "known", "hotspot", "small_sample")
 
 
-@query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS confirmed_by, CASE WHEN s_acctbal > 3000 AND s_suppkey % 2 = 0 AND s_suppkey % 60 >= 20 THEN 'priority' WHEN s_acctbal > 3000 THEN 'licensed' WHEN s_suppkey % 3 = 0 THEN 'confirmed' ELSE 'unconfirmed' END AS tier FROM supplier")
-def tier_assessment(spark: SparkSession, d: str) -> DataFrame:
+TIER_SQL = "CASE WHEN s_acctbal <= 3000 THEN 'likely' WHEN s_suppkey % 5 = 0 AND s_suppkey % 4 <> 1 THEN 'priority' ELSE 'confirmed' END"
+
+
+def assessed(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as facilities with sources, a licence, ages and inclusion language, and their tiers."""
     k = F.col("s_suppkey")
-    p = table(spark, d, "supplier").select("s_suppkey", F.when(k % 3 == 0, F.array(F.lit("map"), F.lit("registry"), F.lit("map"))).otherwise(F.array(F.lit("map"))).alias("sources"), (F.col("s_acctbal") > 3000).alias("licensed"), F.when(k % 2 == 0, F.lit(True)).alias("serves_2_5"), (k % 60).alias("capacity"))
-    return S.tiers(p).select("s_suppkey", "confirmed_by", "tier")
+    words = lambda *x: F.array(*map(F.lit, x))
+    p = table(spark, d, "supplier").select(
+        "s_suppkey", F.when(k % 3 == 0, words("map", "registry", "map")).when(k % 3 == 1, words("map", "organization-website")).otherwise(words("organization-website")).alias("sources"),
+        (F.col("s_acctbal") > 3000).alias("licensed"), F.when(k % 4 == 0, F.lit(True)).when(k % 4 == 1, F.lit(False)).alias("serves_2_5"), F.when(k % 5 == 0, words("inclusive")).otherwise(F.array().cast("array<string>")).alias("inclusion"),
+    )
+    return S.tiers(p)
+
+
+@query(f"SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS confirmed_by, {TIER_SQL} AS tier FROM supplier")
+def tier_assessment(spark: SparkSession, d: str) -> DataFrame:
+    return assessed(spark, d).select("s_suppkey", "confirmed_by", "tier")
 
 
-TESTS = {"c1": "kids > 100 AND daycares >= 1", "c2": "poor * 1.0E0 / kids > 0.1", "c3": "clinics < schools", "c4": "clinics >= 1", "c5": "population / 44.0E0 > kids / 10.0E0 - 1", "c6": "capacity > 30", "c7": "schools >= 1", "c8": "daycares >= 2"}
+STATE_SQL = (
+    "land AS (SELECT state, SUM(kids) * 1.0E0 / SUM(sqmi) AS state_young_density, SUM(poor) * 1.0E0 / SUM(kids) AS state_disability, percentile_disc(0.5) WITHIN GROUP (ORDER BY kids / sqmi DESC) AS median_density FROM tract GROUP BY 1), "
+    "county AS (SELECT s.site, s.state, 100.0E0 * COUNT(f.facility) FILTER (WHERE kind = 'clinic') / 7 AS supply, 10.0E0 * COUNT(f.facility) FILTER (WHERE kind = 'school') AS second, CASE WHEN s.site % 4 = 0 THEN s.site % 26 END AS hpsa, CASE WHEN s.site % 6 <> 5 THEN s.site % 9 END AS uninsured FROM site s LEFT JOIN (SELECT s_nationkey, s_suppkey AS facility, CASE WHEN s_suppkey % 4 = 0 THEN 'clinic' WHEN s_suppkey % 4 = 1 THEN 'school' ELSE 'daycare' END AS kind FROM supplier) f ON s_nationkey = s.site GROUP BY s.site, s.state), "
+    "usual AS (SELECT state, percentile_disc(0.5) WITHIN GROUP (ORDER BY supply DESC) AS median_supply, percentile_disc(0.5) WITHIN GROUP (ORDER BY second DESC) AS median_second, percentile_disc(0.5) WITHIN GROUP (ORDER BY uninsured DESC) AS median_uninsured FROM county GROUP BY 1)"
+)
+FIVE_SQL = (
+    "five AS (SELECT u.site, u.kids AS kids5, u.kids / u.ring_sqmi AS young_density5, u.poor / u.kids AS disability5, u.population * 1.0E0 / (u.population + u.poor) AS insured5, clinics AS pediatric5, daycares AS childcare5, schools AS licensed5, clinics * 10000.0E0 / u.kids AS aba_rate5 FROM sums u LEFT JOIN counts USING (site, radius) WHERE radius = 5), "
+    f"part5 AS (SELECT s.site, COUNT(*) FILTER (WHERE {TIER_SQL.replace('s_acctbal', 'p.s_acctbal').replace('s_suppkey', 'p.s_suppkey')} = 'priority') AS priority5, COUNT(*) FILTER (WHERE p.s_suppkey % 3 = 0) AS double_confirmed5 FROM site s JOIN facility x ON {FAR} <= 5 JOIN supplier p ON p.s_suppkey = x.facility GROUP BY 1), "
+    f"near AS (SELECT s.site, coalesce(MIN({FAR}), 10.01E0) AS nearest_aba FROM site s LEFT JOIN facility x ON kind = 'clinic' AND {FAR} <= 10 GROUP BY 1), "
+    "j AS (SELECT five.*, kids2 / sqmi2 AS density2, coalesce(priority5, 0) AS priority5, coalesce(double_confirmed5, 0) AS double_confirmed5, nearest_aba, land.* EXCLUDE (state), supply, second, hpsa, uninsured, median_supply, median_second, median_uninsured, 0.9E0 AS state_insured, median_supply AS median_aba_rate FROM five JOIN (SELECT site, kids AS kids2, ring_sqmi AS sqmi2 FROM sums WHERE radius = 2) USING (site) LEFT JOIN part5 USING (site) JOIN near USING (site) JOIN county USING (site) JOIN land USING (state) JOIN usual USING (state))"
+)
 
 
 @query(
-    f"WITH {SITE_SQL}, {RING_SQL}, {COUNT_SQL}, j AS (SELECT * FROM sums LEFT JOIN counts USING (site, radius) WHERE radius = 10), t AS (SELECT site, {', '.join(f"CASE WHEN ({s}) THEN 'pass' WHEN NOT ({s}) THEN 'fail' ELSE 'insufficient' END AS {k}" for k, s in TESTS.items())} FROM j), "
-    f"n AS (SELECT *, CAST({' + '.join(f"CAST({k} = 'pass' AS INT)" for k in TESTS)} AS BIGINT) AS passed, CAST({' + '.join(f"CAST({k} <> 'insufficient' AS INT)" for k in TESTS)} AS BIGINT) AS evaluated FROM t) SELECT *, CASE WHEN evaluated < 4 THEN 'insufficient' WHEN passed >= 6 THEN 'strong' WHEN passed >= 4 THEN 'moderate' ELSE 'weak' END AS strength FROM n"
+    f"WITH {SITE_SQL}, {RING_SQL}, {COUNT_SQL}, {STATE_SQL}, {FIVE_SQL}, t AS (SELECT site, {', '.join(f"CASE WHEN ({s}) THEN 'pass' WHEN NOT ({s}) THEN 'fail' ELSE 'insufficient' END AS {k}" for k, s in S.CONVERGENCE.items())} FROM j), "
+    f"n AS (SELECT *, CAST({' + '.join(f"CAST({k} = 'pass' AS INT)" for k in S.CONVERGENCE)} AS BIGINT) AS passed, CAST({' + '.join(f"CAST({k} <> 'insufficient' AS INT)" for k in S.CONVERGENCE)} AS BIGINT) AS evaluated FROM t) SELECT *, CASE WHEN evaluated < 4 THEN 'insufficient' WHEN passed >= 6 THEN 'strong' WHEN passed >= 4 THEN 'moderate' ELSE 'weak' END AS strength FROM n"
 )
 def convergence_tests(spark: SparkSession, d: str) -> DataFrame:
-    rows = rings_of(spark, d).join(counts_of(spark, d), ["site", "radius"], "left").where("radius = 10")
-    return S.convergence(rows, TESTS).select("site", *TESTS, "passed", "evaluated", "strength")
+    middle = lambda x: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
+    site = places(spark, d).select(F.col("nation").alias("site"), "state")
+    land = tracts(spark, d).groupBy("state").agg((F.sum("kids") / F.sum("sqmi")).alias("state_young_density"), (F.sum("poor") / F.sum("kids")).alias("state_disability"), middle("kids / sqmi").alias("median_density"))
+    k = F.col("s_suppkey") % 4
+    own = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("site")).agg(F.count_if(k == 0).alias("clinics_here"), F.count_if(k == 1).alias("schools_here"))
+    s = F.col("site")
+    county = site.join(own, "site", "left").select("site", "state", (F.coalesce("clinics_here", F.lit(0)) * 100.0 / 7).alias("supply"), (F.coalesce("schools_here", F.lit(0)) * 10.0).alias("second"), F.when(s % 4 == 0, s % 26).alias("hpsa"), F.when(s % 6 != 5, s % 9).alias("uninsured"))
+    usual = county.groupBy("state").agg(*(middle(c).alias(f"median_{c}") for c in ("supply", "second", "uninsured")))
+    rings, c = rings_of(spark, d), F.col
+    five = rings.where("radius = 5").join(counts_of(spark, d).where("radius = 5").drop("radius"), "site", "left")
+    five = five.select("site", c("kids").alias("kids5"), (c("kids") / c("ring_sqmi")).alias("young_density5"), (c("poor") / c("kids")).alias("disability5"), (c("population") / (c("population") + c("poor"))).alias("insured5"), c("clinics").alias("pediatric5"), c("daycares").alias("childcare5"), c("schools").alias("licensed5"), (c("clinics") * 10000.0 / c("kids")).alias("aba_rate5"))
+    two = rings.where("radius = 2").select("site", (c("kids") / c("ring_sqmi")).alias("density2"))
+    met = spatial.within(site_points(spark, d), facilities(spark, d), 10)
+    partners = met.where("miles <= 5").join(assessed(spark, d), c("facility") == c("s_suppkey")).groupBy("site").agg(F.count_if(c("tier") == "priority").alias("priority5"), F.count_if(c("confirmed_by") >= 2).alias("double_confirmed5"))
+    near = site.select("site").join(met.where("kind = 'clinic'").groupBy("site").agg(F.min("miles").alias("m")), "site", "left").select("site", F.coalesce("m", F.lit(10.01)).alias("nearest_aba"))
+    rows = five.join(two, "site").join(partners, "site", "left").na.fill(0, ["priority5", "double_confirmed5"]).join(near, "site").join(county, "site").join(land, "state").join(usual, "state")
+    rows = rows.withColumns({"state_insured": F.lit(0.9), "median_aba_rate": c("median_supply")})
+    return S.convergence(rows, S.CONVERGENCE).select("site", *S.CONVERGENCE, "passed", "evaluated", "strength")
 
 
 @query(f"WITH {SITE_SQL} SELECT x.facility, round({miles_sql('25.0E0', '-120.0E0', 'x.lat', 'x.lon')}, 4) AS miles, round({DISC.format(a='x.capacity', d='(x.facility % 12)').replace('radius', '5.0E0')}, 6) AS weight FROM facility x")

@@ -70,10 +70,10 @@ STAGES = ["signup", "view", "click", "purchase"]
 PLACE = f"list_position({STAGES}, event_type)"
 
 
-@query(f"SELECT user_id % 10 AS team, COUNT(*) AS total, COUNT(*) FILTER (WHERE {PLACE} = 1) AS ready, COUNT(*) FILTER (WHERE {PLACE} > 1 AND {PLACE} < 4) AS active, COUNT(*) FILTER (WHERE {PLACE} = 4) AS won, round(AVG((coalesce({PLACE}, 0) - 1) / 3.0E0 * 100), 4) AS percent FROM events GROUP BY 1")
+@query(f"SELECT user_id % 10 AS team, COUNT(*) AS total, COUNT(*) FILTER (WHERE {PLACE} >= 2) AS ready, COUNT(*) FILTER (WHERE {PLACE} >= 3) AS active, COUNT(*) FILTER (WHERE {PLACE} = 4) AS won, round(AVG(floor((greatest(coalesce({PLACE}, 1), 1) - 1) * 100 / 3.0E0 + 0.5E0)), 4) AS percent FROM events GROUP BY 1")
 def funnel_summary(spark: SparkSession, d: str) -> DataFrame:
     leads = table(spark, d, "events").select((F.col("user_id") % 10).alias("team"), F.col("event_type").alias("stage"))
-    return W.funnel(leads, STAGES, "team")
+    return W.funnel(leads, STAGES, "team", ready=STAGES[1], active=STAGES[2], won=STAGES[3])
 
 
 @query("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT), CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 200")
