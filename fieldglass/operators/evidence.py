@@ -49,61 +49,110 @@ def first_publishers(hits: DataFrame, key: Sequence[str], publisher: str = "publ
     return hits.where(F.col(publisher) != "").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def independent(rows: DataFrame, key: Sequence[str], text: str, publisher: str = "publisher") -> DataFrame:
-    """Rows without those whose narrative an earlier publisher of the key has word for word."""
-    w = Window.partitionBy(*key, "__story").orderBy(publisher)
-    out = rows.withColumn("__story", narrative(F.col(text))).withColumn("__n", F.row_number().over(w))
-    return out.where("__n = 1").drop("__n", "__story")
-
-
-def corroborate(rows: DataFrame, key: Sequence[str], institutional: str, community: str | None = None) -> DataFrame:
-    """Publishers by key, and whether they make it verified: two of them (three where a rule is the community's), one institutional."""
-    need = F.lit(2) if community is None else F.when(F.max(community), 3).otherwise(2)
-    out = rows.groupBy(*key).agg(F.countDistinct("publisher").alias("publishers"), F.bool_or(institutional).alias("institutional"), need.alias("__need"))
+def independent(rows: DataFrame, key: Sequence[str], text: str, publisher: str = "publisher", order: str = "doc_id") -> DataFrame:
+    """One row for each key and publisher, without those that tell what an earlier publisher of the key tells (see same_narratives)."""
+    first = first_publishers(rows, key, publisher, order)
+    # The same narrative is the same text for every key, so each document's is compared once.
+    member, links = same_narratives(first.dropDuplicates([order]), order, text)
+    held = first.join(member.select(F.col("id").alias(order), "story"), order, "left")
+    mine = held.select(*key, F.col(publisher).alias("__p"), F.col("story").alias("__s"))
+    near = links.select(F.col("a").alias("__s"), F.col("b").alias("story")).unionByName(links.select(F.col("b").alias("__s"), F.col("a").alias("story")))
+    same = held.where(F.col("story").isNotNull()).join(mine, [*key]).where((F.col("__p") < F.col(publisher)) & (F.col("__s") == F.col("story"))).select(*key, publisher)
+    like = held.where(F.col("story").isNotNull()).join(near, "story").join(mine, [*key, "__s"]).where(F.col("__p") < F.col(publisher)).select(*key, publisher)
+    return held.join(same.unionByName(like).distinct(), [*key, publisher], "left_anti").drop("story")
+
+
+def corroborate(rows: DataFrame, key: Sequence[str], institutional: str, official: str, community: str | None = None) -> DataFrame:
+    """Whether independent publishers make a key verified: two of them (three where a rule is the community's), one institutional; its value and confidence then."""
+    need = F.lit(2) if community is None else F.when(F.bool_or(community), 3).otherwise(2)
+    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("publishers"), F.bool_or(institutional).alias("institutional"), F.bool_or(official).alias("__official"), need.alias("__need"))
     verified = (F.col("publishers") >= F.col("__need")) & F.col("institutional")
-    value = F.when(verified, F.least(F.lit(95), 55 + F.col("publishers") * 8)).cast("long")
-    return out.withColumns({"verified": verified, "value": value}).drop("__need")
-
+    value = F.when(F.col("verified"), F.least(F.lit(85), 50 + 7 * F.col("publishers"))).cast("long")
+    confidence = F.when(F.col("verified"), F.least(F.lit(86), 48 + 7 * F.col("publishers") + F.when(F.col("__official"), 9).otherwise(0))).cast("long")
+    return out.withColumn("verified", verified).withColumns({"value": value, "confidence": confidence}).drop("__need", "__official")
 
-def cross_checks(rows: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of rules (name, a, b) with at least so many publishers together, one of them the left's alone. rows: rule, publisher."""
-    held = rows.groupBy("rule").agg(F.sort_array(F.collect_set("publisher")).alias("publishers"))
-    left, right = held.select(F.col("rule").alias("a"), F.col("publishers").alias("of_a")), held.select(F.col("rule").alias("b"), F.col("publishers").alias("of_b"))
-    out = pairs.join(left, "a", "left").join(right, "b", "left")
-    both = F.size(F.array_union("of_a", "of_b"))
-    ok = F.coalesce((both >= least) & (F.size(F.array_except("of_a", "of_b")) >= 1), F.lit(False))
-    return out.select("name", "a", "b", both.cast("long").alias("together"), ok.alias("confirmed"))
 
+def cross_checks(rows: DataFrame, verified: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
+    """Pairs of rules (name, a, b): supported where both are verified, with so many publishers together, one of them the left's alone; partial where either has any, else unobserved.
 
-def roll_up(evidence: DataFrame, key: str) -> DataFrame:
-    """Entities from evidence (query, domain, email, rank): what supports each, and an additive score with capped parts."""
-    out = evidence.groupBy(key).agg(F.count(F.lit(1)).alias("evidence"), F.countDistinct("query").alias("queries"), F.countDistinct("domain").alias("domains"), F.count_if(F.col("email").isNotNull()).alias("contacts"), F.min("rank").alias("best_rank"))
-    score = F.least(F.lit(30), F.col("evidence") * 6) + F.least(F.lit(24), F.col("queries") * 8) + F.least(F.lit(16), F.col("domains") * 8) + F.when(F.col("contacts") > 0, 15).otherwise(0) + F.when(F.col("best_rank") <= 3, 10).otherwise(0)
-    return out.withColumn("score", F.least(F.lit(100), score).cast("long"))
+    rows: rule, publisher. verified: rule, a row for each verified one. Publishers meet one by one, so no rule's are gathered.
+    """
+    held = rows.select("rule", "publisher").distinct()
+    side = lambda of: pairs.select("name", F.col(of).alias("rule")).join(held, "rule").select("name", "publisher", F.lit(of).alias("side"))
+    met = side("a").unionByName(side("b")).groupBy("name", "publisher").agg(F.bool_or(F.col("side") == "a").alias("left"), F.bool_or(F.col("side") == "b").alias("right"))
+    counted = met.groupBy("name").agg(F.count(F.lit(1)).alias("together"), F.count_if(F.col("left") & ~F.col("right")).alias("alone"))
+    is_verified = lambda of: verified.select(F.col("rule").alias(of), F.lit(True).alias(f"{of}_verified"))
+    out = pairs.join(counted, "name", "left").join(is_verified("a"), "a", "left").join(is_verified("b"), "b", "left")
+    supported = F.coalesce(F.col("a_verified") & F.col("b_verified") & (F.col("together") >= least) & (F.col("alone") >= 1), F.lit(False))
+    status = F.when(supported, "supported").when(F.col("together") > 0, "partial").otherwise("unobserved")
+    return out.select("name", "a", "b", F.coalesce("together", F.lit(0)).cast("long").alias("together"), status.alias("status"))
 
 
-def same_narrative_pairs(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91) -> DataFrame:
-    """Pairs of texts that tell the same: equal narratives, or word sets (words over two letters) of that similarity.
+def roll_up(evidence: DataFrame, key: str) -> DataFrame:
+    """Entities from evidence: what supports each, its kind, an additive score of capped parts and a confidence.
 
-    Texts with an equal narrative are each paired with the first of them, and only the first meets others. Words are ordered by how many texts have them; two sets that similar share one of the first few, and only those meet.
+    evidence: lane, query, domain, emails, phones, signals (arrays), enriched, official, individual, aba, located. Distinct
+    values are counted one by one, so no entity's are gathered. Few publishers cap the score at 44, or 55 with a contact;
+    no contact caps it at 64.
+    """
+    array = lambda kind, values: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    long = evidence.select(key, F.inline(F.concat(array("query", F.array("query")), array("domain", F.array("domain")), *(array(k, F.coalesce(k, F.array().cast("array<string>"))) for k in ("emails", "phones", "signals")))))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = long.where(F.col("value").isNotNull()).distinct().groupBy(key).agg(n("query").alias("queries"), n("domain").alias("domains"), n("emails").alias("emails"), n("phones").alias("phones"), n("signals").alias("signals"))
+    lane = lambda x: F.bool_or(F.col("lane") == x)
+    facts = evidence.groupBy(key).agg(
+        F.count(F.lit(1)).alias("evidence"), F.bool_and("official").alias("__official"), F.bool_or("enriched").alias("__enriched"), F.bool_or("individual").alias("__individual"), F.bool_or("aba").alias("__aba"), F.bool_or("located").alias("__located"),
+        lane("talent").alias("__talent"), lane("referral").alias("__referral"), F.bool_and(F.col("lane") == "community").alias("__community"),
+    )
+    out = facts.join(counts, key, "left").na.fill(0, ["queries", "domains", "emails", "phones", "signals"])
+    flag = lambda c, points: F.when(F.col(c), points).otherwise(0)
+    contact = (F.col("emails") > 0) | (F.col("phones") > 0)
+    several = F.col("domains") > 1
+    parts = [
+        F.least(F.lit(20), F.col("emails") * 8 + F.col("phones") * 7 + F.when(F.col("domains") > 0, 5).otherwise(0)),
+        F.least(F.lit(25), F.greatest(F.lit(0), F.col("domains") - 1) * 12 + F.when(F.col("__enriched") & several, 5).otherwise(0)),
+        F.least(F.lit(35), F.col("signals") * 5 + flag("__referral", 8) + flag("__talent", 8)),
+        F.when(F.col("__located"), 10).otherwise(4),
+    ]
+    raw = F.least(F.lit(100), sum(parts[1:], parts[0]))
+    score = F.when(F.col("domains") < 2, F.least(raw, F.when(contact, 55).otherwise(44))).when(contact, raw).otherwise(F.least(raw, F.lit(64)))
+    confidence = F.least(F.lit(90), 24 + F.col("domains") * 13 + F.when(contact, 13).otherwise(0) + flag("__enriched", 10) + F.least(F.lit(8), F.col("queries") * 2))
+    kind = F.when(F.col("__official"), "referral").when(F.col("__talent"), F.when(F.col("__individual"), "candidate").otherwise("talent_signal")).when(F.col("__community"), "community_signal").when(F.col("__aba"), "organization").otherwise("referral")
+    return out.select(key, "evidence", "queries", "domains", "emails", "phones", "signals", kind.alias("kind"), score.cast("long").alias("score"), confidence.cast("long").alias("confidence"))
+
+
+def same_narratives(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91) -> tuple[DataFrame, DataFrame]:
+    """Which narrative each text tells, as (id, story: the first id that tells it), and which of these tell the same, as pairs (a, b) of stories.
+
+    Stories are alike if their sets of words over two letters, nine or more, are that similar. Words are ordered by how many
+    stories have them, rare ones first; two sets that similar share one of the first few, and their places there and sizes
+    leave enough open. What meets is a word's number, id, size and place; the sets follow for the pairs that are left.
     """
-    every = docs.select(F.col(key).alias("id"), narrative(F.col(text)).alias("story")).where("story <> ''")
-    story = every.groupBy("story").agg(F.min("id").alias("id"))
-    words = F.array_distinct(F.filter(F.split("story", " "), lambda w: F.length(w) > 2))
-    sets = story.select("id", words.alias("words")).where(F.size("words") >= least_words)
-    flat = sets.select("id", F.explode("words").alias("word"))
+    every = docs.select(F.col(key).alias("id"), narrative(F.col(text)).alias("told")).where("told <> ''")
+    first = every.groupBy("told").agg(F.min("id").alias("story"))
+    words = F.array_distinct(F.filter(F.split("told", " "), lambda w: F.length(w) > 2))
+    sets = first.select("story", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") >= least_words)
+    flat = sets.select("story", F.size("words").alias("size"), F.explode("words").alias("word"))
     counts = flat.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ordered = flat.join(counts.where("n > 1"), "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
-    rows = sets.join(ordered, "id")
-    alone = F.size("words") - F.size("shared")
-    prefix = F.size("words") - F.ceil(F.size("words") * least) + 1 - alone
-    keyed = rows.where(prefix > 0).select("id", "words", F.explode(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(1)).cast("int"))).alias("x")).select("id", "words", F.col("x.word").alias("word"))
-    a, b = keyed.select("word", F.col("id").alias("a"), F.col("words").alias("words_a")), keyed.select("word", F.col("id").alias("b"), F.col("words").alias("words_b"))
-    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.size("words_a") >= least * F.size("words_b")) & (F.size("words_b") >= least * F.size("words_a"))).dropDuplicates(["a", "b"])
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    near = met.where(both >= least * (F.size("words_a") + F.size("words_b") - both)).select("a", "b")
-    same = story.select("story", F.col("id").alias("a")).join(every.select("story", F.col("id").alias("b")), "story").where("a < b").select("a", "b")
-    return near.unionByName(same).distinct()
+    ordered = flat.join(counts.where("n > 1"), "word").groupBy("story", "size").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
+    prefix = F.col("size") - F.ceil(F.col("size") * least) + 1 - (F.col("size") - F.size("shared"))
+    keyed = ordered.where(prefix > 0).select("story", "size", "shared", prefix.cast("int").alias("prefix")).select("story", "size", F.size("shared").alias("__n"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("at", "x"))
+    keyed = keyed.select("story", "size", (F.col("size") - F.col("__n") + F.col("at")).alias("place"), F.col("x.word").alias("word"))
+    side = lambda x: keyed.select("word", F.col("story").alias(x), F.col("size").alias(f"size_{x}"), F.col("place").alias(f"place_{x}"))
+    both = F.col("size_a") + F.col("size_b")
+    open_ = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = side("a").join(side("b"), "word").where((F.col("a") < F.col("b")) & (open_ * (1 + least) >= least * both - 1e-9)).select("a", "b").distinct()
+    own = lambda x: sets.select(F.col("story").alias(x), F.col("words").alias(f"words_{x}"))
+    held = met.join(own("a"), "a").join(own("b"), "b")
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    links = held.where(common >= least * (F.size("words_a") + F.size("words_b") - common)).select("a", "b")
+    return every.join(first, "told").select("id", "story"), links
+
+
+def same_narrative_pairs(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91) -> DataFrame:
+    """Pairs of texts that tell the same: each with the first that tells it word for word, and first ones that are alike."""
+    member, links = same_narratives(docs, key, text, least_words, least)
+    return links.unionByName(member.where(F.col("story") < F.col("id")).select(F.col("story").alias("a"), F.col("id").alias("b")))
 
 
 def pick_in_turn(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -123,10 +172,12 @@ def longest_suffix(hosts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether the rules of a url's origin let it be read: the longest matching path wins, of equals the one that allows.
+    """Whether the rules of a url's origin let it be read: the longest matching pattern wins, of equals the one that allows.
 
-    urls: url, origin, path. rules: origin, pattern (a path prefix), allow.
+    urls: url, origin, path. rules: origin, pattern, allow. In a pattern `*` stands for any run, and a last `$` for the end of the path; empty patterns match nothing.
     """
-    met = urls.join(rules, "origin", "left").where(F.col("pattern").isNull() | F.startswith("path", "pattern"))
+    body = F.regexp_replace(F.regexp_replace("pattern", r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")
+    tests = rules.where(F.col("pattern") != "").withColumn("__test", F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.col("pattern").endswith("$"), "$").otherwise("")))
+    met = urls.join(tests, "origin").where(F.expr("path rlike __test"))
     best = met.groupBy("url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("allow"))
     return urls.select("url").join(best, "url", "left").select("url", F.coalesce("allow", F.lit(True)).alias("allow"))

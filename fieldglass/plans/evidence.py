@@ -90,22 +90,33 @@ def publisher_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 STORY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\\x20\\x09-\\x0D]+', ' ', 'g'), '\\b(copyright|all rights reserved|read more|click here)\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
-ALONE_SQL = f"{FIRST_SQL}, alone AS (SELECT *, {STORY_SQL} AS story FROM first QUALIFY ROW_NUMBER() OVER (PARTITION BY rule, {STORY_SQL} ORDER BY source) = 1)"
+TOLD_SQL = f"told AS (SELECT rule, source, doc_id, lang, {STORY_SQL} AS story, list_distinct(list_filter(string_split({STORY_SQL}, ' '), lambda w : length(w) > 2)) AS ws FROM first)"
+ALIKE = "(x.story = y.story OR (len(x.ws) >= 9 AND len(y.ws) >= 9 AND len(list_intersect(x.ws, y.ws)) >= 0.91 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))))"
+ALONE_SQL = f"{FIRST_SQL}, {TOLD_SQL}, alone AS (SELECT * FROM told y WHERE NOT EXISTS (SELECT 1 FROM told x WHERE x.rule = y.rule AND x.source < y.source AND y.story <> '' AND x.story <> '' AND {ALIKE}))"
+VERIFIED_SQL = f"{ALONE_SQL}, c AS (SELECT rule, COUNT(*) AS publishers, bool_or(lang IN ('de', 'fr')) AS institutional, bool_or(lang = 'fr') AS official FROM alone GROUP BY 1), v AS (SELECT *, publishers >= CASE WHEN rule IN ('r_loud', 'r_mail') THEN 3 ELSE 2 END AND institutional AS verified FROM c)"
 
 
-@query(f"WITH {ALONE_SQL}, c AS (SELECT rule, COUNT(DISTINCT source) AS publishers, bool_or(lang = 'de') AS institutional FROM alone GROUP BY 1) SELECT rule, publishers, institutional, publishers >= 2 AND institutional AS verified, CASE WHEN publishers >= 2 AND institutional THEN least(95, 55 + publishers * 8) END AS value FROM c")
+def independent_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = E.independent(hits(spark, d), ["rule"], "text")
+    return rows.withColumns({"institutional": F.col("lang").isin("de", "fr"), "official": F.col("lang") == "fr", "community": F.col("rule").isin("r_loud", "r_mail")})
+
+
+@query(f"WITH {VERIFIED_SQL} SELECT rule, publishers, institutional, verified, CASE WHEN verified THEN least(85, 50 + 7 * publishers) END AS value, CASE WHEN verified THEN least(86, 48 + 7 * publishers + CASE WHEN official THEN 9 ELSE 0 END) END AS confidence FROM v")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
-    alone = E.independent(E.first_publishers(hits(spark, d), ["rule"]), ["rule"], "text")
-    return E.corroborate(alone.withColumn("institutional", F.col("lang") == "de"), ["rule"], "institutional")
+    return E.corroborate(independent_hits(spark, d), ["rule"], "institutional", "official", "community")
+
+
+CHECKS = [("x1", "r_the", "r_key"), ("x2", "r_key", "r_the"), ("x3", "r_mark", "r_none"), ("x4", "r_none", "r_nil"), ("x5", "r_loud", "r_der")]
 
 
 @query(
-    f"WITH {FIRST_SQL}, p AS (SELECT * FROM (VALUES ('x1', 'r_the', 'r_key'), ('x2', 'r_key', 'r_the'), ('x3', 'r_mark', 'r_none')) v(name, a, b)), g AS (SELECT rule, list(DISTINCT source) AS s FROM first GROUP BY 1) "
-    "SELECT name, a, b, len(list_distinct(list_concat(x.s, y.s))) AS together, coalesce(len(list_distinct(list_concat(x.s, y.s))) >= 3 AND len(list_filter(x.s, lambda v : NOT list_contains(y.s, v))) >= 1, false) AS confirmed FROM p LEFT JOIN g x ON a = x.rule LEFT JOIN g y ON b = y.rule".replace("len(list_distinct(list_concat(x.s, y.s))) AS together", "CASE WHEN x.s IS NOT NULL AND y.s IS NOT NULL THEN len(list_distinct(list_concat(x.s, y.s))) END AS together").replace("coalesce(len(list_distinct(list_concat(x.s, y.s))) >= 3", "coalesce(x.s IS NOT NULL AND y.s IS NOT NULL AND len(list_distinct(list_concat(x.s, y.s))) >= 3")
+    f"WITH {VERIFIED_SQL}, p AS (SELECT * FROM (VALUES {', '.join(str(x) for x in CHECKS)}) t(name, a, b)), g AS (SELECT rule, list(DISTINCT source) AS s FROM alone GROUP BY 1), j AS (SELECT name, a, b, coalesce(x.s, []) AS l, coalesce(y.s, []) AS r, coalesce(va.verified, false) AND coalesce(vb.verified, false) AS ok FROM p LEFT JOIN g x ON a = x.rule LEFT JOIN g y ON b = y.rule LEFT JOIN v va ON va.rule = a LEFT JOIN v vb ON vb.rule = b) "
+    "SELECT name, a, b, len(list_distinct(list_concat(l, r))) AS together, CASE WHEN ok AND len(list_distinct(list_concat(l, r))) >= 3 AND len(list_filter(l, lambda q : NOT list_contains(r, q))) >= 1 THEN 'supported' WHEN len(l) > 0 OR len(r) > 0 THEN 'partial' ELSE 'unobserved' END AS status FROM j"
 )
 def cross_checks(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([("x1", "r_the", "r_key"), ("x2", "r_key", "r_the"), ("x3", "r_mark", "r_none")], "name string, a string, b string")
-    return E.cross_checks(E.first_publishers(hits(spark, d), ["rule"]), pairs)
+    rows = independent_hits(spark, d).persist()  # a row for each rule and publisher
+    verified = E.corroborate(rows, ["rule"], "institutional", "official", "community").where("verified").select("rule")
+    return E.cross_checks(rows, verified, spark.createDataFrame(CHECKS, "name string, a string, b string"))
 
 
 SIGNALS = {"s_the": ("en", 6, ["the", "that"]), "s_with": ("en", 5, ["with"]), "s_from": ("en", 3, ["from"]), "s_der": ("de", 6, ["der"]), "s_les": ("fr", 4, ["les", "des"]), "s_los": ("es", 4, ["los"]), "s_token": ("secret", 8, ["token", "password"])}
@@ -139,12 +150,20 @@ def same_narrative_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH v AS (SELECT {PUBLISHER_SQL} AS entity, {HOST_SQL} AS domain, 'q' || CAST(page_id % 4 AS VARCHAR) AS query, CASE WHEN page_id % 3 = 0 THEN 'a@b.cd' END AS email, page_id % 9 AS rank FROM pages), e AS (SELECT entity, COUNT(*) AS evidence, COUNT(DISTINCT query) AS queries, COUNT(DISTINCT domain) AS domains, COUNT(email) AS contacts, MIN(rank) AS best_rank FROM v GROUP BY 1) "
-    "SELECT *, CAST(least(100, least(30, evidence * 6) + least(24, queries * 8) + least(16, domains * 8) + CASE WHEN contacts > 0 THEN 15 ELSE 0 END + CASE WHEN best_rank <= 3 THEN 10 ELSE 0 END) AS BIGINT) AS score FROM e"
+    f"WITH v AS (SELECT {PUBLISHER_SQL} AS entity, {HOST_SQL} AS domain, 'q' || CAST(page_id % 4 AS VARCHAR) AS query, CASE page_id % 3 WHEN 0 THEN 'community' WHEN 1 THEN 'referral' ELSE 'talent' END AS lane, CASE WHEN page_id % 11 = 0 THEN 'a' || CAST(page_id % 2 AS VARCHAR) || '@b.cd' END AS email, CASE WHEN page_id % 13 = 0 THEN '5551234' END AS phone, 's' || CAST(page_id % 3 AS VARCHAR) AS signal, page_id % 7 = 0 AS enriched, page_id % 2 = 0 AS individual, page_id % 5 = 0 AS aba FROM pages), "
+    "e AS (SELECT entity, COUNT(*) AS evidence, COUNT(DISTINCT query) AS queries, COUNT(DISTINCT domain) AS domains, COUNT(DISTINCT email) AS emails, COUNT(DISTINCT phone) AS phones, COUNT(DISTINCT signal) AS signals, bool_or(enriched) AS enriched, bool_or(individual) AS individual, bool_or(aba) AS aba, bool_or(lane = 'talent') AS talent, bool_or(lane = 'referral') AS referral, bool_and(lane = 'community') AS community FROM v GROUP BY 1), "
+    "s AS (SELECT *, emails > 0 OR phones > 0 AS contact, least(100, least(20, emails * 8 + phones * 7 + CASE WHEN domains > 0 THEN 5 ELSE 0 END) + least(25, greatest(0, domains - 1) * 12 + CASE WHEN enriched AND domains > 1 THEN 5 ELSE 0 END) + least(35, signals * 5 + CASE WHEN referral THEN 8 ELSE 0 END + CASE WHEN talent THEN 8 ELSE 0 END) + 10) AS raw FROM e) "
+    "SELECT entity, evidence, queries, domains, emails, phones, signals, CASE WHEN talent THEN CASE WHEN individual THEN 'candidate' ELSE 'talent_signal' END WHEN community THEN 'community_signal' WHEN aba THEN 'organization' ELSE 'referral' END AS kind, CAST(CASE WHEN domains < 2 THEN least(raw, CASE WHEN contact THEN 55 ELSE 44 END) WHEN contact THEN raw ELSE least(raw, 64) END AS BIGINT) AS score, "
+    "CAST(least(90, 24 + domains * 13 + CASE WHEN contact THEN 13 ELSE 0 END + CASE WHEN enriched THEN 10 ELSE 0 END + least(8, queries * 2)) AS BIGINT) AS confidence FROM s"
 )
 def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
-    h = T.host(F.col("url"))
-    e = pages(spark, d).select(T.publisher(h).alias("entity"), h.alias("domain"), F.concat(F.lit("q"), F.col("page_id") % 4).alias("query"), F.when(F.col("page_id") % 3 == 0, "a@b.cd").alias("email"), (F.col("page_id") % 9).alias("rank"))
+    h, k = T.host(F.col("url")), F.col("page_id")
+    one = lambda test, value: F.when(test, F.array(value))
+    e = pages(spark, d).select(
+        T.publisher(h).alias("entity"), h.alias("domain"), F.concat(F.lit("q"), k % 4).alias("query"), F.when(k % 3 == 0, "community").when(k % 3 == 1, "referral").otherwise("talent").alias("lane"),
+        one(k % 11 == 0, F.concat(F.lit("a"), k % 2, F.lit("@b.cd"))).alias("emails"), one(k % 13 == 0, F.lit("5551234")).alias("phones"), F.array(F.concat(F.lit("s"), k % 3)).alias("signals"),
+        (k % 7 == 0).alias("enriched"), F.lit(False).alias("official"), (k % 2 == 0).alias("individual"), (k % 5 == 0).alias("aba"), F.lit(True).alias("located"),
+    )
     return E.roll_up(e, "entity")
 
 
@@ -154,11 +173,11 @@ def longest_suffix_match(spark: SparkSession, d: str) -> DataFrame:
     return E.longest_suffix(pages(spark, d).select("page_id", T.host(F.col("url")).alias("host")), catalog).select("page_id", "host", "suffix")
 
 
-RULE_ROWS = [("/", True), ("/en", False), ("/en/1", True), ("/fr/2", False), ("/fr/2", True), ("/de/", False)]
+RULE_ROWS = [("/", True), ("/en", False), ("/en/1", True), ("/fr/2", False), ("/fr/2", True), ("/de/", False), ("/*9", False), ("/en/*1$", False), ("/es/$", False), ("", False)]
 
 
 @query(
-    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(a).lower()})" for p, a in RULE_ROWS) + ") v(pattern, allow)), u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM pages), m AS (SELECT page_id, allow FROM u LEFT JOIN r ON starts_with(path, pattern) QUALIFY ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC NULLS LAST, allow DESC) = 1) SELECT page_id AS url, coalesce(allow, true) AS allow FROM m"
+    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(a).lower()})" for p, a in RULE_ROWS) + ") v(pattern, allow)), u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM pages), m AS (SELECT page_id, allow FROM u LEFT JOIN r ON pattern <> '' AND regexp_matches(path, '^' || replace(replace(regexp_replace(pattern, '\\$$', ''), '.', '\\.'), '*', '.*') || CASE WHEN ends_with(pattern, '$') THEN '$' ELSE '' END) QUALIFY ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC NULLS LAST, allow DESC) = 1) SELECT page_id AS url, coalesce(allow, true) AS allow FROM m"
 )
 def robots_longest_match(spark: SparkSession, d: str) -> DataFrame:
     urls = pages(spark, d).select(F.col("page_id").alias("url"), F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1).alias("path"), T.publisher(T.host(F.col("url"))).alias("origin"))
