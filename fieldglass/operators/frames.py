@@ -59,3 +59,15 @@ def paged_union(pages: Sequence[DataFrame], key: str, group: str, cap: int) -> D
         rows = rows.unionByName(page, allowMissingColumns=True)
     n = rows.select(group, key).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("lower_bound", F.col("n") >= cap)
+
+
+def first_then_rank(rows: DataFrame, group: Sequence[str], key: str, rank: str) -> DataFrame:
+    """The first row of each key in its group, ranked again from 1 without gaps."""
+    first = Window.partitionBy(*group, key).orderBy(rank)
+    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(rank)).cast("long"))
+
+
+def bounded_read(rows: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows in that order: a top-k, so no task sorts the table."""
+    return rows.orderBy(*order).limit(n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import agreement, consensus, lower_rank, mid_rank, miles, ratio, smoothed, upper_median
+from fieldglass.functions.store import stored
 from fieldglass.operators import frames, ranking
 from fieldglass.operators.indicators import INDICATORS, SHARES
 from fieldglass.operators.ranking import FAMILY_WEIGHTS
@@ -75,7 +76,7 @@ METRIC_SQL = (
 
 @query(METRIC_SQL + "SELECT state, area, composite, round(coverage, 4) AS coverage, round(agreement, 4) AS agreement, confidence, CASE WHEN composite IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY state ORDER BY composite DESC NULLS LAST, confidence DESC, area) END AS rank, COUNT(composite) OVER (PARTITION BY state) AS ranked_of FROM rated")
 def area_ranking(spark: SparkSession, d: str) -> DataFrame:
-    frame = metric_frame(spark, d).persist()  # a row for each area, used three times
+    frame = stored(metric_frame(spark, d))  # a row for each area, used three times
     programs = frame.select("state", "area", (40.0 + 60 * F.contains("area", F.lit("U")).cast("int")).alias("program_share"))
     out = ranking.rank_areas(frame, INDICATORS, programs, frame.select("state", "area", F.col("kids").alias("children")))
     return out.select("state", "area", "composite", F.round("coverage", 4).alias("coverage"), F.round("agreement", 4).alias("agreement"), "confidence", "rank", "ranked_of")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.functions import text as T
+from fieldglass.functions.store import stored
 from fieldglass.operators import evidence as E
 from fieldglass.plans.adapters import table
 from fieldglass.plans.registry import query
@@ -114,7 +115,7 @@ CHECKS = [("x1", "r_the", "r_key"), ("x2", "r_key", "r_the"), ("x3", "r_mark", "
     "SELECT name, a, b, len(list_distinct(list_concat(l, r))) AS together, CASE WHEN ok AND len(list_distinct(list_concat(l, r))) >= 3 AND len(list_filter(l, lambda q : NOT list_contains(r, q))) >= 1 THEN 'supported' WHEN len(l) > 0 OR len(r) > 0 THEN 'partial' ELSE 'unobserved' END AS status FROM j"
 )
 def cross_checks(spark: SparkSession, d: str) -> DataFrame:
-    rows = independent_hits(spark, d).persist()  # a row for each rule and publisher
+    rows = stored(independent_hits(spark, d))  # a row for each rule and publisher
     verified = E.corroborate(rows, ["rule"], "institutional", "official", "community").where("verified").select("rule")
     return E.cross_checks(rows, verified, spark.createDataFrame(CHECKS, "name string, a string, b string"))
 
