@@ -117,7 +117,7 @@ def resolve(sequences: DataFrame, media: DataFrame, key: str, scheme: str = "urn
     """
     found = F.struct(*(F.col(c) for c in media.columns)).alias("media")
     flat = sequences.select(key, F.posexplode_outer("items").alias("__at", "item"))
-    flat = materialize(flat.withColumn("digest", F.when(F.col("item.ref").startswith(scheme), F.substring_index("item.ref", ":", -1))), "items")
+    flat = materialize(flat.withColumn("digest", F.when(F.col("item.ref").startswith(scheme), F.substring_index("item.ref", ":", -1))), "items", "zstd")
     refers = flat.where(F.col("digest").isNotNull())
     held = media.select("digest", found).join(refers.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest")
     joined = join_counted(refers, held, ["digest"], refers.count(), "left").drop("n")
