@@ -12,7 +12,7 @@ from fieldglass.operators import desk as K
 from fieldglass.plans.adapters import table
 from fieldglass.plans.registry import query
 
-NOW = F.lit(datetime(1996, 6, 1))
+NOW = datetime(1996, 6, 1)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR date_diff('second', o_orderdate, TIMESTAMP '1996-06-01') > 2592000 THEN 'stale' WHEN o_orderkey % 50 < 20 OR o_orderkey % 97 < 55 OR o_orderkey % 4 < 2 THEN 'thin' ELSE 'review' END AS posture, o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1996-06-01' AS overdue FROM orders")
@@ -20,7 +20,7 @@ def evidence_posture(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     at = F.when(k % 9 != 0, F.col("o_orderdate"))
     status = F.when(F.col("o_orderstatus") == "F", "done").otherwise("open")
-    return table(spark, d, "orders").select("o_orderkey", K.posture(at, NOW, k % 50, k % 97, k % 4).alias("posture"), K.overdue(status, F.col("o_orderdate"), NOW).alias("overdue"))
+    return table(spark, d, "orders").select("o_orderkey", K.posture(at, F.lit(NOW), k % 50, k % 97, k % 4).alias("posture"), K.overdue(status, F.col("o_orderdate"), F.lit(NOW)).alias("overdue"))
 
 
 QUEUE_SQL = (
