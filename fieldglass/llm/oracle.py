@@ -37,4 +37,22 @@ kept AS (SELECT doc_id, len(w) AS n_words, coalesce(len(spots), 0) AS n_removed,
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(list_transform(list_filter(range(1, n_words + 1), lambda k : NOT list_contains(spots, k)), lambda k : w[k]), ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLE = {"op4_ngram_jaccard": OP4, "op5_arc_to_warc": OP5, "op7_recompression_dedup": OP7}
+_CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c : [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda s, x : xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295)"
+OP11 = f"""
+WITH turn AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+dict AS (SELECT k, row_number() OVER (ORDER BY k) AS id, ANY_VALUE(n) AS n FROM turn GROUP BY k),
+own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, k) AS s FROM turn JOIN dict USING (k) GROUP BY 1),
+conv AS (SELECT c.conv_id, {_CRC32.replace("conv_id", "c.conv_id")} % 6 AS h, c.s, b.s AS f FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+whole AS (SELECT conv_id, list_concat(coalesce(f, [])[1 : h], s[h + 1 :]) AS s FROM conv),
+spot AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM whole),
+node AS (SELECT depth, s[1 : depth] AS path, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth), '')) AS ends_sha256 FROM spot GROUP BY 1, 2),
+up AS (SELECT node.*, path[: depth - 1] AS above, coalesce(dict.n, 0) AS n FROM node LEFT JOIN dict ON dict.id = path[depth]),
+kid AS (SELECT above AS path, COUNT(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT up.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * n AS saves FROM up LEFT JOIN kid USING (path)),
+anc AS (SELECT unnest(list_transform(range(0, depth + 1), lambda i : path[1 : i])) AS path, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, saves FROM full_node),
+sums AS (SELECT path, SUM(leaf) AS n_leaves, SUM(saves) AS saved_tokens FROM anc GROUP BY 1)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM full_node x JOIN sums USING (path) LEFT JOIN full_node p ON x.depth > 0 AND p.path = x.above
+"""
+
+ORACLE = {"op11_conversation_trie": OP11, "op4_ngram_jaccard": OP4, "op5_arc_to_warc": OP5, "op7_recompression_dedup": OP7}

@@ -17,6 +17,7 @@ from fieldglass.llm.packing import op6
 from fieldglass.llm.repeats import op7
 from fieldglass.llm.rules import op8
 from fieldglass.llm.secrets import op2
+from fieldglass.llm.trie import op11
 from fieldglass.llm.warc import op5
 
 
@@ -60,6 +61,10 @@ def op7_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
     "op2_secret_scan": op2_secret_scan,
@@ -71,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_compression_quality": op9_compression_quality,
     "op10_line_alignment": op10_line_alignment,
+    "op11_conversation_trie": op11_conversation_trie,
 }
