@@ -145,3 +145,15 @@ def binary_lists(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tup
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else pc.cast(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of the batches with so many rows or bytes in a column at most, but one row at least. The session's own batch bounds stay as they are."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n

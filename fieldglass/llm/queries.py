@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldglass.llm.alignment import op12
 from fieldglass.llm.common import table
 from fieldglass.llm.compression import op9
+from fieldglass.llm.langid import op13
 from fieldglass.llm.lines import op10
 from fieldglass.llm.media import op1
 from fieldglass.llm.mixing import op3
@@ -65,6 +67,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11(table(spark, sf_dir, "conversations"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": op1_interleaved_media,
     "op2_secret_scan": op2_secret_scan,
@@ -77,4 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_compression_quality": op9_compression_quality,
     "op10_line_alignment": op10_line_alignment,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_language_id": op13_language_id,
 }
