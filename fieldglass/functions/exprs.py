@@ -70,7 +70,7 @@ def lower_rank(value: ColumnOrName, *groups: ColumnOrName) -> Column:
 
 
 def upper_median(value: str) -> Column:
-    """Aggregate: the middle value, of two the greater. Values are counted, not gathered in a list."""
+    """Aggregate: the middle value, of two the greater, as a double. Values are counted, not gathered in a list."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import half_up
-from fieldglass.functions.text import has_word, narrative
+from fieldglass.functions.text import narrative
 
 
 def match_rules(docs: DataFrame, rules: dict[str, Sequence[str]], text: str = "text") -> DataFrame:
@@ -25,24 +25,6 @@ def _all(tests) -> Column:
     return out
 
 
-def narrowing_signals(docs: DataFrame, signals: dict[str, tuple[str, int, Sequence[str]]], text: str = "text") -> DataFrame:
-    """signals: name -> (dimension, weight, whole-word terms, any of which will do). A row for each document and signal."""
-    found = []
-    for name, (dimension, weight, terms) in signals.items():
-        test = F.lit(False)
-        for t in terms:
-            test = test | has_word(F.col("__low"), t.lower())
-        found.append(F.when(test, F.struct(F.lit(name).alias("signal"), F.lit(dimension).alias("dimension"), F.lit(weight).alias("weight"))))
-    return docs.withColumn("__low", F.lower(F.col(text))).select(*docs.columns, F.inline(F.array_compact(F.array(*found))))
-
-
-def narrowing_score(signals: DataFrame, key: str) -> DataFrame:
-    """For each dimension the best weight and up to 2 more from a third of the rest; their sum times 5, at most 100."""
-    by = signals.dropDuplicates([key, "signal"]).groupBy(key, "dimension").agg(F.max("weight").alias("best"), (F.sum("weight") - F.max("weight")).alias("rest"), F.count(F.lit(1)).alias("n"))
-    points = F.col("best") + F.least(F.lit(2.0), F.col("rest") / 3)
-    return by.groupBy(key).agg(F.least(F.lit(100.0), half_up(F.sum(points) * 5).cast("double")).alias("fit"), F.sum("n").alias("signals"), F.count(F.lit(1)).alias("dimensions"))
-
-
 def first_publishers(hits: DataFrame, key: Sequence[str], publisher: str = "publisher", order: str = "doc_id") -> DataFrame:
     """One row for each key and publisher: the first."""
     w = Window.partitionBy(*key, publisher).orderBy(order)

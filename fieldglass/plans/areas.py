@@ -140,7 +140,7 @@ def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {AREA_SQL} SELECT state, CAST(SUM(people) AS BIGINT) AS people, round(SUM(poor) * 100.0E0 / SUM(people), 6) AS poor_share, list_sort(list(people))[CAST(floor(COUNT(*) / 2) AS INT) + 1] AS upper_middle, median(people) AS middle FROM frame GROUP BY 1")
 def state_baselines(spark: SparkSession, d: str) -> DataFrame:
-    return area_frame(spark, d).groupBy("state").agg(F.sum("people").alias("people"), F.round(ratio(F.sum("poor"), F.sum("people"), 100), 6).alias("poor_share"), upper_median("people").alias("upper_middle"), F.median("people").alias("middle"))
+    return area_frame(spark, d).groupBy("state").agg(F.sum("people").alias("people"), F.round(ratio(F.sum("poor"), F.sum("people"), 100), 6).alias("poor_share"), upper_median("people").cast("long").alias("upper_middle"), F.median("people").alias("middle"))
 
 
 @query(f"WITH {AREA_SQL}, g AS (SELECT state, area, orders - early AS now, early FROM frame) SELECT state, area, CASE WHEN early > 0 THEN round((now - early) * 1.0E0 / early, 6) END AS growth FROM g")

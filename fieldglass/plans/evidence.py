@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import text as T
 from fieldglass.functions.store import stored
+from fieldglass.operators import catalogs as R
 from fieldglass.operators import evidence as E
 from fieldglass.plans.adapters import table
 from fieldglass.plans.registry import query
@@ -59,15 +60,8 @@ def email_extract(spark: SparkSession, d: str) -> DataFrame:
 PHONE_SQL = "list_filter(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^0-9])(?:\\+?1[ .-]?)?(\\(?[2-9][0-9]{2}\\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4})(?:$|[^0-9])', 1), lambda x : regexp_replace(x, '[^0-9]', '', 'g'))), lambda x : NOT regexp_matches(x, '^[0-9]{3}55501'))"
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_transform({PHONE_SQL}, lambda x : '(' || substr(x, 1, 3) || ') ' || substr(x, 4, 3) || '-' || substr(x, 7, 4))), ',') AS phones FROM documents WHERE contains(text, '(')")
-def phone_extract(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.contains("text", F.lit("(")))
-    return docs.select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))
-
-
 @query(f"SELECT doc_id, array_to_string(list_sort(list_transform({PHONE_SQL}, lambda x : '(' || substr(x, 1, 3) || ') ' || substr(x, 4, 3) || '-' || substr(x, 7, 4))), ',') AS phones FROM documents WHERE text IS NOT NULL")
-def phone_extract_all(spark: SparkSession, d: str) -> DataFrame:
-    """phone_extract on every text, with or without a parenthesis."""
+def phone_extract(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))
 
@@ -122,17 +116,22 @@ def cross_checks(spark: SparkSession, d: str) -> DataFrame:
 
 SIGNALS = {"s_the": ("en", 6, ["the", "that"]), "s_with": ("en", 5, ["with"]), "s_from": ("en", 3, ["from"]), "s_der": ("de", 6, ["der"]), "s_les": ("fr", 4, ["les", "des"]), "s_los": ("es", 4, ["los"]), "s_token": ("secret", 8, ["token", "password"])}
 WORD_SQL = "regexp_matches(lower(text), '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
-SIGNAL_SQL = "sig AS (" + " UNION ALL ".join("SELECT doc_id, '{}' AS signal, '{}' AS dimension, {} AS weight FROM documents WHERE {}".format(n, dim, w, " OR ".join(WORD_SQL.format(t) for t in ts)) for n, (dim, w, ts) in SIGNALS.items()) + ")"
+SIGNAL_SQL = "sig AS (" + " UNION ALL ".join("SELECT doc_id, '{}' AS signal, '{}' AS dimension, {} AS weight FROM documents WHERE {}".format(n, dim, w, " AND ".join(WORD_SQL.format(t) for t in ts)) for n, (dim, w, ts) in SIGNALS.items()) + ")"
+
+
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame([(n, n, dim, False, w, [], [[t] for t in ts], [R.whole_word(t) for t in ts]) for n, (dim, w, ts) in SIGNALS.items()], R.RULE_DDL)
+    return R.match(table(spark, d, "documents").select("doc_id", "text"), rules).join(F.broadcast(rules.select("rule", "grp", "weight")), "rule")
 
 
 @query(f"WITH {SIGNAL_SQL}, b AS (SELECT doc_id, dimension, MAX(weight) AS best, SUM(weight) - MAX(weight) AS rest, COUNT(*) AS n FROM sig GROUP BY 1, 2) SELECT doc_id, least(100.0E0, floor(SUM(best + least(2.0E0, rest / 3.0E0)) * 5 + 0.5E0)) AS fit, CAST(SUM(n) AS BIGINT) AS signals, COUNT(*) AS dimensions FROM b GROUP BY 1")
 def narrowing_score(spark: SparkSession, d: str) -> DataFrame:
-    return E.narrowing_score(E.narrowing_signals(table(spark, d, "documents").select("doc_id", "text"), SIGNALS), "doc_id")
+    return R.narrowing_fit(signals(spark, d), "doc_id").drop("bonus")
 
 
 @query(f"WITH {SIGNAL_SQL} SELECT signal, dimension, COUNT(*) AS documents, CAST(SUM(weight) AS BIGINT) AS weight FROM sig GROUP BY 1, 2 ORDER BY documents DESC, signal LIMIT 8")
 def narrowing_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = E.narrowing_signals(table(spark, d, "documents").select("doc_id", "text"), SIGNALS)
+    s = signals(spark, d).withColumnsRenamed({"rule": "signal", "grp": "dimension"})
     return s.groupBy("signal", "dimension").agg(F.count(F.lit(1)).alias("documents"), F.sum("weight").alias("weight")).orderBy(F.col("documents").desc(), "signal").limit(8)
 
 
