@@ -37,9 +37,10 @@ _STRETCH = pa.schema([("stretch", pa.string()), ("doc_id", pa.list_(pa.int64()))
 _RESULT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _RESULT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in (*_FACTS, "n_best", "count_sum")), ("groups_sha256", pa.string())])
 #: Documents and bytes of text in a stretch. Larger stretches have fewer distinct pairs for their text.
-STRETCH_ROWS, STRETCH_BYTES = 1000, 4 << 20
+STRETCH_ROWS, STRETCH_BYTES = 1000, 2 << 20
 
-Encode = Callable[[list[str]], list[list[int]]]
+#: The ids of one text.
+Encode = Callable[[str], np.ndarray]
 _vocabularies: dict[tuple, tuple] = {}
 
 
@@ -65,7 +66,7 @@ def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> tuple[Encode, lis
     table = [b""] * (max(entries.values()) + 1)
     for entry, i in entries.items():
         table[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
-    return lambda texts: [encode(" " + t) for t in texts], table
+    return lambda text: np.array(encode(" " + text), np.int32), table
 
 
 def piece_bpe(model_path: str) -> tuple[Encode, list[bytes]]:
@@ -77,7 +78,7 @@ def piece_bpe(model_path: str) -> tuple[Encode, list[bytes]]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         table.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return lambda texts: [model.encode(t) for t in texts], table
+    return lambda text: np.array(model.encode(text), np.int32), table
 
 
 class Vocabulary:
@@ -98,6 +99,15 @@ def vocabularies(json_path: str, ranks_path: str, pattern: str, model_path: str)
     return _vocabularies[key]
 
 
+_NONE = np.empty(0, np.int32)
+
+
+def list_array(rows: list[np.ndarray]) -> pa.ListArray:
+    """A list column of ids, one list for each text."""
+    ends = np.cumsum([len(x) for x in rows]) if rows else []
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else _NONE))
+
+
 def whole(lists: pa.ListArray, table: pa.Array, wanted: list[bytes]) -> np.ndarray:
     """Of which documents the joined bytes of the tokens are those wanted."""
     joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, table.take(lists.values)), b"")
@@ -115,7 +125,7 @@ def ends_table(lists: pa.ListArray, vocabulary: Vocabulary, ids: str, place: str
     before = pa.array(np.concatenate([[0], running.to_numpy()])[offsets[:-1]])
     end = pc.subtract(running, before.take(parent))
     key = pc.bit_wise_or(pc.shift_left(parent, _SHIFT), end)
-    return pa.table({"key": key, ids: flat, place: pa.array(np.arange(len(flat), dtype=np.int64))})
+    return pa.table({"key": key, ids: flat.cast(pa.int64()), place: pa.array(np.arange(len(flat), dtype=np.int32))})
 
 
 def joined_by(strings: pa.Array, offsets: np.ndarray, by: str) -> pa.Array:
@@ -128,32 +138,24 @@ def aligned(doc_ids: pa.Array, texts: list[str], a: Vocabulary, b: Vocabulary, n
     rows = len(texts)
     given = np.array([bool(t) for t in texts])
     wanted = [b" " + t.encode() if t else b"" for t in texts]
-    lists = []
-    for v in (a, b):
-        ids = v.encode([t for t in texts if t])
-        full, k = [], 0
-        for has in given.tolist():
-            full.append(ids[k] if has else [])
-            k += has
-        found = pa.array(full, pa.list_(pa.int64()))
-        given &= whole(found, v.bytes, wanted)
-        lists.append(found)
-    keep = pa.array(given)
-    lists = [pc.if_else(keep, x, pa.scalar([], pa.list_(pa.int64()))) for x in lists]
-    lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int32)), x.flatten()) for x in lists]
+    ids = [[v.encode(t) if t else _NONE for t in texts] for v in (a, b)]
+    for v, own in zip((a, b), ids, strict=True):
+        given &= whole(list_array(own), v.bytes, wanted)
+    lists = [list_array([x if has else _NONE for x, has in zip(own, given.tolist(), strict=True)]) for own in ids]
+    del ids, wanted
     table_a, table_b = ends_table(lists[0], a, "a", "at_a"), ends_table(lists[1], b, "b", "at_b")
     # Where both end: the last tokens of a group.
-    cut = table_a.join(table_b, "key", join_type="inner").sort_by("key")
+    cut = table_a.join(table_b, "key", join_type="inner", use_threads=False).sort_by("key")
     doc_of = lambda t: np.asarray(t.column("key").to_numpy()) >> _SHIFT
     n_groups = np.bincount(doc_of(cut), minlength=rows)
     sides = [joined_by(v.digits.take(x.values), np.concatenate([[0], cut.column(at).to_numpy() + 1]), ",") for v, x, at in ((a, lists[0], "at_a"), (b, lists[1], "at_b"))]
     texts_of = joined_by(pc.binary_join_element_wise(*sides, "|"), np.concatenate([[0], np.cumsum(n_groups)]), ";")
     digests = [hashlib.sha256(s.encode()).hexdigest() if has else "" for s, has in zip(texts_of.to_pylist(), given.tolist(), strict=True)]
     # All ends: up to each of them the next token of either kind goes on. A document's last end is one of both.
-    every = table_a.select(["key", "a"]).join(table_b.select(["key", "b"]), "key", join_type="full outer", coalesce_keys=True).sort_by("key").combine_chunks()
+    every = table_a.select(["key", "a"]).join(table_b.select(["key", "b"]), "key", join_type="full outer", coalesce_keys=True, use_threads=False).sort_by("key").combine_chunks()
     links = pa.table({"doc": pa.array(doc_of(every)), "pair": pc.bit_wise_or(pc.shift_left(pc.fill_null_backward(every.column("a")), _SHIFT), pc.fill_null_backward(every.column("b")))})
-    held = links.group_by(["doc", "pair"]).aggregate([([], "count_all")])
-    total = held.group_by("pair").aggregate([("count_all", "sum")]).sort_by("pair")
+    held = links.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
+    total = held.group_by("pair", use_threads=False).aggregate([("count_all", "sum")]).sort_by("pair")
     pairs = total.column("pair").combine_chunks()
     held = held.append_column("place", pc.index_in(held.column("pair"), value_set=pairs)).sort_by([("doc", "ascending"), ("place", "ascending")])
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(held.column("doc").to_numpy(), minlength=rows))]).astype(np.int32))
@@ -175,6 +177,7 @@ def stretches(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, mo
         for k, batch in enumerate(slices(batches, 1, rows, size)):
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             yield aligned(batch.column(0), texts, a, b, f"{task}-{k}")
+            pa.default_memory_pool().release_unused()
 
     return materialize(id_and_text(docs).mapInArrow(run, _STRETCH_DDL), "aligned", "zstd")
 

@@ -111,5 +111,5 @@ def test_texts_without_tokens_alone(spark, encoders):
 def test_ids_equal_the_tokenizer_file(spark, encoders):
     encode, table = alignment.byte_bpe(*FILES[:3])
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text] + [t for _, t in ODD if t]
-    for text, ids in zip(texts, encode(texts), strict=True):
-        assert [(i, table[i]) for i in ids] == encoders[0](text)
+    for text in texts:
+        assert [(i, table[i]) for i in encode(text).tolist()] == encoders[0](text)
