@@ -67,10 +67,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of a table by their quoted names, so a name may hold any character."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def row_name(df: DataFrame) -> Column:
     """A hash of all columns of a row but maps, nulls told apart; rows of one name are the same row."""
-    own = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
-    return F.xxhash64(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{c}`").isNull() for c in own))
+    own = [c for c, f in zip(columns_of(df), df.schema.fields, strict=True) if f.dataType.typeName() != "map"]
+    return F.xxhash64(*own, *(c.isNull() for c in own))
 
 
 def blocks_for(docs: DataFrame, text_col: str = "text", block_bytes: int = 16 << 20) -> int:

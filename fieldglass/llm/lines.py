@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import WORD, bounded_batches, join_counted, materialize, mix, starts_of
+from fieldglass.llm.common import WORD, bounded_batches, columns_of, join_counted, materialize, mix, starts_of
 from fieldglass.llm.rules import let
 
 
@@ -204,7 +204,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 6) -> DataFrame
     out = without_common_lines(docs, min_words, rare).where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))
 
 
 def op10(docs: DataFrame) -> DataFrame:

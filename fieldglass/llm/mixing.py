@@ -12,7 +12,8 @@ Defined cases: null group values are a group of their own, named by the empty st
 default weight; weights of 0 take nothing; null and empty texts have no tokens and are taken with the prefix that they fall
 in; repeated rows (same id) are counted and ordered as rows of their own, each by all its
 columns, so a budget holds for null and repeated ids too and of rows that are equal in all columns it takes as many as it
-covers; null ids hash like any value; an empty table gives no rows; extra columns are left alone.
+covers; null ids hash like any value; an empty table gives no rows; extra columns, whatever their names, go along unchanged
+(as part of a row they have a part in the seeded order).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import join_counted, materialize, row_name, word_count
+from fieldglass.llm.common import columns_of, join_counted, materialize, row_name, word_count
 
 LEVELS = ("domain", "lang", "source")
 #: Rows of a leaf in one bucket, about.
@@ -132,12 +133,13 @@ def mixed_documents(docs: DataFrame, total: float = 0.8, seed: int = 7, max_epoc
     taken = mix(light, WEIGHTS, total, seed, max_epochs).groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
     plan = light.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).join(taken, "row_key")
     plan = materialize(plan.withColumnRenamed("row_key", "__row"), "taken-rows")
-    named = docs.withColumn("__row", row_name(docs))
+    # A row goes along as one struct, so its columns' names meet none of the plan's.
+    named = docs.select(row_name(docs).alias("__row"), F.struct(*columns_of(docs)).alias("__doc"))
     each = F.floor(F.col("times") / F.col("n")).cast("int")
-    out = join_counted(named, plan, ["__row"], light.count()).withColumn("__time", F.explode(F.array_repeat(F.lit(1), each))).select(*docs.columns)
+    out = join_counted(named, plan, ["__row"], light.count()).select("__doc", F.explode(F.array_repeat(F.lit(1), each)).alias("__time")).select("__doc.*")
     # A budget ends among equal rows in one place of a leaf at most: the odd ones come as one row and its number.
     cut = plan.where(F.col("times") % F.col("n") != 0)
     if not cut.isEmpty():
-        odd = named.join(cut, "__row").groupBy("__row").agg(F.any_value(F.struct(*docs.columns)).alias("row"), F.max(F.col("times") % F.col("n")).cast("int").alias("odd"))
-        out = out.unionByName(odd.withColumn("__time", F.explode(F.array_repeat(F.lit(1), F.col("odd")))).select("row.*"))
+        odd = named.join(cut, "__row").groupBy("__row").agg(F.any_value("__doc").alias("__doc"), F.max(F.col("times") % F.col("n")).cast("int").alias("odd"))
+        out = out.unionByName(odd.select("__doc", F.explode(F.array_repeat(F.lit(1), F.col("odd"))).alias("__time")).select("__doc.*"))
     return out

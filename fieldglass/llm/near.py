@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import blocks_for, bounded_batches, id_and_text, join_counted, materialize, mix, row_name, window_hash
+from fieldglass.llm.common import blocks_for, bounded_batches, columns_of, id_and_text, join_counted, materialize, mix, row_name, window_hash
 from fieldglass.llm.components import components
 
 WIDTH = 5
@@ -350,11 +350,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     light = named.select("__own", F.col("doc_id").alias("id")).distinct().join(group, "__own")
     least = light.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__own", "rows")).alias("least"))
     kept = materialize(least.select("least.__own", F.col("least.rows").alias("__rows")), "kept")
-    out = named.join(kept.where(F.col("__rows") == 1).select("__own").hint("merge"), "__own", "left_semi").select(*docs.columns)
+    out = named.join(kept.where(F.col("__rows") == 1).select("__own").hint("merge"), "__own", "left_semi").select(*columns_of(docs))
     repeated = kept.where(F.col("__rows") > 1).select("__own")
     if not repeated.isEmpty():
         again = named.withColumn("__row", row_name(docs)).join(repeated, "__own", "left_semi")
-        out = out.unionByName(again.groupBy("__own").agg(F.min_by(F.struct(*docs.columns), "__row").alias("row")).select("row.*"))
+        out = out.unionByName(again.groupBy("__own").agg(F.min_by(F.struct(*columns_of(docs)), "__row").alias("row")).select("row.*"))
     return out
 
 

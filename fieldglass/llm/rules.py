@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import SPACE, materialize
+from fieldglass.llm.common import SPACE, columns_of, materialize
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "echo_rate", "symbol_word_rate")
@@ -188,7 +188,7 @@ def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text", into: st
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base rules nor the learned list rejects, with their own columns."""
     into = "__rules"
-    return judge(docs, learn(docs, labels), into=into).where(F.col(f"{into}_kept")).select(*docs.columns)
+    return judge(docs, learn(docs, labels), into=into).where(F.col(f"{into}_kept")).select(*columns_of(docs))
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
