@@ -6,11 +6,13 @@ of its columns as packed numbers, so what Spark shuffles is a few rows for each
 1. Of each row, count the entries whose column has another row. Linked rows share three quarters of the larger set, so rows
    with fewer such entries are linked with nothing and go. Equal sets are one row from here on.
 2. Of the rows left, keep the rarest columns: two linked sets that are ordered alike, rare columns first, share a column
-   among the first quarter of the larger and the first seventh of the smaller.
+   among the first quarter of the larger and the first seventh of the smaller. Columns are split by bands of sizes, as
+   linked sets differ by a third in size at most.
 3. Rows that share such a column are candidates. Crowds first meet the one of their number that has the fewest
-   entries of its own, so is likest to the others; what that links is one component, and those still outside meet another row
-   of their column's largest one. Only rows outside it then meet all rows of the column that are in other components than
-   they, so a crowd of near copies never becomes all its pairs.
+   entries of its own, so is likest to the others; what that links is one component. In each round after that every row meets
+   a few rows of its columns that are in other components, and the likest of these are tried, until a round links nothing
+   more. Only rows outside their column's main component then meet all its rows in other components, in parts of bounded
+   size, so a crowd of copies never becomes all its pairs and no column has a task of its own.
 4. Candidates that their sizes, the columns' places and a parity sketch allow are intersected whole. Components of the links follow.
 
 No link between different texts is lost: a pair that isn't intersected has fewer common shingles than a link needs, or is in
@@ -28,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import blocks_for, bounded_batches, columns_of, id_and_text, join_counted, materialize, mix, row_name, window_hash
@@ -282,37 +284,79 @@ def _possible(n_a: str, place_a: str, n_b: str, place_b: str):
     return 7 * F.least(F.col(n_a) - F.col(place_a), F.col(n_b) - F.col(place_b)) >= 3 * (F.col(n_a) + F.col(n_b))
 
 
-def _alike(a: str, b: str, n_a: str, n_b: str):
-    """Linked sets differ in a seventh of their sizes' sum at most, so no more of their parities may."""
-    differ = reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(8)))
-    return 7 * differ <= F.col(n_a) + F.col(n_b)
+#: In a round a row of a column meets so many others of it, and so many of all that it met are intersected with it.
+REPRESENTATIVES, TRIED = 16, 4
+#: Rows outside a column's main component that one key of the last join holds, about.
+PART_ROWS = 256
+
+
+def _differing(a: str, b: str) -> Column:
+    """In how many parities two sets differ."""
+    return reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(8)))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    """Columns whose rows are in several components, one of them with the column in its shorter prefix: with the component that most of them are in, and the least size of a row that has it in the shorter prefix. Components are counted before they meet."""
+    parts = rows.groupBy("column", "component").agg(F.count(F.lit(1)).alias("size"), F.bool_or("near").alias("any"), F.bool_or("home").alias("home"), F.min(F.when(F.col("near"), F.col("n"))).alias("least"))
+    out = parts.groupBy("column").agg(F.count(F.lit(1)).alias("parts"), F.bool_or("any").alias("any"), F.bool_or("home").alias("home"), F.min("least").alias("least"), F.max_by("component", F.struct("size", "component")).alias("main"))
+    return out.where((F.col("parts") > 1) & F.col("any") & F.col("home")).select("column", "main", "least")
+
+
+def _banded(prefix: DataFrame) -> DataFrame:
+    """prefix with each column split by size: linked sets' sizes are in one band or in two that adjoin, as bands are wider than a link lets sizes differ.
+
+    A row is in its own band's column and, as a lesser one, in that of the next band; two rows meet where one is in its own.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.35)))  # over 4 / 3
+    twice = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
+    out = prefix.select("*", F.explode(twice).alias("x"))
+    return out.withColumns({"column": F.xxhash64("column", "x.band"), "home": F.col("x.home")}).drop("x")
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "component", "near", "home", "parities")]
+
+
+def _open_pairs(met: DataFrame) -> DataFrame:
+    """Of rows a and b that met in a column, those that aren't in one component and that sizes, places and parities leave open."""
+    sizes = (F.col("near_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("near_b") & (F.col("n_b") <= F.col("n_a")))
+    alike = 7 * _differing("parities_a", "parities_b") <= F.col("n_a") + F.col("n_b")
+    return met.where((F.col("component_a") != F.col("component_b")) & (F.col("home_a") | F.col("home_b")) & sizes & _possible("n_a", "place_a", "n_b", "place_b") & alike)
 
 
 def links(sets: DataFrame, prefix: DataFrame, rounds: int = 2) -> DataFrame:
     """Components of the rows in prefix, as `node` and `component`."""
-    found, label = None, None
-    for k in range(rounds + 1):
-        rows = prefix if label is None else prefix.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
-        rows = rows.withColumn("component", F.col("cid") if label is None else F.coalesce("component", "cid"))
-        # A row of each column for the others to meet: at first that likest to them, later another one by hash.
-        order = F.struct("own", "cid") if k == 0 else F.struct(F.xxhash64("cid", F.lit(k)), "cid")
-        open_ = rows.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("near").alias("any"), F.min_by(F.struct("cid", "n", "place", "component"), order).alias("first"))
-        open_ = open_.where((F.col("low") != F.col("high")) & F.col("any"))
-        if k < rounds:  # every row with one such row: at first that which most of its columns name, later that of its rarest column
-            met = rows.join(open_.select("column", "size", F.col("first.cid").alias("a"), F.col("first.n").alias("n_a"), F.col("first.place").alias("place_a"), F.col("first.component").alias("component_a")), "column")
-            met = met.where((F.col("component") != F.col("component_a")) & _possible("n", "place", "n_a", "place_a"))
-            best = F.struct(F.col("count"), -F.col("a")) if k == 0 else F.struct(-F.col("size"), F.xxhash64("a", F.lit(k)))
-            pairs = met.groupBy("cid", "a").agg(F.count(F.lit(1)).alias("count"), F.min("size").alias("size")).groupBy("cid").agg(F.max_by("a", best).alias("a")).select("a", F.col("cid").alias("b"))
-        else:  # rows outside their column's largest component, with all rows of the column
-            left = materialize(rows.join(open_.select("column", F.col("first.component").alias("main")), "column").join(sets.select("cid", "parities"), "cid"), "open-columns")
-            side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "component", "near", "parities")]
-            odd = left.where(F.col("component") != F.col("main")).select("column", F.col("cid").alias("a"), *side("a"))
-            met = odd.join(left.select("column", F.col("cid").alias("b"), *side("b")), "column")
-            sizes = (F.col("near_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("near_b") & (F.col("n_b") <= F.col("n_a")))
-            met = met.where((F.col("component_a") != F.col("component_b")) & sizes & _possible("n_a", "place_a", "n_b", "place_b") & _alike("parities_a", "parities_b", "n_a", "n_b"))
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prefix = materialize(_banded(prefix), "banded-columns")
+    # The row of a column that has the fewest entries of its own is likest to the others.
+    lead = prefix.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.bool_or("near").alias("any"), F.min_by(F.struct("cid", "n", "place"), F.struct("own", "cid")).alias("x"))
+    lead = lead.where((F.col("size") > 1) & F.col("any")).select("column", F.col("x.cid").alias("a"), F.col("x.n").alias("n_a"), F.col("x.place").alias("place_a"))
+    met = prefix.join(lead, "column").where((F.col("cid") != F.col("a")) & _possible("n", "place", "n_a", "place_a"))
+    best = met.groupBy("cid", "a").agg(F.count(F.lit(1)).alias("count")).groupBy("cid").agg(F.max_by("a", F.struct(F.col("count"), -F.col("a"))).alias("a"))
+    found = materialize(linked(best.select("a", F.col("cid").alias("b")), sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    label = components(found)
+    for k in range(1, rounds + 2):
+        rows = prefix.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        # A link's smaller row has the column in its shorter prefix, so a row whose place leaves too little open even for the least of these goes.
+        reach = 7 * (F.col("n") - F.col("place")) >= 3 * (F.col("n") + F.col("least"))
+        left = materialize(rows.join(_columns(rows), "column").where(reach).join(sets.select("cid", "parities"), "cid"), "open-columns")
+        other = left.select("column", F.col("cid").alias("b"), *_side("b"))
+        if k <= rounds:  # every row meets a few of each of its columns, others in each round, and the likest of these are tried
+            drawn = left.withColumn("turn", F.row_number().over(Window.partitionBy("column").orderBy(F.xxhash64("cid", F.lit(k)), "cid"))).where(F.col("turn") <= REPRESENTATIVES)
+            met = _open_pairs(drawn.select("column", F.col("cid").alias("a"), *_side("a")).join(other, "column"))
+            once = met.groupBy("b", "a").agg(F.min(_differing("parities_a", "parities_b")).alias("differ"))
+            pairs = once.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))).where(F.col("turn") <= TRIED).select("a", "b")
+        else:  # rows outside their column's main component meet all rows of the column, in parts of the former
+            odd = left.where(F.col("component") != F.col("main"))
+            parts = odd.groupBy("column").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+            odd = odd.join(parts, "column").select("column", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.col("cid").alias("a"), *_side("a"))
+            every = other.join(parts, "column").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            pairs = _open_pairs(odd.join(every, ["column", "part"]))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = materialize(linked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        found = new if found is None else found.unionByName(new)
+        if new.isEmpty() and k <= rounds:
+            rounds = k - 1  # what can be found by drawing is found: the last join follows
+            continue
+        found = found.unionByName(new)
         label = components(found)
     return label
 
