@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import half_up
+from fieldglass.functions.store import stored
 from fieldglass.functions.text import narrative
+from fieldglass.operators.greedy import merged
 
 
 def match_rules(docs: DataFrame, rules: dict[str, Sequence[str]], text: str = "text") -> DataFrame:
@@ -32,16 +34,21 @@ def first_publishers(hits: DataFrame, key: Sequence[str], publisher: str = "publ
 
 
 def independent(rows: DataFrame, key: Sequence[str], text: str, publisher: str = "publisher", order: str = "doc_id") -> DataFrame:
-    """One row for each key and publisher, without those that tell what an earlier publisher of the key tells (see same_narratives)."""
-    first = first_publishers(rows, key, publisher, order)
+    """One row for each key and publisher, the first, and of these, in order, only those that don't tell what one kept before tells (see same_narratives)."""
+    first = stored(first_publishers(rows, key, publisher, order))
     # The same narrative is the same text for every key, so each document's is compared once.
     member, links = same_narratives(first.dropDuplicates([order]), order, text)
     held = first.join(member.select(F.col("id").alias(order), "story"), order, "left")
-    mine = held.select(*key, F.col(publisher).alias("__p"), F.col("story").alias("__s"))
-    near = links.select(F.col("a").alias("__s"), F.col("b").alias("story")).unionByName(links.select(F.col("b").alias("__s"), F.col("a").alias("story")))
-    same = held.where(F.col("story").isNotNull()).join(mine, [*key]).where((F.col("__p") < F.col(publisher)) & (F.col("__s") == F.col("story"))).select(*key, publisher)
-    like = held.where(F.col("story").isNotNull()).join(near, "story").join(mine, [*key, "__s"]).where(F.col("__p") < F.col(publisher)).select(*key, publisher)
-    return held.join(same.unionByName(like).distinct(), [*key, publisher], "left_anti").drop("story")
+    told = held.where(F.col("story").isNotNull())
+    # Of one story only the first of a key can stay; what it is like decides for the others too.
+    lead = stored(told.groupBy(*key, "story").agg(F.min(order).alias("__at")))
+    near = links.select(F.col("a").alias("story"), F.col("b").alias("__other")).unionByName(links.select(F.col("b").alias("story"), F.col("a").alias("__other")))
+    other = lead.select(*key, F.col("story").alias("__other"), F.col("__at").alias("__before"))
+    pairs = lead.join(near, "story").join(other, [*key, "__other"]).where(F.col("__before") < F.col("__at"))
+    node = lambda at: F.struct(*key, F.col(at).alias("at"))
+    gone = merged(pairs.select(node("__before").alias("a"), node("__at").alias("b")))[0]
+    kept = lead.select(*key, F.col("__at").alias(order)).withColumn("node", F.struct(*key, F.col(order).alias("at"))).join(gone, "node", "left_anti").drop("node")
+    return held.where(F.col("story").isNull()).drop("story").unionByName(told.drop("story").join(kept, [*key, order], "left_semi"))
 
 
 def corroborate(rows: DataFrame, key: Sequence[str], institutional: str, official: str, community: str | None = None) -> DataFrame:

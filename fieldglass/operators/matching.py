@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import miles
 from fieldglass.functions.store import stored
+from fieldglass.operators.greedy import first_match
+from fieldglass.operators.spatial import DEGREE, globe_cell, near_cells
 
 #: Words that say nothing about which place it is. Fixed values.
 PLACE_WORDS = ("the", "and", "inc", "llc", "center", "centre", "learning", "child", "care", "childcare", "daycare", "academy", "school")
@@ -26,57 +28,114 @@ def distinctive(name: Column, generic: Sequence[str], least: int) -> Column:
     return F.array_distinct(F.filter(tokens(name), lambda t: (F.length(t) >= least) & ~t.isin(*generic)))
 
 
-def same_places(places: DataFrame, near: float = 0.25, rough: float = 1.5, cell: float = 0.05) -> DataFrame:
-    """Pairs (a, b) of places of one kind that are close and share half of the distinctive words of the smaller name, or have the same name where either has none.
+def _described(places: DataFrame) -> DataFrame:
+    """What of a place decides whether another is the same: id, kind, its name in lower case and the words of it, where it is and how surely."""
+    return places.select("id", "kind", F.lower("name").alias("name"), "lat", "lon", F.coalesce("approximate", F.lit(False)).alias("approximate"), distinctive(F.col("name"), PLACE_WORDS, 3).alias("words"))
 
-    places: id, kind, name, lat, lon, approximate. Candidates share a cell (or a neighbour) and a word, so only those meet;
-    a pair that shares several words or cells is met more than once and kept once.
+
+def _meet(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of described places (columns with _a and _b) of one kind and alike names within the reach, with `far`.
+
+    Candidates share a cell as wide as the reach (or a neighbour) and a word, or the whole name where it has no word; pairs
+    that share several are kept once.
     """
-    words = distinctive(F.col("name"), PLACE_WORDS, 3)
-    rows = places.select("id", "kind", F.lower("name").alias("name"), "lat", "lon", "approximate", words.alias("words"))
-    key = lambda x: F.floor(F.col(x) / cell).cast("long")
-    rows = rows.withColumns({"y": key("lat"), "x": key("lon"), "word": F.explode(F.when(F.size("words") > 0, F.concat(F.array(F.lit("")), "words")).otherwise(F.array(F.lit(""))))})
-    # The empty word brings nameless places to all of their own name: it is joined with the whole name.
-    rows = rows.withColumn("word", F.when(F.col("word") == "", F.concat(F.lit("="), "name")).otherwise(F.col("word")))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = rows.withColumn("s", F.explode(steps)).select("kind", "word", (F.col("y") + F.col("s.i")).alias("y"), (F.col("x") + F.col("s.j")).alias("x"), *(F.col(c).alias(f"{c}_a") for c in ("id", "name", "lat", "lon", "approximate", "words")))
-    right = rows.select("kind", "word", "y", "x", *(F.col(c).alias(f"{c}_b") for c in ("id", "name", "lat", "lon", "approximate", "words")))
-    met = left.join(right, ["kind", "word", "y", "x"]).where(F.col("id_a") < F.col("id_b"))
-    reach = F.when(F.col("approximate_a") | F.col("approximate_b"), rough).otherwise(near)
+    size = max(reach / DEGREE, 1e-3)
+    keys = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.concat(F.lit("="), "name")))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "name", "lat", "lon", "approximate", "words")]
+    a = left.select("kind", F.explode(keys).alias("word"), near_cells(F.col("lat"), F.col("lon"), reach, size).alias("cells"), *side("a")).withColumn("cell", F.explode("cells")).drop("cells")
+    b = right.select("kind", F.explode(keys).alias("word"), globe_cell(F.col("lat"), F.col("lon"), size).alias("cell"), *side("b"))
     least = F.least(F.size("words_a"), F.size("words_b"))
     alike = F.when(least == 0, F.col("name_a") == F.col("name_b")).otherwise(F.size(F.array_intersect("words_a", "words_b")) >= 0.5 * least)
-    return met.where((miles("lat_a", "lon_a", "lat_b", "lon_b") <= reach) & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    far = miles("lat_a", "lon_a", "lat_b", "lon_b")
+    met = a.join(b, ["kind", "word", "cell"]).where((F.col("id_a") != F.col("id_b")) & alike).withColumn("far", far).where(F.col("far") <= reach)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "far", "approximate_a", "approximate_b").dropDuplicates(["a", "b"])
+
 
+def same_places(places: DataFrame, near: float = 0.25, rough: float = 1.5) -> DataFrame:
+    """Pairs (a, b), a < b, of places of one kind that are close and share half of the distinctive words of the smaller name, or have the same name where either has none.
+
+    places: id, kind, name, lat, lon, approximate. Exact points meet within the near distance, approximate ones meet all within the rough one.
+    """
+    rows = _described(places)
+    exact, about = rows.where(~F.col("approximate")), rows.where("approximate")
+    met = _meet(exact, exact, near).unionByName(_meet(about, rows, rough))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def groups(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
-    """id and the least id that pairs lead to, for all ids. Each round takes the least label of the neighbours and then that label's own, so chains halve."""
-    both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = ids.select("id", F.col("id").alias("group"))
-    for _ in range(rounds):
-        seen = both.join(label.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
-        new = label.join(seen, "id", "left").select("id", F.least("group", F.coalesce("near", "group")).alias("next"))
-        jump = new.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = stored(new.join(jump, "next").select("id", F.least("next", "far").alias("group")))
-        moved = not new.join(label.withColumnRenamed("group", "old"), "id").where("group <> old").isEmpty()
-        label = new
-        if not moved:
-            return label
-    raise RuntimeError(f"groups did not settle in {rounds} rounds")
+
+def _point_moves(edges: DataFrame) -> DataFrame:
+    """Which licensed place at an approximate point takes each exact one: (b, a), and the first of each a moves it, so a later one must be near that point.
+
+    edges: a, b, far (miles between them as they are), lat, lon of b. b goes to the first a that it matches as a is then. In a round every b
+    is settled that is the first open one of each a that no b has moved yet.
+    """
+    open_ = stored(edges)
+    moved = taken = None
+    while not open_.isEmpty():
+        now = open_ if moved is None else open_.join(moved, "a", "left")
+        if moved is None:
+            now = now.select("*", F.lit(None).cast("double").alias("to_lat"), F.lit(None).cast("double").alias("to_lon"))
+        first = now.where("to_lat is null and far <= 1.5").groupBy("a").agg(F.min("b").alias("next"))
+        now = now.join(first, "a", "left")
+        ready = now.groupBy("b").agg(F.bool_and(F.col("to_lat").isNotNull() | F.col("next").isNull() | (F.col("next") >= F.col("b"))).alias("ready")).where("ready")
+        now = stored(now.join(ready.select("b"), "b"))
+        fits = F.when(F.col("to_lat").isNull(), F.col("far") <= 1.5).otherwise(miles("to_lat", "to_lon", "lat", "lon") <= 0.25)
+        new = stored(now.where(fits).groupBy("b").agg(F.min_by(F.struct("a", "lat", "lon", F.col("to_lat").isNull().alias("moves")), "a").alias("x")).select("b", "x.*"))
+        taken = new.select("b", "a") if taken is None else taken.unionByName(new.select("b", "a"))
+        moves = new.where("moves").select("a", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+        moved = stored(moves if moved is None else moved.unionByName(moves))
+        open_ = stored(open_.join(now.select("b").distinct(), "b", "left_anti"))
+    empty = edges.limit(0)
+    return (empty.select("b", "a") if taken is None else taken), (empty.select("a", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")) if moved is None else moved)
+
+
+def merge_places(places: DataFrame, near: float = 0.25, rough: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """What a pass over the places in order would merge: (b, a) for each place b that goes into an earlier one a, and the points (a, to_lat, to_lon) that approximate places take over.
+
+    The order is licensed places first, then exact points first, then by id. Each place joins the first kept one that it is
+    the same as. A kept place at an approximate point takes the point of the first exact one that joins it, and is compared
+    there from then on; that happens to licensed ones only, as exact places come before approximate ones otherwise.
+    """
+    every = places.select("id", F.coalesce("licensed", F.lit(False)).alias("licensed"), F.coalesce("approximate", F.lit(False)).alias("approximate"))
+    group = F.when(F.col("licensed"), F.when(F.col("approximate"), 1).otherwise(0)).otherwise(F.when(F.col("approximate"), 3).otherwise(2))
+    rows = _described(places).join(every.select("id", group.alias("group")), "id")
+    at = lambda *g: rows.where(F.col("group").isin(*g))
+    in_order = lambda df: df.join(every.select(F.col("id").alias("a"), group.alias("ga")), "a").join(every.select(F.col("id").alias("b"), group.alias("gb")), "b").where((F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")))).withColumn("order", F.struct("ga", "a"))
+    without = lambda df, gone, c="id": df.join(gone.select(F.col("b").alias(c)), c, "left_anti")
+
+    licensed = in_order(_meet(at(0), at(0), near).unionByName(_meet(at(1), at(0, 1), rough)).select("a", "b").unionByName(_meet(at(0), at(1), rough).select("a", "b")).distinct())
+    done = stored(first_match(stored(licensed), "order"))
+    # Exact places without a licence: first the exact licensed ones, then those that they move, then one another.
+    to_exact = without(_meet(at(0), at(2), near).select("a", "b"), done, "a").groupBy("b").agg(F.min("a").alias("a"))
+    done = stored(done.unionByName(to_exact.select("b", "a")))
+    reach = _meet(without(at(1), done), without(at(2), done), rough + near).select("a", "b", "far")
+    takes, points = _point_moves(reach.join(places.select(F.col("id").alias("b"), "lat", "lon"), "b"))
+    points = stored(points)
+    done = stored(done.unionByName(takes.select("b", "a")))
+    left = without(at(2), done)
+    done = stored(done.unionByName(first_match(stored(in_order(_meet(left, left, near).select("a", "b"))), "order").select("b", "a")))
+    # Approximate places without a licence: what is kept, where it is now, then one another.
+    kept = without(at(0, 1, 2), done).join(points.withColumnRenamed("a", "id"), "id", "left").withColumns({"lat": F.coalesce("to_lat", "lat"), "lon": F.coalesce("to_lon", "lon")})
+    found = _meet(kept.drop("to_lat", "to_lon"), at(3), rough).select("a", "b")
+    done = stored(done.unionByName(in_order(found).groupBy("b").agg(F.min_by("a", "order").alias("a"))))
+    left = without(at(3), done)
+    return stored(done.unionByName(first_match(stored(in_order(_meet(left, left, rough).select("a", "b"))), "order").select("b", "a"))), points
 
 
 def consolidate(places: DataFrame) -> DataFrame:
-    """One row for each group of same places: the licensed one at an exact point first, with the union of sources and what the others know that it doesn't.
+    """One row for each place that a pass in order keeps (see merge_places): its own id and name, the point that it has in the end, the union of sources and what the others know that it doesn't.
 
-    places: as same_places takes them, with licensed, sources, website, phone, capacity. Groups are components of the pairs, so results do not depend on the order of rows.
+    places: as same_places takes them, with licensed, sources, website, phone, capacity. Ids are unique; ids and points aren't null.
     """
-    label = groups(same_places(places), places)
-    rows = places.join(label, "id")
-    order = F.struct((~F.coalesce("licensed", F.lit(False))).alias("u"), F.coalesce("approximate", F.lit(False)).alias("r"), F.col("id"))
-    exact = F.when(~F.coalesce("approximate", F.lit(False)), order)
+    into, points = merge_places(places)
+    rows = places.join(into.select(F.col("b").alias("id"), F.col("a").alias("group")), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    order = F.struct((F.col("id") != F.col("group")).alias("k"), (~F.coalesce("licensed", F.lit(False))).alias("u"), F.coalesce("approximate", F.lit(False)).alias("r"), F.col("id"))
     filled = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    at = lambda c: F.coalesce(F.min_by(c, exact), F.min_by(c, order)).alias(c)
+    own = lambda c: F.min_by(c, order).alias(c)
     sources = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))), ",")  # a place has as many sets of sources as there are kinds of sources
-    return rows.groupBy("group").agg(F.min_by("id", order).alias("id"), F.min_by("name", order).alias("name"), F.min_by("kind", order).alias("kind"), at("lat"), at("lon"), F.bool_and(F.coalesce("approximate", F.lit(False))).alias("approximate"), F.bool_or(F.coalesce("licensed", F.lit(False))).alias("licensed"), sources.alias("sources"), filled("website"), filled("phone"), filled("capacity"), F.count(F.lit(1)).alias("records"))
+    out = rows.groupBy("group").agg(*(own(c) for c in ("id", "name", "kind", "lat", "lon")), F.coalesce(F.min_by("approximate", order), F.lit(False)).alias("approximate"), F.coalesce(F.min_by("licensed", order), F.lit(False)).alias("licensed"), sources.alias("sources"), filled("website"), filled("phone"), filled("capacity"), F.count(F.lit(1)).alias("records"))
+    out = out.join(points.withColumnRenamed("a", "id"), "id", "left")
+    now = {"lat": F.coalesce("to_lat", "lat"), "lon": F.coalesce("to_lon", "lon"), "approximate": F.col("approximate") & F.col("to_lat").isNull()}
+    return out.withColumns(now).drop("group", "to_lat", "to_lon")
 
 
 def mentions(name: Column, text: Column) -> Column:

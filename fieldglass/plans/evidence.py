@@ -84,10 +84,11 @@ def publisher_counts(spark: SparkSession, d: str) -> DataFrame:
     return E.first_publishers(hits(spark, d), ["rule"]).select("rule", "publisher", "doc_id")
 
 
-STORY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\\x20\\x09-\\x0D]+', ' ', 'g'), '\\b(copyright|all rights reserved|read more|click here)\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+STORY_SQL = "substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\\x20\\x09-\\x0D]+', ' ', 'g'), '\\b(copyright|all rights reserved|read more|click here)\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), 1, 1500)"
 TOLD_SQL = f"told AS (SELECT rule, source, doc_id, lang, {STORY_SQL} AS story, list_distinct(list_filter(string_split({STORY_SQL}, ' '), lambda w : length(w) > 2)) AS ws FROM first)"
 ALIKE = "(x.story = y.story OR (len(x.ws) >= 9 AND len(y.ws) >= 9 AND len(list_intersect(x.ws, y.ws)) >= 0.91 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))))"
-ALONE_SQL = f"{FIRST_SQL}, {TOLD_SQL}, alone AS (SELECT * FROM told y WHERE NOT EXISTS (SELECT 1 FROM told x WHERE x.rule = y.rule AND x.source < y.source AND y.story <> '' AND x.story <> '' AND {ALIKE}))"
+SEQ_SQL = "seq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rule ORDER BY doc_id) AS n FROM told), pass AS (SELECT rule, 0::BIGINT AS n, []::STRUCT(story VARCHAR, ws VARCHAR[])[] AS kept, NULL::BIGINT AS doc_id, false AS ok FROM (SELECT DISTINCT rule FROM told) UNION ALL SELECT p.rule, y.n, CASE WHEN t THEN kept ELSE list_append(kept, {'story': y.story, 'ws': y.ws}) END, y.doc_id, NOT t FROM (SELECT p.*, y AS y, len(list_filter(p.kept, lambda x : y.story <> '' AND x.story <> '' AND ALIKE)) > 0 AS t FROM pass p JOIN seq y ON y.rule = p.rule AND y.n = p.n + 1) p)".replace("ALIKE", ALIKE)
+ALONE_SQL = f"{FIRST_SQL}, {TOLD_SQL}, {SEQ_SQL}, alone AS (SELECT told.* FROM told JOIN pass USING (rule, doc_id) WHERE ok)"
 VERIFIED_SQL = f"{ALONE_SQL}, c AS (SELECT rule, COUNT(*) AS publishers, bool_or(lang IN ('de', 'fr')) AS institutional, bool_or(lang = 'fr') AS official FROM alone GROUP BY 1), v AS (SELECT *, publishers >= CASE WHEN rule IN ('r_loud', 'r_mail') THEN 3 ELSE 2 END AND institutional AS verified FROM c)"
 
 
@@ -96,7 +97,7 @@ def independent_hits(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"institutional": F.col("lang").isin("de", "fr"), "official": F.col("lang") == "fr", "community": F.col("rule").isin("r_loud", "r_mail")})
 
 
-@query(f"WITH {VERIFIED_SQL} SELECT rule, publishers, institutional, verified, CASE WHEN verified THEN least(85, 50 + 7 * publishers) END AS value, CASE WHEN verified THEN least(86, 48 + 7 * publishers + CASE WHEN official THEN 9 ELSE 0 END) END AS confidence FROM v")
+@query(f"WITH RECURSIVE {VERIFIED_SQL} SELECT rule, publishers, institutional, verified, CASE WHEN verified THEN least(85, 50 + 7 * publishers) END AS value, CASE WHEN verified THEN least(86, 48 + 7 * publishers + CASE WHEN official THEN 9 ELSE 0 END) END AS confidence FROM v")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
     return E.corroborate(independent_hits(spark, d), ["rule"], "institutional", "official", "community")
 
@@ -105,7 +106,7 @@ CHECKS = [("x1", "r_the", "r_key"), ("x2", "r_key", "r_the"), ("x3", "r_mark", "
 
 
 @query(
-    f"WITH {VERIFIED_SQL}, p AS (SELECT * FROM (VALUES {', '.join(str(x) for x in CHECKS)}) t(name, a, b)), g AS (SELECT rule, list(DISTINCT source) AS s FROM alone GROUP BY 1), j AS (SELECT name, a, b, coalesce(x.s, []) AS l, coalesce(y.s, []) AS r, coalesce(va.verified, false) AND coalesce(vb.verified, false) AS ok FROM p LEFT JOIN g x ON a = x.rule LEFT JOIN g y ON b = y.rule LEFT JOIN v va ON va.rule = a LEFT JOIN v vb ON vb.rule = b) "
+    f"WITH RECURSIVE {VERIFIED_SQL}, p AS (SELECT * FROM (VALUES {', '.join(str(x) for x in CHECKS)}) t(name, a, b)), g AS (SELECT rule, list(DISTINCT source) AS s FROM alone GROUP BY 1), j AS (SELECT name, a, b, coalesce(x.s, []) AS l, coalesce(y.s, []) AS r, coalesce(va.verified, false) AND coalesce(vb.verified, false) AS ok FROM p LEFT JOIN g x ON a = x.rule LEFT JOIN g y ON b = y.rule LEFT JOIN v va ON va.rule = a LEFT JOIN v vb ON vb.rule = b) "
     "SELECT name, a, b, len(list_distinct(list_concat(l, r))) AS together, CASE WHEN ok AND len(list_distinct(list_concat(l, r))) >= 3 AND len(list_filter(l, lambda q : NOT list_contains(r, q))) >= 1 THEN 'supported' WHEN len(l) > 0 OR len(r) > 0 THEN 'partial' ELSE 'unobserved' END AS status FROM j"
 )
 def cross_checks(spark: SparkSession, d: str) -> DataFrame:

@@ -33,12 +33,31 @@ def same_place_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.same_places(places(spark, d))
 
 
+def _pass_sql() -> str:
+    """A pass in order over the places of each customer and kind (others are too far): the kept ones so far are a list that each place is compared with."""
+    far = miles_sql("m.lat", "m.lon", "y.lat", "y.lon")
+    same = f"{far} <= CASE WHEN m.rough OR y.approximate THEN 1.5E0 ELSE 0.25E0 END AND CASE WHEN least(len(m.ws), len(y.ws)) = 0 THEN m.low = y.low ELSE len(list_intersect(m.ws, y.ws)) >= 0.5 * least(len(m.ws), len(y.ws)) END"
+    new = "{'id': y.id, 'low': y.low, 'ws': y.ws, 'lat': y.lat, 'lon': y.lon, 'rough': y.approximate}"
+    moved = "CASE WHEN i = hit THEN {'id': m.id, 'low': m.low, 'ws': m.ws, 'lat': y.lat, 'lon': y.lon, 'rough': false} ELSE m END"
+    return (
+        "seq AS (SELECT word.*, o_custkey AS c, ROW_NUMBER() OVER (PARTITION BY o_custkey, kind ORDER BY NOT licensed, approximate, id) AS n FROM word JOIN orders ON id = o_orderkey), "
+        "pass AS (SELECT c, kind, 0::BIGINT AS n, []::STRUCT(id BIGINT, low VARCHAR, ws VARCHAR[], lat DOUBLE, lon DOUBLE, rough BOOLEAN)[] AS kept, NULL::BIGINT AS id, NULL::BIGINT AS into_id FROM (SELECT DISTINCT c, kind FROM seq) UNION ALL "
+        f"SELECT c, kind, n + 1, CASE WHEN hit IS NULL THEN list_append(kept, {new}) WHEN kept[hit].rough AND NOT y.approximate THEN list_transform(kept, lambda m, i : {moved}) ELSE kept END, y.id, CASE WHEN hit IS NULL THEN y.id ELSE kept[hit].id END "
+        f"FROM (SELECT p.*, y AS y, list_filter(range(1, len(p.kept) + 1), lambda i : list_transform([p.kept[i]], lambda m : {same})[1])[1] AS hit FROM pass p JOIN seq y ON y.c = p.c AND y.kind = p.kind AND y.n = p.n + 1) q), "
+        "spot AS (SELECT m.id AS id, m.lat AS lat, m.lon AS lon, m.rough AS approximate FROM (SELECT unnest(kept) AS m FROM (SELECT arg_max(kept, n) AS kept FROM pass GROUP BY c, kind)))"
+    )
+
+
+PASS_SQL = _pass_sql()
+
+
 @query(
-    f"WITH RECURSIVE {PAIR_SQL}, twoway AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach AS (SELECT id, id AS g FROM place UNION SELECT twoway.b, reach.g FROM reach JOIN twoway ON reach.id = twoway.a WHERE reach.g < twoway.b), label AS (SELECT id, MIN(g) AS grp FROM reach GROUP BY 1), "
-    'r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY NOT licensed, approximate, id) AS o FROM place JOIN label USING (id)) SELECT grp AS "group", MIN(id) FILTER (WHERE o = 1) AS id, MIN(name) FILTER (WHERE o = 1) AS name, bool_and(approximate) AS approximate, bool_or(licensed) AS licensed, string_agg(DISTINCT CASE WHEN licensed THEN \'roster\' ELSE \'map\' END, \',\' ORDER BY CASE WHEN licensed THEN \'roster\' ELSE \'map\' END) AS sources, arg_min(\'w\' || CAST(id AS VARCHAR), o) FILTER (WHERE id % 4 = 0) AS website, arg_min(id % 60, o) FILTER (WHERE id % 5 = 0) AS capacity, COUNT(*) AS records FROM r GROUP BY 1'
+    f"WITH RECURSIVE {PLACE_SQL}, {PASS_SQL}, r AS (SELECT place.*, into_id, ROW_NUMBER() OVER (PARTITION BY into_id ORDER BY place.id <> into_id, NOT licensed, approximate, place.id) AS o FROM place JOIN pass USING (id)), "
+    "g AS (SELECT into_id AS id, MIN(name) FILTER (WHERE o = 1) AS name, bool_or(licensed) AS licensed, string_agg(DISTINCT CASE WHEN licensed THEN 'roster' ELSE 'map' END, ',' ORDER BY CASE WHEN licensed THEN 'roster' ELSE 'map' END) AS sources, arg_min('w' || CAST(id AS VARCHAR), o) FILTER (WHERE id % 4 = 0) AS website, arg_min(id % 60, o) FILTER (WHERE id % 5 = 0) AS capacity, COUNT(*) AS records FROM r GROUP BY 1) "
+    "SELECT g.*, round(lat, 6) AS lat, round(lon, 6) AS lon, approximate FROM g JOIN spot USING (id)"
 )
 def consolidated_places(spark: SparkSession, d: str) -> DataFrame:
-    return M.consolidate(places(spark, d)).select("group", "id", "name", "approximate", "licensed", "sources", "website", "capacity", "records")
+    return M.consolidate(places(spark, d)).select("id", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "approximate", "licensed", "sources", "website", "capacity", "records")
 
 
 def organisations(spark: SparkSession, d: str) -> DataFrame:
