@@ -46,25 +46,64 @@ def clean_url(url: Column) -> Column:
     return F.when(head != "", F.concat(head, F.when(path == "", F.lit("/")).otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
 
 
+#: Named entities. Fixed values.
+ENTITIES = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "middot": "·", "bull": "•", "copy": "©", "reg": "®", "trade": "™"}
+
+
+def decoded(text: Column) -> Column:
+    """Entities as characters, in one pass: what a decoded entity and its surroundings spell is left alone. Numbers of no character are kept as they are, those of surrogates become U+FFFD."""
+    named = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+
+    def piece(x: Column) -> Column:
+        body = F.regexp_extract(x, "^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);", 1)
+        rest = F.substring(x, F.length(body) + 2, F.length(x))
+        digits = F.regexp_replace(F.when(F.lower(body).startswith("#x"), F.substring(body, 3, 100)).otherwise(F.substring(body, 2, 100)), "^0+(?=.)", "")
+        code = F.when(F.length(digits) > 7, F.lit(-1)).when(F.lower(body).startswith("#x"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+        valid = code.between(1, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(code.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(code)), 8, "0")), "UTF-32")
+        whole = F.concat(F.lit("&"), x)
+        by_name = F.try_element_at(named, F.lower(body))
+        return F.when(body == "", whole).when(body.startswith("#"), F.when(valid, F.concat(F.when(valid, char), rest)).otherwise(whole)).otherwise(F.coalesce(F.concat(by_name, rest), whole))
+
+    return F.array_join(F.transform(F.split(text, "&"), lambda x, i: F.when(i == 0, x).otherwise(piece(x))), "")
+
+
 def html_text(page: Column) -> Column:
-    """What a page says, without scripts, styles, comments and tags, named entities decoded."""
-    steps = [(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]+>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[\x20\x09-\x0D]+", " ")]
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, page))
+    """What a page says, without comments, scripts, styles and tags, entities decoded."""
+    steps = [(r"(?s)<!--.*?-->", " "), (r"(?is)<(script|style|noscript|template|svg)\b.*?</\1>", " "), (r"(?s)<[^>]+>", " ")]
+    return F.trim(F.regexp_replace(decoded(reduce(lambda x, s: F.regexp_replace(x, *s), steps, page)), r"[\x20\x09-\x0D\u00a0]+", " "))
+
+
+#: Addresses that are no mailboxes: files, placeholder domains, placeholder names. Fixed values.
+NO_MAILBOX = (
+    r"(?i)\.(png|jpe?g|gif|svg|webp|avif|ico|bmp|css|js|mjs|json|map|woff2?|ttf|eot|mp4|webm|pdf)$",
+    r"(?i)@(example\.(com|org|net)|domain\.com|email\.com|yourdomain\.com|yoursite\.com|sentry\.io|[\w-]*sentry[\w.-]*|wixpress\.com)$",
+    r"(?i)^(your|name|email|user|username|first\.?last|john\.?doe|jane\.?doe|test)@",
+    r"@\d+x\.",
+)
+MAILBOX = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,24}"
+
+
+def emails(html: Column, most: int = 10) -> Column:
+    """The first distinct addresses in lower case, entities and mailto: addresses decoded, without those that are no mailboxes."""
+    head = lambda x: F.regexp_extract(x, "^[^\"'?>\\s]+", 0)
+    after = lambda x: F.when(head(x) == "", F.concat(F.lit("mailto:"), x)).otherwise(F.concat(F.lit(" "), F.coalesce(F.try_url_decode(F.replace(head(x), F.lit("+"), F.lit("%2B"))), head(x)), F.lit(" "), F.substring(x, F.length(head(x)) + 1, F.length(x))))
+    source = F.array_join(F.transform(F.split(decoded(html), "(?i)mailto:"), lambda x, i: F.when(i == 0, x).otherwise(after(x))), "")
+    found = F.transform(F.regexp_extract_all(source, F.lit(f"({MAILBOX})"), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), r"^[._%+-]+", ""))
+    kept = F.filter(found, lambda x: ~reduce(Column.__or__, (x.rlike(p) for p in NO_MAILBOX)) & (F.length(F.substring_index(x, "@", 1)) <= 64))
+    return F.slice(F.array_distinct(kept), 1, most)
 
 
-def emails(text: Column, most: int | None = None) -> Column:
-    """Distinct addresses in lower case, without those of images and examples, in order."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1)), lambda x: F.lower(x)))
-    kept = F.filter(found, lambda x: ~x.rlike(r"\.(png|jpe?g|gif|svg|webp|css|js)$") & ~x.rlike(r"^(no-?reply|example|test)@"))
-    return kept if most is None else F.slice(kept, 1, most)
+#: A number as it is written: with a separator before the last four digits. A fixed value.
+PHONE = r"(?<!\d)(?:\+?1[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]?\d{3}[\s.-]\d{4}\b"
 
 
-def phones(text: Column) -> Column:
-    """Distinct ten-digit numbers as (999) 999-9999, without the reserved 555-01xx."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(?:\+?1[ .-]?)?(\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4})(?![0-9])"), F.lit(1))
-    digits = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "")))
-    kept = F.filter(digits, lambda x: ~x.rlike("^[0-9]{3}55501"))
-    return F.transform(kept, lambda x: F.concat(F.lit("("), F.substring(x, 1, 3), F.lit(") "), F.substring(x, 4, 3), F.lit("-"), F.substring(x, 7, 4)))
+def phones(text: Column, most: int = 10) -> Column:
+    """The first distinct ten-digit numbers as (999) 999-9999: no area or exchange begins with 0 or 1 or ends with 11, no digit ten times, no reserved 555-01xx."""
+    digits = F.transform(F.regexp_extract_all(text, F.lit(f"({PHONE})"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, "[^0-9]", ""), r"^1(?=\d{10}$)", ""))
+    bad = r"^[01]|^...[01]|^(\d)\1{9}$|^\d11|^...\d11|^...55501"
+    kept = F.array_distinct(F.filter(digits, lambda x: (F.length(x) == 10) & ~x.rlike(bad)))
+    return F.transform(F.slice(kept, 1, most), lambda x: F.concat(F.lit("("), F.substring(x, 1, 3), F.lit(") "), F.substring(x, 4, 3), F.lit("-"), F.substring(x, 7, 4)))
 
 
 def slug(x: Column, most: int = 100) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import half_up
+from fieldglass.functions.store import stored
+from fieldglass.operators.evidence import first_votes, stories, told_once
 
 #: Texts about a household are no evidence. Fixed values.
 HOUSEHOLD = (
@@ -83,7 +85,7 @@ def age_fit(text: Column, cues: str, adults: str, low: int = 2, high: int = 18)
 
 def published_area(text: Column, place: Column, state: Column, code: Column, zip_code: Column) -> Column:
     """Whether a text names an area: its ZIP; or the place's words and the state, by name or code; the state alone where no place is given; anything where nothing is."""
-    quoted = F.concat(F.lit(r"(?i)\b"), F.regexp_replace(F.trim(F.regexp_replace(F.lower(place), r"\bcounty\b", "")), r"[^a-z0-9]+", r"[^a-z0-9]+"), F.lit(r"\b"))
+    quoted = F.concat(F.lit(r"(?i)\b"), F.array_join(F.filter(F.transform(F.split(F.regexp_replace(F.lower(place), r"\bcounty\b", ""), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != ""), r"\s+"), F.lit(r"\b"))
     words = F.nullif(F.trim(F.regexp_replace(F.lower(F.coalesce(place, F.lit(""))), r"\bcounty\b", "")), F.lit(""))
     in_state = F.when(state.isNull(), F.lit(True)).otherwise(F.regexp(text, F.concat(F.lit(r"(?i)\b("), state, F.lit("|"), code, F.lit(r")\b"))))
     return F.when(zip_code.isNotNull(), F.regexp(text, F.concat(F.lit(r"\b"), zip_code, F.lit(r"\b")))).when(words.isNull(), in_state).otherwise(F.regexp(text, quoted) & in_state)
@@ -96,14 +98,21 @@ def role_of(text: Column, competitor: Column) -> Column:
     return F.when(competitor, "aba_competitor").otherwise(out)
 
 
+#: Personal texts say nothing about a program, nor do hosts of personal reviews. Fixed values.
+PRIVATE_STORY = r"(?i)\b(my child|my son|my daughter|our child|my kid|lives here|lives at|home address)\b"
+PERSONAL_HOSTS = r"(^|\.)(reddit\.com|facebook\.com|nextdoor\.com|threads\.net|yelp\.com|google\.com|instagram\.com)$"
+
+
 def qualify(evidence: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """Age status, supporting publishers and priority of each organisation. evidence: key, role, publisher, text; restricted hosts are out already.
+    """Age status, supporting publishers and priority of each organisation. evidence: key, role, publisher, text, of which the first 2,000 characters count, and host where hosts of personal reviews aren't out already.
 
     Ranges that cover the band and ranges outside it conflict; one that covers documents it, for as many publishers as have one.
     """
-    r = age_ranges(F.col("text"))
-    hint = reduce(Column.__or__, (F.col("text").rlike(p) & F.lit(a <= high and b >= low) for p, a, b in HINTS))
-    own = evidence.where(~about_household(F.col("text")) & F.col("publisher").isNotNull())
+    text = F.substring("text", 1, 2000)
+    r = age_ranges(text)
+    hint = reduce(Column.__or__, (text.rlike(p) & F.lit(a <= high and b >= low) for p, a, b in HINTS))
+    restricted = F.coalesce(F.col("host").rlike(PERSONAL_HOSTS), F.lit(True)) if "host" in evidence.columns else F.lit(False)
+    own = evidence.where(~text.rlike(PRIVATE_STORY) & ~restricted & F.col("publisher").isNotNull())
     facts = own.select(
         key, "role", "publisher", F.exists(r, lambda x: (x["low"] <= low) & (x["high"] >= high)).alias("covers"), F.exists(r, lambda x: (x["high"] < low) | (x["low"] > high)).alias("outside"),
         F.exists(r, lambda x: (x["high"] >= low) & (x["low"] <= high)).alias("overlaps"), (F.size(r) > 0).alias("found"), hint.alias("hint"),
@@ -121,43 +130,98 @@ def lead_order(leads: DataFrame, score: str = "score") -> DataFrame:
     return leads.where("status <> 'outside'").withColumn("priority", (F.col("priority") + bonus).cast("long"))
 
 
-def claim_votes(evidence: DataFrame, key: str, claims: dict[str, str], text: str = "text") -> DataFrame:
+#: What a text claims. Fixed values.
+CLAIMS = {
+    "institution_exists": r"(?i)\b(licensed (child ?care|preschool|facility)|npi\s*\d+|official (facility|provider)|organization directory)\b",
+    "referral_pathway": r"(?i)\b(referral(s)? (accepted|form|partner|process|network)|refer (a|your) patient|accepts referrals)\b",
+    "service_available": r"(?i)\b((now |currently )?accepting new (patients|clients|referrals)|now enrolling|intake reopened|new clinic opened)\b",
+    "service_unavailable": r"(?i)\b(no longer accepting|not accepting new (patients|clients|referrals)|intake closed|wait ?list closed|permanently closed)\b",
+    "hiring": r"(?i)\b(now hiring|we are hiring|apply now|job opening|open position|recruiting behavior)\b",
+    "not_hiring": r"(?i)\b(not hiring|no open positions|hiring freeze|positions filled)\b",
+    "verified_public_contact": r"(?i)\b(contact (us|the director)|call us|reach our team|referrals?@|intake@)\b",
+}
+#: Of these a text can't say that a service is available. A fixed value.
+SHUT = r"(?i)\b(not accepting new|no longer accepting|intake closed|wait ?list closed)\b"
+#: Themes of what is published about an organisation, with their sentiment. Fixed values.
+THEMES = (
+    ("intake_wait", "concern", r"(?i)\b(waitlists?|waiting list|months? waiting|intake delays?|long wait)\b"),
+    ("communication", "concern", r"(?i)\b(unreturned calls?|does not respond|no response|unresponsive|poor communication)\b"),
+    ("appointments", "concern", r"(?i)\b(repeated cancellations?|schedule(?:ing)? problems?|appointment delays?)\b"),
+    ("staffing", "concern", r"(?i)\b(staff turnover|staff(?:ing)? shortages?|therapist vacancies|understaffed)\b"),
+    ("insurance", "concern", r"(?i)\b(insurance denied|insurance issues?|billing dispute|out.of.network)\b"),
+    ("availability", "concern", r"(?i)\b(no longer accepting|not taking new clients|intake closed|service unavailable)\b"),
+    ("positive_feedback", "positive", r"(?i)\b(praised|commended|recognized for|awarded for)\b.{0,70}\b(care|services|staff|team)\b"),
+)
+#: Hosts whose reviews are not read, and texts that are personal or about no service. Fixed values.
+REVIEW_HOSTS = ("google.com", "google.co.uk", "maps.google.com", "yelp.com", "yelp.ca", "glassdoor.com", "indeed.com", "facebook.com", "healthgrades.com")
+PERSONAL = r"(?i)\b(my child|my son|my daughter|our child|diagnos(?:ed|is)|medical record|home address|lives at)\b"
+SERVICE = r"(?i)\b(aba|behavioral? therapy|autism services|pediatric therapy|clinic)\b"
+
+
+def publisher_types(evidence: DataFrame, key: str, order: str = "at") -> DataFrame:
+    """type and first order of each publisher of an entity: that of its first entry, but of its last government or first-party entry if it has one."""
+    authority = F.col("kind").isin("government", "first_party")
+    out = evidence.groupBy(key, "publisher").agg(F.max_by("kind", F.when(authority, F.col(order))).alias("authority"), F.min_by("kind", order).alias("first"), F.min(order).alias("since"))
+    return out.select(key, "publisher", F.coalesce("authority", "first").alias("type"), "since")
+
+
+def claim_votes(evidence: DataFrame, key: str, claims: dict[str, str] = CLAIMS, text: str = "text", order: str = "at") -> DataFrame:
     """Votes by claim: how many publishers make it, whether an authority does, and whether it is supported: two of them, an authority, and nothing to the contrary.
 
-    evidence: key, publisher, kind (government, first_party, community or other), text. Community texts have no vote.
+    evidence: key, at (unique), publisher, kind (government, first_party, press, community or other), text. Publishers come in the order of
+    their first entries, a publisher's entries in theirs; a publisher votes once for a claim, and an entry that tells what an
+    earlier vote for the claim told is a repost, no vote. Community publishers have no vote. The first 2,000 characters count.
     """
-    tests = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(c)) for c, p in claims.items())))
-    closed = F.col(text).rlike(r"(?i)\b(not accepting new|no longer accepting|intake closed|wait ?list closed)\b")
-    flat = evidence.where(F.col("kind") != "community").select(key, "publisher", F.col("kind").isin("government", "first_party").alias("authority"), closed.alias("closed"), F.explode(tests).alias("claim"))
-    votes = flat.where(~((F.col("claim") == "service_available") & F.col("closed"))).groupBy(key, "claim").agg(F.count_distinct("publisher").alias("publishers"), F.bool_or("authority").alias("authority"))
+    types = stored(publisher_types(evidence, key, order))
+    cut = F.substring(text, 1, 2000)
+    tests = F.array_compact(F.array(*(F.when(cut.rlike(p) & (~cut.rlike(SHUT) if c == "service_available" else F.lit(True)), F.lit(c)) for c, p in claims.items())))
+    voters = types.where(F.col("type") != "community")
+    flat = stored(evidence.select(key, "publisher", order, cut.alias("__text"), F.explode(tests).alias("claim")).join(voters, [key, "publisher"]))
+    held, near = stories(flat, order, "__text")
+    rows = held.select(key, "claim", "publisher", "story", F.struct("since", "publisher", order).alias("__at"), F.col("type").isin("government", "first_party").alias("authority"))
+    votes = first_votes(rows, near, [key, "claim"], "publisher", "__at").groupBy(key, "claim").agg(F.count(F.lit(1)).alias("publishers"), F.bool_or("authority").alias("authority"))
     against = F.create_map(*(F.lit(x) for a, b in OPPOSITES for x in (a, b, b, a)))
+    votes = stored(votes.withColumn("against", against[F.col("claim")]))
     other = votes.select(key, F.col("claim").alias("against"), F.lit(True).alias("contradicted"))
-    out = votes.withColumn("against", against[F.col("claim")]).join(other, [key, "against"], "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
+    out = votes.join(other, [key, "against"], "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
     return out.select(key, "claim", "publishers", "authority", "contradicted", ((F.col("publishers") >= 2) & F.col("authority") & ~F.col("contradicted")).alias("supported"))
 
 
 def evidence_graph(evidence: DataFrame, votes: DataFrame, key: str) -> DataFrame:
     """The posture of each entity: conflicting, no_evidence, corroborated or single_source, and its publishers by kind."""
-    n = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("publisher")))
-    base = evidence.groupBy(key).agg(F.count_distinct("publisher").alias("publishers"), n("first_party").alias("first_party"), n("government").alias("government"), n("community").alias("community"))
+    n = lambda kind: F.count_if(F.col("type") == kind)
+    base = publisher_types(evidence, key).groupBy(key).agg(F.count(F.lit(1)).alias("publishers"), n("first_party").alias("first_party"), n("government").alias("government"), n("community").alias("community"))
     found = votes.groupBy(key).agg(F.count_if("supported").alias("confirmed"), F.bool_or("contradicted").alias("conflict"))
     out = base.join(found, key, "left").na.fill({"confirmed": 0, "conflict": False})
     posture = F.when(F.col("conflict"), "conflicting").when(F.col("publishers") == 0, "no_evidence").when(F.col("confirmed") > 0, "corroborated").otherwise("single_source")
     return out.withColumn("posture", posture).drop("conflict")
 
 
-def review_themes(hits: DataFrame, key: str, themes: Sequence[tuple[str, str, str]], text: str = "text") -> DataFrame:
-    """Themes (theme, sentiment, pattern) by organisation: distinct publishers, one sentiment or mixed, corroborated from two. Personal texts and those about no service are out, and of copies the first publisher's counts.
+def plain_name(name: Column) -> Column:
+    """Letters and digits of a name or text in lower case, by single spaces."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+
+
+def review_themes(hits: DataFrame, key: str, themes: Sequence[tuple[str, str, str]] = THEMES, order: str = "at") -> DataFrame:
+    """Themes (theme, sentiment, pattern) by organisation: distinct publishers, one sentiment or mixed, corroborated from two.
 
-    hits: key, publisher, text.
+    hits: key, name and domain of the organisation, at (unique), host, publisher, title, snippet. A hit must name the organisation (ten characters and two
+    words at least) in its title or snippet, on a host that isn't its own and isn't a review platform; personal texts and
+    those about no service are out, and of what tells the same the first counts. The first 1,400 characters count.
     """
-    personal = r"(?i)\b(my child|my son|my daughter|our child|diagnos(ed|is)|medical record|home address|lives at)\b"
-    service = r"(?i)\b(aba|behavioral? therapy|autism services|pediatric therapy|clinic)\b"
-    own = hits.where(~F.col(text).rlike(personal) & F.col(text).rlike(service))
-    found = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.struct(F.lit(t).alias("theme"), F.lit(s).alias("sentiment"))) for t, s, p in themes)))
-    flat = own.select(key, "publisher", F.xxhash64(F.lower(text)).alias("story"), F.inline(found))
-    once = flat.groupBy(key, "theme", "story").agg(F.min("publisher").alias("publisher"), F.min("sentiment").alias("low"), F.max("sentiment").alias("high"))
-    out = once.groupBy(key, "theme").agg(F.count_distinct("publisher").alias("publishers"), F.min("low").alias("low"), F.max("high").alias("high"))
+    name = plain_name(F.col("name"))
+    named = (F.length(name) >= 10) & F.contains(name, F.lit(" ")) & (F.contains(plain_name(F.col("title")), name) | F.contains(plain_name(F.col("snippet")), name))
+    below = lambda host, domain: (host == domain) | host.endswith(F.concat(F.lit("."), domain))
+    restricted = reduce(Column.__or__, (below(F.col("host"), F.lit(h)) for h in REVIEW_HOSTS))
+    own = F.coalesce(below(F.col("host"), F.nullif("domain", F.lit(""))), F.lit(False))
+    text = F.substring(F.concat_ws(" ", "title", "snippet"), 1, 1400)
+    kept = hits.where(named & F.col("host").isNotNull() & ~restricted & ~own & ~text.rlike(PERSONAL) & text.rlike(SERVICE))
+    found = F.array_compact(F.array(*(F.when(text.rlike(p), F.struct(F.lit(t).alias("theme"), F.lit(s).alias("sentiment"))) for t, s, p in themes)))
+    flat = stored(kept.select(key, "publisher", order, plain_name(text).alias("__text"), F.inline(found)))
+    # A theme that is named with two sentiments is told once by a text.
+    first = flat.groupBy(key, "theme", order).agg(F.any_value("publisher").alias("publisher"), F.any_value("__text").alias("__text"))
+    once = told_once(first, [key, "theme"], "__text", order).select(key, "theme", order)
+    out = flat.join(once, [key, "theme", order]).groupBy(key, "theme").agg(F.count_distinct("publisher").alias("publishers"), F.min("sentiment").alias("low"), F.max("sentiment").alias("high"))
     return out.select(key, "theme", "publishers", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("mixed").alias("sentiment"), (F.col("publishers") >= 2).alias("corroborated"))
 
 

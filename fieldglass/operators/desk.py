@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,13 +85,28 @@ def write_run(tables: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
-def moderated(requests: DataFrame, text: str, sensitive: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Requests with whether they may be answered: not those that look for individuals in a sensitive matter."""
-    low = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+#: What makes a request sensitive, and what makes it one for individuals. Fixed values.
+SENSITIVE = ("autism", "autistic", "diagnosis", "diagnosed", "aba", "disability", "disabled", "special needs")
+INDIVIDUALS = ("find autistic children", "find children with autism", "find families with autism", "specific child", "child named", "home address", "street address of", "lives at", "houses with autistic", "homes with autistic", "addresses with autistic")
+
+
+def moderated(requests: DataFrame, text: str, corrected: str | None = None, sensitive: Sequence[str] = SENSITIVE, targets: Sequence[str] = INDIVIDUALS) -> DataFrame:
+    """Requests with whether they may be answered: not those that look for individuals in a sensitive matter.
+
+    corrected: a column with the request as its spelling was corrected. Both readings are inspected, each by itself: either can make a request sensitive, and either can look for individuals.
+    """
+    readings = [_inspected(c, sensitive, targets) for c in ([text] if corrected is None else [text, corrected])]
+    return requests.withColumn("allowed", ~(reduce(Column.__or__, (a for a, _ in readings)) & reduce(Column.__or__, (b for _, b in readings))))
+
+
+def _inspected(text: str, sensitive: Sequence[str], targets: Sequence[str]) -> tuple[Column, Column]:
+    """Whether a reading is sensitive, and whether it looks for individuals."""
+    low = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))
     has = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
     find = low.rlike(r"\b(find|locate|identify|list|target|contact|collect|give me)\b.{0,100}\b(autistic|autism|asd|disabled|diagnosed)\b.{0,90}\b(children|kids|families|parents|homes|houses|households|addresses|phone numbers)\b")
     private = low.rlike(r"\b(homes?|houses?|households?|addresses|phone numbers?|names?|private|personal)\b")
-    return requests.withColumn("allowed", ~F.coalesce(has(sensitive) & (has(targets) | (find & private)), F.lit(False)))
+    home = low.rlike(r"\b(home address|street address|residential address|personal phone|private contact)\b.{0,100}\b(autism|autistic|asd|disabled|diagnos\w*)\b")
+    return has(sensitive), has(targets) | (find & private) | home
 
 
 def network(rows: DataFrame, columns: Sequence[str], place: str, n: int = 30) -> DataFrame:

@@ -33,24 +33,59 @@ def first_publishers(hits: DataFrame, key: Sequence[str], publisher: str = "publ
     return hits.where(F.col(publisher) != "").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def independent(rows: DataFrame, key: Sequence[str], text: str, publisher: str = "publisher", order: str = "doc_id") -> DataFrame:
-    """One row for each key and publisher, the first, and of these, in order, only those that don't tell what one kept before tells (see same_narratives)."""
-    first = stored(first_publishers(rows, key, publisher, order))
-    # The same narrative is the same text for every key, so each document's is compared once.
-    member, links = same_narratives(first.dropDuplicates([order]), order, text)
-    held = first.join(member.select(F.col("id").alias(order), "story"), order, "left")
-    told = held.where(F.col("story").isNotNull())
+def stories(rows: DataFrame, order: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """rows with `story`, the narrative that each tells (null: none), and the pairs (story, other), both ways, of narratives that are alike. A narrative is compared once, whatever tells it; order names a row's text."""
+    member, links = same_narratives(rows.dropDuplicates([order]), order, text)
+    near = links.select(F.col("a").alias("story"), F.col("b").alias("other"))
+    return rows.join(member.select(F.col("id").alias(order), "story"), order, "left"), near.unionByName(near.select(F.col("other").alias("story"), F.col("story").alias("other")))
+
+
+def told_once(rows: DataFrame, key: Sequence[str], text: str, order: str = "doc_id") -> DataFrame:
+    """The rows of each key, in order, that don't tell what one kept before tells. Rows of a key have distinct orders."""
+    held, near = stories(rows, order, text)
+    told = stored(held.where(F.col("story").isNotNull()))
     # Of one story only the first of a key can stay; what it is like decides for the others too.
     lead = stored(told.groupBy(*key, "story").agg(F.min(order).alias("__at")))
-    near = links.select(F.col("a").alias("story"), F.col("b").alias("__other")).unionByName(links.select(F.col("b").alias("story"), F.col("a").alias("__other")))
-    other = lead.select(*key, F.col("story").alias("__other"), F.col("__at").alias("__before"))
-    pairs = lead.join(near, "story").join(other, [*key, "__other"]).where(F.col("__before") < F.col("__at"))
+    other = lead.select(*key, F.col("story").alias("other"), F.col("__at").alias("__before"))
+    pairs = lead.join(near, "story").join(other, [*key, "other"]).where(F.col("__before") < F.col("__at"))
     node = lambda at: F.struct(*key, F.col(at).alias("at"))
     gone = merged(pairs.select(node("__before").alias("a"), node("__at").alias("b")))[0]
     kept = lead.select(*key, F.col("__at").alias(order)).withColumn("node", F.struct(*key, F.col(order).alias("at"))).join(gone, "node", "left_anti").drop("node")
     return held.where(F.col("story").isNull()).drop("story").unionByName(told.drop("story").join(kept, [*key, order], "left_semi"))
 
 
+def independent(rows: DataFrame, key: Sequence[str], text: str, publisher: str = "publisher", order: str = "doc_id") -> DataFrame:
+    """One row for each key and publisher, the first, and of these, in order, only those that don't tell what one kept before tells (see same_narratives)."""
+    return told_once(stored(first_publishers(rows, key, publisher, order)), key, text, order)
+
+
+def first_votes(rows: DataFrame, near: DataFrame, key: Sequence[str], publisher: str, at: str, most_rounds: int = 200) -> DataFrame:
+    """The rows of each key that a pass in the order of `at` accepts: those of a publisher, and telling a story, that no accepted row has or is like.
+
+    rows: key, publisher, story (null: none) and at, unique in a key. near: pairs of stories that are alike, both ways. In a round all rows are accepted that
+    are the first open one of their publisher, their story and all stories like it, and what they rule out goes; groups are
+    summed up by their first rows, so copies never meet one by one.
+    """
+    live, out = stored(rows), None
+    near = stored(near)
+    for _ in range(most_rounds):
+        if live.isEmpty():
+            return rows.limit(0) if out is None else out
+        first = lambda df, *by: df.groupBy(*key, *by).agg(F.min(at).alias("__first"))
+        told = live.where(F.col("story").isNotNull())
+        by_story = first(told, "story")
+        like = near.join(by_story.withColumnRenamed("story", "other"), "other").groupBy(*key, "story").agg(F.min("__first").alias("__like"))
+        now = live.join(first(live, publisher).withColumnRenamed("__first", "__p"), [*key, publisher]).join(by_story, [*key, "story"], "left").join(like, [*key, "story"], "left")
+        is_first = (F.col(at) == F.col("__p")) & (F.col(at) <= F.coalesce("__first", at)) & (F.col(at) <= F.coalesce("__like", at))
+        new = stored(now.where(is_first).select(*rows.columns))
+        out = new if out is None else out.unionByName(new)
+        said = new.where(F.col("story").isNotNull()).select(*key, "story")
+        said = said.unionByName(said.join(near, "story").select(*key, F.col("other").alias("story"))).distinct()
+        live = live.join(new.select(*key, publisher).distinct(), [*key, publisher], "left_anti")
+        live = stored(live.join(said, [*key, "story"], "left_anti").select(*rows.columns))
+    raise RuntimeError(f"votes did not settle in {most_rounds} rounds")
+
+
 def corroborate(rows: DataFrame, key: Sequence[str], institutional: str, official: str, community: str | None = None) -> DataFrame:
     """Whether independent publishers make a key verified: two of them (three where a rule is the community's), one institutional; its value and confidence then."""
     need = F.lit(2) if community is None else F.when(F.bool_or(community), 3).otherwise(2)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions.exprs import ColumnOrName, col
+from fieldglass.functions.exprs import ColumnOrName, clamp, col, half_up
 
 # Miles in a degree of latitude, and of longitude at the equator.
 MILES_LAT, MILES_LON = 69.0, 69.172
@@ -58,9 +58,10 @@ def roster_for(programs: DataFrame, name: str, location: str, state: tuple[str,
 
 
 def listing_density(rows: DataFrame, by: list[str], archived: str, people: str, per: float = 10000) -> DataFrame:
-    """Listings of each source, and their density only where none of them comes from an archived snapshot."""
+    """Listings of each source, and their density (for so many people) and its score only where none of them comes from an archived snapshot. A density of 20 and more scores 100, that of no known people 0."""
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("listings"), F.coalesce(F.bool_or(archived), F.lit(False)).alias("snapshot"), F.max(people).alias("people"))
-    return out.withColumn("density", F.when(~F.col("snapshot") & (F.col("people") > 0), F.col("listings") / F.col("people") * F.lit(float(per))))
+    out = out.withColumn("density", F.when(~F.col("snapshot") & (F.col("people") > 0), F.col("listings") / F.col("people") * F.lit(float(per))))
+    return out.withColumn("score", F.when(~F.col("snapshot"), F.coalesce(clamp(half_up(F.col("density") / F.lit(20.0) * 100)), F.lit(0))).cast("long"))
 
 
 def routed(rows: DataFrame, spark: SparkSession) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import miles
+from fieldglass.functions.joins import join_split
 from fieldglass.functions.store import stored
+from fieldglass.functions.text import host
+from fieldglass.operators.catalogs import match, token_hits
 from fieldglass.operators.greedy import first_match
 from fieldglass.operators.spatial import DEGREE, globe_cell, near_cells
 
@@ -138,10 +142,25 @@ def consolidate(places: DataFrame) -> DataFrame:
     return out.withColumns(now).drop("group", "to_lat", "to_lon")
 
 
+#: Short forms in organisations' names. Fixed values.
+SHORT = {"sch": "school", "dist": "district", "ctr": "center", "cty": "county", "dev": "developmental", "hosp": "hospital", "elem": "elementary", "acad": "academy", "dept": "department", "svc": "service", "svcs": "services"}
+
+
+def organisation_words(text: Column) -> Column:
+    """The words of an organisation's name or of a text about it, in order: `&` as and, short forms in full."""
+    full = F.create_map(*(F.lit(x) for kv in SHORT.items() for x in kv))
+    return F.transform(tokens(F.replace(F.lower(text), F.lit("&"), F.lit(" and "))), lambda w: F.coalesce(F.try_element_at(full, w), w))
+
+
+def _telling(words: Column) -> Column:
+    """The distinct words that say which organisation it is."""
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*GENERIC)))
+
+
 def mentions(name: Column, text: Column) -> Column:
-    """Whether a text is about an organisation: its name word for word, or two and 60 % of its distinctive words, with every number among them."""
-    own, body = tokens(name), tokens(text)
-    words = distinctive(name, GENERIC, 2)
+    """Whether a text is about an organisation: its name is in it, or two and 60 % of its telling words, with every number among them."""
+    own, body = organisation_words(name), organisation_words(text)
+    words = _telling(own)
     numbers = F.filter(words, lambda w: w.rlike("^[0-9]+$"))
     shared = F.size(F.array_intersect(words, body))
     phrase = F.contains(F.array_join(body, " "), F.array_join(own, " "))
@@ -150,22 +169,23 @@ def mentions(name: Column, text: Column) -> Column:
 
 
 def mentioned(organisations: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs of organisations (org, name) and texts (doc, text) about them. Only those that share the organisation's rarest words meet.
+    """Pairs of organisations (org, name) and texts (doc, text) about them: all for which `mentions` holds.
 
-    A text about an organisation has its name or three fifths of its distinctive words, so it has one of the rarest two
-    fifths and one more. Frequent words are never looked up while rarer ones will do.
+    A name that is in a text, perhaps within longer words, is found as a rule's word is (catalogs.match). Otherwise a text has
+    three fifths of the telling words, so one of the rarest two fifths and one more: only those that share such a word meet.
     """
-    names = organisations.select("org", "name", distinctive(F.col("name"), GENERIC, 2).alias("words"), tokens(F.col("name")).alias("own"))
-    names = names.withColumn("words", F.when(F.size("words") >= 2, F.col("words")).otherwise(F.array_distinct("own")))
-    body = texts.select("doc", F.array_distinct(tokens(F.col(text))).alias("body"))
-    flat = names.select("org", F.size("words").alias("size"), F.explode("words").alias("word"))
-    posted = body.select("doc", F.explode("body").alias("word"))
+    names = organisations.select("org", "name", organisation_words(F.col("name")).alias("own")).where(F.size("own") >= 2)
+    body = texts.select("doc", organisation_words(F.col(text)).alias("words")).where(F.size("words") >= 2)
+    whole = names.select(F.col("org").alias("rule"), F.array(F.array(F.array_join("own", " "))).alias("words"), F.array().cast("array<string>").alias("patterns"))
+    named = match(body.select("doc", F.array_join("words", " ").alias("__text")), whole, "doc", "__text").select(F.col("rule").alias("org"), "doc")
+    flat = names.select("org", _telling(F.col("own")).alias("words")).where(F.size("words") >= 2).select("org", F.size("words").alias("size"), F.explode("words").alias("word"))
+    posted = body.select("doc", F.explode(F.array_distinct("words")).alias("word"))
     often = posted.join(flat.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("org").orderBy(F.coalesce("n", F.lit(0)), "word"))
     rare = flat.join(often, "word", "left").withColumn("k", rank).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * 0.6) + 1).select("org", "word")
     met = rare.join(posted, "word").select("org", "doc").distinct()
     held = met.join(organisations.select("org", "name"), "org").join(texts.select("doc", text), "doc")
-    return held.where(mentions(F.col("name"), F.col(text))).select("org", "doc")
+    return held.where(mentions(F.col("name"), F.col(text))).select("org", "doc").unionByName(named).distinct()
 
 
 def websites(organisations: DataFrame, hits: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -173,19 +193,19 @@ def websites(organisations: DataFrame, hits: DataFrame, excluded: DataFrame) ->
     open_ = hits.join(excluded, "host", "left_anti")
     met = mentioned(organisations, open_).join(organisations, "org").join(open_.select("doc", "rank", "host"), "doc")
     label = F.regexp_replace(F.substring_index("host", ".", 1), "[^a-z0-9]", "")
-    own = F.exists(distinctive(F.col("name"), GENERIC, 2), lambda w: F.contains(label, w))
+    own = F.exists(_telling(organisation_words(F.col("name"))), lambda w: F.contains(label, w))
     ok = met.where(own & ~F.array_contains("source_hosts", F.col("host")))
     return ok.groupBy("org").agg(F.min_by(F.struct("doc", "host"), F.struct("rank", "doc")).alias("hit")).select("org", "hit.doc", "hit.host")
 
 
 def enriched(leads: DataFrame, sites: DataFrame, most: int = 8) -> DataFrame:
-    """Leads (org, score, confidence, emails) with what their verified site adds: up to 9 points of score to 65 and 15 of confidence to 74, and its addresses.
+    """Leads (org, score, confidence, emails) with what their verified site adds: 9 points of score and 15 of confidence, of which 65 and 74 are the most that a verified lead has, and its addresses.
 
     sites: org, hit_host, page_host, about (whether the page itself is about the organisation), emails. Verified is a page about it on the very host of the hit.
     """
     good = sites.where(F.col("about") & (F.col("hit_host") == F.col("page_host"))).select("org", F.lit(True).alias("verified"), F.col("emails").alias("__new"))
     out = leads.join(good, "org", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
-    bump = lambda c, by, most_: F.when(F.col("verified"), F.greatest(F.col(c), F.least(F.lit(most_), F.col(c) + by))).otherwise(F.col(c))
+    bump = lambda c, by, most_: F.when(F.col("verified"), F.least(F.lit(most_), F.col(c) + by)).otherwise(F.col(c))
     emails = F.slice(F.array_union("emails", F.coalesce("__new", F.array().cast("array<string>"))), 1, most)
     return out.withColumns({"score": bump("score", 9, 65), "confidence": bump("confidence", 15, 74), "emails": emails}).drop("__new")
 
@@ -214,13 +234,74 @@ def listing_results(listings: DataFrame, results: DataFrame, most: int = 4) -> D
     return met.withColumn("place", place).where(F.col("place") <= most).select("listing", "result", "place")
 
 
+#: Points of a location for what it has in common with a target. Fixed values.
+LOCATION_POINTS = {"zip": 100, "county": 90, "city": 85, "city_part": 55, "county_part": 45, "named": 35}
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of strings of which one is in the other; both are distinct and not empty."""
+    return token_hits(outer.select(F.col("outer").alias("token"), F.lit(1).alias("n")), inner.select(F.col("inner").alias("piece"))).select(F.col("piece").alias("inner"), F.col("token").alias("outer"))
+
+
 def located(targets: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
-    """The best rows (id, zip, county, city) for each target (target, zip, county, city): 100 for its ZIP, 90 for its county, 85 for its city."""
-    scored = [("zip", 100), ("county", 90), ("city", 85)]
-    parts = [targets.where(F.col(c).isNotNull()).select("target", c).join(rows.select("id", c), c).select("target", "id", F.lit(points).alias("score")) for c, points in scored]
-    best = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("target", "id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("target").orderBy(F.col("score").desc(), "id")).cast("long")
-    return best.withColumn("place", place).where(F.col("place") <= most)
+    """The best rows (id, name, zip, county, city) for each target (target, text, zip, county, locality), by the sum of points, then by name and id.
+
+    Points: for the target's ZIP, county or city, for its locality within the city's or the county's name, and for a city (of
+    three letters or more) that the target's text names. All are lower case; what a target doesn't have is null. Only a row's
+    ZIP, county and city matter, so rows are places with their first rows by name, and targets meet places: a county's
+    rows never meet a target one by one. Names meet by their rarest run of three letters.
+    """
+    place = ["zip", "county", "city"]
+    base = rows.select("id", "name", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in place))
+    ranked = base.withColumn("turn", F.row_number().over(Window.partitionBy(*place).orderBy("name", "id"))).where(F.col("turn") <= most)
+    first = stored(ranked.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("name", "id"))).alias("rows")))
+    wanted = ["text", "zip", "county", "locality"]
+    asked = targets.select("target", *(F.nullif(F.col(c), F.lit("")).alias(f"t_{c}") for c in wanted))
+    kinds = stored(asked.drop("target").distinct().withColumn("kind", F.monotonically_increasing_id()))
+    every = lambda df, c, name: df.select(F.col(c).alias(name)).where(F.col(name) != "").distinct()
+    cities, counties, localities = every(first, "city", "outer"), every(first, "county", "outer"), every(kinds, "t_locality", "inner")
+    in_city, in_county = _contained(localities, cities), _contained(localities, counties)
+    named = _contained(cities.where(F.length("outer") >= 3).select(F.col("outer").alias("inner")), every(kinds, "t_text", "outer"))
+    by = lambda pairs, inner, outer, c: kinds.join(pairs, F.col(inner[0]) == F.col(inner[1])).join(first, F.col(outer) == F.col(c)).select("kind", *place)
+    met = [
+        kinds.join(first, F.col("t_zip") == F.col("zip")).select("kind", *place),
+        kinds.join(first, F.col("t_county") == F.col("county")).select("kind", *place),
+        by(in_city, ("t_locality", "inner"), "outer", "city"),
+        by(in_county, ("t_locality", "inner"), "outer", "county"),
+        by(named, ("t_text", "outer"), "inner", "city"),
+    ]
+    pairs = reduce(DataFrame.unionByName, met).distinct().join(kinds, "kind").join(first, place)
+    p, has = LOCATION_POINTS, lambda x, y: F.contains(F.col(x), F.col(y))
+    tests = {"zip": F.col("t_zip") == F.col("zip"), "county": F.col("t_county") == F.col("county"), "city": F.col("t_locality") == F.col("city"), "city_part": has("city", "t_locality"), "county_part": has("county", "t_locality"), "named": has("t_text", "city") & (F.length("city") >= 3)}
+    score = reduce(Column.__add__, (F.when(F.coalesce(test, F.lit(False)), p[k]).otherwise(0) for k, test in tests.items()))
+    # Each place has a row, so the best rows are in the best places.
+    order = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col("rows")[0])
+    best = pairs.withColumn("score", score).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+    flat = best.select("kind", "score", F.explode("rows").alias("r")).withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "r")).cast("long")).where(F.col("place") <= most)
+    same = reduce(Column.__and__, (asked[f"t_{c}"].eqNullSafe(kinds[f"t_{c}"]) for c in wanted))
+    return asked.join(kinds, same).select("target", "kind").join(flat, "kind").select("target", F.col("r.id").alias("id"), "score", "place")
+
+
+#: What two records can have in common. Fixed values.
+DUPLICATE_FIELDS = ("organization_name", "website_domain", "phone")
+
+
+def duplicates(records: DataFrame) -> DataFrame:
+    """All records (id, name, url, phone) that may be the same as another, as groups: fields (those in common), id and representative, the least id of the group.
+
+    Two records score a third for each field that they share: their score is a third of the most fields of a group that both
+    are in, and records in no common group score 0. A field that is missing or empty is shared with nothing. A group of any
+    size is one row a record, and one that many records share is split in the join.
+    """
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), r"\b(llc|inc|corp|corporation|pllc|pc|the)\b", ""), "[^a-z0-9]+", " "))
+    given = lambda c, key: F.when(F.col(c) != "", key)
+    keys = [given("name", name), given("url", F.coalesce(host(F.col("url")), F.lit(""))), given("phone", F.regexp_replace("phone", "[^0-9]", ""))]
+    sets = [[k for k in range(3) if bits >> k & 1] for bits in range(1, 8)]
+    subset = lambda ks: F.struct(F.array(*(F.lit(DUPLICATE_FIELDS[k]) for k in ks)).alias("fields"), F.array(*(F.col(f"k{k}") for k in ks)).alias("key"))
+    flat = records.select("id", *(k.alias(f"k{i}") for i, k in enumerate(keys))).select("id", F.explode(F.array(*(subset(ks) for ks in sets))).alias("x"))
+    flat = flat.where(~F.exists("x.key", lambda k: k.isNull())).select("id", F.struct("x.fields", "x.key").alias("group"))
+    groups = stored(flat.groupBy("group").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_split(flat, groups, "group", "n", max(10_000, records.count() // 1000)).select("group.fields", "id", "representative", "n")
 
 
 def strict_geography(requests: DataFrame, areas: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def _qualified(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     name = words(c, "ABA Therapy Place", "School District 9", "Pediatrician Group", "Something")
     text = words(k, "ages 5 to 12", "serving ages 6-11", "ages 13-18", "ages 8 to 14", "an elementary school", "nothing said", "ages 6 to 11, my daughter lives at the lake")
-    rows = table(spark, d, "orders").select(c.alias("org"), C.role_of(name, F.lit(False)).alias("role"), F.concat(F.lit("p"), k % 6).alias("publisher"), text.alias("text"))
+    rows = table(spark, d, "orders").select(c.alias("org"), C.role_of(name, F.lit(False)).alias("role"), F.lit("a.org").alias("host"), F.concat(F.lit("p"), k % 6).alias("publisher"), text.alias("text"))
     return C.qualify(rows, "org", 6, 11)
 
 
@@ -78,45 +78,51 @@ def qualified_lead_order(spark: SparkSession, d: str) -> DataFrame:
     return C.lead_order(_qualified(spark, d).withColumn("score", F.col("org") % 100)).select("org", "priority")
 
 
-CLAIMS = {"service_available": r"(?i)\baccepting\b", "service_unavailable": r"(?i)\bintake closed\b", "hiring": r"(?i)\bnow hiring\b", "not_hiring": r"(?i)\bno openings\b"}
+SAID = ("we are accepting new patients", "intake closed", "now hiring staff", "no open positions", "now enrolling; apply now", "plain", "not accepting new people, accepting new clients later")
+#: A publisher votes once for a claim, and what an earlier vote told is no vote: a pass over each entity's entries by publisher and order.
 VOTE_SQL = (
-    "e AS (SELECT o_custkey AS entity, o_orderkey % 5 AS publisher, o_orderkey % 4 AS kind, o_orderkey % 7 AS t FROM orders), f AS (SELECT entity, publisher, kind IN (0, 1) AS authority, CASE t WHEN 0 THEN ['service_available'] WHEN 1 THEN ['service_unavailable'] WHEN 2 THEN ['hiring'] WHEN 3 THEN ['not_hiring'] WHEN 4 THEN ['service_available', 'hiring'] ELSE [] END AS cs FROM e WHERE kind <> 2), "
-    "v AS (SELECT entity, claim, COUNT(DISTINCT publisher) AS publishers, bool_or(authority) AS authority FROM (SELECT entity, publisher, authority, unnest(cs) AS claim FROM f) GROUP BY 1, 2), "
+    "e AS (SELECT o_custkey AS entity, o_orderkey AS pos, 'p' || CAST(o_orderkey % 5 AS VARCHAR) AS publisher, o_orderkey % 3 AS kind, o_orderkey % 7 AS t, o_orderkey % 7 + 10 * (o_orderkey % 4) AS story FROM orders), "
+    "y AS (SELECT entity, publisher, coalesce(arg_max(kind, pos) FILTER (WHERE kind < 2), arg_min(kind, pos)) AS type, MIN(pos) AS since FROM e GROUP BY 1, 2), "
+    "f AS (SELECT e.entity, e.publisher, type < 2 AS authority, story, since, pos, unnest(CASE t WHEN 0 THEN ['service_available'] WHEN 1 THEN ['service_unavailable'] WHEN 2 THEN ['hiring'] WHEN 3 THEN ['not_hiring'] WHEN 4 THEN ['service_available', 'hiring'] ELSE [] END) AS claim FROM e JOIN y USING (entity, publisher) WHERE type <> 2), "
+    "q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity, claim ORDER BY since, publisher, pos) AS n FROM f), "
+    "pass AS (SELECT entity, claim, 0::BIGINT AS n, []::VARCHAR[] AS ps, []::BIGINT[] AS ss, false AS authority, 0::BIGINT AS publishers FROM (SELECT DISTINCT entity, claim FROM f) UNION ALL SELECT p.entity, p.claim, q.n, CASE WHEN list_contains(ps, q.publisher) OR list_contains(ss, q.story) THEN ps ELSE list_append(ps, q.publisher) END, CASE WHEN list_contains(ps, q.publisher) OR list_contains(ss, q.story) THEN ss ELSE list_append(ss, q.story) END, p.authority OR (q.authority AND NOT (list_contains(ps, q.publisher) OR list_contains(ss, q.story))), p.publishers + CASE WHEN list_contains(ps, q.publisher) OR list_contains(ss, q.story) THEN 0 ELSE 1 END FROM pass p JOIN q ON q.entity = p.entity AND q.claim = p.claim AND q.n = p.n + 1), "
+    "v AS (SELECT entity, claim, MAX(publishers) AS publishers, bool_or(authority) AS authority FROM pass GROUP BY 1, 2), "
     "votes AS (SELECT v.*, w.claim IS NOT NULL AS contradicted, v.publishers >= 2 AND v.authority AND w.claim IS NULL AS supported FROM v LEFT JOIN v w ON v.entity = w.entity AND w.claim = CASE v.claim WHEN 'service_available' THEN 'service_unavailable' WHEN 'service_unavailable' THEN 'service_available' WHEN 'hiring' THEN 'not_hiring' ELSE 'hiring' END)"
 )
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    text = words(k, "we are accepting families", "intake closed", "now hiring staff", "no openings", "accepting; now hiring", "plain", "not accepting new people, accepting later")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.concat(F.lit("p"), k % 5).alias("publisher"), words(k, "government", "first_party", "community", "other").alias("kind"), text.alias("text"))
+    text = F.concat(words(k, *SAID), F.lit(" variant"), k % 4)
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), k.alias("at"), F.concat(F.lit("p"), k % 5).alias("publisher"), words(k, "government", "first_party", "community").alias("kind"), text.alias("text"))
 
 
-@query(f"WITH {VOTE_SQL} SELECT entity, claim, publishers, authority, contradicted, supported FROM votes")
+@query(f"WITH RECURSIVE {VOTE_SQL} SELECT entity, claim, publishers, authority, contradicted, supported FROM votes")
 def claim_votes(spark: SparkSession, d: str) -> DataFrame:
-    return C.claim_votes(_evidence(spark, d), "entity", CLAIMS)
+    return C.claim_votes(_evidence(spark, d), "entity")
 
 
 @query(
-    f"WITH {VOTE_SQL}, b AS (SELECT entity, COUNT(DISTINCT publisher) AS publishers, COUNT(DISTINCT CASE WHEN kind = 1 THEN publisher END) AS first_party, COUNT(DISTINCT CASE WHEN kind = 0 THEN publisher END) AS government, COUNT(DISTINCT CASE WHEN kind = 2 THEN publisher END) AS community FROM e GROUP BY 1), s AS (SELECT entity, COUNT(*) FILTER (WHERE supported) AS confirmed, bool_or(contradicted) AS conflict FROM votes GROUP BY 1) "
+    f"WITH RECURSIVE {VOTE_SQL}, b AS (SELECT entity, COUNT(*) AS publishers, COUNT(*) FILTER (WHERE type = 1) AS first_party, COUNT(*) FILTER (WHERE type = 0) AS government, COUNT(*) FILTER (WHERE type = 2) AS community FROM y GROUP BY 1), s AS (SELECT entity, COUNT(*) FILTER (WHERE supported) AS confirmed, bool_or(contradicted) AS conflict FROM votes GROUP BY 1) "
     "SELECT b.*, coalesce(confirmed, 0) AS confirmed, CASE WHEN coalesce(conflict, false) THEN 'conflicting' WHEN publishers = 0 THEN 'no_evidence' WHEN coalesce(confirmed, 0) > 0 THEN 'corroborated' ELSE 'single_source' END AS posture FROM b LEFT JOIN s USING (entity)"
 )
 def evidence_graph(spark: SparkSession, d: str) -> DataFrame:
     rows = _evidence(spark, d)
-    return C.evidence_graph(rows, C.claim_votes(rows, "entity", CLAIMS), "entity")
-
-
-THEMES = (("staff", "positive", r"(?i)\bkind staff\b"), ("staff", "negative", r"(?i)\brude staff\b"), ("wait", "negative", r"(?i)\blong wait\b"))
+    return C.evidence_graph(rows, C.claim_votes(rows, "entity"), "entity")
 
 
 @query(
-    "WITH h AS (SELECT o_custkey AS org, 'p' || CAST(o_orderkey % 5 AS VARCHAR) AS publisher, o_orderkey % 6 AS t, o_orderkey % 9 AS n FROM orders WHERE o_orderkey % 6 NOT IN (4, 5)), f AS (SELECT org, publisher, t, n, unnest(CASE t WHEN 0 THEN ['staff:positive'] WHEN 1 THEN ['staff:negative', 'wait:negative'] WHEN 2 THEN ['wait:negative'] ELSE ['staff:positive', 'wait:negative'] END) AS x FROM h), "
-    "o AS (SELECT org, split_part(x, ':', 1) AS theme, t, n, MIN(publisher) AS publisher, MIN(split_part(x, ':', 2)) AS s FROM f GROUP BY 1, 2, 3, 4) SELECT org, theme, COUNT(DISTINCT publisher) AS publishers, CASE WHEN MIN(s) = MAX(s) THEN MIN(s) ELSE 'mixed' END AS sentiment, COUNT(DISTINCT publisher) >= 2 AS corroborated FROM o GROUP BY 1, 2"
+    "WITH h AS (SELECT o_custkey AS org, 'p' || CAST(o_orderkey % 5 AS VARCHAR) AS publisher, o_orderkey AS pos, o_orderkey % 6 AS t, o_orderkey % 9 AS n FROM orders WHERE o_orderkey % 6 NOT IN (4, 5) AND o_orderkey % 7 > 1), f AS (SELECT org, publisher, pos, t, n, unnest(CASE t WHEN 0 THEN ['positive_feedback'] WHEN 1 THEN ['staffing', 'intake_wait'] WHEN 2 THEN ['intake_wait'] ELSE ['positive_feedback', 'insurance'] END) AS theme FROM h), "
+    "o AS (SELECT * FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY org, theme, t, n ORDER BY pos) = 1) SELECT org, theme, COUNT(DISTINCT publisher) AS publishers, CASE WHEN theme = 'positive_feedback' THEN 'positive' ELSE 'concern' END AS sentiment, COUNT(DISTINCT publisher) >= 2 AS corroborated FROM o GROUP BY 1, 2"
 )
 def review_themes(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    text = F.concat(words(k, "The clinic has kind staff", "rude staff, long wait at the clinic", "long wait, ABA", "kind staff and a long wait, clinic", "my son had a long wait at the clinic", "long wait at the bank"), F.lit(" "), k % 9)
-    return C.review_themes(table(spark, d, "orders").select(F.col("o_custkey").alias("org"), F.concat(F.lit("p"), k % 5).alias("publisher"), text.alias("text")), "org", THEMES)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = words(k, "praised for its staff", "staff turnover, a long wait", "long wait, ABA", "commended care, billing dispute", "my son had a long wait", "a long wait elsewhere")
+    title = F.concat(F.lit("Bright Oak, Clinic "), c)
+    about = F.when(k % 6 == 5, F.lit("another place")).otherwise(title)
+    host = F.when(k % 7 == 0, "m.yelp.com").when(k % 7 == 1, F.concat(F.lit("www.oak"), c, F.lit(".org"))).otherwise(F.concat(F.lit("p"), k % 5, F.lit(".org")))
+    hits = table(spark, d, "orders").select(c.alias("org"), F.concat(F.lit("BRIGHT oak clinic "), c).alias("name"), F.concat(F.lit("oak"), c, F.lit(".org")).alias("domain"), k.alias("at"), host.alias("host"), F.concat(F.lit("p"), k % 5).alias("publisher"), about.alias("title"), F.concat(said, F.lit(" v"), k % 9).alias("snippet"))
+    return C.review_themes(hits, "org")
 
 
 REFERRAL, DEMAND, COMPETITOR, CONTACT = ("referral", "pediatric", "school"), ("waitlist", "seeking", "need"), ("bcba", "rbt"), ("director", "intake")
@@ -141,17 +147,17 @@ def opportunity_score(spark: SparkSession, d: str) -> DataFrame:
     return _opportunities(spark, d).select("id", "class", "n_referral", "n_demand", "total")
 
 
-@query(f"WITH {OPP_SQL} SELECT COUNT(*) FILTER (WHERE class = 'Referral Source') AS referral, COUNT(*) FILTER (WHERE total >= 85) AS high, COUNT(*) FILTER (WHERE total >= 50 AND class = 'Referral Source') AS ready, COUNT(*) FILTER (WHERE class = 'Demand Signal') AS demand, COUNT(*) FILTER (WHERE class = 'Competitor / Market Signal') AS rivals, COUNT(*) FILTER (WHERE contact = 0) AS no_contact FROM o")
+@query(f"WITH {OPP_SQL} SELECT COUNT(*) FILTER (WHERE class = 'Referral Source') AS referral, COUNT(*) FILTER (WHERE total >= 85) AS high, COUNT(*) FILTER (WHERE total >= 70 AND class = 'Referral Source') AS ready, COUNT(*) FILTER (WHERE class = 'Demand Signal') AS demand, COUNT(*) FILTER (WHERE class = 'Competitor / Market Signal') AS rivals, COUNT(*) FILTER (WHERE contact = 0) AS no_contact FROM o")
 def opportunity_metrics(spark: SparkSession, d: str) -> DataFrame:
     n, c = F.count_if, F.col
-    return _opportunities(spark, d).agg(n(c("class") == "Referral Source").alias("referral"), n(c("total") >= 85).alias("high"), n((c("total") >= 50) & (c("class") == "Referral Source")).alias("ready"), n(c("class") == "Demand Signal").alias("demand"), n(c("class") == "Competitor / Market Signal").alias("rivals"), n(c("n_contact") == 0).alias("no_contact"))
+    return _opportunities(spark, d).agg(n(c("class") == "Referral Source").alias("referral"), n(c("total") >= 85).alias("high"), n((c("total") >= 70) & (c("class") == "Referral Source")).alias("ready"), n(c("class") == "Demand Signal").alias("demand"), n(c("class") == "Competitor / Market Signal").alias("rivals"), n(c("n_contact") == 0).alias("no_contact"))
 
 
 @query(
-    "WITH f AS (SELECT DISTINCT 'r' || CAST(s_suppkey % 4 AS VARCHAR) AS rule, s_suppkey % 12 AS publisher, s_suppkey % 12 IN (0, 5) AS inst FROM supplier WHERE s_suppkey % 4 < 3 AND s_acctbal > 0), p AS (SELECT * FROM (VALUES ('x1', 'r0', 'r1'), ('x2', 'r1', 'r2'), ('x3', 'r3', 'r9')) t(name, a, b)), "
+    "WITH f AS (SELECT DISTINCT 'r' || CAST(s_suppkey % 4 AS VARCHAR) AS rule, s_suppkey % 12 AS publisher, s_suppkey % 12 IN (0, 5) AS inst FROM supplier), p AS (SELECT * FROM (VALUES ('x1', 'r0', 'r1'), ('x2', 'r1', 'r2'), ('x3', 'r3', 'r9')) t(name, a, b)), "
     "j AS (SELECT name, (SELECT COUNT(*) FROM f WHERE rule = a) AS l, (SELECT COUNT(*) FROM f WHERE rule = b) AS r, (SELECT COUNT(DISTINCT publisher) FROM f WHERE rule IN (a, b)) AS publishers, (SELECT coalesce(bool_or(inst), false) FROM f WHERE rule IN (a, b)) AS inst FROM p) SELECT name, publishers, CASE WHEN l >= 2 AND r >= 2 AND publishers >= 3 AND inst THEN 'supported' WHEN publishers > 0 THEN 'partial' ELSE 'unobserved' END AS status FROM j"
 )
 def document_checks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    found = table(spark, d, "supplier").where("s_suppkey % 4 < 3 AND s_acctbal > 0").select(F.concat(F.lit("r"), k % 4).alias("rule"), F.concat(F.lit("p"), k % 12).alias("publisher"), (k % 12).isin(0, 5).alias("institutional"))
+    found = table(spark, d, "supplier").select(F.concat(F.lit("r"), k % 4).alias("rule"), F.concat(F.lit("p"), k % 12).alias("publisher"), (k % 12).isin(0, 5).alias("institutional"))
     return C.document_checks(found, spark.createDataFrame([("x1", "r0", "r1"), ("x2", "r1", "r2"), ("x3", "r3", "r9")], "name string, a string, b string"))

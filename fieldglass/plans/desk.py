@@ -81,11 +81,12 @@ def rotated_sample(spark: SparkSession, d: str) -> DataFrame:
     return K.rotated(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey", 17, 3)
 
 
-@query("SELECT p_partkey, p_partkey % 5 NOT IN (1, 2) AS allowed FROM part")
+@query("SELECT p_partkey, p_partkey % 7 NOT IN (1, 2, 5, 6) AS allowed FROM part")
 def request_moderation(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    text = F.when(k == 0, "referral clinics near  Denver").when(k == 1, "Find autistic  kids and their home addresses").when(k == 2, "houses with autistic children").when(k == 3, "autism clinics by county").otherwise("names of schools")
-    return K.moderated(table(spark, d, "part").select("p_partkey", text.alias("text")), "text", ["autis", "disab"], ["houses with autistic", "homes with autistic"]).select("p_partkey", "allowed")
+    k = F.col("p_partkey") % 7
+    text = F.when(k == 0, "referral clinics near  Denver").when(k == 1, "Find autistic  kids and their home addresses").when(k == 2, "houses with autistic children").when(k == 3, "autism clinics by county").when(k == 4, "names of schools").when(k == 5, "street address for anyone diagnosed here").otherwise("lives at, autsim")
+    fixed = F.when(k == 6, "lives at, autism").otherwise(text)
+    return K.moderated(table(spark, d, "part").select("p_partkey", text.alias("text"), fixed.alias("fixed")), "text", "fixed").select("p_partkey", "allowed")
 
 
 @query("WITH f AS (SELECT s_suppkey AS facility, s_nationkey AS place, unnest(['council' || CAST(s_suppkey % 11 AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN 'agency' || CAST(s_suppkey % 7 AS VARCHAR) END]) AS affiliation FROM supplier) SELECT affiliation, COUNT(DISTINCT facility) AS facilities, COUNT(DISTINCT place) AS places FROM f WHERE affiliation IS NOT NULL GROUP BY 1 ORDER BY facilities DESC, affiliation LIMIT 30")

@@ -39,28 +39,47 @@ def url_normalise(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", T.clean_url(F.col("url")).alias("url"))
 
 
-@query(
-    "SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?is)<template\\b.*?</template\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '"
-    + SPACES + "', ' ', 'g')) AS t FROM pages)"
-)
+def decode_sql(x: str) -> str:
+    """Entities as characters, in one pass, in SQL."""
+    named = " ".join(f"WHEN '{k}' THEN '{v if v != chr(39) else chr(39) * 2}'" for k, v in T.ENTITIES.items())
+    body = "regexp_extract(p, '^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);', 1)"
+    code = f"CASE WHEN lower({body}) LIKE '#x%' THEN TRY_CAST('0x' || {body}[3:] AS BIGINT) ELSE TRY_CAST({body}[2:] AS BIGINT) END"
+    return (
+        f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i : CASE WHEN i = 1 THEN p WHEN {body} = '' THEN '&' || p WHEN {body} LIKE '#%' THEN CASE WHEN {code} BETWEEN 1 AND 1114111 THEN chr(CAST(CASE WHEN {code} BETWEEN 55296 AND 57343 THEN 65533 ELSE {code} END AS INT)) || p[length({body}) + 2 :] ELSE '&' || p END "
+        f"ELSE coalesce(CASE lower({body}) {named} END || p[length({body}) + 2 :], '&' || p) END), '')"
+    )
+
+
+_TAGS = "html"
+for _pattern in ("(?s)<!--.*?-->", *(f"(?is)<{t}\\b.*?</{t}>" for t in ("script", "style", "noscript", "template", "svg")), "(?s)<[^>]+>"):
+    _TAGS = f"regexp_replace({_TAGS}, '{_pattern}', ' ', 'g')"
+
+
+@query(f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace({decode_sql(_TAGS)}, '[\\x20\\x09-\\x0D\\x{{A0}}]+', ' ', 'g')) AS t FROM pages)")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     t = T.html_text(F.col("html"))
     return pages(spark, d).select("page_id", t.alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-MAIL_SQL = "list_filter(list_distinct(list_transform(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1), lambda x : lower(x))), lambda x : NOT regexp_matches(x, '\\.(png|jpe?g|gif|svg|webp|css|js)$') AND NOT regexp_matches(x, '^(no-?reply|example|test)@'))"
+def first_sql(x: str, most: int = 10) -> str:
+    """The first distinct values of a list, in order."""
+    return f"list_slice(list_filter({x}, lambda v, i : list_position({x}, v) = i), 1, {most})"
+
+
+_FOUND = f"list_transform(regexp_extract_all(regexp_replace({decode_sql('text')}, '(?i)mailto:([^\"''?>\\s]+)', ' \\1 ', 'g'), '{T.MAILBOX}'), lambda m : regexp_replace(lower(m), '^[._%+-]+', ''))"
+_KEPT = f"list_filter({_FOUND}, lambda m : length(split_part(m, '@', 1)) <= 64 AND " + " AND ".join(f"NOT regexp_matches(m, '{x}')" for x in T.NO_MAILBOX) + ")"
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort({MAIL_SQL}), ',') AS emails FROM documents WHERE contains(text, '@')")
+@query(f"SELECT doc_id, array_to_string(list_sort({first_sql('m')}), ',') AS emails FROM (SELECT doc_id, {_KEPT} AS m FROM documents WHERE contains(text, '@'))")
 def email_extract(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(F.contains("text", F.lit("@")))
     return docs.select("doc_id", F.array_join(F.array_sort(T.emails(F.col("text"))), ",").alias("emails"))
 
 
-PHONE_SQL = "list_filter(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^0-9])(?:\\+?1[ .-]?)?(\\(?[2-9][0-9]{2}\\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4})(?:$|[^0-9])', 1), lambda x : regexp_replace(x, '[^0-9]', '', 'g'))), lambda x : NOT regexp_matches(x, '^[0-9]{3}55501'))"
+PHONE_SQL = "list_filter(list_transform(regexp_extract_all(text, '(?:^|[^0-9])((?:\\+?1[\\s.-]?)?(?:\\([0-9]{3}\\)|[0-9]{3})[\\s.-]?[0-9]{3}[\\s.-][0-9]{4})\\b', 1), lambda x : regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^1([0-9]{10})$', '\\1')), lambda x : length(x) = 10 AND x <> repeat(x[1], 10) AND NOT regexp_matches(x, '^[01]|^...[01]|^[0-9]11|^...[0-9]11|^...55501'))"
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_transform({PHONE_SQL}, lambda x : '(' || substr(x, 1, 3) || ') ' || substr(x, 4, 3) || '-' || substr(x, 7, 4))), ',') AS phones FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_transform({first_sql('m')}, lambda x : '(' || substr(x, 1, 3) || ') ' || substr(x, 4, 3) || '-' || substr(x, 7, 4))), ',') AS phones FROM (SELECT doc_id, {PHONE_SQL} AS m FROM documents WHERE text IS NOT NULL)")
 def phone_extract(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", F.array_join(F.array_sort(T.phones(F.col("text"))), ",").alias("phones"))

@@ -29,9 +29,9 @@ def circle_rims(spark: SparkSession, d: str) -> DataFrame:
     return rim.select("c_custkey", "i", F.round("at.lon", 5).alias("lon"), F.round("at.lat", 5).alias("lat"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0 AND contains(lower(concat_ws(' ', c_name, c_mktsegment, 'nation ' || c_nationkey || ' open')), 'furniture nation 1')")
+@query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment, 'nation ' || c_nationkey || ' open')), 'furniture nation 1')")
 def board_text_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").where("c_nationkey % 2 = 0").withColumn("signals", F.array(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), F.lit("open")))
+    rows = table(spark, d, "customer").withColumn("signals", F.array(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), F.lit("open")))
     return L.board_search(rows, ["c_name", "c_mktsegment", "signals"], "  Furniture NATION 1 ").select("c_custkey")
 
 
@@ -50,7 +50,7 @@ def roster_by_county(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT o_custkey, COUNT(*) AS listings, bool_or(o_orderkey % 23 = 0) AS snapshot, CASE WHEN NOT bool_or(o_orderkey % 23 = 0) AND o_custkey % 10 > 0 THEN COUNT(*) / CAST(o_custkey % 10 * 1000 AS DOUBLE) * 10000 END AS density FROM orders GROUP BY 1")
+@query("SELECT o_custkey, COUNT(*) AS listings, bool_or(o_orderkey % 23 = 0) AS snapshot, CASE WHEN NOT bool_or(o_orderkey % 23 = 0) AND o_custkey % 10 > 0 THEN COUNT(*) / CAST(o_custkey % 10 * 1000 AS DOUBLE) * 10000 END AS density, CASE WHEN NOT bool_or(o_orderkey % 23 = 0) THEN CASE WHEN o_custkey % 10 > 0 THEN CAST(least(100, floor(COUNT(*) / CAST(o_custkey % 10 * 1000 AS DOUBLE) * 10000 / 20.0E0 * 100 + 0.5E0)) AS BIGINT) ELSE 0 END END AS score FROM orders GROUP BY 1")
 def snapshot_not_scored(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 23 == 0).alias("archived"), (F.col("o_custkey") % 10 * 1000).alias("people"))
     return L.listing_density(rows, ["o_custkey"], "archived", "people").drop("people")

@@ -91,7 +91,7 @@ def organisation_websites(spark: SparkSession, d: str) -> DataFrame:
     return M.websites(organisations(spark, d), found, found.where("host LIKE '%.com'").select("host").distinct())
 
 
-@query("SELECT s_suppkey AS org, s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AS verified, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN greatest(s_suppkey % 90, least(65, s_suppkey % 90 + 9)) ELSE s_suppkey % 90 END AS score, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN greatest(s_suppkey % 80, least(74, s_suppkey % 80 + 15)) ELSE s_suppkey % 80 END AS confidence, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN 2 ELSE 1 END AS emails FROM supplier")
+@query("SELECT s_suppkey AS org, s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AS verified, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN least(65, s_suppkey % 90 + 9) ELSE s_suppkey % 90 END AS score, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN least(74, s_suppkey % 80 + 15) ELSE s_suppkey % 80 END AS confidence, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN 2 ELSE 1 END AS emails FROM supplier")
 def verified_enrichment(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     s = table(spark, d, "supplier")
@@ -108,11 +108,34 @@ def listing_results(spark: SparkSession, d: str) -> DataFrame:
     return M.listing_results(listings, results)
 
 
-@query("WITH t AS (SELECT s_suppkey AS target, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 300 END AS zip, s_suppkey % 70 AS county, s_suppkey % 40 AS city FROM supplier), r AS (SELECT c_custkey AS id, c_custkey % 300 AS zip, c_custkey % 70 AS county, c_custkey % 40 AS city FROM customer), m AS (SELECT target, id, CASE WHEN t.zip = r.zip THEN 100 WHEN t.county = r.county THEN 90 ELSE 85 END AS score FROM t JOIN r ON t.zip = r.zip OR t.county = r.county OR t.city = r.city) SELECT target, id, score, ROW_NUMBER() OVER (PARTITION BY target ORDER BY score DESC, id) AS place FROM m QUALIFY place <= 3")
+LOCATED_SQL = (
+    "t AS (SELECT s_suppkey AS target, CASE WHEN s_suppkey % 3 <> 0 THEN 'town' || CAST(s_suppkey % 40 AS VARCHAR) ELSE 'own' || CAST(s_suppkey % 9 AS VARCHAR) END AS locality, CASE WHEN s_suppkey % 2 = 0 THEN 'z' || CAST(s_suppkey % 300 AS VARCHAR) END AS zip, CASE WHEN s_suppkey % 5 = 0 THEN 'townland' || CAST(s_suppkey % 70 AS VARCHAR) END AS county FROM supplier), "
+    "u AS (SELECT *, locality || ' ' || coalesce(zip, '') AS text FROM t), r AS (SELECT c_custkey AS id, c_name AS name, 'z' || CAST(c_custkey % 300 AS VARCHAR) AS zip, 'townland' || CAST(c_custkey % 70 AS VARCHAR) AS county, 'town' || CAST(c_custkey % 40 AS VARCHAR) AS city FROM customer), "
+    "m AS (SELECT target, id, name, CASE WHEN u.zip = r.zip THEN 100 ELSE 0 END + CASE WHEN u.county = r.county THEN 90 ELSE 0 END + CASE WHEN u.locality = city THEN 85 ELSE 0 END + CASE WHEN contains(city, locality) THEN 55 ELSE 0 END + CASE WHEN contains(r.county, locality) THEN 45 ELSE 0 END + CASE WHEN contains(text, city) THEN 35 ELSE 0 END AS score FROM u, r)"
+)
+
+
+@query(f"WITH {LOCATED_SQL} SELECT target, id, score, ROW_NUMBER() OVER (PARTITION BY target ORDER BY score DESC, name, id) AS place FROM m WHERE score > 0 QUALIFY place <= 3")
 def scored_locations(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("s_suppkey"), F.col("c_custkey")
-    targets = table(spark, d, "supplier").select(k.alias("target"), F.when(k % 2 == 0, k % 300).alias("zip"), (k % 70).alias("county"), (k % 40).alias("city"))
-    return M.located(targets, table(spark, d, "customer").select(c.alias("id"), (c % 300).alias("zip"), (c % 70).alias("county"), (c % 40).alias("city")))
+    numbered = lambda name, x: F.concat(F.lit(name), x)
+    targets = table(spark, d, "supplier").select(k.alias("target"), F.when(k % 3 != 0, numbered("town", k % 40)).otherwise(numbered("own", k % 9)).alias("locality"), F.when(k % 2 == 0, numbered("z", k % 300)).alias("zip"), F.when(k % 5 == 0, numbered("townland", k % 70)).alias("county"))
+    targets = targets.withColumn("text", F.concat("locality", F.lit(" "), F.coalesce("zip", F.lit(""))))
+    return M.located(targets, table(spark, d, "customer").select(c.alias("id"), F.col("c_name").alias("name"), numbered("z", c % 300).alias("zip"), numbered("townland", c % 70).alias("county"), numbered("town", c % 40).alias("city")))
+
+
+@query(
+    "WITH r AS (SELECT o_orderkey AS id, 'oak ' || CAST(o_custkey % 700 AS VARCHAR) AS k0, CASE WHEN o_orderkey % 4 <> 0 THEN 'h' || CAST(o_orderkey % 911 AS VARCHAR) || '.org' END AS k1, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(1000 + o_orderkey % 1201 AS VARCHAR) END AS k2 FROM orders), "
+    "f AS (SELECT id, unnest([{'fields': 'organization_name', 'k': k0}, {'fields': 'website_domain', 'k': k1}, {'fields': 'phone', 'k': k2}, {'fields': 'organization_name,website_domain', 'k': k0 || '|' || k1}, {'fields': 'organization_name,phone', 'k': k0 || '|' || k2}, {'fields': 'website_domain,phone', 'k': k1 || '|' || k2}, {'fields': 'organization_name,website_domain,phone', 'k': k0 || '|' || k1 || '|' || k2}]) AS x FROM r) "
+    "SELECT x.fields AS fields, id, MIN(id) OVER w AS representative, COUNT(*) OVER w AS n FROM f WHERE x.k IS NOT NULL WINDOW w AS (PARTITION BY x) QUALIFY COUNT(*) OVER w > 1"
+)
+def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 2 == 0, "The Oak, ").otherwise("OAK "), F.col("o_custkey") % 700, F.when(k % 5 == 0, " LLC").otherwise(""))
+    url = F.when(k % 4 != 0, F.concat(F.lit("https://www.H"), k % 911, F.lit(".org/a")))
+    phone = F.when(k % 3 != 0, F.concat(F.lit("("), ((1000 + k % 1201) / 100).cast("int"), F.lit(") "), F.lpad(((1000 + k % 1201) % 100).cast("string"), 2, "0")))
+    rows = table(spark, d, "orders").select(k.alias("id"), name.alias("name"), url.alias("url"), phone.alias("phone"))
+    return M.duplicates(rows).withColumn("fields", F.array_join("fields", ","))
 
 
 @query("SELECT c_custkey AS request, CASE WHEN c_custkey % 3 <> 2 AND c_custkey % 50 % 2 = c_custkey % 3 THEN c_custkey % 50 * 10 END AS people, CASE WHEN NOT (c_custkey % 3 <> 2 AND c_custkey % 50 % 2 = c_custkey % 3) THEN CASE WHEN c_custkey % 50 % 2 = 0 THEN 'county' ELSE 'independent city' END END AS suggestion FROM customer")

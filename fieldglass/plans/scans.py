@@ -49,14 +49,14 @@ def nested_estimates(spark: SparkSession, d: str) -> DataFrame:
     return S.nested_estimates(table(spark, d, "supplier").select(F.to_json(F.create_map(F.concat(F.lit("05000US"), k), tables)).alias("payload")))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS body FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT regexp_matches(text, '\\r')")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS body FROM documents")
 def quoted_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts, with their quotes and line feeds, through CSV files; columns are found by their headers."""
+    """Whole texts, with their quotes, line feeds and carriage returns, through CSV files; columns are found by their headers."""
     path = scratch(spark)
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND text <> '' AND NOT contains(text, '\\r')").select(F.col("doc_id").alias("Document ID"), F.col("text").alias("Body Text"), "lang")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("Document ID"), F.col("text").alias("Body Text"), "lang")
     docs.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = S.resolve_columns(S.csv_files(spark, path), {"id": r"^document", "text": r"body"})
-    return rows.select("id", F.md5(F.col("text").cast("binary")).alias("body"))
+    return rows.select("id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("body"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS geoid, s_name AS name, round(s_suppkey * 1000000.0E0 / 2589988.110336E0, 6) AS sqmi, CASE WHEN s_suppkey % 9 <> 0 THEN 1 ELSE 0 END AS rings, CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey * 0.01E0 END AS min_lon, CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey * 0.01E0 + 1 END AS max_lat FROM supplier")
@@ -83,14 +83,14 @@ def provider_registry(spark: SparkSession, d: str) -> DataFrame:
     return S.registry(pages).select("npi", "kind", "taxonomy", "zip")
 
 
-@query("SELECT 'node/' || CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 11 = 0 THEN 'aba_provider' WHEN p_size % 4 = 0 THEN 'daycare' WHEN p_size % 4 = 1 THEN 'school' WHEN p_partkey % 5 = 0 THEN 'pediatrics' ELSE 'clinic' END AS kind, p_partkey % 90 * 1.0E0 AS lat FROM part WHERE p_partkey % 3 <> 0 AND (p_partkey % 11 = 0 OR p_size % 4 <> 3 OR p_partkey % 5 = 0)")
+@query("SELECT 'node/' || CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN 'aba_provider' WHEN p_size % 4 = 0 THEN 'daycare' WHEN p_partkey % 5 = 0 THEN 'pediatrics' WHEN p_partkey % 7 = 0 THEN 'therapy' ELSE 'school' END AS kind, p_partkey % 90 * 1.0E0 AS lat FROM part WHERE p_partkey % 3 <> 0 AND (p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_size % 4 IN (0, 1) OR p_partkey % 5 = 0 OR p_partkey % 7 = 0)")
 def map_places(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     name = F.when(k % 11 == 0, "Bright Autism Center").when(k % 5 == 0, "Pediatric Care").otherwise("Plain")
     amenity = F.when(s % 4 == 0, "childcare").when(s % 4 == 1, "school").when(s % 4 == 2, "clinic").otherwise("bank")
-    building = F.when(k % 3 == 0, "house").otherwise("yes")
+    building = F.when(k % 6 == 0, "house").when(k % 3 == 0, "semidetached_house").otherwise("yes")
     point = F.struct((k % 90).cast("double").alias("lat"), F.lit(1.0).alias("lon"))
-    element = F.struct(F.lit("node").alias("type"), k.alias("id"), F.when(k % 2 == 0, point["lat"]).alias("lat"), F.when(k % 2 == 0, point["lon"]).alias("lon"), F.when(k % 2 == 1, point).alias("center"), F.create_map(F.lit("name"), name, F.lit("amenity"), amenity, F.lit("building"), building).alias("tags"))
+    element = F.struct(F.lit("node").alias("type"), k.alias("id"), F.when(k % 2 == 0, point["lat"]).alias("lat"), F.when(k % 2 == 0, point["lon"]).alias("lon"), F.when(k % 2 == 1, point).alias("center"), F.create_map(F.lit("name"), name, F.lit("amenity"), amenity, F.lit("building"), building, F.lit("healthcare"), F.when(k % 7 == 0, "physiotherapist").otherwise("no"), F.lit("description"), F.when(k % 13 == 0, "Behavioral health").otherwise("plain")).alias("tags"))
     pages = table(spark, d, "part").groupBy(page_of("p_partkey")).agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("payload"))
     return S.map_elements(pages).select("id", "kind", "lat")
 

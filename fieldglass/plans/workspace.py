@@ -20,24 +20,7 @@ def history_bounded(spark: SparkSession, d: str) -> DataFrame:
     return W.bounded(table(spark, d, "events"), "user_id", [F.col("ts").desc(), F.col("event_id")], 30).select("user_id", "event_id")
 
 
-ONE = "SELECT user_id, event_type AS stage, ts, value FROM events WHERE event_id % 3 {} QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type, value) = 1"
-
-
-def _replica(spark: SparkSession, d: str, test: str) -> DataFrame:
-    return W.latest(table(spark, d, "events").where(f"event_id % 3 {test}").select("user_id", F.col("event_type").alias("stage"), "ts", "value"), ["user_id"], "ts")
-
-
-@query(f"WITH l AS ({ONE.format('= 0')}), r AS ({ONE.format('= 1')} AND user_id % 4 <> 0) SELECT coalesce(l.user_id, r.user_id) AS user_id, CASE WHEN b THEN l.stage ELSE r.stage END AS stage, CASE WHEN b THEN l.ts ELSE r.ts END AS ts, CASE WHEN b THEN l.value ELSE r.value END AS value, b AS backfill FROM (SELECT l, r, l.user_id IS NOT NULL AND (r.user_id IS NULL OR l.ts > r.ts) AS b FROM l FULL JOIN r ON l.user_id = r.user_id)")
-def reconcile_lww(spark: SparkSession, d: str) -> DataFrame:
-    return W.reconcile(_replica(spark, d, "= 0"), _replica(spark, d, "= 1").where("user_id % 4 <> 0"), "user_id", "ts")
-
-
-@query(f"WITH o AS ({ONE.format('= 0')}), n AS ({ONE.format('= 2')}) SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.stage, n.stage) AS stage, coalesce(n.ts, o.ts) AS ts, coalesce(n.value, o.value) AS value FROM o FULL JOIN n ON o.user_id = n.user_id")
-def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    return W.upsert(_replica(spark, d, "= 0"), _replica(spark, d, "= 2"), "user_id", keep=["stage"])
-
-
-HALF = ONE.replace("event_id % 3 {}", "(event_id % 2 = 0) = {}")
+HALF = "SELECT user_id, event_type AS stage, ts, value FROM events WHERE (event_id % 2 = 0) = {} QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type, value) = 1"
 
 
 def _half(spark: SparkSession, d: str, even: bool) -> DataFrame:
@@ -46,14 +29,12 @@ def _half(spark: SparkSession, d: str, even: bool) -> DataFrame:
 
 
 @query(f"WITH l AS ({HALF.format('true')}), r AS ({HALF.format('false')}) SELECT coalesce(l.user_id, r.user_id) AS user_id, CASE WHEN b THEN l.stage ELSE r.stage END AS stage, CASE WHEN b THEN l.ts ELSE r.ts END AS ts, CASE WHEN b THEN l.value ELSE r.value END AS value, b AS backfill FROM (SELECT l, r, l.user_id IS NOT NULL AND (r.user_id IS NULL OR l.ts > r.ts) AS b FROM l FULL JOIN r ON l.user_id = r.user_id)")
-def reconcile_lww_all(spark: SparkSession, d: str) -> DataFrame:
-    """reconcile_lww on replicas that together hold every event."""
+def reconcile_lww(spark: SparkSession, d: str) -> DataFrame:
     return W.reconcile(_half(spark, d, True), _half(spark, d, False), "user_id", "ts")
 
 
 @query(f"WITH o AS ({HALF.format('true')}), n AS ({HALF.format('false')}) SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.stage, n.stage) AS stage, coalesce(n.ts, o.ts) AS ts, coalesce(n.value, o.value) AS value FROM o FULL JOIN n ON o.user_id = n.user_id")
-def upsert_merge_all(spark: SparkSession, d: str) -> DataFrame:
-    """upsert_merge on sides that together hold every event."""
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return W.upsert(_half(spark, d, True), _half(spark, d, False), "user_id", keep=["stage"])
 
 
@@ -76,19 +57,8 @@ def funnel_summary(spark: SparkSession, d: str) -> DataFrame:
     return W.funnel(leads, STAGES, "team", ready=STAGES[1], active=STAGES[2], won=STAGES[3])
 
 
-@query("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT), CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 200")
-def task_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    o = table(spark, d, "orders").withColumn("due", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))).withColumn("priority", F.substring("o_orderpriority", 1, 1).cast("int"))
-    order = [F.col("priority"), F.col("due").asc_nulls_last(), F.col("o_totalprice").desc(), F.col("o_orderkey")]
-    first = o.orderBy(*order).limit(200)  # the report is the first 200
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
-
-
 @query("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT), CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS place FROM orders")
-def task_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """The place of every order; task_order has the first 200."""
+def task_order(spark: SparkSession, d: str) -> DataFrame:
     due = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.coalesce(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(1 << 30)).alias("priority"), due.isNull().alias("undated"), F.coalesce(due, F.to_date(F.lit("9999-12-31"))).alias("due"))
     band = F.coalesce(F.floor(-F.col("o_totalprice") / 1000), F.lit(1 << 62))

@@ -39,9 +39,12 @@ def nested_estimates(payloads: DataFrame, text: str = "payload") -> DataFrame:
     return kind.select("geography", F.explode("__v").alias("id", "value")).select("geography", F.regexp_replace("id", r"^([BC]\d{5}[A-Z]?)(\d{3})$", "$1_$2E").alias("variable"), number(F.col("value")).alias("value"))
 
 
-def csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with quotes, doubled quotes and line feeds inside; rows without any value are dropped."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, emptyValue="", nullValue=None)
+def csv_files(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
+    """CSV with quotes, doubled quotes, line feeds and carriage returns inside; rows without any value are dropped.
+
+    line_end is what ends a row. It is stated, not guessed, so what is within quotes stays as it is.
+    """
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, lineSep=line_end, emptyValue="", nullValue=None)
     return rows.where(F.coalesce(*(F.nullif(F.col(f"`{c}`"), F.lit("")) for c in rows.columns)).isNotNull()) if rows.columns else rows
 
 
@@ -83,31 +86,41 @@ def registry(payloads: DataFrame, text: str = "payload") -> DataFrame:
     return flat.where(F.coalesce(F.col("r.basic.status"), F.lit("A")) != "D").select(F.col("r.number").alias("npi"), F.col("r.enumeration_type").alias("kind"), F.get("r.taxonomies", F.lit(0))["code"].alias("taxonomy"), F.substring(at["postal_code"], 1, 5).alias("zip"), at["city"].alias("city"))
 
 
-#: What a mapped element is, by its tags: the first test that holds. Fixed values.
-MAP_KINDS = (
-    ("aba_provider", r"\b(aba|autism|autistic|applied behavior|behavior(al)? (analysis|therapy|analyst))\b", "name"),
-    ("daycare", r"^(childcare|kindergarten)$", "amenity"),
-    ("school", r"^school$", "amenity"),
-    ("hospital", r"^hospital$", "amenity"),
-    ("therapy", r"^(speech_therapist|occupational_therapist)$", "healthcare"),
-    ("pediatrics", r"(?i)pediatric", "name"),
-    ("clinic", r"^(clinic|doctors)$", "amenity"),
-)
+#: Names and specialities of behaviour therapy; specialities and names of child medicine. Fixed values.
+ABA_NAME = r"(?i)\b(aba|autism|autistic|applied behavior|behavior(?:al)? (?:analysis|therapy|analyst))\b"
+MAP_TESTS = {"speciality": r"(?i)autism|behavio", "child": r"(?i)paediatric|pediatric", "child_name": r"(?i)pediatric|paediatric|children'?s clinic", "therapy": r"speech_therapist|occupational_therapist|physiotherapist", "dwelling": r"^(house|residential|apartments|detached|semidetached_house)$"}
+#: What a map service says when it failed, with whatever it had until then. A fixed value.
+MAP_FAILED = r"(?i)runtime error|timed out|out of memory"
+
+
+def map_failed(text: str = "payload") -> Column:
+    """Whether a map payload is a failure: it has no elements, or a remark that says so. Of a failed one nothing is known, which isn't that there is nothing."""
+    whole = F.from_json(text, "struct<elements:array<string>,remark:string>")
+    return whole["elements"].isNull() | F.coalesce(whole["remark"].rlike(MAP_FAILED), F.lit(False))
 
 
 def map_elements(payloads: DataFrame, text: str = "payload") -> DataFrame:
-    """Community-map elements with a place and a name: id, name, kind (the first that fits; elements of none are left out), lat, lon. Dwellings are never facilities."""
-    flat = payloads.select(F.explode(F.from_json(text, "struct<elements:array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>>")["elements"]).alias("e"))
-    tag = lambda k: F.col("e.tags")[k]
-    kind = F.lit(None).cast("string")
-    for name, pattern, where in reversed(MAP_KINDS):
-        kind = F.when(F.coalesce(F.lower(tag(where)).rlike(pattern), F.lit(False)), name).otherwise(kind)
-    out = flat.select(F.concat_ws("/", "e.type", "e.id").alias("id"), tag("name").alias("name"), kind.alias("kind"), F.coalesce("e.lat", "e.center.lat").alias("lat"), F.coalesce("e.lon", "e.center.lon").alias("lon"), tag("building").alias("building"))
-    home = F.coalesce(F.col("building").isin("house", "residential", "apartments", "detached"), F.lit(False))
-    return out.where(F.col("kind").isNotNull() & F.col("name").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~home).drop("building").dropDuplicates(["id"])
-
-
-CLOSED = r"(?i)closed|revoked|suspended|denied|expired|surrendered"
+    """Community-map elements of the payloads that didn't fail, with a valid point and a name: id, name, kind (the first that fits; elements of none are left out), lat, lon. Dwellings are never facilities."""
+    good = payloads.where(~map_failed(text))
+    flat = good.select(F.explode(F.from_json(text, "struct<elements:array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>>")["elements"]).alias("e"))
+    tag = lambda k: F.coalesce(F.col("e.tags")[k], F.lit(""))
+    name, speciality = F.trim(tag("name")), F.concat_ws(" ", tag("healthcare:speciality"), tag("description"))
+    kind = (
+        F.when(name.rlike(ABA_NAME) | speciality.rlike(MAP_TESTS["speciality"]), "aba_provider")
+        .when(tag("amenity").isin("childcare", "kindergarten"), "daycare")
+        .when(speciality.rlike(MAP_TESTS["child"]) | name.rlike(MAP_TESTS["child_name"]), "pediatrics")
+        .when(tag("healthcare").rlike(MAP_TESTS["therapy"]), "therapy")
+        .when(tag("amenity") == "school", "school")
+        .when(tag("amenity") == "hospital", "hospital")
+    )
+    at = lambda c: F.when(F.col("e.center").isNotNull(), F.col(f"e.center.{c}")).otherwise(F.col(f"e.{c}"))
+    out = flat.select(F.concat_ws("/", "e.type", "e.id").alias("id"), name.alias("name"), kind.alias("kind"), at("lat").alias("lat"), at("lon").alias("lon"), tag("building").alias("building"))
+    valid = (F.abs("lat") <= 90) & (F.abs("lon") <= 180) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
+    return out.where(F.col("kind").isNotNull() & (F.col("name") != "") & valid & ~F.col("building").rlike(MAP_TESTS["dwelling"])).drop("building").dropDuplicates(["id"])
+
+
+#: A status that isn't open. A fixed value.
+CLOSED = r"(?i)\b(closed|inactive|revoked|expired|suspended|terminated)\b"
 
 
 def roster(rows: DataFrame, key: str, zips: DataFrame, status: str = "status", home: str | None = "home") -> DataFrame:
