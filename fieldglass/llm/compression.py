@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import bounded_batches, fold_remainder, id_and_text
@@ -73,30 +73,44 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic weights by Newton's method."""
+    """Logistic weights by Newton's method; a step is halved until the penalised loss falls, so it can't overshoot."""
+
+    def loss(w: np.ndarray) -> float:
+        p = np.clip(sigmoid(x @ w), 1e-12, 1 - 1e-12)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + ridge * (w @ w) / 2)
+
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        now, size = loss(w), 1.0
+        while loss(w + size * step) > now + 1e-9 and size > 1e-6:
+            size /= 2
+        step = size * step
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 65536, dictionary_bytes: int = 110 << 10) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 65536, dictionary_bytes: int = 110 << 10, total_bytes: int = 64 << 20) -> Model:
     """Dictionaries from one half of the sample, calibration on the other.
 
     per_class bounds the labelled rows of each class for either half: those with the smallest hash of their id. Only texts
-    of max_bytes or less are sampled. Rows with crc32(doc_id) mod 5 = 0 are held out.
+    of max_bytes or less are sampled, and of these, in the order of the hash, as many as total_bytes hold: that much comes to
+    the driver at most. Rows with crc32(doc_id) mod 5 = 0 are held out.
     """
     train = labels.where((fold_remainder(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     half = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(2))
     order = (F.xxhash64("doc_id", F.lit(22)), F.col("doc_id"))
     parts = [train.where((F.col("quality") == q) & (half == h)).orderBy(*order).limit(per_class).withColumn("half", F.lit(h)) for q in (0, 1) for h in (0, 1)]
     picked = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    # A bounded sample: at most 4 * per_class rows of max_bytes.
-    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id").where(F.length("text") <= max_bytes).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality", "half").collect()
+    # A bounded sample: at most 4 * per_class rows of max_bytes, total_bytes in all. Sizes are summed up before texts are read.
+    sampled = id_and_text(docs).join(F.broadcast(picked), "doc_id").where(F.length("text") <= max_bytes)
+    sizes = sampled.groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
+    before = F.sum("size").over(Window.orderBy(*order))  # over the sample's rows alone
+    fits = sizes.withColumn("upto", before).where(F.col("upto") <= total_bytes).select("doc_id")
+    rows = sampled.join(F.broadcast(fits), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "quality", "half")).alias("x")).select("doc_id", "x.*").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     of = lambda q, h: [bytes(r["text"]) for r in rows if (r["quality"], r["half"]) == (q, h)]
     good, bad = (dictionary(of(q, 0), dictionary_bytes) for q in (1, 0))

@@ -1,7 +1,7 @@
 """Vector best-fit packing: pieces of documents go to the open sequence that fits them best under several capacities.
 
 Every piece has a demand in tokens, documents and attention cost (its length squared); every sequence has a capacity in
-each. Pieces are dealt to groups of bounded size by a hash, so packing runs on all executors; within a group, pieces go
+each. Pieces are dealt to groups of bounded size by a hash of their row's number, so packing runs on all executors; within a group, pieces go
 from large to small to the feasible sequence that the measure prefers. Each group wastes about one sequence at most.
 
 Defined cases: a null text is empty, and an empty text is one piece with the end id alone; rows with a null id are packed
@@ -152,7 +152,8 @@ def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, meas
 def pack(pieces: DataFrame, capacity: int = 2048, max_documents: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), measure: str = "norm", group_rows: int = 16384) -> DataFrame:
     """Adds sequence_id and offset to rows with `length`.
 
-    group_rows bounds what one group packs, so memory doesn't grow with the table. max_documents and max_attention, where
+    group_rows bounds what one group packs, about, so memory doesn't grow with the table. pieces is a written table, whose rows
+    have the same numbers whenever they are read. max_documents and max_attention, where
     given, bound the documents and the summed squared lengths of a sequence; by default they follow from the capacity.
     """
     limits = np.array([capacity, max_documents or capacity, max_attention or capacity**2], np.int64)
@@ -174,7 +175,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_documents: int | None = No
         bins[order], offsets[order] = best_fit(demand[order], limits, wanted, measure)
         return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # By the row's number, not by what is in it: rows that are equal go to all groups alike.
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     return pieces.withColumn("__group", dealt).groupBy("__group").applyInPandas(run, schema)
 
 

@@ -14,9 +14,7 @@ def reference_tokenizer():
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def own_tokenizer():
@@ -74,3 +72,69 @@ def test_edge_cases(spark):
     assert len(out[out.doc_id == 4]) == 2 * len(set(out[out.doc_id == 4].piece))
     assert (out.groupby("sequence_id").length.sum() <= 2048).all()
     assert packing.op6(docs.limit(0)).count() == 0
+
+
+def plain_best_fit(demand, capacity, weights, measure):
+    """Every open sequence tried for every piece, one at a time."""
+    bins, out = [], []
+    for d in demand.tolist():
+        best = None
+        for b, left in enumerate(bins):
+            rest = [x - y for x, y in zip(left, d)]
+            if min(rest) < 0:
+                continue
+            if measure == "norm":
+                worth = sum(w * (r / c) ** 2 for w, r, c in zip(weights, rest, capacity))
+            else:
+                worth = -sum(w * x * y / c**2 for w, x, y, c in zip(weights, left, d, capacity))
+            if best is None or (round(worth, 12), rest[0] if measure == "dot" else 0) < best[:2]:
+                best = (round(worth, 12), rest[0] if measure == "dot" else 0, b)
+        if best is None:
+            bins.append(list(capacity))
+            best = (0, 0, len(bins) - 1)
+        bins[best[2]] = [x - y for x, y in zip(bins[best[2]], d)]
+        out.append((best[2], best[0]))
+    return out, bins
+
+
+@pytest.mark.parametrize("measure", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(256, 3, 65536), (256, 256, 20000), (256, 5, 30000), (256, 256, 65536)])
+def test_choice_of_sequence_equals_brute_force(measure, capacity):
+    """As many sequences, each as full in every dimension, whichever of the three capacities binds."""
+    rng = np.random.default_rng(7)
+    length = np.sort(rng.integers(1, 140, 300))[::-1]
+    demand = np.stack([length, np.ones_like(length), length**2], 1)
+    limit, weights = np.array(capacity), np.array([1.0, 0.3, 0.2])
+    bins, _ = packing.best_fit(demand, limit, weights, measure)
+    _, want = plain_best_fit(demand, capacity, weights, measure)
+    got = sorted(tuple(limit - demand[bins == b].sum(0)) for b in set(bins.tolist()))
+    if measure == "norm":
+        assert got == sorted(map(tuple, want))
+    else:
+        assert len(got) == len(want)
+
+
+@pytest.mark.parametrize("limits", [{"max_documents": 3}, {"max_attention": 2048 * 300}, {"max_documents": 9, "max_attention": 2048 * 350}])
+def test_limits_that_bind(spark, limits):
+    """On whole texts, with capacities that tokens alone would pass, of documents or of attention."""
+    import public_tokenizers as P
+
+    from fieldglass.llm.common import materialize
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 2000")
+    pieces = materialize(packing.cut(docs, 2048, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).drop("ids"), "pieces").where("length < 700")
+    out = packing.pack(pieces, 2048, **limits).toPandas()
+    by = out.groupby("sequence_id").length
+    free = packing.pack(pieces, 2048).toPandas()
+    assert len(out) == pieces.count() and by.count().max() <= limits.get("max_documents", 2048)
+    assert by.apply(lambda x: (x**2).sum()).max() <= limits.get("max_attention", 2048**2)
+    assert out.sequence_id.nunique() > free.sequence_id.nunique()
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    from fieldglass.llm.common import materialize
+
+    rows = spark.range(6000).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "100L length", "7L ids_crc32")
+    out = packing.pack(materialize(rows, "pieces"), 2048, group_rows=1000).toPandas()
+    sizes = (out.sequence_id // 2**32).value_counts()
+    assert len(sizes) == 6 and sizes.max() < 1200 and (out.groupby("sequence_id").length.sum() <= 2048).all()
