@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import half_up
 from fieldglass.functions.store import stored
+from fieldglass.operators.catalog_values import TERMS
 from fieldglass.operators.evidence import first_votes, stories, told_once
 
 #: Texts about a household are no evidence. Fixed values.
@@ -225,6 +226,22 @@ def review_themes(hits: DataFrame, key: str, themes: Sequence[tuple[str, str, st
     return out.select(key, "theme", "publishers", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("mixed").alias("sentiment"), (F.col("publishers") >= 2).alias("corroborated"))
 
 
+#: Terms of sources that refer, and of directories. Fixed values.
+REFERRAL_TERMS = ("daycare", "preschool", "child care", "childcare", "pediatric", "speech therapy", "speech language", "occupational therapy", "early intervention", "school", "special education", "family resource", "community nonprofit", "parent organization", "child development")
+DIRECTORY_TERMS = ("directory", "resource list", "resources", "provider list", "find a provider")
+#: What a search result is: the first list of which it has a term. Fixed values.
+RESULT_CLASSES = (("Weak / Unclear Result", TERMS["negative"]), ("Competitor / Market Signal", TERMS["competitor"]), ("Demand Signal", TERMS["demand"]), ("Referral Source", REFERRAL_TERMS), ("Contact Target", TERMS["contact"]), ("Directory Source", DIRECTORY_TERMS))
+
+
+def result_class(title: Column, snippet: Column, url: Column) -> Column:
+    """What a search result is, by its title, snippet and address."""
+    low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")), F.coalesce(url, F.lit(""))))
+    out = F.lit("Weak / Unclear Result")
+    for name, terms in reversed(RESULT_CLASSES):
+        out = F.when(reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in terms)), name).otherwise(out)
+    return out
+
+
 def terms_in(text: Column, terms: Sequence[str]) -> Column:
     """Which of the terms a lower-case text has, in the list's order."""
     return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms)))

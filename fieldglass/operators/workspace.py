@@ -103,6 +103,11 @@ def correct(tokens: DataFrame, known: DataFrame, misspelt: DataFrame) -> DataFra
 
 
 def export(rows: DataFrame, key: str, item: str, value: str) -> DataFrame:
-    """A row for each key with its items as compact JSON, in order, values rounded."""
+    """A row for each key with its items as compact JSON, in order, values rounded. Items of a key are distinct and bounded by what an export holds."""
     pairs = F.sort_array(F.collect_list(F.struct(item, F.round(value, 2).alias("value"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(pairs, lambda x: F.concat(x[item], F.lit("="), x["value"].cast("string"))), ";").alias("items"))
+    return rows.groupBy(key).agg(F.to_json(F.map_from_entries(pairs)).alias("items"))
+
+
+def write_export(rows: DataFrame, key: str, item: str, value: str, path: str) -> None:
+    """The export as JSON lines."""
+    export(rows, key, item, value).write.mode("overwrite").json(path)

@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("areas", "sources", "sites", "evidence", "scores", "workspace", "scans", "matching", "claims", "desk", "listings", "leads", "catalogs"):
+for _name in ("areas", "sources", "sites", "evidence", "scores", "workspace", "scans", "matching", "claims", "desk", "listings", "leads", "catalogs", "followup"):
     import_module(f"fieldglass.plans.{_name}")

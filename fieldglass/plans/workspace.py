@@ -96,6 +96,6 @@ def token_correction(spark: SparkSession, d: str) -> DataFrame:
     return W.correct(tokens, p.select(word.alias("word")).distinct(), spark.createDataFrame([("smallx", "tiny")], "token string, word string"))
 
 
-@query("SELECT s_nationkey, string_agg(s_name || '=' || CAST(round(s_acctbal, 2) AS VARCHAR), ';' ORDER BY s_name) AS items FROM supplier GROUP BY 1")
+@query("SELECT s_nationkey, '{' || string_agg('\"' || s_name || '\":' || CAST(round(s_acctbal, 2) AS VARCHAR), ',' ORDER BY s_name) || '}' AS items FROM supplier GROUP BY 1")
 def compact_export(spark: SparkSession, d: str) -> DataFrame:
     return W.export(table(spark, d, "supplier"), "s_nationkey", "s_name", "s_acctbal")

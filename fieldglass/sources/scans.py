@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.exprs import measured
+from fieldglass.functions.text import clean_url, decoded, html_text
 
 SQMI_OF_SQM = 1 / 2589988.110336
 
@@ -133,6 +134,21 @@ def roster(rows: DataFrame, key: str, zips: DataFrame, status: str = "status", h
     return placed.withColumn("approximate", F.col("lat").isNull()).withColumns({"lat": F.coalesce("lat", "__lat"), "lon": F.coalesce("lon", "__lon")}).where(F.col("lat").isNotNull()).drop("__lat", "__lon")
 
 
+def shortage_scores(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The greatest score of each county's designations (fips, score), and the states of which the file has rows at all: no score is no shortage only there.
+
+    rows: fips, score, status, kind, discipline, as text (kind and discipline null where the file has no such column). Only mental health
+    counts; withdrawn designations, those of facilities and scores outside 0 to 26 go.
+    """
+    digits = F.regexp_replace(F.coalesce("fips", F.lit("")), "[^0-9]", "")
+    named = rows.withColumn("fips", F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits)).where(F.length("fips") == 5)
+    mental = named.where(F.coalesce(F.col("discipline").rlike("(?i)mental"), F.lit(True)))
+    score = F.when(F.trim("score") == "", F.lit(0.0)).otherwise(F.trim("score").try_cast("double"))
+    standing = mental.where(~F.coalesce(F.col("status").rlike("(?i)withdrawn"), F.lit(False)) & F.coalesce(F.col("kind").rlike("(?i)geographic|population"), F.lit(True)))
+    kept = standing.withColumn("score", score).where(F.col("score").between(0, 26))
+    return kept.groupBy("fips").agg(F.max("score").alias("score")), mental.select(F.substring("fips", 1, 2).alias("state")).distinct()
+
+
 def link_list(pages: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
     """Programs from a page's links: pattern has the id and the name; of an id's links on all pages the first counts."""
     found = pages.select(key, F.posexplode(F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("id"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("name"))).alias("at", "x"))
@@ -147,6 +163,28 @@ def feed_hits(payloads: DataFrame, key: str, text: str = "payload") -> DataFrame
     return flat.select(key, part("title").alias("title"), part("link").alias("link"), (F.col("at") + 1).cast("long").alias("rank")).where(F.col("title").isNotNull() & F.col("link").isNotNull())
 
 
+#: A result of a result page: its link, its title and, after it, its snippet. A fixed value.
+RESULT = r"(?is)<a[^>]*class=\"[^\"]*result__a[^\"]*\"[^>]*href=\"([^\"]+)\"[^>]*>(.*?)</a>.*?(?:<a[^>]*class=\"[^\"]*result__snippet[^\"]*\"[^>]*>|<div[^>]*class=\"[^\"]*result__snippet[^\"]*\"[^>]*>)(.*?)(?:</a>|</div>)"
+#: Where advertisements lead, and how a link is wrapped. Fixed values.
+ADVERT = r"(?i)^https?://(?:[^/]+\.)?duckduckgo\.com/y\.js"
+WRAPPED = r"[?&]uddg=([^&#]*)"
+
+
+def page_hits(payloads: DataFrame, key: str, text: str = "payload", most: int = 20) -> DataFrame:
+    """Ranked hits of HTML result pages: url, title and snippet as text, without advertisements; of equal addresses the first counts, and ranks close up."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(RESULT), F.lit(k))
+    flat = payloads.select(key, F.posexplode(F.arrays_zip(part(1).alias("link"), part(2).alias("title"), part(3).alias("snippet"))).alias("at", "x"))
+    link = decoded(F.col("x.link"))
+    target = F.regexp_extract(link, WRAPPED, 1)
+    url = F.when(target != "", F.coalesce(F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B"))), link)).when(link.startswith("//"), F.concat(F.lit("https:"), link)).otherwise(link)
+    hits = flat.select(key, "at", url.alias("url"), F.substring(html_text(F.col("x.title")), 1, 240).alias("title"), F.substring(html_text(F.col("x.snippet")), 1, 700).alias("snippet"))
+    hits = hits.where(F.col("url").rlike(r"(?i)^https?://[^/?#\s]+\.[^/?#\s]+") & ~F.col("url").rlike(ADVERT))
+    order = Window.partitionBy(key).orderBy("at")
+    hits = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    first = hits.withColumn("k", F.row_number().over(Window.partitionBy(key, clean_url(F.col("url"))).orderBy("at"))).where("k = 1")
+    return first.select(key, "url", "title", "snippet", F.row_number().over(order).cast("long").alias("rank"))
+
+
 def search_records(payloads: DataFrame, key: str, text: str = "payload") -> DataFrame:
     """Web and map records of a keyed provider, normalised: title, link and snippet; those without title or link go."""
     record = "array<struct<title:string,link:string,website:string,snippet:string,address:string>>"
