@@ -3,7 +3,8 @@
 In a pass each record joins the first one kept so far that it matches, or is kept itself. Kept records are the first independent
 set in that order: a record is settled once every earlier record that it matches is. In a round all records without an open
 earlier match are kept and what matches them is not. Records with one open earlier match form chains, along which kept and
-not kept alternate; pointers that double settle a chain in as many steps as the logarithm of its length.
+not kept alternate; where a few rounds leave some open, pointers that double settle a chain in as many steps as the logarithm
+of its length.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ def _chains(live: DataFrame, heads: DataFrame) -> DataFrame:
     return chain.join(heads.select(F.col("a").alias("to")), "to", "left_semi").select("node", (~F.col("odd")).alias("kept"))
 
 
+#: Rounds before chains are followed: most records are settled by then, and following a chain takes steps of its own.
+PLAIN_ROUNDS = 3
+
+
 def merged(edges: DataFrame, most_rounds: int = 200) -> tuple[DataFrame, int]:
     """The records that a pass in order would merge into earlier ones, as `node`, and how many rounds that took.
 
@@ -37,9 +42,14 @@ def merged(edges: DataFrame, most_rounds: int = 200) -> tuple[DataFrame, int]:
         if live.isEmpty():
             return (gone if gone is not None else live.select(F.col("a").alias("node"))), k
         heads = live.select("a").distinct().join(live.select(F.col("b").alias("a")), "a", "left_anti")
-        on_chain = _chains(live, heads)
-        kept = heads.select(F.col("a").alias("node")).unionByName(on_chain.where("kept").select("node"))
-        lost = live.join(kept.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).unionByName(on_chain.where("not kept").select("node"))
+        kept = heads.select(F.col("a").alias("node"))
+        follow = k >= PLAIN_ROUNDS
+        if follow:
+            on_chain = _chains(live, heads)
+            kept = kept.unionByName(on_chain.where("kept").select("node"))
+        lost = live.join(kept.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
+        if follow:
+            lost = lost.unionByName(on_chain.where("not kept").select("node"))
         settled = stored(kept.withColumn("kept", F.lit(True)).unionByName(lost.withColumn("kept", F.lit(False))).groupBy("node").agg(F.max("kept").alias("kept")))
         new = settled.where("not kept").select("node")
         gone = new if gone is None else gone.unionByName(new)

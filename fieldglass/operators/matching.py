@@ -40,10 +40,10 @@ def _described(places: DataFrame) -> DataFrame:
 def _meet(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     """Pairs of described places (columns with _a and _b) of one kind and alike names within the reach, with `far`.
 
-    Candidates share a cell as wide as the reach (or a neighbour) and a word, or the whole name where it has no word; pairs
-    that share several are kept once.
+    Candidates share a word, or the whole name where it has no word, and a cell four times as wide as the reach, of which a
+    circle touches two or so; pairs that share several are kept once.
     """
-    size = max(reach / DEGREE, 1e-3)
+    size = max(4 * reach / DEGREE, 1e-3)
     keys = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.concat(F.lit("="), "name")))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "name", "lat", "lon", "approximate", "words")]
     a = left.select("kind", F.explode(keys).alias("word"), near_cells(F.col("lat"), F.col("lon"), reach, size).alias("cells"), *side("a")).withColumn("cell", F.explode("cells")).drop("cells")
@@ -99,30 +99,36 @@ def merge_places(places: DataFrame, near: float = 0.25, rough: float = 1.5) -> t
     the same as. A kept place at an approximate point takes the point of the first exact one that joins it, and is compared
     there from then on; that happens to licensed ones only, as exact places come before approximate ones otherwise.
     """
-    every = places.select("id", F.coalesce("licensed", F.lit(False)).alias("licensed"), F.coalesce("approximate", F.lit(False)).alias("approximate"))
-    group = F.when(F.col("licensed"), F.when(F.col("approximate"), 1).otherwise(0)).otherwise(F.when(F.col("approximate"), 3).otherwise(2))
-    rows = _described(places).join(every.select("id", group.alias("group")), "id")
-    at = lambda *g: rows.where(F.col("group").isin(*g))
-    in_order = lambda df: df.join(every.select(F.col("id").alias("a"), group.alias("ga")), "a").join(every.select(F.col("id").alias("b"), group.alias("gb")), "b").where((F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")))).withColumn("order", F.struct("ga", "a"))
-    without = lambda df, gone, c="id": df.join(gone.select(F.col("b").alias(c)), c, "left_anti")
-
-    licensed = in_order(_meet(at(0), at(0), near).unionByName(_meet(at(1), at(0, 1), rough)).select("a", "b").unionByName(_meet(at(0), at(1), rough).select("a", "b")).distinct())
-    done = stored(first_match(stored(licensed), "order"))
+    group = F.when(F.coalesce("licensed", F.lit(False)), F.when(F.coalesce("approximate", F.lit(False)), 1).otherwise(0)).otherwise(F.when(F.coalesce("approximate", F.lit(False)), 3).otherwise(2))
+    rows = _described(places)
+    exact, about = rows.where(~F.col("approximate")), rows.where("approximate")
+    # Which places may ever be compared: those that are near now, and those that come near when a place moves to a point within its reach.
+    near_now = _meet(exact, exact, near).where(F.col("a") < F.col("b")).unionByName(_meet(about, rows, rough + near)).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "far").distinct()
+    of = lambda c, g: places.select(F.col("id").alias(c), group.alias(g))
+    both = near_now.join(of("x", "gx"), "x").join(of("y", "gy"), "y")
+    first = F.col("gx") <= F.col("gy")
+    side = lambda u, v, name: F.when(first, F.col(u)).otherwise(F.col(v)).alias(name)
+    pairs = stored(both.select(side("x", "y", "a"), side("y", "x", "b"), side("gx", "gy", "ga"), side("gy", "gx", "gb"), "far").withColumn("order", F.struct("ga", "a")))
+    static = pairs.where(F.col("far") <= rough)  # exact ones are within the near distance anyway
+    without = lambda df, gone, c: df.join(gone.select(F.col("b").alias(c)), c, "left_anti")
+
+    done = stored(first_match(static.where("gb <= 1"), "order"))
     # Exact places without a licence: first the exact licensed ones, then those that they move, then one another.
-    to_exact = without(_meet(at(0), at(2), near).select("a", "b"), done, "a").groupBy("b").agg(F.min("a").alias("a"))
+    to_exact = without(static.where("ga = 0 and gb = 2"), done, "a").groupBy("b").agg(F.min("a").alias("a"))
     done = stored(done.unionByName(to_exact.select("b", "a")))
-    reach = _meet(without(at(1), done), without(at(2), done), rough + near).select("a", "b", "far")
+    reach = without(without(pairs.where("ga = 1 and gb = 2"), done, "a"), done, "b").select("a", "b", "far")
     takes, points = _point_moves(reach.join(places.select(F.col("id").alias("b"), "lat", "lon"), "b"))
     points = stored(points)
     done = stored(done.unionByName(takes.select("b", "a")))
-    left = without(at(2), done)
-    done = stored(done.unionByName(first_match(stored(in_order(_meet(left, left, near).select("a", "b"))), "order").select("b", "a")))
+    left = stored(without(without(static.where("ga = 2 and gb = 2"), done, "a"), done, "b"))
+    done = stored(done.unionByName(first_match(left, "order").select("b", "a")))
     # Approximate places without a licence: what is kept, where it is now, then one another.
-    kept = without(at(0, 1, 2), done).join(points.withColumnRenamed("a", "id"), "id", "left").withColumns({"lat": F.coalesce("to_lat", "lat"), "lon": F.coalesce("to_lon", "lon")})
-    found = _meet(kept.drop("to_lat", "to_lon"), at(3), rough).select("a", "b")
-    done = stored(done.unionByName(in_order(found).groupBy("b").agg(F.min_by("a", "order").alias("a"))))
-    left = without(at(3), done)
-    return stored(done.unionByName(first_match(stored(in_order(_meet(left, left, rough).select("a", "b"))), "order").select("b", "a"))), points
+    moved = rows.join(points.withColumnRenamed("a", "id"), "id").withColumns({"lat": F.col("to_lat"), "lon": F.col("to_lon")}).drop("to_lat", "to_lon")
+    by_move = _meet(moved, rows.join(places.where(group == 3).select("id"), "id", "left_semi"), rough).select("a", "b", F.struct(F.lit(1).alias("ga"), F.col("a")).alias("order"))
+    stay = without(static.where("ga < 3 and gb = 3"), done, "a").join(points.select("a"), "a", "left_anti").select("a", "b", "order")
+    done = stored(done.unionByName(stay.unionByName(by_move).groupBy("b").agg(F.min_by("a", "order").alias("a"))))
+    left = stored(without(without(static.where("ga = 3"), done, "a"), done, "b"))
+    return stored(done.unionByName(first_match(left, "order").select("b", "a"))), points
 
 
 def consolidate(places: DataFrame) -> DataFrame:
