@@ -127,7 +127,10 @@ def planted_findings(docs: DataFrame, most: int = 4000) -> DataFrame:
     The words around and the path are the corpus's own; most bounds the sample, the smallest hashes of the ids. A label
     depends on the kind alone, a context on the label in three of four cases, so neither gives the other away.
     """
-    picked = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "source").orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id", "text").limit(most)
+    keyed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "source", F.xxhash64("text").alias("key"))
+    # Ids are picked first, `most` of them; only their texts are fetched.
+    ids = keyed.select("doc_id", "key").orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id", "key").limit(most).distinct()
+    picked = keyed.join(F.broadcast(ids), ["doc_id", "key"]).select("doc_id", "text", "source")
     names = sorted(KINDS)
     of = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
     h = F.sha2(F.concat(F.lit("planted "), F.col("doc_id").cast("string")), 256)
