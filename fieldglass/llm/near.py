@@ -171,12 +171,10 @@ def states(docs: DataFrame, blocks: int) -> DataFrame:
     return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_shared_counts, _DEALT_DDL).groupBy("chunk").applyInArrow(_summed, _STATE_DDL)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """cid, n, the sorted set and its parities of the documents in wanted (cid, text_key). Few ids are broadcast, many are joined by shuffle."""
-    n = wanted.count()
-    wanted = wanted.withColumnRenamed("cid", "doc_id")
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, n, the sorted set and its parities of the documents in wanted (cid, text_key). They meet by shuffle at any size, so each text moves once and nothing is broadcast that grows."""
     rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
-    found = rows.join(F.broadcast(wanted) if n <= most_broadcast else wanted, ["doc_id", "text_key"])
+    found = rows.join(wanted.withColumnRenamed("cid", "doc_id").hint("merge"), ["doc_id", "text_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -228,13 +228,11 @@ def _covered(width: int):
     return run
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame, size: str, most_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of docs that wanted names by id and key; wanted is broadcast if it is known to be small."""
-    n = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(size)).alias("size")).first()
-    small = (n["size"] or 0) + 64 * n["n"] <= most_bytes
-    wanted = wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key")
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs that wanted names by id and key. They meet by shuffle at any size, so each text moves once and nothing is broadcast that grows."""
+    wanted = wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key").hint("merge")
     rows = _rows(docs)
-    return rows.join(F.broadcast(wanted) if small else wanted, (rows["key"] == wanted["__key"]) & rows["doc_id"].eqNullSafe(wanted["__id"]))
+    return rows.join(wanted, (rows["key"] == wanted["__key"]) & rows["doc_id"].eqNullSafe(wanted["__id"]))
 
 
 def windows(docs: DataFrame, wanted: DataFrame, blocks: int, width: int) -> DataFrame:
@@ -270,7 +268,7 @@ def windows(docs: DataFrame, wanted: DataFrame, blocks: int, width: int) -> Data
             rows += [(b, chunk, 0, name[p].tobytes(), more[p].tobytes(), place[p].tobytes()) for b, p in _parts(name, blocks)]
             yield _emit(rows, _DEALT)
 
-    found = _with_texts(docs, wanted, "spans").select("text", "text_a", "text_b", "twice", "spans")
+    found = _with_texts(docs, wanted).select("text", "text_a", "text_b", "twice", "spans")
     dealt = found.mapInArrow(run, _DEALT_DDL)
     return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_once, _DEALT_DDL).groupBy("chunk").applyInArrow(_covered(width), _FOUND_DDL)
 
@@ -291,7 +289,7 @@ def kept_of(docs: DataFrame, partial: DataFrame, texts: bool) -> DataFrame:
             if rows:
                 yield _emit(rows, pa.schema([("text_a", pa.int64()), ("text_b", pa.int64()), ("kept_sha", pa.binary()), ("kept", pa.string())]))
 
-    return _with_texts(docs, partial, "removed").select("text", "text_a", "text_b", "removed").mapInArrow(run, "text_a long, text_b long, kept_sha binary, kept string").dropDuplicates(["text_a", "text_b"])
+    return _with_texts(docs, partial).select("text", "text_a", "text_b", "removed").mapInArrow(run, "text_a long, text_b long, kept_sha binary, kept string").dropDuplicates(["text_a", "text_b"])
 
 
 def without_repeats(docs: DataFrame, width: int = 35, texts: bool = False) -> DataFrame:
