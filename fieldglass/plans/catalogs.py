@@ -28,7 +28,7 @@ VALUES = ", ".join(f"({_quoted(r[0])}, [" + ", ".join("[" + ", ".join(map(_quote
 #: Of a benchmark text: its third and fourth word together, the eighth or the ninth, and a pattern on its first word.
 MADE = "SELECT 'b' || CAST(item_id AS VARCHAR) AS rule, [[w[3] || ' ' || w[4]], [w[8], w[9]]] AS words, ['(?i)' || w[3] || '.{0,90}' || w[7]] AS patterns FROM (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM benchmark)"
 RULE_SQL = f"rules AS (SELECT * FROM (VALUES {VALUES}) v(rule, words, patterns) UNION ALL {MADE})"
-FITS = "list_bool_and(list_transform(words, lambda g : list_bool_or(list_transform(g, lambda w : contains(lower({0}), w))))) AND (len(patterns) = 0 OR list_bool_and(list_transform(patterns, lambda p : regexp_matches({0}, p))))"
+FITS = "CASE WHEN list_bool_and(list_transform(words, lambda g : list_bool_or(list_transform(g, lambda w : contains(low, w))))) THEN len(patterns) = 0 OR list_bool_and(list_transform(patterns, lambda p : regexp_matches({0}, p))) ELSE false END"
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
@@ -38,11 +38,11 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
     return stored(R.catalog(spark).select("rule", "words", "patterns").unionByName(made))
 
 
-@query(f"WITH {RULE_SQL} SELECT doc_id, rule FROM documents, rules WHERE {FITS.format('text')}")
+@query(f"WITH {RULE_SQL} SELECT doc_id, rule FROM (SELECT doc_id, text, lower(text) AS low FROM documents), rules WHERE {FITS.format('text')}")
 def catalog_documents(spark: SparkSession, d: str) -> DataFrame:
     return R.match(table(spark, d, "documents"), rules(spark, d))
 
 
-@query(f"WITH {RULE_SQL} SELECT page_id, rule FROM pages, rules WHERE {FITS.format('html')}")
+@query(f"WITH {RULE_SQL} SELECT page_id, rule FROM (SELECT page_id, html, lower(html) AS low FROM pages), rules WHERE {FITS.format('html')}")
 def catalog_pages(spark: SparkSession, d: str) -> DataFrame:
     return R.match(table(spark, d, "pages"), rules(spark, d), "page_id", "html")
