@@ -1,5 +1,10 @@
 """Queries that cover their tables whole."""
 
+import time
+
+from pyspark.sql import functions as F
+
+from fieldglass.operators import matching
 from fieldglass.plans import registry
 
 
@@ -23,3 +28,13 @@ def test_replicas_hold_every_event(spark, tmp_path):
     events.selectExpr("event_id", "user_id", "event_type", "cast(ts as timestamp) ts", "value").write.parquet(str(tmp_path / "events.parquet"))
     for name in ("reconcile_lww", "upsert_merge"):
         assert {r.user_id for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} == set(range(100, 106))
+
+
+def test_listings_and_results_of_one_name_never_meet_one_by_one(spark):
+    """20,000 listings of a name by 20,000 results of a title: 400 million pairs, for four rows a listing."""
+    listings = spark.range(20_000).selectExpr("id as listing", "'Green House 1' as name", "if(id % 2 = 0, 'h.org', null) as host")
+    results = spark.range(20_000).selectExpr("id as result", "id % 89 as rank", "if(id % 89 = 1, 'h.org', 'i.org') as host", "if(id % 89 = 0, 'Oak', 'The GREEN house 1') as title")
+    began = time.monotonic()
+    got = matching.listing_results(listings, results).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("result").alias("kinds"), F.min("result").alias("low")).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(k + 1, 20_000, 1, 1 + 89 * k) for k in range(4)]
+    assert time.monotonic() - began < 60
