@@ -111,3 +111,10 @@ def test_within_equals_all_pairs(spark):
     for reach in (0.5, 10.0, 400.0):
         got = sorted((r.site, r.id) for r in spatial.within(spark.createDataFrame(sites, "site long, lat double, lon double"), df, reach, most=64).collect())
         assert got == sorted((s, i) for s, a, b in sites for i, c, d in points if c is not None and miles(a, b, c, d) <= reach)
+
+
+def test_places_a_whole_turn_apart_are_others(spark):
+    """Beyond 180 degrees longitudes are numbers, as in the queries' SQL; within, cells go round."""
+    rows = [(1, "clinic", "Oak", 40.0, 10.0, False), (2, "clinic", "Oak", 40.0, 370.0, False), (3, "clinic", "Oak", 40.0, 370.001, True), (4, "clinic", "Oak", 0.0, 179.9995, False), (5, "clinic", "Oak", 0.0, -179.9995, False), (6, "clinic", "Oak", 0.0, 180.0, False), (7, "clinic", "Oak", 40.0, 730.0, True)]
+    places = spark.createDataFrame(rows, "id long, kind string, name string, lat double, lon double, approximate boolean")
+    assert sorted(map(tuple, matching.same_places(places).collect())) == [(2, 3), (4, 5), (4, 6), (5, 6)]
