@@ -110,10 +110,11 @@ def slug(x: Column, most: int = 100) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, most)
 
 
-def narrative(text: Column, most: int = 1500) -> Column:
-    """What two copies of a text have in common: lower-case words without addresses and stock phrases, the first 1,500 characters of them."""
+def narrative(text: Column, most: int | None = 1500) -> Column:
+    """What two copies of a text have in common: lower-case words without addresses and stock phrases, the first 1,500 characters of them (None: all)."""
     steps = ((r"https?://[^\x20\x09-\x0D]+", " "), (r"\b(copyright|all rights reserved|read more|click here)\b", " "), (r"[^a-z0-9 ]+", " "), (" +", " "))
-    return F.substring(F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, F.lower(text))), 1, most)
+    told = F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, F.lower(text)))
+    return told if most is None else F.substring(told, 1, most)
 
 
 def has_word(text: Column, term: str) -> Column:

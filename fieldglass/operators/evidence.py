@@ -145,14 +145,14 @@ def roll_up(evidence: DataFrame, key: str) -> DataFrame:
     return out.select(key, "evidence", "queries", "domains", "emails", "phones", "signals", kind.alias("kind"), score.cast("long").alias("score"), confidence.cast("long").alias("confidence"))
 
 
-def same_narratives(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91) -> tuple[DataFrame, DataFrame]:
+def same_narratives(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91, most: int | None = 1500) -> tuple[DataFrame, DataFrame]:
     """Which narrative each text tells, as (id, story: the first id that tells it), and which of these tell the same, as pairs (a, b) of stories.
 
     Stories are alike if their sets of words over two letters, nine or more, are that similar. Words are ordered by how many
     stories have them, rare ones first; two sets that similar share one of the first few, and their places there and sizes
     leave enough open. What meets is a word's number, id, size and place; the sets follow for the pairs that are left.
     """
-    every = docs.select(F.col(key).alias("id"), narrative(F.col(text)).alias("told")).where("told <> ''")
+    every = docs.select(F.col(key).alias("id"), narrative(F.col(text), most).alias("told")).where("told <> ''")
     first = every.groupBy("told").agg(F.min("id").alias("story"))
     words = F.array_distinct(F.filter(F.split("told", " "), lambda w: F.length(w) > 2))
     sets = first.select("story", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") >= least_words)
@@ -174,8 +174,8 @@ def same_narratives(docs: DataFrame, key: str, text: str, least_words: int = 9,
 
 
 def same_narrative_pairs(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91) -> DataFrame:
-    """Pairs of texts that tell the same: each with the first that tells it word for word, and first ones that are alike."""
-    member, links = same_narratives(docs, key, text, least_words, least)
+    """Pairs of texts that tell the same, over their whole length: each with the first that tells it word for word, and first ones that are alike."""
+    member, links = same_narratives(docs, key, text, least_words, least, None)
     return links.unionByName(member.where(F.col("story") < F.col("id")).select(F.col("story").alias("a"), F.col("id").alias("b")))
 
 

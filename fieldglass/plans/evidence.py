@@ -104,7 +104,8 @@ def publisher_counts(spark: SparkSession, d: str) -> DataFrame:
     return E.first_publishers(hits(spark, d), ["rule"]).select("rule", "publisher", "doc_id")
 
 
-STORY_SQL = "substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\\x20\\x09-\\x0D]+', ' ', 'g'), '\\b(copyright|all rights reserved|read more|click here)\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), 1, 1500)"
+WHOLE_STORY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\\x20\\x09-\\x0D]+', ' ', 'g'), '\\b(copyright|all rights reserved|read more|click here)\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+STORY_SQL = f"substr({WHOLE_STORY_SQL}, 1, 1500)"
 TOLD_SQL = f"told AS (SELECT rule, source, doc_id, lang, {STORY_SQL} AS story, list_distinct(list_filter(string_split({STORY_SQL}, ' '), lambda w : length(w) > 2)) AS ws FROM first)"
 ALIKE = "(x.story = y.story OR (len(x.ws) >= 9 AND len(y.ws) >= 9 AND len(list_intersect(x.ws, y.ws)) >= 0.91 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))))"
 SEQ_SQL = "seq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rule ORDER BY doc_id) AS n FROM told), pass AS (SELECT rule, 0::BIGINT AS n, []::STRUCT(story VARCHAR, ws VARCHAR[])[] AS kept, NULL::BIGINT AS doc_id, false AS ok FROM (SELECT DISTINCT rule FROM told) UNION ALL SELECT p.rule, y.n, CASE WHEN t THEN kept ELSE list_append(kept, {'story': y.story, 'ws': y.ws}) END, y.doc_id, NOT t FROM (SELECT p.*, y AS y, len(list_filter(p.kept, lambda x : y.story <> '' AND x.story <> '' AND ALIKE)) > 0 AS t FROM pass p JOIN seq y ON y.rule = p.rule AND y.n = p.n + 1) p)".replace("ALIKE", ALIKE)
@@ -169,7 +170,7 @@ def first_match_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH n AS (SELECT doc_id AS id, {STORY_SQL} AS story FROM documents), s AS (SELECT id, story, list_distinct(list_filter(string_split(story, ' '), lambda w : length(w) > 2)) AS ws FROM (SELECT MIN(id) AS id, story FROM n WHERE story <> '' GROUP BY story)) "
+    f"WITH n AS (SELECT doc_id AS id, {WHOLE_STORY_SQL} AS story FROM documents), s AS (SELECT id, story, list_distinct(list_filter(string_split(story, ' '), lambda w : length(w) > 2)) AS ws FROM (SELECT MIN(id) AS id, story FROM n WHERE story <> '' GROUP BY story)) "
     "SELECT x.id AS a, n.id AS b FROM s x JOIN n ON x.id < n.id AND x.story = n.story UNION SELECT x.id, y.id FROM s x JOIN s y ON x.id < y.id AND len(x.ws) >= 9 AND len(y.ws) >= 9 AND len(x.ws) >= 0.91 * len(y.ws) AND len(y.ws) >= 0.91 * len(x.ws) AND len(list_intersect(x.ws, y.ws)) >= 0.91 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))"
 )
 def same_narrative_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -118,3 +118,10 @@ def test_places_a_whole_turn_apart_are_others(spark):
     rows = [(1, "clinic", "Oak", 40.0, 10.0, False), (2, "clinic", "Oak", 40.0, 370.0, False), (3, "clinic", "Oak", 40.0, 370.001, True), (4, "clinic", "Oak", 0.0, 179.9995, False), (5, "clinic", "Oak", 0.0, -179.9995, False), (6, "clinic", "Oak", 0.0, 180.0, False), (7, "clinic", "Oak", 40.0, 730.0, True)]
     places = spark.createDataFrame(rows, "id long, kind string, name string, lat double, lon double, approximate boolean")
     assert sorted(map(tuple, matching.same_places(places).collect())) == [(2, 3), (4, 5), (4, 6), (5, 6)]
+
+
+def test_narratives_are_compared_whole(spark):
+    """Texts that part after 1,500 characters, and texts that differ in few of all their words."""
+    words = [f"word{k}" for k in range(600)]
+    docs = spark.createDataFrame([(1, " ".join(words[:300])), (2, " ".join(words[:200] + words[400:])), (3, " ".join(words[:295])), (4, " ".join(words[:300]))], "doc_id long, text string")
+    assert sorted(map(tuple, evidence.same_narrative_pairs(docs, "doc_id", "text").collect())) == [(1, 3), (1, 4)]
