@@ -145,37 +145,65 @@ def roll_up(evidence: DataFrame, key: str) -> DataFrame:
     return out.select(key, "evidence", "queries", "domains", "emails", "phones", "signals", kind.alias("kind"), score.cast("long").alias("score"), confidence.cast("long").alias("confidence"))
 
 
+def _bands(least: float, least_words: int, most_words: int) -> list[tuple[int, int, int]]:
+    """Bands of sizes (low, high, parts), so wide that a set and any similar one that is no smaller are in one band or in neighbours.
+
+    Two sets so similar differ in (1 - least) / (1 + least) of the words that both have, taken together; a band has a part more than
+    sets of it and of the next one differ in, so similar ones have a part in common.
+    """
+    out, low = [], least_words
+    while low <= most_words:
+        high = int(low / least + 1e-9)
+        most = int(high / least + 1e-9)
+        out.append((low, high, int((high + most) * (1 - least) / (1 + least) + 1e-9) + 1))
+        low = high + 1
+    return out
+
+
 def same_narratives(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91, most: int | None = 1500) -> tuple[DataFrame, DataFrame]:
     """Which narrative each text tells, as (id, story: the first id that tells it), and which of these tell the same, as pairs (a, b) of stories.
 
-    Stories are alike if their sets of words over two letters, nine or more, are that similar. Words are ordered by how many
-    stories have them, rare ones first; two sets that similar share one of the first few, and their places there and sizes
-    leave enough open. What meets is a word's number, id, size and place; the sets follow for the pairs that are left.
+    Stories are alike if their sets of words over two letters, nine or more, are that similar. Words are dealt into more parts than
+    such sets can differ in words, so they have a whole part in common: sets meet by parts, by all the words there, and not by
+    single words, whose lists grow with the corpus. A set is in its own band of sizes and in the one below. Equal sets meet once,
+    as one, and their stories are paired after that.
     """
-    every = docs.select(F.col(key).alias("id"), narrative(F.col(text), most).alias("told")).where("told <> ''")
-    first = every.groupBy("told").agg(F.min("id").alias("story"))
-    words = F.array_distinct(F.filter(F.split("told", " "), lambda w: F.length(w) > 2))
-    sets = first.select("story", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") >= least_words)
-    flat = sets.select("story", F.size("words").alias("size"), F.explode("words").alias("word"))
-    counts = flat.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ordered = flat.join(counts.where("n > 1"), "word").groupBy("story", "size").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
-    prefix = F.col("size") - F.ceil(F.col("size") * least) + 1 - (F.col("size") - F.size("shared"))
-    keyed = ordered.where(prefix > 0).select("story", "size", "shared", prefix.cast("int").alias("prefix")).select("story", "size", F.size("shared").alias("__n"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("at", "x"))
-    keyed = keyed.select("story", "size", (F.col("size") - F.col("__n") + F.col("at")).alias("place"), F.col("x.word").alias("word"))
-    side = lambda x: keyed.select("word", F.col("story").alias(x), F.col("size").alias(f"size_{x}"), F.col("place").alias(f"place_{x}"))
-    both = F.col("size_a") + F.col("size_b")
-    open_ = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    met = side("a").join(side("b"), "word").where((F.col("a") < F.col("b")) & (open_ * (1 + least) >= least * both - 1e-9)).select("a", "b").distinct()
-    own = lambda x: sets.select(F.col("story").alias(x), F.col("words").alias(f"words_{x}"))
+    hashed = F.array_sort(F.array_distinct(F.transform(F.filter(F.split("told", " "), lambda w: F.length(w) > 2), lambda w: F.xxhash64(w))))
+    # Rows are left out once they are written: a filter on the narrative would make it a second time.
+    told = docs.select(F.col(key).alias("id"), narrative(F.col(text), most).alias("told"))
+    every = stored(told.select("id", F.when(F.col("told") != "", F.sha2("told", 256)).alias("name"), hashed.alias("words"))).where(F.col("name").isNotNull())
+    first = every.groupBy("name").agg(F.min("id").alias("story"), F.any_value("words").alias("words")).withColumn("size", F.size("words"))
+    first = stored(first.withColumn("bag", F.when(F.col("size") >= least_words, F.sha2(F.array_join(F.col("words").cast("array<string>"), " "), 256))))
+    described = first.where(F.col("bag").isNotNull())
+    bags = stored(described.groupBy("bag").agg(F.min("story").alias("bag_story"), F.any_value("words").alias("words"), F.any_value("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    largest = bags.agg(F.max("size")).first()[0] or 0
+    bands = _bands(least, least_words, largest)
+    edges = F.array(*(F.struct(F.lit(k).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(parts).alias("parts")) for k, (low, high, parts) in enumerate(bands or [(0, 0, 1)])))
+    band = F.explode(F.filter(edges, lambda e: ((e["low"] <= F.col("size")) & (F.col("size") <= e["high"])) | ((e["high"] < F.col("size")) & (F.col("size") <= F.floor(e["high"] / F.lit(least) + 1e-9)))))
+    dealt = bags.select(F.col("bag_story").alias("story"), "words", "size", band.alias("e"))
+    # A word is in the part of its own number; the zeros make a row for parts without a word.
+    parts = F.col("e.parts")
+    zeros = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.cast("long").alias("part"), F.lit(0).cast("long").alias("word")))
+    dealt = dealt.select("story", "size", "e.band", (F.col("size") <= F.col("e.high")).alias("own"), F.inline(F.concat(F.transform("words", lambda w: F.struct(F.pmod(w, parts).alias("part"), w.alias("word"))), zeros)))
+    keyed = dealt.groupBy("story", "size", "band", "own", "part").agg(F.bit_xor("word").alias("of")).select("story", "size", "own", F.xxhash64("band", "part", "of").alias("of"))
+    side = lambda x: keyed.select("of", F.col("story").alias(x), F.col("size").alias(f"size_{x}"), F.col("own").alias(f"own_{x}"))
+    near = (F.col("own_a") | F.col("own_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - 1e-9)
+    met = side("a").join(side("b"), "of").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    own = lambda x: bags.select(F.col("bag_story").alias(x), F.col("words").alias(f"words_{x}"), F.col("bag").alias(f"bag_{x}"))
     held = met.join(own("a"), "a").join(own("b"), "b")
     common = F.size(F.array_intersect("words_a", "words_b"))
-    links = held.where(common >= least * (F.size("words_a") + F.size("words_b") - common)).select("a", "b")
-    return every.join(first, "told").select("id", "story"), links
+    alike = held.where(common >= least * (F.size("words_a") + F.size("words_b") - common)).select("bag_a", "bag_b")
+    same = bags.where("n > 1").select(F.col("bag").alias("bag_a"), F.col("bag").alias("bag_b"))
+    of = lambda x: described.select(F.col("bag").alias(f"bag_{x}"), F.col("story").alias(x))
+    pairs = alike.unionByName(same).join(of("a"), "bag_a").join(of("b"), "bag_b").where((F.col("bag_a") != F.col("bag_b")) | (F.col("a") < F.col("b")))
+    links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return every.select("id", "name").join(first.select("name", "story"), "name").select("id", "story"), links
 
 
 def same_narrative_pairs(docs: DataFrame, key: str, text: str, least_words: int = 9, least: float = 0.91) -> DataFrame:
     """Pairs of texts that tell the same, over their whole length: each with the first that tells it word for word, and first ones that are alike."""
     member, links = same_narratives(docs, key, text, least_words, least, None)
+    member = stored(member)
     return links.unionByName(member.where(F.col("story") < F.col("id")).select(F.col("story").alias("a"), F.col("id").alias("b")))
 
 

@@ -125,3 +125,28 @@ def test_narratives_are_compared_whole(spark):
     words = [f"word{k}" for k in range(600)]
     docs = spark.createDataFrame([(1, " ".join(words[:300])), (2, " ".join(words[:200] + words[400:])), (3, " ".join(words[:295])), (4, " ".join(words[:300]))], "doc_id long, text string")
     assert sorted(map(tuple, evidence.same_narrative_pairs(docs, "doc_id", "text").collect())) == [(1, 3), (1, 4)]
+
+
+def test_alike_sets_meet_by_parts_in_every_band(spark):
+    """Sets of 9 to 70 words with some swapped, left out or added, in texts of another order, against all pairs."""
+    rng, texts = random.Random(5), []
+    for k in range(60):
+        base = rng.sample([f"w{i:03d}" for i in range(300)], rng.randint(9, 70))
+        for _ in range(4):
+            own = [w for w in base if rng.random() > 0.03] + [f"x{rng.randint(0, 99):02d}" for _ in range(rng.randint(0, 2))]
+            texts.append(" ".join(rng.sample(own, len(own))))
+    sets = [set(t.split()) for t in texts]
+    alike = lambda x, y: x == y or (min(len(x), len(y)) >= 9 and len(x & y) >= 0.91 * len(x | y))
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if min(len(sets[a]), len(sets[b])) >= 9 and alike(sets[a], sets[b])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = evidence.same_narratives(docs, "doc_id", "text")[1].collect()
+    assert len(got) == len(want) > 60 and {tuple(r) for r in got} == want
+
+
+def test_parts_outnumber_what_alike_sets_differ_in():
+    bands = evidence._bands(0.91, 9, 3000)
+    for k, (low, high, parts) in enumerate(bands):
+        for a in range(low, high + 1):
+            for b in range(a, int(a / 0.91 + 1e-9) + 1):
+                assert b <= bands[min(k + 1, len(bands) - 1)][1] or k + 1 == len(bands)
+                assert (a + b) - 2 * math.ceil(0.91 / 1.91 * (a + b) - 1e-9) < parts
