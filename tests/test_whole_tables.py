@@ -38,3 +38,14 @@ def test_listings_and_results_of_one_name_never_meet_one_by_one(spark):
     got = matching.listing_results(listings, results).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("result").alias("kinds"), F.min("result").alias("low")).orderBy("place").collect()
     assert [tuple(r) for r in got] == [(k + 1, 20_000, 1, 1 + 89 * k) for k in range(4)]
     assert time.monotonic() - began < 60
+
+
+def test_texts_of_one_wording_meet_names_once(spark, monkeypatch):
+    """Names and texts that repeat are matched as one of each, and every pair of them comes out."""
+    seen = []
+    match = matching.match
+    monkeypatch.setattr(matching, "match", lambda docs, rules, *by: seen.append((docs.count(), rules.count())) or match(docs, rules, *by))
+    orgs = spark.createDataFrame([(1, "Oak Valley"), (2, "OAK valley"), (3, "Elm Hill"), (4, "Oak")], "org long, name string")
+    texts = spark.createDataFrame([(10, "the oak, valley"), (11, "The Oak valley"), (12, "elm on a hill"), (13, "oak"), (14, None)], "doc long, text string")
+    assert sorted(map(tuple, matching.mentioned(orgs, texts).collect())) == [(1, 10), (1, 11), (2, 10), (2, 11), (3, 12)]
+    assert seen == [(2, 2)]
