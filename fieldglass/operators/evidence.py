@@ -35,9 +35,14 @@ def first_publishers(hits: DataFrame, key: Sequence[str], publisher: str = "publ
 
 def stories(rows: DataFrame, order: str, text: str) -> tuple[DataFrame, DataFrame]:
     """rows with `story`, the narrative that each tells (null: none), and the pairs (story, other), both ways, of narratives that are alike. A narrative is compared once, whatever tells it; order names a row's text."""
-    member, links = same_narratives(rows.dropDuplicates([order]), order, text)
+    told = F.coalesce(narrative(F.col(text)), F.lit(""))
+    keyed = stored(rows.withColumn("__told", F.sha2(told, 256)))
+    # Each text is read by its name once, whatever rows have it; of equal narratives the first row's order is the story.
+    kinds = keyed.groupBy("__told").agg(F.min(order).alias("story"), F.min_by(text, order).alias("__text"))
+    kinds = stored(kinds.where(F.col("__told") != F.sha2(F.lit(""), 256)))
+    links = same_narratives(kinds, "story", "__text")[1]
     near = links.select(F.col("a").alias("story"), F.col("b").alias("other"))
-    return rows.join(member.select(F.col("id").alias(order), "story"), order, "left"), near.unionByName(near.select(F.col("other").alias("story"), F.col("story").alias("other")))
+    return keyed.join(kinds.select("__told", "story"), "__told", "left").drop("__told"), near.unionByName(near.select(F.col("other").alias("story"), F.col("story").alias("other")))
 
 
 def told_once(rows: DataFrame, key: Sequence[str], text: str, order: str = "doc_id") -> DataFrame:
@@ -66,7 +71,10 @@ def first_votes(rows: DataFrame, near: DataFrame, key: Sequence[str], publisher:
     are the first open one of their publisher, their story and all stories like it, and what they rule out goes; groups are
     summed up by their first rows, so copies never meet one by one.
     """
-    live, out = stored(rows), None
+    # Of a publisher's rows with one story only the first may be accepted: what rules it out rules out the others.
+    rest = [c for c in rows.columns if c not in (*key, publisher, "story", at)]
+    first_rows = rows.groupBy(*key, publisher, "story").agg(F.min(at).alias(at), *(F.min_by(c, at).alias(c) for c in rest)).select(*rows.columns)
+    live, out = stored(first_rows), None
     near = stored(near)
     for _ in range(most_rounds):
         if live.isEmpty():

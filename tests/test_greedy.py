@@ -150,3 +150,12 @@ def test_parts_outnumber_what_alike_sets_differ_in():
             for b in range(a, int(a / 0.91 + 1e-9) + 1):
                 assert b <= bands[min(k + 1, len(bands) - 1)][1] or k + 1 == len(bands)
                 assert (a + b) - 2 * math.ceil(0.91 / 1.91 * (a + b) - 1e-9) < parts
+
+
+def test_rows_of_one_text_share_its_story(spark):
+    """A text that many rows tell is compared once: stories come from distinct texts, a row without words has none."""
+    rows = spark.createDataFrame([(1, "Long wait!"), (2, "long  WAIT"), (3, "..."), (4, None), (5, "other"), (2, "long  WAIT")], "at long, text string")
+    held, near = evidence.stories(rows, "at", "text")
+    assert sorted((r["at"], r.story) for r in held.collect()) == [(1, 1), (2, 1), (2, 1), (3, None), (4, None), (5, 5)] and near.isEmpty()
+    votes = spark.createDataFrame([("k", "p", 1, 5), ("k", "p", 1, 6), ("k", "q", 1, 7), ("k", "q", 2, 8), ("k", "q", 2, 9)], "key string, publisher string, story long, at long")
+    assert sorted(r["at"] for r in evidence.first_votes(votes, near, ["key"], "publisher", "at").collect()) == [5, 8]
