@@ -1,7 +1,12 @@
 """Catalogs of rules as tables, and one matcher for all of them whose cost doesn't grow with the number of rules.
 
-A rule is a list of groups of words; a text must have a word of each group, and fit every pattern that the rule has. Words are
-looked up in the corpus's vocabulary, not in each text: a word's longest piece without a space meets the distinct tokens that
+A rule is a list of groups of words; a text must have a word of each group, and fit every pattern that the rule has. A word is
+looked up by its longest piece without a space, which is in one token of a text that has the word.
+
+A catalog of few words goes to the texts: each token is looked up in it by its runs of characters, and the rules of all of whose
+groups a text has a word are tested on it at once, so texts are read once and never shuffled.
+
+Words of a large catalog are looked up in the corpus's vocabulary, not in each text: a piece meets the distinct tokens that
 contain it by their rarest run of three characters. Of each rule the group whose tokens the fewest texts have is looked up in
 the texts' postings; what that finds is tested whole. So a text meets only the rules whose rarest group it has.
 """
@@ -9,7 +14,11 @@ the texts' postings; what that finds is tested whole. So a text meets only the r
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +30,10 @@ from fieldglass.operators.catalog_values import AGE_CHECKS, AGE_RULES, COMMUNITY
 RULE_DDL = "rule string, name string, grp string, community boolean, weight int, states array<string>, words array<array<string>>, patterns array<string>"
 #: Characters in a run that tokens and words meet by.
 GRAM = 3
+#: Words of a catalog that is sent to the texts, at most.
+FEW = 10_000
+#: Tokens whose pieces a task remembers, and how long they are, at most.
+KNOWN, SHORT = 1 << 17, 100
 
 
 def _lines(text: str) -> list[tuple[str, list[str]]]:
@@ -107,16 +120,62 @@ def token_hits(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
     return held.join(rare, "gram").where(F.contains("token", "piece")).select("piece", "token", "n")
 
 
-def match(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _candidates(rules: list[tuple[str, list[list[str]], list[str]]]):
+    """A column function: of a lower-case text in UTF-8 those of the rules (rule, words, patterns) of which it has a word of each group.
+
+    Looked up are the pieces of one group of each rule, that of the longest pieces, as these are rare.
+    """
+    words = [[[w.encode() for w in g] for g in groups] for _, groups, _ in rules]
+    at = defaultdict(list)
+    for k, groups in enumerate(words):
+        pieces = [{max(w.split(), key=len) for w in g} for g in groups]
+        for p in max(pieces, key=lambda g: min(map(len, g))):
+            at[p].append(k)
+    at, by_run = dict(at), defaultdict(list)
+    for p in sorted(p for p in at if len(p) >= GRAM):
+        by_run[min((p[i : i + GRAM] for i in range(len(p) - GRAM + 1)), key=lambda r: len(by_run.get(r, ())))].append(p)
+    by_run, short = dict(by_run), [p for p in at if len(p) < GRAM]
+
+    def pieces_of(token: bytes) -> list[bytes]:
+        return [p for r in by_run.keys() & {token[i : i + GRAM] for i in range(len(token) - GRAM + 1)} for p in by_run[r] if p in token]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = lru_cache(KNOWN)(pieces_of)
+        held = pa.array([{"rule": r, "words": w, "patterns": p} for r, w, p in rules], pa.struct({"rule": pa.string(), "words": pa.list_(pa.list_(pa.string())), "patterns": pa.list_(pa.string())}))
+        for texts in batches:
+            ends, picked = [0], []
+            for text in (x.as_py() for x in texts):
+                found = {p for p in short if p in text}
+                for t in set(text.split()):
+                    found.update(known(t) if len(t) <= SHORT else pieces_of(t))
+                picked += [k for k in {k for p in found for k in at[p]} if all(any(w in text for w in g) for g in words[k])]
+                ends.append(len(picked))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held.take(pa.array(picked, pa.int32())))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # as types, not as text
+    return F.arrow_udf(run, "array<struct<rule string, words array<array<string>>, patterns array<string>>>")
+
+
+def match(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """key and rule for each document and rule that it fits: a word of each group is in its lower-case text, and all patterns fit the text.
 
     rules: rule, words (groups of words, each with one group at least), patterns. Words have no space at their ends. Rows of docs
     with a null key or text are left out; rows of one key are texts of their own. Tests run once for each candidate, in one
-    pass over the texts.
+    pass over the texts. Catalogs of up to `few` words are sent to the texts.
     """
-    low = F.lower(F.col(text))
-    known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    posted = known.select(F.col(key).alias("__id"), F.explode(F.array_distinct(F.split(low, r"\s+"))).alias("token")).where("token <> ''")
+    known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).withColumn("__low", F.lower(F.col(text)))
+    if (rules.select(F.sum(F.size(F.flatten("words")))).first()[0] or 0) <= few:
+        held = known.withColumn("__rules", _candidates([tuple(r) for r in rules.select("rule", "words", "patterns").collect()])(F.col("__low").cast("binary")))
+    else:
+        tests = _met(known, rules, key).join(rules.select("rule", "words", "patterns"), "rule").groupBy("__id").agg(F.collect_list(F.struct("rule", "words", "patterns")).alias("__rules"))
+        held = known.join(tests, F.col(key) == F.col("__id"))
+    fits = lambda r: F.forall(r["words"], lambda g: F.exists(g, lambda w: F.contains(F.col("__low"), w))) & F.forall(r["patterns"], lambda p: F.regexp(F.col(text), p))
+    return held.select(F.col(key), F.explode(F.transform(F.filter("__rules", fits), lambda r: r["rule"])).alias("rule"))
+
+
+def _met(known: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Pairs (__id, rule) of texts (in __low) and rules of a large catalog that have a token of the rule's rarest group."""
+    posted = known.select(F.col(key).alias("__id"), F.explode(F.array_distinct(F.split("__low", r"\s+"))).alias("token")).where("token <> ''")
     words = rules.select("rule", F.posexplode("words").alias("g", "alternatives")).select("rule", "g", F.explode("alternatives").alias("word"))
     longest = F.array_sort(F.split("word", r"\s+"), lambda a, b: F.length(b) - F.length(a))[0]
     flat = stored(words.select("rule", "g", longest.alias("piece")))
@@ -124,12 +183,7 @@ def match(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "t
     groups = flat.distinct().join(hits, "piece", "left").groupBy("rule", "g").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("texts"))
     anchor = groups.groupBy("rule").agg(F.min(F.struct("texts", "g")).alias("x")).where("x.texts > 0").select("rule", F.col("x.g").alias("g"))
     looked_up = flat.join(anchor, ["rule", "g"]).join(hits, "piece").select("token", "n", "rule").distinct()
-    n = known.count()
-    met = join_split(posted, looked_up, "token", "n", max(10_000, n // 20)).select("__id", "rule").distinct()
-    tests = met.join(rules.select("rule", "words", "patterns"), "rule").groupBy("__id").agg(F.collect_list(F.struct("rule", "words", "patterns")).alias("__rules"))
-    held = known.withColumn("__low", low).join(tests, F.col(key) == F.col("__id"))
-    fits = lambda r: F.forall(r["words"], lambda g: F.exists(g, lambda w: F.contains(F.col("__low"), w))) & F.forall(r["patterns"], lambda p: F.regexp(F.col(text), p))
-    return held.select(F.col(key), F.explode(F.transform(F.filter("__rules", fits), lambda r: r["rule"])).alias("rule"))
+    return join_split(posted, looked_up, "token", "n", max(10_000, known.count() // 20)).select("__id", "rule").distinct()
 
 
 def narrowing_fit(signals: DataFrame, key: str) -> DataFrame:

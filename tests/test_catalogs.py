@@ -75,3 +75,18 @@ def test_fit(spark):
     rows = [(1, "a", "x", 5), (1, "b", "x", 3), (1, "c", "x", 6), (1, "a", "x", 5), (1, "d", "y", 1), (2, "a", "x", 5)]
     got = {r.doc_id: (r.fit, r.signals, r.dimensions, r.bonus) for r in catalogs.narrowing_fit(spark.createDataFrame(rows, "doc_id long, rule string, grp string, weight int"), "doc_id").collect()}
     assert got == {1: (45.0, 4, 2, 11), 2: (25.0, 1, 1, 6)}
+
+
+def test_few_words_go_to_the_texts_and_many_to_the_vocabulary(spark):
+    """Both ways find the pairs that fit; a catalog of few words moves no text between tasks."""
+    rng = random.Random(7)
+    rules = [(f"r{k}", "", "", False, None, [], [[rng.choice(["é", "ab", "ab c", "xyz q", "éab", "a'b"]) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))], rng.choice([[], ["(?i)b "]])) for k in range(80)]
+    texts = [(i, "".join(rng.choice(["É", "ab", " ", "c", " ", "xyz", "Q", "a'B", "\u0085", "\n"]) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(900, "x" * 5000 + "ab c"), (901, None), (None, "ab")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(rules, catalogs.RULE_DDL)
+    want = pairs(texts, rules)
+    for few in (0, 1000):
+        assert sorted((r.doc_id, r.rule) for r in catalogs.match(docs, table, few=few).collect()) == want
+    assert len(want) > 1000
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    assert "Exchange" not in catalogs.match(plain, table)._jdf.queryExecution().executedPlan().toString()
