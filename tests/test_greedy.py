@@ -120,6 +120,29 @@ def test_places_a_whole_turn_apart_are_others(spark):
     assert sorted(map(tuple, matching.same_places(places).collect())) == [(2, 3), (4, 5), (4, 6), (5, 6)]
 
 
+def test_places_meet_in_one_shuffle(spark):
+    """All near pairs at poles, at 180 degrees and beyond, of exact and approximate points, from a table that is shuffled once."""
+    rng = random.Random(9)
+    names = {"Bright Star": {"bright", "star"}, "Little Oak Star": {"little", "oak", "star"}, "Oak": {"oak"}, "The School": {"=the school"}}
+    rows = []
+    for i in rng.sample(range(1000), 400):
+        lat, lon = rng.choice([(40.0, -94.5), (0.0, 180.0), (0.0, -180.0), (71.2, 179.99), (89.99, 20.0), (-89.99, -160.0), (10.0, 400.0), (0.0, 180.04)])
+        lon += rng.uniform(-0.02, 0.02)
+        rows.append((i, rng.choice("xy"), rng.choice(list(names)), max(-90.0, min(90.0, lat + rng.uniform(-0.02, 0.02))), lon, rng.choice([True, False, False, None])))
+    want = set()
+    for a in rows:
+        for b in rows:
+            u, v = names[a[2]], names[b[2]]
+            one_turn = (abs(a[4]) <= 180 and abs(b[4]) <= 180) or abs(a[4] - b[4]) <= 180
+            if a[0] < b[0] and a[1] == b[1] and one_turn and miles(*a[3:5], *b[3:5]) <= (1.5 if a[5] or b[5] else 0.25) and len(u & v) >= 0.5 * min(len(u), len(v)):
+                want.add((a[0], b[0]))
+    df = matching.same_places(spark.createDataFrame(rows, "id long, kind string, name string, lat double, lon double, approximate boolean"))
+    got = sorted(map(tuple, df.collect()))
+    assert len(want) > 300 and got == sorted(want)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan  # the second is the one that is reused
+
+
 def test_narratives_are_compared_whole(spark):
     """Texts that part after 1,500 characters, and texts that differ in few of all their words."""
     words = [f"word{k}" for k in range(600)]
