@@ -3,7 +3,7 @@
 A rule is a list of groups of words; a text must have a word of each group, and fit every pattern that the rule has. A word is
 looked up by its longest piece without a space, which is in one token of a text that has the word.
 
-A catalog of few words goes to the texts: each token is looked up in it by its runs of characters, and the rules of all of whose
+The words of a very small catalog are tried on each text by Spark. A catalog of few words goes to the texts: each token is looked up in it by its runs of characters, and the rules of all of whose
 groups a text has a word are tested on it at once, so texts are read once and never shuffled.
 
 Words of a large catalog are looked up in the corpus's vocabulary, not in each text: a piece meets the distinct tokens that
@@ -16,7 +16,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,8 @@ RULE_DDL = "rule string, name string, grp string, community boolean, weight int,
 GRAM = 3
 #: Words of a catalog that is sent to the texts, at most.
 FEW = 10_000
+#: Words of a catalog that are tried on each text, at most.
+TRIED = 64
 #: Tokens whose pieces a task remembers, and how long they are, at most.
 KNOWN, SHORT = 1 << 17, 100
 
@@ -156,21 +159,30 @@ def _candidates(rules: list[tuple[str, list[list[str]], list[str]]]):
     return F.arrow_udf(run, "array<struct<rule string, words array<array<string>>, patterns array<string>>>")
 
 
-def match(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
+def match(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW, tried: int = TRIED) -> DataFrame:
     """key and rule for each document and rule that it fits: a word of each group is in its lower-case text, and all patterns fit the text.
 
     rules: rule, words (groups of words, each with one group at least), patterns. Words have no space at their ends. Rows of docs
     with a null key or text are left out; rows of one key are texts of their own. Tests run once for each candidate, in one
-    pass over the texts. Catalogs of up to `few` words are sent to the texts.
+    pass over the texts. Catalogs of up to `few` words are sent to the texts; those of up to `tried` words are tested whole.
     """
     known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).withColumn("__low", F.lower(F.col(text)))
-    if (rules.select(F.sum(F.size(F.flatten("words")))).first()[0] or 0) <= few:
-        held = known.withColumn("__rules", _candidates([tuple(r) for r in rules.select("rule", "words", "patterns").collect()])(F.col("__low").cast("binary")))
+    size = rules.select(F.sum(F.size(F.flatten("words")))).first()[0] or 0
+    rows = [tuple(r) for r in rules.select("rule", "words", "patterns").collect()] if size <= max(few, tried) else []
+    if size <= tried:
+        has = lambda g: reduce(or_, (F.contains(F.col("__low"), F.lit(w)) for w in g), F.lit(False))
+        one = lambda words, patterns: reduce(and_, [*map(has, words), *(F.regexp(F.col(text), F.lit(p)) for p in patterns)])
+        held, found = known, F.array(*(F.when(one(words, patterns), F.lit(r)) for r, words, patterns in rows)).cast("array<string>")
     else:
-        tests = _met(known, rules, key).join(rules.select("rule", "words", "patterns"), "rule").groupBy("__id").agg(F.collect_list(F.struct("rule", "words", "patterns")).alias("__rules"))
-        held = known.join(tests, F.col(key) == F.col("__id"))
-    fits = lambda r: F.forall(r["words"], lambda g: F.exists(g, lambda w: F.contains(F.col("__low"), w))) & F.forall(r["patterns"], lambda p: F.regexp(F.col(text), p))
-    return held.select(F.col(key), F.explode(F.transform(F.filter("__rules", fits), lambda r: r["rule"])).alias("rule"))
+        if size <= few:
+            held = known.withColumn("__rules", _candidates(rows)(F.col("__low").cast("binary")))
+        else:
+            tests = _met(known, rules, key).join(rules.select("rule", "words", "patterns"), "rule").groupBy("__id").agg(F.collect_list(F.struct("rule", "words", "patterns")).alias("__rules"))
+            held = known.join(tests, F.col(key) == F.col("__id"))
+        fits = lambda r: F.forall(r["words"], lambda g: F.exists(g, lambda w: F.contains(F.col("__low"), w))) & F.forall(r["patterns"], lambda p: F.regexp(F.col(text), p))
+        found = F.transform(F.filter("__rules", fits), lambda r: r["rule"])
+    # Nulls are texts that no rule fits and, of few rules, those that don't fit.
+    return held.select(F.col(key), F.explode_outer(found).alias("rule")).where(F.col("rule").isNotNull())
 
 
 def _met(known: DataFrame, rules: DataFrame, key: str) -> DataFrame:

@@ -90,3 +90,19 @@ def test_few_words_go_to_the_texts_and_many_to_the_vocabulary(spark):
     assert len(want) > 1000
     plain = spark.createDataFrame(texts, "doc_id long, text string")
     assert "Exchange" not in catalogs.match(plain, table)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_handful_of_words_is_tried_without_python(spark):
+    """A very small catalog finds what the look-up of tokens finds, but texts don't leave Spark for it."""
+    rng = random.Random(8)
+    rules = [(f"r{k}", "", "", False, None, [], [[rng.choice(["é", "ab", "ab c", "xyz q", "a'b"]) for _ in range(rng.randint(1, 2))] for _ in range(rng.randint(1, 2))], rng.choice([[], ["(?i)b "], ["(?i)b ", "c"]])) for k in range(12)]
+    texts = [(i, "".join(rng.choice(["É", "ab", " ", "c", " ", "xyz", "Q", "a'B", "\u0085", "\n"]) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(7, "ab c"), (7, "ab c"), (901, None), (None, "ab")]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(rules, catalogs.RULE_DDL)
+    want = pairs(texts, rules)
+    plans = []
+    for tried in (0, catalogs.TRIED):
+        got = catalogs.match(docs, table, tried=tried)
+        assert sorted((r.doc_id, r.rule) for r in got.collect()) == want
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(want) > 300 and ["Python" in p for p in plans] == [True, False]
+    assert catalogs.match(docs, table.limit(0)).collect() == []
